@@ -10,18 +10,40 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def weighted_avg(v, w) -> Column:
-    """sum(v*w)/sum(w) over rows where v, w are non-null and w != 0; null if none (AGG-2)."""
+def dec_sum(c, decimals: int | None = 2) -> Column:
+    """Sum of values that carry ``decimals`` decimal places (DECIMAL(p, d) semantics).
+
+    The double sum is snapped back to ``decimals`` places, which recovers the exact
+    decimal total whatever the summation order (partitioning, retries, engine).
+    """
+    s = F.sum(_c(c).cast("double"))
+    if decimals is None:
+        return s
+    f = float(10 ** decimals)
+    return F.round(s * f, 0) / f
+
+
+def dec_avg(c, decimals: int | None = 2) -> Column:
+    """Mean of non-null values as exact decimal sum / count (null when none)."""
+    n = F.count(_c(c))
+    return F.when(n > 0, dec_sum(c, decimals) / n)
+
+
+def weighted_avg(v, w, num_decimals: int | None = None, den_decimals: int | None = None) -> Column:
+    """sum(v*w)/sum(w) over rows where v, w are non-null and w != 0; null if none (AGG-2).
+
+    When v and w carry a known number of decimals the two sums are decimal-exact.
+    """
     v, w = _c(v).cast("double"), _c(w).cast("double")
     ok = v.isNotNull() & w.isNotNull() & (w != 0)
-    num = F.sum(F.when(ok, v * w))
-    den = F.sum(F.when(ok, w))
+    num = dec_sum(F.when(ok, v * w), num_decimals)
+    den = dec_sum(F.when(ok, w), den_decimals)
     return F.when(den != 0, num / den)
 
 
-def sum0(c) -> Column:
+def sum0(c, decimals: int | None = 2) -> Column:
     """pandas-style sum: nulls skipped, all-null gives 0."""
-    return F.coalesce(F.sum(_c(c).cast("double")), F.lit(0.0))
+    return F.coalesce(dec_sum(c, decimals), F.lit(0.0))
 
 
 def truthy(c: Column) -> Column:

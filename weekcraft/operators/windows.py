@@ -10,10 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekcraft.operators.aggregates import dec_avg
+
+
+def _snap(s, decimals: int | None):
+    """Snap a windowed double sum back to its known decimal places (exact decimal total)."""
+    if decimals is None:
+        return s
+    f = float(10 ** decimals)
+    return F.round(s * f, 0) / f
+
 
 def trailing_actual(hist: DataFrame, site_col: str = "site", week_col: str = "week",
                     value_cols: tuple[str, ...] = ("margin", "weight"),
-                    spans: tuple[int, ...] = (4, 52)) -> DataFrame:
+                    spans: tuple[int, ...] = (4, 52), decimals: int | None = 2) -> DataFrame:
     """Per site, means over the last n weeks anchored at the site's own latest week (WIN-4).
 
     Weeks in ``[max-n+1, max]``; the mean is over the rows actually present (non-null
@@ -22,14 +32,14 @@ def trailing_actual(hist: DataFrame, site_col: str = "site", week_col: str = "we
     """
     mx = F.max(week_col).over(Window.partitionBy(site_col))
     h = hist.select(site_col, week_col, *value_cols).withColumn("_mx", mx)
-    aggs = [F.avg(F.when(F.col(week_col) >= F.col("_mx") - (n - 1), F.col(c).cast("double"))).alias(f"{c}_{n}w")
-            for n in spans for c in value_cols]
+    aggs = [dec_avg(F.when(F.col(week_col) >= F.col("_mx") - (n - 1), F.col(c).cast("double")), decimals)
+            .alias(f"{c}_{n}w") for n in spans for c in value_cols]
     return h.groupBy(site_col).agg(F.max("_mx").alias("last_week"), *aggs)
 
 
 def trailing_fixed(hist: DataFrame, site_col: str = "site", day_col: str = "day",
                    value_cols: tuple[str, ...] = ("margin", "weight"),
-                   spans: tuple[int, ...] = (4, 52)) -> DataFrame:
+                   spans: tuple[int, ...] = (4, 52), decimals: int | None = 2) -> DataFrame:
     """For every history row, SUM/n over the last n rows strictly before its day (WIN-5).
 
     Nulls add 0; with no earlier row the result is null. A ROWS frame per site.
@@ -39,20 +49,22 @@ def trailing_fixed(hist: DataFrame, site_col: str = "site", day_col: str = "day"
         w = Window.partitionBy(site_col).orderBy(day_col).rowsBetween(-n, -1)
         cnt = F.count(F.lit(1)).over(w)
         for c in value_cols:
-            s = F.coalesce(F.sum(F.col(c).cast("double")).over(w), F.lit(0.0))
+            s = F.coalesce(_snap(F.sum(F.col(c).cast("double")).over(w), decimals), F.lit(0.0))
             out = out.withColumn(f"{c}_{n}f", F.when(cnt > 0, s / n))
     return out
 
 
 def trailing_series(hist: DataFrame, site_col: str = "site", week_col: str = "week",
                     value_cols: tuple[str, ...] = ("margin", "weight"),
-                    spans: tuple[int, ...] = (4, 52)) -> DataFrame:
+                    spans: tuple[int, ...] = (4, 52), decimals: int | None = 2) -> DataFrame:
     """Rolling n-week mean at every week: RANGE frame ``[week-n+1, week]`` (WIN-6)."""
     out = hist
     for n in spans:
         w = Window.partitionBy(site_col).orderBy(F.col(week_col)).rangeBetween(-(n - 1), 0)
         for c in value_cols:
-            out = out.withColumn(f"{c}_{n}w", F.avg(F.col(c).cast("double")).over(w))
+            cnt = F.count(F.col(c)).over(w)
+            out = out.withColumn(f"{c}_{n}w",
+                                 F.when(cnt > 0, _snap(F.sum(F.col(c).cast("double")).over(w), decimals) / cnt))
     return out
 
 

@@ -28,46 +28,78 @@ def r6(expr: str, alias: str) -> str:
     return f"{rnd(expr)} AS {alias}"
 
 
-def wavg(v: str, w: str) -> str:
+def snap(expr: str, d: int | None) -> str:
+    if d is None:
+        return expr
+    f = f"{float(10 ** d)}"
+    return f"(round(({expr}) * {f}) / {f})"
+
+
+def dsum(x: str, d: int | None = 2) -> str:
+    return snap(f"sum(CAST({x} AS DOUBLE))", d)
+
+
+def davg(x: str, d: int | None = 2) -> str:
+    return f"CASE WHEN count({x}) > 0 THEN {dsum(x, d)} / count({x}) END"
+
+
+def wavg(v: str, w: str, nd: int | None = None, dd: int | None = None) -> str:
     ok = f"({v}) IS NOT NULL AND ({w}) IS NOT NULL AND ({w}) <> 0"
-    den = f"sum(CASE WHEN {ok} THEN CAST({w} AS DOUBLE) END)"
-    num = f"sum(CASE WHEN {ok} THEN CAST({v} AS DOUBLE) * CAST({w} AS DOUBLE) END)"
+    den = snap(f"sum(CASE WHEN {ok} THEN CAST({w} AS DOUBLE) END)", dd)
+    num = snap(f"sum(CASE WHEN {ok} THEN CAST({v} AS DOUBLE) * CAST({w} AS DOUBLE) END)", nd)
     return f"CASE WHEN {den} <> 0 THEN {num} / {den} END"
 
 
+def wa(v: str, w: str) -> str:
+    """Weighted mean of a 2-decimal measure by weight (integer) or weight*prod (2 decimals)."""
+    return wavg(v, w, 2, 0) if w == "weight" else wavg(v, w, 4, 2)
+
+
 def fold(x: str) -> str:
     return f"replace(replace(strip_accents(lower({x})), '�', ''), '?', '')"
 
 
 RUN_WEEK = "CAST(floor(datediff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) / 7) + 1 AS INTEGER)"
 
+def c2_inline(x: str) -> str:
+    return f"(round(CAST({x} AS DOUBLE) * 100.0) / 100.0)"
+
+
 WEEKLY_CTES = [
-    ("li_agg", f"""SELECT l_suppkey AS site_id, {RUN_WEEK} AS run_week, count(*) AS n, sum(l_quantity) AS qty,
-       avg(l_quantity) AS prod0, avg(l_extendedprice / l_quantity) AS price0,
-       avg(l_extendedprice * l_discount) AS cost0, avg(l_tax) AS tax0, avg(l_discount) AS disc0,
-       avg(l_extendedprice) AS ext0
-FROM lineitem GROUP BY 1, 2"""),
+    ("li_c", f"""SELECT l_suppkey AS site_id, {RUN_WEEK} AS run_week, l_quantity,
+       CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(round(l_discount * 100) AS BIGINT) AS disc,
+       CAST(round(l_tax * 100) AS BIGINT) AS tax
+FROM lineitem"""),
+    ("li_s", """SELECT site_id, run_week, count(*) AS n, sum(l_quantity) AS qty, sum(cents) AS ext_c,
+       sum(cents * disc) AS cost_c, sum(tax) AS tax_p, sum(disc) AS disc_p
+FROM li_c GROUP BY 1, 2"""),
+    ("li_agg", """SELECT site_id, run_week, n, qty, qty / n AS prod0, ext_c / (qty * 100) AS price0,
+       cost_c / (n * 10000) AS cost0, tax_p / (n * 100) AS tax0, disc_p / (n * 100) AS disc0,
+       ext_c / (n * 100) AS ext0
+FROM li_s"""),
     ("wb", """SELECT a.*, s.s_nationkey AS company_id, CAST(10 + s.s_suppkey % 37 AS DOUBLE) AS site_area,
        a.site_id + a.run_week AS k, DATE '1995-01-02' + CAST((a.run_week - 1) * 7 AS INTEGER) AS period_start
 FROM li_agg a JOIN supplier s ON a.site_id = s.s_suppkey"""),
-    ("wb2", """SELECT *, CASE WHEN k % 13 <> 0 THEN prod0 END AS prod_,
+    ("wb2", """SELECT *, (round(CAST(prod0 AS DOUBLE) * 100.0) / 100.0) AS prod0_, (round(CAST(price0 AS DOUBLE) * 100.0) / 100.0) AS price_, (round(CAST(cost0 AS DOUBLE) * 100.0) / 100.0) AS cost_,
        CASE WHEN k % 11 <> 0 THEN site_area END AS area_,
-       CASE WHEN k % 7 <> 0 THEN price0 * prod0 - cost0 END AS margin_,
-       CASE WHEN k % 5 <> 0 THEN prod0 / 2 ELSE 0.0 END AS greens_,
-       tax0 * 50 + 4 AS ms_conc_, disc0 * 40 + 2 AS ms_cons_
+       (round(CAST(tax0 * 50 + 4 AS DOUBLE) * 100.0) / 100.0) AS ms_conc_, (round(CAST(disc0 * 40 + 2 AS DOUBLE) * 100.0) / 100.0) AS ms_cons_
 FROM wb"""),
+    ("wb3", """SELECT *, CASE WHEN k % 13 <> 0 THEN prod0_ END AS prod_,
+       CASE WHEN k % 7 <> 0 THEN (round(CAST(price_ * prod0_ - cost_ AS DOUBLE) * 100.0) / 100.0) END AS margin_,
+       CASE WHEN k % 5 <> 0 THEN (round(CAST(prod0_ / 2 AS DOUBLE) * 100.0) / 100.0) ELSE 0.0 END AS greens_
+FROM wb2"""),
     ("weekly", """SELECT site_id, company_id, CAST(isoyear(period_start) AS INTEGER) AS year,
        CAST(week(period_start) AS INTEGER) AS week, run_week, period_start, period_start + 6 AS period_end,
        area_ AS area, CAST(n * 50 AS INTEGER) AS herd, CAST(qty AS INTEGER) AS weight,
-       CASE WHEN area_ <> 0 THEN n * 50 / area_ END AS stocking,
-       tax0 * 100 AS fat, disc0 * 10 + 3 AS protein, ext0 / 100 AS conc_cost,
+       (round(CAST(CASE WHEN area_ <> 0 THEN n * 50 / area_ END AS DOUBLE) * 100.0) / 100.0) AS stocking,
+       (round(CAST(tax0 * 100 AS DOUBLE) * 100.0) / 100.0) AS fat, (round(CAST(disc0 * 10 + 3 AS DOUBLE) * 100.0) / 100.0) AS protein, (round(CAST(ext0 / 100 AS DOUBLE) * 100.0) / 100.0) AS conc_cost,
        CAST((n * 13 + site_id) % 150 + 250 AS INTEGER) AS grams_per_litre,
-       ms_conc_ AS ms_conc, ms_cons_ AS ms_cons, greens_ AS greens, greens_ + ms_conc_ + ms_cons_ AS total_ms,
-       prod_ AS prod, cost0 AS cost, price0 AS price,
-       CASE WHEN price0 <> 0 THEN margin_ / price0 END AS margin_l,
-       CASE WHEN price0 * prod_ <> 0 THEN cost0 / (price0 * prod_) END AS cost_pct,
+       ms_conc_ AS ms_conc, ms_cons_ AS ms_cons, greens_ AS greens, (round(CAST(greens_ + ms_conc_ + ms_cons_ AS DOUBLE) * 100.0) / 100.0) AS total_ms,
+       prod_ AS prod, cost_ AS cost, price_ AS price,
+       (round(CAST(CASE WHEN price_ <> 0 THEN margin_ / price_ END AS DOUBLE) * 100.0) / 100.0) AS margin_l,
+       (round(CAST(CASE WHEN price_ * prod_ <> 0 THEN cost_ / (price_ * prod_) END AS DOUBLE) * 100.0) / 100.0) AS cost_pct,
        margin_ AS margin
-FROM wb2"""),
+FROM wb3"""),
 ]
 
 HISTORY_CTE = ("hist", """SELECT w.run_week AS week, w.period_end AS day, s.s_name AS site, w.margin, w.weight,
@@ -99,7 +131,7 @@ FROM wk JOIN supplier s ON wk.site_id = s.s_suppkey JOIN nation n ON wk.company_
 
 
 def matrix_ctes(long_name: str = "long") -> list[tuple[str, str]]:
-    piv = ", ".join(f"avg(CASE WHEN concept_key = {q(k)} THEN total END) AS {c}" for c, k in MATRIX_FROM_KEY)
+    piv = ", ".join(f"{davg(f'CASE WHEN concept_key = {q(k)} THEN total END')} AS {c}" for c, k in MATRIX_FROM_KEY)
     return DICT_CTES + [
         ("keyed", f"""SELECT l.*, coalesce(d.concept_key, f.k2) AS concept_key FROM {long_name} l
 LEFT JOIN dict d ON l.concept = d.spelling LEFT JOIN dict_f f ON {fold('l.concept')} = f.folded"""),
@@ -114,9 +146,11 @@ LEFT JOIN dict d ON l.concept = d.spelling LEFT JOIN dict_f f ON {fold('l.concep
 FROM d1"""),
         HISTORY_CTE,
         ("hmx", "SELECT trim(site) AS site, week, margin, weight, max(week) OVER (PARTITION BY trim(site)) AS mx FROM hist"),
-        ("hm", """SELECT site AS hsite,
-       avg(CASE WHEN week >= mx - 3 THEN margin END) AS margin_4w, avg(CASE WHEN week >= mx - 3 THEN weight END) AS weight_4w,
-       avg(CASE WHEN week >= mx - 51 THEN margin END) AS margin_52w, avg(CASE WHEN week >= mx - 51 THEN weight END) AS weight_52w
+        ("hm", f"""SELECT site AS hsite,
+       {davg('CASE WHEN week >= mx - 3 THEN margin END')} AS margin_4w,
+       {davg('CASE WHEN week >= mx - 3 THEN weight END')} AS weight_4w,
+       {davg('CASE WHEN week >= mx - 51 THEN margin END')} AS margin_52w,
+       {davg('CASE WHEN week >= mx - 51 THEN weight END')} AS weight_52w
 FROM hmx GROUP BY site"""),
         ("body0", "SELECT d2.*, hm.* EXCLUDE (hsite) FROM d2 LEFT JOIN hm ON trim(d2.site) = hm.hsite"),
         ("body", """SELECT *,
@@ -124,13 +158,14 @@ FROM hmx GROUP BY site"""),
        CASE WHEN margin_4w IS NOT NULL THEN rank() OVER (ORDER BY margin_4w DESC NULLS LAST) END AS rank_4w,
        CASE WHEN margin_52w IS NOT NULL THEN rank() OVER (ORDER BY margin_52w DESC NULLS LAST) END AS rank_52w
 FROM body0"""),
-        ("tot0", f"""SELECT coalesce(sum(area), 0) AS area, coalesce(sum(herd), 0) AS herd, coalesce(sum(weight), 0) AS weight,
-       {wavg('fat', 'weight')} AS fat, {wavg('protein', 'weight')} AS protein,
-       {wavg('conc_cost', 'weight')} AS conc_cost, {wavg('grams_per_litre', 'weight * prod')} AS grams_per_litre,
-       {wavg('ms_conc', 'weight')} AS ms_conc, {wavg('ms_cons', 'weight')} AS ms_cons,
-       {wavg('greens', 'weight')} AS greens, {wavg('total_ms', 'weight')} AS total_ms,
-       {wavg('prod', 'weight')} AS prod, {wavg('cost', 'weight')} AS cost, {wavg('price', 'weight * prod')} AS price,
-       {wavg('margin', 'weight')} AS margin, {wavg('margin_4w', 'weight')} AS margin_4w,
+        ("tot0", f"""SELECT coalesce({dsum('area')}, 0) AS area, coalesce({dsum('herd')}, 0) AS herd,
+       coalesce({dsum('weight')}, 0) AS weight,
+       {wa('fat', 'weight')} AS fat, {wa('protein', 'weight')} AS protein,
+       {wa('conc_cost', 'weight')} AS conc_cost, {wa('grams_per_litre', 'weight * prod')} AS grams_per_litre,
+       {wa('ms_conc', 'weight')} AS ms_conc, {wa('ms_cons', 'weight')} AS ms_cons,
+       {wa('greens', 'weight')} AS greens, {wa('total_ms', 'weight')} AS total_ms,
+       {wa('prod', 'weight')} AS prod, {wa('cost', 'weight')} AS cost, {wa('price', 'weight * prod')} AS price,
+       {wa('margin', 'weight')} AS margin, {wavg('margin_4w', 'weight')} AS margin_4w,
        coalesce(sum(weight_4w), 0) AS weight_4w, {wavg('margin_52w', 'weight')} AS margin_52w,
        coalesce(sum(weight_52w), 0) AS weight_52w
 FROM body"""),

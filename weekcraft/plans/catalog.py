@@ -39,3 +39,164 @@ def q_weekly_long(spark, sf_dir) -> DataFrame:
     long = M.weekly_long(t)
     return long.select("company", "company_code", "site", F.col("week").cast("int").alias("week"), "concept",
                        rnd("total").alias("total"))
+
+
+# --------------------------------------------------------------------------- weekly fact family
+from weekcraft.functions import clean as C  # noqa: E402
+from weekcraft.functions.concepts import attach_concept_key  # noqa: E402
+from weekcraft.operators import aggregates as A  # noqa: E402
+from weekcraft.operators.rank import global_rank, global_ranks  # noqa: E402
+from weekcraft.operators.windows import trailing_actual, trailing_fixed, trailing_series  # noqa: E402
+from weekcraft.session import materialize  # noqa: E402
+
+
+def _round_doubles(df: DataFrame) -> DataFrame:
+    """Round every double column with the engine-independent 6-digit rounding."""
+    return df.select(*[C.rnd(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+@register("weighted_totals")
+def q_weighted_totals(spark, sf_dir) -> DataFrame:
+    """AGG-2/AGG-3 per week over all sites of the weekly fact (DRV-3..5 on the totals)."""
+    t = _t(spark, sf_dir)
+    wk = B.weekly(t)
+    tot = M.total_row(wk, group_cols=["year", "week"], history=False).drop("site", "rank_margin", "rank_4w",
+                                                                        "rank_52w")
+    return _round_doubles(tot)
+
+
+@register("derived_metrics")
+def q_derived_metrics(spark, sf_dir) -> DataFrame:
+    """DRV-1..7 as row expressions over every weekly row."""
+    t = _t(spark, sf_dir)
+    w = B.weekly(t)
+    pasture = F.when(F.col("run_week") % 3 != 0, F.col("ms_cons") / 2)
+    green = F.when(F.col("run_week") % 4 != 0, F.col("ms_conc") / 4)
+    out = w.select(
+        "site_id", "run_week",
+        A.greens_expr("greens", pasture, green).alias("greens_fixed"),
+        A.total_ms_expr(A.greens_expr("greens", pasture, green), "ms_cons", "ms_conc").alias("total_ms_calc"),
+        A.margin_expr("price", "prod", "cost").alias("margin_calc"),
+        A.margin_per_litre("price", "prod", "cost").alias("margin_l"),
+        A.stocking_expr("herd", "area").alias("stocking"),
+        A.cost_share("price", "prod", "cost").alias("cost_pct"),
+        A.greens_weekly(pasture, green).alias("greens_weekly"))
+    return _round_doubles(out)
+
+
+def _hist(t: Tables) -> DataFrame:
+    return B.history(t)
+
+
+@register("trailing_actual")
+def q_trailing_actual(spark, sf_dir) -> DataFrame:
+    """WIN-4: per site, 4/52-week means anchored at the site's own latest week."""
+    return _round_doubles(trailing_actual(_hist(_t(spark, sf_dir))))
+
+
+@register("trailing_fixed")
+def q_trailing_fixed(spark, sf_dir) -> DataFrame:
+    """WIN-5: SUM/4 and SUM/52 over the rows strictly before each history row's day."""
+    h = _hist(_t(spark, sf_dir)).select("site", "week", "day", "margin", "weight")
+    return _round_doubles(trailing_fixed(h))
+
+
+@register("trailing_series")
+def q_trailing_series(spark, sf_dir) -> DataFrame:
+    """WIN-6: rolling 4/52-week means at every week of every site."""
+    h = _hist(_t(spark, sf_dir)).select("site", "week", "margin", "weight")
+    return _round_doubles(trailing_series(h))
+
+
+@register("history_window")
+def q_history_window(spark, sf_dir) -> DataFrame:
+    """SRC-7/SRC-8/SRC-9 + JOIN-9: history of the 52 weeks before the latest week, by
+    trimmed site name joined to its company; measures as double."""
+    t = _t(spark, sf_dir)
+    h = _hist(t)
+    last = h.agg(F.max("week").alias("_cw"))
+    win = h.join(F.broadcast(last), (F.col("week") < F.col("_cw")) & (F.col("week") >= F.col("_cw") - 52), "inner")
+    s = B.sites(t).select(C.strip_ws("name").alias("_sn"), "company_id")
+    c = B.companies(t).select("company_id", F.col("name").alias("company"))
+    out = (win.join(s, C.strip_ws("site") == F.col("_sn"))
+              .join(F.broadcast(c), "company_id")
+              .select("week", "day", "site", "company", F.col("margin").cast("double").alias("margin"),
+                      F.col("weight").cast("double").alias("weight")))
+    return _round_doubles(out)
+
+
+def _weekly_named(t: Tables) -> DataFrame:
+    s = B.sites(t).select("site_id", F.col("name").alias("site"))
+    return B.weekly(t).join(s, "site_id").select("site_id", "site", "company_id", "year", "week", "margin")
+
+
+@register("rank_all_weeks")
+def q_rank_all_weeks(spark, sf_dir) -> DataFrame:
+    """WIN-1: RANK() OVER (ORDER BY margin DESC NULLS LAST) across all weeks; nulls ranked.
+
+    Always the two-phase plan (no single-task window), on the materialised weekly rows.
+    """
+    w = materialize(_weekly_named(_t(spark, sf_dir)), "weekly-named")
+    return _round_doubles(global_rank(w, "margin", "rank", descending=True, keep_null=False))
+
+
+@register("rank_nulls_kept")
+def q_rank_nulls_kept(spark, sf_dir) -> DataFrame:
+    """WIN-2 over all weekly rows: min-rank descending, null margins keep a null rank."""
+    w = materialize(_weekly_named(_t(spark, sf_dir)), "weekly-named")
+    return _round_doubles(global_ranks(w, [("margin", "rank")], descending=True, keep_null=True, small_rows=0))
+
+
+@register("rank_per_week")
+def q_rank_per_week(spark, sf_dir) -> DataFrame:
+    """WIN-3: rank within each (year, week), nulls last and ranked."""
+    w = _weekly_named(_t(spark, sf_dir))
+    return _round_doubles(global_rank(w, "margin", "rank", descending=True, keep_null=False,
+                                      partition_cols=["year", "week"]))
+
+
+@register("concept_metric")
+def q_concept_metric(spark, sf_dir) -> DataFrame:
+    """STR-2 + STR-5 + AGG-1: dirty concept spellings -> keys -> mean per (site, key), all weeks."""
+    t = _t(spark, sf_dir)
+    from weekcraft.functions.concepts import WEEKLY_MEASURE_LABELS
+    from weekcraft.operators.reshape import unpivot_measures
+    w = B.weekly(t).join(B.sites(t).select("site_id", F.col("name").alias("site")), "site_id")
+    long = unpivot_measures(w, ["site", "run_week"], WEEKLY_MEASURE_LABELS, keep_null=("Praderas y otros verdes",))
+    v = F.col("run_week") % 4
+    dirty = (F.when(v == 0, F.col("concept"))
+              .when(v == 1, F.upper("concept"))
+              .when(v == 2, C.fold_text(F.col("concept")))
+              .otherwise(F.concat(F.lit("(A)  "), F.col("concept"), F.lit(" "))))
+    long = long.withColumn("concept", C.clean_concept(dirty))
+    keyed = attach_concept_key(long, "concept", "concept_key")
+    out = keyed.groupBy("site", "concept_key").agg(A.dec_avg("total", 2).alias("metric"),
+                                                   F.count(F.lit(1)).alias("n"))
+    return _round_doubles(out)
+
+
+def _matrix(t: Tables) -> DataFrame:
+    return M.weekly_matrix(t)
+
+
+@register("cell_flags")
+def q_cell_flags(spark, sf_dir) -> DataFrame:
+    """DRV-8: each body cell compared with the total row: 'good' / 'bad' / ''."""
+    m = _matrix(_t(spark, sf_dir))
+    return M.cell_flags(m)
+
+
+@register("format_matrix")
+def q_format_matrix(spark, sf_dir) -> DataFrame:
+    """FMT-3/FMT-4: the matrix as display text, per-column formats."""
+    return M.format_matrix(_matrix(_t(spark, sf_dir)))
+
+
+@register("weekly_matrix_selected")
+def q_weekly_matrix_selected(spark, sf_dir) -> DataFrame:
+    """FLT-1/FLT-2/SET-4/JSON-1: matrix restricted to configured sites (selection read from a
+    JSON config value: minimum area), intersected with available ones; empty -> all."""
+    t = _t(spark, sf_dir)
+    cfg = spark.createDataFrame([("matrix_selection", '{"min_area": 30}')], "key string, value string")
+    return M.weekly_matrix_selected(t, cfg)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weekcraft.oracle import WEEKLY_CTES, long_ctes, r6, rnd, weekly_matrix_sql, with_
+from weekcraft.oracle import WEEKLY_CTES, long_ctes, r6, weekly_matrix_sql, with_
 
 ORACLE: dict[str, str] = {}
 
@@ -10,3 +10,160 @@ ORACLE["weekly_matrix"] = weekly_matrix_sql()
 
 ORACLE["weekly_long"] = with_(*WEEKLY_CTES, *long_ctes(), final=f"""
 SELECT company, company_code, site, CAST(week AS INTEGER) AS week, concept, {r6('total', 'total')} FROM long""")
+
+from weekcraft.functions.concepts import WEEKLY_MEASURE_LABELS  # noqa: E402
+from weekcraft.oracle import DICT_CTES, HISTORY_CTE, MATRIX_OUT, davg, dsum, fold, matrix_ctes, q, snap, wa  # noqa: E402
+from weekcraft.plans.matrix import (FLOAT_COLUMNS, HIGH_IS_GOOD, INT_COLUMNS, LOW_IS_GOOD, MONEY_COLUMNS,  # noqa: E402
+                                    PCT_COLUMNS)
+
+W = WEEKLY_CTES
+
+ORACLE["weighted_totals"] = with_(*W, ("t0", f"""SELECT year, week,
+       coalesce({dsum('area')}, 0) AS area, coalesce({dsum('herd')}, 0) AS herd, coalesce({dsum('weight')}, 0) AS weight,
+       {wa('fat', 'weight')} AS fat, {wa('protein', 'weight')} AS protein,
+       {wa('conc_cost', 'weight')} AS conc_cost, {wa('grams_per_litre', 'weight * prod')} AS grams_per_litre,
+       {wa('ms_conc', 'weight')} AS ms_conc, {wa('ms_cons', 'weight')} AS ms_cons,
+       {wa('greens', 'weight')} AS greens, {wa('total_ms', 'weight')} AS total_ms,
+       {wa('prod', 'weight')} AS prod, {wa('cost', 'weight')} AS cost, {wa('price', 'weight * prod')} AS price,
+       {wa('margin', 'weight')} AS margin
+FROM weekly GROUP BY year, week"""), final=f"""
+SELECT year, week, {', '.join(r6(c, c) for c in ['area', 'herd', 'weight', 'fat', 'protein', 'conc_cost',
+    'grams_per_litre', 'ms_conc', 'ms_cons', 'greens', 'total_ms', 'prod', 'cost', 'price', 'margin'])},
+       {r6('CASE WHEN area > 0 THEN herd / area END', 'stocking')},
+       {r6('CASE WHEN price <> 0 THEN margin / price END', 'margin_l')},
+       {r6('CASE WHEN price <> 0 AND prod <> 0 AND price * prod > 0 THEN cost / (price * prod) END', 'cost_pct')}
+FROM t0""")
+
+_GF = "CASE WHEN coalesce(greens, 0) = 0 THEN coalesce(pasture, 0) + coalesce(green, 0) ELSE greens END"
+ORACLE["derived_metrics"] = with_(*W, ("d", """SELECT *, CASE WHEN run_week % 3 <> 0 THEN ms_cons / 2 END AS pasture,
+       CASE WHEN run_week % 4 <> 0 THEN ms_conc / 4 END AS green FROM weekly"""), final=f"""
+SELECT site_id, run_week, {r6(_GF, 'greens_fixed')},
+       {r6(f'({_GF}) + coalesce(ms_cons, 0) + coalesce(ms_conc, 0)', 'total_ms_calc')},
+       {r6('price * prod - cost', 'margin_calc')},
+       {r6('CASE WHEN prod IS NOT NULL AND cost IS NOT NULL AND price <> 0 THEN (price * prod - cost) / price END', 'margin_l')},
+       {r6('CASE WHEN area > 0 THEN herd / area END', 'stocking')},
+       {r6('CASE WHEN prod <> 0 AND price <> 0 AND cost <> 0 AND price * prod > 0 THEN cost / (price * prod) END', 'cost_pct')},
+       {r6('CASE WHEN pasture IS NOT NULL OR green IS NOT NULL THEN coalesce(pasture, 0) + coalesce(green, 0) END', 'greens_weekly')}
+FROM d""")
+
+ORACLE["trailing_actual"] = with_(*W, HISTORY_CTE, ("hx", "SELECT *, max(week) OVER (PARTITION BY site) AS mx FROM hist"),
+                                  final=f"""
+SELECT site, max(mx) AS last_week,
+       {r6(davg('CASE WHEN week >= mx - 3 THEN margin END'), 'margin_4w')},
+       {r6(davg('CASE WHEN week >= mx - 3 THEN weight END'), 'weight_4w')},
+       {r6(davg('CASE WHEN week >= mx - 51 THEN margin END'), 'margin_52w')},
+       {r6(davg('CASE WHEN week >= mx - 51 THEN weight END'), 'weight_52w')}
+FROM hx GROUP BY site""")
+
+
+def _fixed(c, n):
+    w = f"(PARTITION BY site ORDER BY day ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return r6(f"CASE WHEN count(*) OVER {w} > 0 THEN coalesce({snap(f'sum({c}) OVER {w}', 2)}, 0) / {n} END",
+              f"{c}_{n}f")
+
+
+ORACLE["trailing_fixed"] = with_(*W, HISTORY_CTE, final=f"""
+SELECT site, week, day, {r6('margin', 'margin')}, weight,
+       {_fixed('margin', 4)}, {_fixed('weight', 4)}, {_fixed('margin', 52)}, {_fixed('weight', 52)}
+FROM hist""")
+
+
+def _roll(c, n):
+    w = f"(PARTITION BY site ORDER BY week RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return r6(f"CASE WHEN count({c}) OVER {w} > 0 THEN {snap(f'sum(CAST({c} AS DOUBLE)) OVER {w}', 2)} / count({c}) OVER {w} END",
+              f"{c}_{n}w")
+
+
+ORACLE["trailing_series"] = with_(*W, HISTORY_CTE, final=f"""
+SELECT site, week, {r6('margin', 'margin')}, weight, {_roll('margin', 4)}, {_roll('weight', 4)},
+       {_roll('margin', 52)}, {_roll('weight', 52)}
+FROM hist""")
+
+ORACLE["history_window"] = with_(*W, HISTORY_CTE, ("cw", "SELECT max(week) AS cw FROM hist"), final=f"""
+SELECT h.week, h.day, h.site, n.n_name AS company, {r6('h.margin', 'margin')}, {r6('h.weight', 'weight')}
+FROM hist h JOIN cw ON h.week < cw.cw AND h.week >= cw.cw - 52
+JOIN supplier s ON trim(s.s_name) = trim(h.site) JOIN nation n ON s.s_nationkey = n.n_nationkey""")
+
+_WN = ("wn", """SELECT w.site_id, s.s_name AS site, w.company_id, w.year, w.week, w.margin
+FROM weekly w JOIN supplier s ON w.site_id = s.s_suppkey""")
+ORACLE["rank_all_weeks"] = with_(*W, _WN, final=f"""
+SELECT site_id, site, company_id, year, week, {r6('margin', 'margin')},
+       CAST(rank() OVER (ORDER BY margin DESC NULLS LAST) AS BIGINT) AS rank FROM wn""")
+ORACLE["rank_nulls_kept"] = with_(*W, _WN, final=f"""
+SELECT site_id, site, company_id, year, week, {r6('margin', 'margin')},
+       CAST(CASE WHEN margin IS NOT NULL THEN rank() OVER (ORDER BY margin DESC NULLS LAST) END AS BIGINT) AS rank FROM wn""")
+ORACLE["rank_per_week"] = with_(*W, _WN, final=f"""
+SELECT site_id, site, company_id, year, week, {r6('margin', 'margin')},
+       CAST(rank() OVER (PARTITION BY year, week ORDER BY margin DESC NULLS LAST) AS BIGINT) AS rank FROM wn""")
+
+_branches = []
+for _m, _label in WEEKLY_MEASURE_LABELS:
+    _cond = "" if _m == "greens" else f" WHERE {_m} IS NOT NULL"
+    _branches.append(f"SELECT site, run_week, {q(_label)} AS concept, CAST({_m} AS DOUBLE) AS total FROM wn2{_cond}")
+
+
+def clean_concept_sql(x: str) -> str:
+    inner = f"regexp_replace(trim({x}), '^\\([A-Za-z0-9]+\\)\\s*', '')"
+    return f"nullif(trim(regexp_replace({inner}, ' {{2,}}', ' ', 'g')), '')"
+
+
+ORACLE["concept_metric"] = with_(
+    *W, ("wn2", "SELECT w.*, s.s_name AS site FROM weekly w JOIN supplier s ON w.site_id = s.s_suppkey"),
+    ("long_all", "\nUNION ALL\n".join(_branches)),
+    ("dirty", """SELECT site, run_week, total, CASE run_week % 4 WHEN 0 THEN concept WHEN 1 THEN upper(concept)
+       WHEN 2 THEN strip_accents(concept) ELSE '(A)  ' || concept || ' ' END AS raw FROM long_all"""),
+    ("cleaned", f"SELECT site, run_week, total, {clean_concept_sql('raw')} AS concept FROM dirty"),
+    *DICT_CTES,
+    ("keyed", f"""SELECT c.*, coalesce(d.concept_key, f.k2) AS concept_key FROM cleaned c
+LEFT JOIN dict d ON c.concept = d.spelling LEFT JOIN dict_f f ON {fold('c.concept')} = f.folded"""),
+    final=f"SELECT site, concept_key, {r6(davg('total'), 'metric')}, count(*) AS n FROM keyed GROUP BY site, concept_key")
+
+
+def _matrix_rounded_ctes(site_filter=None):
+    ctes = W + long_ctes()
+    long_name = "long"
+    if site_filter:
+        ctes = ctes + [("long_sel", f"SELECT * FROM long WHERE {site_filter}")]
+        long_name = "long_sel"
+    ctes = ctes + matrix_ctes(long_name)
+
+    def sel(src):
+        cols = ["site"] + [f"CAST({c} AS BIGINT) AS {c}" if c.startswith("rank") else r6(c, c) for c in MATRIX_OUT[1:]]
+        return f"SELECT {', '.join(cols)} FROM {src}"
+    return ctes + [("rb", sel("body")), ("rt", sel("tot"))]
+
+
+def _flag(c):
+    hi = c in HIGH_IS_GOOD
+    better, worse = (">", "<") if hi else ("<", ">")
+    return (f"CASE WHEN rt.{c} IS NULL OR rb.{c} IS NULL THEN '' WHEN rb.{c} {better} rt.{c} THEN 'good' "
+            f"WHEN rb.{c} {worse} rt.{c} THEN 'bad' ELSE '' END AS {c}_flag")
+
+
+ORACLE["cell_flags"] = with_(*_matrix_rounded_ctes(), final=f"""
+SELECT rb.site, {', '.join(_flag(c) for c in HIGH_IS_GOOD + LOW_IS_GOOD)} FROM rb CROSS JOIN rt""")
+
+
+def fmt_es_sql(x):
+    return f"coalesce(translate(format('{{:,.2f}}', CAST({x} AS DOUBLE)), ',.', '.,'), '')"
+
+
+def fmt_sql(c):
+    if c in MONEY_COLUMNS:
+        return f"CASE WHEN {c} IS NULL THEN '' ELSE '$' || {fmt_es_sql(c)} END AS {c}"
+    if c in PCT_COLUMNS:
+        return f"CASE WHEN {c} IS NULL THEN '' ELSE {fmt_es_sql(c)} || '%' END AS {c}"
+    if c in INT_COLUMNS:
+        return f"coalesce(CAST(CAST(trunc(CAST({c} AS DOUBLE)) AS BIGINT) AS VARCHAR), '') AS {c}"
+    if c in FLOAT_COLUMNS:
+        return f"{fmt_es_sql(c)} AS {c}"
+    return c
+
+
+ORACLE["format_matrix"] = with_(*_matrix_rounded_ctes(), (
+    "m", "SELECT *, FALSE AS is_total FROM rb UNION ALL SELECT *, TRUE AS is_total FROM rt"),
+    final=f"SELECT {', '.join(fmt_sql(c) for c in MATRIX_OUT)}, is_total FROM m")
+
+_CFG = "SELECT s_name AS site FROM supplier WHERE 10 + s_suppkey % 37 >= 30"
+ORACLE["weekly_matrix_selected"] = weekly_matrix_sql(
+    site_filter=f"site IN ({_CFG}) OR (SELECT count(*) FROM long WHERE site IN ({_CFG})) = 0")

@@ -86,7 +86,7 @@ def concept_metrics(long: DataFrame, site_col: str = "site", day_cols: list[str]
     aggs = []
     for col, key in MATRIX_FROM_KEY:
         hit = F.col("concept_key") == key
-        m = F.avg(F.when(hit, F.col("total").cast("double")))
+        m = A.dec_avg(F.when(hit, F.col("total").cast("double")), 2)
         if day_cols:
             m = F.coalesce(m, F.try_divide(F.sum(F.when(hit, F.col("_cs"))), F.sum(F.when(hit, F.col("_cc")))))
         aggs.append(m.alias(col))
@@ -128,20 +128,28 @@ def add_ranks(body: DataFrame, small_rows: int | None = None) -> DataFrame:
     return global_ranks(body, [(v, r) for r, v in RANK_COLUMNS.items()], descending=True, keep_null=True, **kw)
 
 
-def total_row(body: DataFrame, label: str = TOTAL_LABEL) -> DataFrame:
-    """AGG-3: one ``agg`` over the body (partial aggregation, no row shuffle), then ratios."""
+def total_row(body: DataFrame, label: str = TOTAL_LABEL, group_cols: list[str] | None = None,
+              history: bool = True) -> DataFrame:
+    """AGG-3: one ``agg`` over the body (partial aggregation, no row shuffle), then ratios.
+
+    With ``group_cols`` one total row per group (e.g. per week over the weekly fact).
+    """
     w, wp = F.col("weight"), F.col("weight") * F.col("prod")
-    t = body.agg(
+
+    def wa(v, weights):  # inputs stored with 2 decimals; weight x prod has 2 decimals too
+        return A.weighted_avg(v, weights, 2, 0) if weights is w else A.weighted_avg(v, weights, 4, 2)
+    hist = [A.weighted_avg("margin_4w", w).alias("margin_4w"), A.sum0("weight_4w", None).alias("weight_4w"),
+            A.weighted_avg("margin_52w", w).alias("margin_52w"), A.sum0("weight_52w", None).alias("weight_52w")]
+    t = body.groupBy(*(group_cols or [])).agg(
         A.sum0("area").alias("area"), A.sum0("herd").alias("herd"), A.sum0("weight").alias("weight"),
-        A.weighted_avg("fat", w).alias("fat"), A.weighted_avg("protein", w).alias("protein"),
-        A.weighted_avg("conc_cost", w).alias("conc_cost"),
-        A.weighted_avg("grams_per_litre", wp).alias("grams_per_litre"),
-        A.weighted_avg("ms_conc", w).alias("ms_conc"), A.weighted_avg("ms_cons", w).alias("ms_cons"),
-        A.weighted_avg("greens", w).alias("greens"), A.weighted_avg("total_ms", w).alias("total_ms"),
-        A.weighted_avg("prod", w).alias("prod"), A.weighted_avg("cost", w).alias("cost"),
-        A.weighted_avg("price", wp).alias("price"), A.weighted_avg("margin", w).alias("margin"),
-        A.weighted_avg("margin_4w", w).alias("margin_4w"), A.sum0("weight_4w").alias("weight_4w"),
-        A.weighted_avg("margin_52w", w).alias("margin_52w"), A.sum0("weight_52w").alias("weight_52w"))
+        wa("fat", w).alias("fat"), wa("protein", w).alias("protein"),
+        wa("conc_cost", w).alias("conc_cost"),
+        wa("grams_per_litre", wp).alias("grams_per_litre"),
+        wa("ms_conc", w).alias("ms_conc"), wa("ms_cons", w).alias("ms_cons"),
+        wa("greens", w).alias("greens"), wa("total_ms", w).alias("total_ms"),
+        wa("prod", w).alias("prod"), wa("cost", w).alias("cost"),
+        wa("price", wp).alias("price"), wa("margin", w).alias("margin"),
+        *(hist if history else []))
     price, prod, cost = F.col("price"), F.col("prod"), F.col("cost")
     income = price * prod
     return (t.withColumn("site", F.lit(label))
@@ -179,14 +187,13 @@ def build_matrix(long: DataFrame, hist: DataFrame, materialize: bool = True,
                  daily_means: DataFrame | None = None, day_cols: list[str] | None = None) -> DataFrame:
     """RSH-7 ``build_matrix(long, history)``: body + ranks + weighted total row.
 
-    The ranked body feeds both the output and the total row, so it is checkpointed once
-    (reliable checkpoint to the shared checkpoint folder; it is one row per site).
+    The body feeds the rank statistics, the output and the total row, so it is written
+    once to the shared checkpoint folder (one row per site) and read back.
     """
     body = with_history(derive(concept_metrics(long, day_cols=day_cols, daily_means=daily_means)), hist)
     if materialize:
-        from weekcraft.session import checkpoint_dir
-        checkpoint_dir(body.sparkSession)
-        body = body.checkpoint(eager=True)
+        from weekcraft.session import materialize as _mat
+        body = _mat(body, "matrix-body")
     body = add_ranks(body)
     return finish(body, total_row(body))
 
@@ -205,3 +212,59 @@ def weekly_matrix(t: Tables, year: int | None = None, week: int | None = None,
     if sites_filter is not None:
         long = long.join(sites_filter.select("site").distinct(), "site", "left_semi")
     return sort_matrix(build_matrix(long, hist))
+
+
+# Per-column display kinds (FMT-4).
+MONEY_COLUMNS = ["conc_cost", "cost", "price", "margin", "margin_4w", "margin_52w"]
+PCT_COLUMNS = ["fat", "protein", "cost_pct"]
+INT_COLUMNS = ["rank_margin", "rank_4w", "rank_52w", "herd", "weight", "weight_4w", "weight_52w", "grams_per_litre"]
+FLOAT_COLUMNS = ["area", "stocking", "ms_conc", "ms_cons", "greens", "total_ms", "prod", "margin_l"]
+
+
+def format_matrix(m: DataFrame) -> DataFrame:
+    """FMT-3/FMT-4: every numeric matrix column as Spanish display text, one ``select``."""
+    from weekcraft.functions.clean import format_columns
+    kinds = {**{c: "money" for c in MONEY_COLUMNS}, **{c: "pct" for c in PCT_COLUMNS},
+             **{c: "int" for c in INT_COLUMNS}, **{c: "float" for c in FLOAT_COLUMNS}}
+    return format_columns(m, kinds)
+
+
+def cell_flags(m: DataFrame) -> DataFrame:
+    """DRV-8: per body cell 'good' / 'bad' / '' against the total row.
+
+    The total row is one row; its values are fetched as scalars (bounded) and compared as
+    literals, so the body is never joined or shuffled.
+    """
+    tot = m.filter(F.col("is_total")).first()
+    cols = [F.col("site")]
+    for c in HIGH_IS_GOOD + LOW_IS_GOOD:
+        avg = tot[c] if tot is not None else None
+        v = F.col(c).cast("double")
+        if avg is None:
+            flag = F.lit("")
+        else:
+            better = v > F.lit(float(avg)) if c in HIGH_IS_GOOD else v < F.lit(float(avg))
+            worse = v < F.lit(float(avg)) if c in HIGH_IS_GOOD else v > F.lit(float(avg))
+            flag = F.when(v.isNull(), "").when(better, "good").when(worse, "bad").otherwise("")
+        cols.append(flag.alias(f"{c}_flag"))
+    return m.filter(~F.col("is_total")).select(*cols)
+
+
+def weekly_matrix_selected(t: Tables, config: DataFrame) -> DataFrame:
+    """FLT-1 + FLT-2 + SET-4 + JSON-1: configured sites ∩ available sites, else all.
+
+    The configuration is a JSON text value (``{"min_area": n}``) parsed with a default.
+    The selection is applied to the long rows, before ranks and totals.
+    """
+    from weekcraft.functions.clean import json_or_default
+    default = F.struct(F.lit(0.0).alias("min_area"))
+    row = (config.filter(F.col("key") == "matrix_selection")
+                 .select(json_or_default("value", "min_area double", default).alias("c")).first())
+    min_area = float(row["c"]["min_area"]) if row and row["c"]["min_area"] is not None else 0.0
+    configured = B.sites(t).filter(F.col("area") >= min_area).select(F.col("name").alias("site"))
+    wk = B.weekly(t)
+    long = weekly_long(t, wk)
+    selected = long.select("site").distinct().join(configured, "site", "left_semi")
+    if not selected.isEmpty():
+        long = long.join(selected, "site", "left_semi")
+    return sort_matrix(build_matrix(long, B.history(t, wk)))

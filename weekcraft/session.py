@@ -68,3 +68,17 @@ def _count():
 
 
 _counter = _count()
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as parquet under the checkpoint folder and reading it back.
+
+    One job computes the input once (``Dataset.checkpoint`` would compute it twice unless
+    persisted); the written files live in the shared checkpoint folder, so a lost
+    executor does not lose them, and the re-read carries file-size statistics that AQE
+    uses for join planning.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

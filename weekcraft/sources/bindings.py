@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekcraft.functions.clean import iso_week, iso_year
+from weekcraft.functions.clean import iso_week, iso_year, rnd
 from weekcraft.sources.tables import Tables
 
 # Fixed binding parameters.
@@ -66,17 +66,30 @@ def grants(t: Tables) -> DataFrame:
 
 
 def weekly_raw(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
-    """Per (site, running week) aggregate of lineitem: one scan, partial aggregation map-side."""
+    """Per (site, running week) aggregate of lineitem: one scan, partial aggregation map-side.
+
+    Money is summed in integer cents and rates in integer basis points, so every sum is
+    exact and independent of partitioning and summation order; each measure is then one
+    division. Results are identical on any cluster layout (and in any SQL engine).
+    """
     li = lineitem if lineitem is not None else t.lineitem
-    return (li.groupBy(F.col("l_suppkey").alias("site_id"), running_week(F.col("l_shipdate")).alias("run_week"))
-              .agg(F.count(F.lit(1)).alias("n"),
-                   F.sum("l_quantity").alias("qty"),
-                   F.avg("l_quantity").alias("prod0"),
-                   F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price0"),
-                   F.avg(F.col("l_extendedprice") * F.col("l_discount")).alias("cost0"),
-                   F.avg("l_tax").alias("tax0"),
-                   F.avg("l_discount").alias("disc0"),
-                   F.avg("l_extendedprice").alias("ext0")))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    disc = F.round(F.col("l_discount") * 100).cast("bigint")
+    tax = F.round(F.col("l_tax") * 100).cast("bigint")
+    a = (li.groupBy(F.col("l_suppkey").alias("site_id"), running_week(F.col("l_shipdate")).alias("run_week"))
+           .agg(F.count(F.lit(1)).alias("n"),
+                F.sum("l_quantity").alias("qty"),
+                F.sum(cents).alias("ext_c"),
+                F.sum(cents * disc).alias("cost_c"),
+                F.sum(tax).alias("tax_p"),
+                F.sum(disc).alias("disc_p")))
+    return a.select("site_id", "run_week", "n", "qty",
+                    (F.col("qty") / F.col("n")).alias("prod0"),
+                    (F.col("ext_c") / (F.col("qty") * 100)).alias("price0"),
+                    (F.col("cost_c") / (F.col("n") * 10000)).alias("cost0"),
+                    (F.col("tax_p") / (F.col("n") * 100)).alias("tax0"),
+                    (F.col("disc_p") / (F.col("n") * 100)).alias("disc0"),
+                    (F.col("ext_c") / (F.col("n") * 100)).alias("ext0"))
 
 
 def weekly(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
@@ -89,12 +102,18 @@ def weekly(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
     a = weekly_raw(t, lineitem)
     s = sites(t).select("site_id", "company_id", F.col("area").alias("site_area"))
     k = F.col("site_id") + F.col("run_week")
-    prod = F.when(k % 13 != 0, F.col("prod0"))
+
+    def c2(x):  # stored like the reference's DECIMAL(p, 2) columns (NUM-4)
+        return rnd(x, 2)
+    prod0 = c2(F.col("prod0"))
+    price = c2(F.col("price0"))
+    cost = c2(F.col("cost0"))
+    prod = F.when(k % 13 != 0, prod0)
     area = F.when(k % 11 != 0, F.col("site_area"))
-    margin = F.when(k % 7 != 0, F.col("price0") * F.col("prod0") - F.col("cost0"))
-    greens = F.when(k % 5 != 0, F.col("prod0") / 2).otherwise(F.lit(0.0))
-    ms_conc = F.col("tax0") * 50 + 4
-    ms_cons = F.col("disc0") * 40 + 2
+    margin = F.when(k % 7 != 0, c2(price * prod0 - cost))
+    greens = F.when(k % 5 != 0, c2(prod0 / 2)).otherwise(F.lit(0.0))
+    ms_conc = c2(F.col("tax0") * 50 + 4)
+    ms_cons = c2(F.col("disc0") * 40 + 2)
     start = week_start(F.col("run_week"))
     return (a.join(s, "site_id")
              .select(
@@ -107,20 +126,20 @@ def weekly(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
                  area.alias("area"),
                  (F.col("n") * HERD_PER_LINE).cast("int").alias("herd"),
                  F.col("qty").cast("int").alias("weight"),
-                 F.try_divide(F.col("n") * HERD_PER_LINE, area).alias("stocking"),
-                 (F.col("tax0") * 100).alias("fat"),
-                 (F.col("disc0") * 10 + 3).alias("protein"),
-                 (F.col("ext0") / 100).alias("conc_cost"),
+                 c2(F.try_divide(F.col("n") * HERD_PER_LINE, area)).alias("stocking"),
+                 c2(F.col("tax0") * 100).alias("fat"),
+                 c2(F.col("disc0") * 10 + 3).alias("protein"),
+                 c2(F.col("ext0") / 100).alias("conc_cost"),
                  ((F.col("n") * 13 + F.col("site_id")) % 150 + 250).cast("int").alias("grams_per_litre"),
                  ms_conc.alias("ms_conc"),
                  ms_cons.alias("ms_cons"),
                  greens.alias("greens"),
-                 (greens + ms_conc + ms_cons).alias("total_ms"),
+                 c2(greens + ms_conc + ms_cons).alias("total_ms"),
                  prod.alias("prod"),
-                 F.col("cost0").alias("cost"),
-                 F.col("price0").alias("price"),
-                 F.try_divide(margin, F.col("price0")).alias("margin_l"),
-                 F.try_divide(F.col("cost0"), F.col("price0") * prod).alias("cost_pct"),
+                 cost.alias("cost"),
+                 price.alias("price"),
+                 c2(F.try_divide(margin, price)).alias("margin_l"),
+                 c2(F.try_divide(cost, price * prod)).alias("cost_pct"),
                  margin.alias("margin")))
 
 
