@@ -71,10 +71,15 @@ def clean_concept(c) -> Column:
 
 
 def clean_site_name(c) -> Column:
-    """Remove the known prefixes in order, each once (STR-3)."""
-    def drop(acc: Column, p: str) -> Column:
-        return strip_ws(F.regexp_replace(acc, "(?i)^" + re.escape(p) + " ", ""))
-    return reduce(drop, SITE_PREFIXES, strip_ws(c))
+    """Remove the known prefixes in order, each at most once (STR-3).
+
+    One anchored regex of optional groups, one group per prefix in the fixed order:
+    greedy optional groups consume each prefix once, in sequence, exactly like testing
+    the prefixes one after the other and stripping after each removal.
+    """
+    ws = "[\\s\\u00A0\\uFEFF]"
+    groups = "".join(f"(?:{re.escape(p)} {ws}*)?" for p in SITE_PREFIXES)
+    return strip_ws(F.regexp_replace(strip_ws(c), f"(?i)^{groups}", ""))
 
 
 def fold_text(c) -> Column:
@@ -177,7 +182,7 @@ def format_columns(df, kinds: dict[str, str] | None = None, default: str = "floa
 
 def parse_day(c) -> Column:
     """Day-first ``d-m-yyyy`` text to date; invalid gives null (DT-1)."""
-    return F.try_to_date(strip_ws(c), F.lit("d-M-yyyy"))
+    return F.try_to_date(strip_ws(c), "d-M-yyyy")
 
 
 def day_text(c) -> Column:

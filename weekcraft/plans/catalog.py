@@ -200,3 +200,72 @@ def q_weekly_matrix_selected(spark, sf_dir) -> DataFrame:
     t = _t(spark, sf_dir)
     cfg = spark.createDataFrame([("matrix_selection", '{"min_area": 30}')], "key string, value string")
     return M.weekly_matrix_selected(t, cfg)
+
+
+# --------------------------------------------------------------------------- daily facts and security
+from weekcraft.operators.security import visible_sites  # noqa: E402
+from weekcraft.plans import daily as D  # noqa: E402
+from weekcraft.plans import report as R  # noqa: E402
+
+DETAIL_USER, SECURED_USER = 1, 2
+DETAIL_CATEGORIES = ["activity", "sales"]
+
+
+@register("daily_pivot")
+def q_daily_pivot(spark, sf_dir) -> DataFrame:
+    """RSH-3/RSH-4: stored daily facts, one column per day, plus the row total."""
+    return D.daily_pivot(D.daily_table(_t(spark, sf_dir)))
+
+
+@register("daily_detail")
+def q_daily_detail(spark, sf_dir) -> DataFrame:
+    """SRC-6/RSH-9: a user's secured daily detail, category filter, zeros for gaps."""
+    return D.daily_detail(_t(spark, sf_dir), DETAIL_USER, False, categories=DETAIL_CATEGORIES)
+
+
+@register("secured_daily")
+def q_secured_daily(spark, sf_dir) -> DataFrame:
+    """SEC-1/SEC-2/SEC-4: daily facts visible to one (non-admin) user."""
+    return D.secured_daily(_t(spark, sf_dir), SECURED_USER, False)
+
+
+@register("visible_sites")
+def q_visible_sites(spark, sf_dir) -> DataFrame:
+    """SEC-3/JOIN-10/JOIN-11: sites visible to every active user."""
+    t = _t(spark, sf_dir)
+    return visible_sites(B.sites(t).select("site_id", "name", "company_id"), B.grants(t), B.users(t))
+
+
+def _tagged(spark, sf_dir):
+    return R.tagged_cells(_t(spark, sf_dir))
+
+
+@register("daily_melt")
+def q_daily_melt(spark, sf_dir) -> DataFrame:
+    """RSH-2/RSH-5/DT-1/DT-4: report cells melted to valid daily facts with totals and period."""
+    return R.melt_report(_tagged(spark, sf_dir))
+
+
+@register("load_rejects")
+def q_load_rejects(spark, sf_dir) -> DataFrame:
+    """QLT-2: rejected cells with their reason."""
+    return R.load_rejects(_tagged(spark, sf_dir))
+
+
+@register("load_stats")
+def q_load_stats(spark, sf_dir) -> DataFrame:
+    """QLT-6/AGG-13: processed / inserted / omitted counters and unique weeks, sites, new sites."""
+    t = _t(spark, sf_dir)
+    return R.load_stats(R.tagged_cells(t), B.sites(t))
+
+
+@register("unmapped_concepts")
+def q_unmapped_concepts(spark, sf_dir) -> DataFrame:
+    """QLT-5/SET-3: report concepts no weekly pattern maps."""
+    return R.unmapped_concepts(_tagged(spark, sf_dir))
+
+
+@register("weekly_from_report")
+def q_weekly_from_report(spark, sf_dir) -> DataFrame:
+    """QLT-9/AGG-4/DRV-7/STR-9: weekly values aggregated from the report rows."""
+    return R.weekly_from_report(_tagged(spark, sf_dir))

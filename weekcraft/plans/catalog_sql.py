@@ -167,3 +167,151 @@ ORACLE["format_matrix"] = with_(*_matrix_rounded_ctes(), (
 _CFG = "SELECT s_name AS site FROM supplier WHERE 10 + s_suppkey % 37 >= 30"
 ORACLE["weekly_matrix_selected"] = weekly_matrix_sql(
     site_filter=f"site IN ({_CFG}) OR (SELECT count(*) FROM long WHERE site IN ({_CFG})) = 0")
+
+# --------------------------------------------------------------------------- daily facts and reports
+from weekcraft.plans.catalog import DETAIL_CATEGORIES, DETAIL_USER, SECURED_USER  # noqa: E402
+from weekcraft.plans.report import REPORT_CONCEPTS, WEEKLY_PATTERNS, WEEKLY_TARGETS  # noqa: E402
+
+DAILY_CTES = [
+    ("ev", """SELECT user_id AS site_id, CAST(user_id % 25 AS INTEGER) AS company_id, CAST(ts AS DATE) AS day,
+       CASE WHEN event_type IN ('click', 'view') THEN 'activity' WHEN event_type = 'purchase' THEN 'sales'
+            ELSE 'account' END AS category, event_type AS concept, value, event_id AS row_no
+FROM events"""),
+    ("dt", """SELECT site_id, day, concept, min_by(company_id, row_no) AS company_id, min_by(category, row_no) AS category,
+       max_by(value, row_no) AS value, max(row_no) AS row_no
+FROM ev GROUP BY site_id, day, concept"""),
+]
+DAY_TEXT = "strftime(day, '%d-%m-%Y')"
+
+def _top_pivot(ctes, src, keys):
+    """``WITH ... PIVOT`` as the outermost statement (DuckDB does not see CTEs from a PIVOT
+    nested inside another CTE)."""
+    body = with_(*ctes, final="")
+    return body + f"PIVOT {src} ON day_text USING first(v) GROUP BY {keys}"
+
+
+ORACLE["daily_pivot"] = _top_pivot(DAILY_CTES + [
+    ("tt", f"SELECT site_id, category, concept, coalesce({dsum('value')}, 0) AS total FROM dt GROUP BY ALL"),
+    ("src", f"""SELECT dt.site_id, dt.category, dt.concept, {DAY_TEXT} AS day_text, dt.value AS v, tt.total
+FROM dt JOIN tt USING (site_id, category, concept)""")], "src", "site_id, category, concept, total")
+
+_cats = ", ".join(q(c) for c in DETAIL_CATEGORIES)
+ORACLE["daily_detail"] = _top_pivot(DAILY_CTES + [
+    ("sec", f"SELECT * FROM dt WHERE company_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = {DETAIL_USER})"),
+    ("j", f"""SELECT s.s_name AS site, sec.*, {DAY_TEXT} AS day_text FROM sec JOIN supplier s ON sec.site_id = s.s_suppkey
+WHERE category IN ({_cats})"""),
+    ("tt", f"SELECT site, category, concept, coalesce({dsum('value')}, 0) AS total FROM j GROUP BY ALL"),
+    ("grid", """SELECT k.site, k.category, k.concept, d.day_text, coalesce(j.value, 0.0) AS v, tt.total
+FROM (SELECT DISTINCT site, category, concept FROM j) k CROSS JOIN (SELECT DISTINCT day_text FROM j) d
+LEFT JOIN j ON j.site = k.site AND j.category = k.category AND j.concept = k.concept AND j.day_text = d.day_text
+JOIN tt ON tt.site = k.site AND tt.category = k.category AND tt.concept = k.concept""")],
+    "grid", "site, category, concept, total")
+
+ORACLE["secured_daily"] = with_(*DAILY_CTES, final=f"""
+SELECT n.n_name AS company, s.s_name AS site, dt.day, dt.category, dt.concept, dt.value
+FROM dt JOIN supplier s ON dt.site_id = s.s_suppkey JOIN nation n ON dt.company_id = n.n_nationkey
+WHERE n.n_regionkey = {SECURED_USER}""")
+
+ORACLE["visible_sites"] = """
+SELECT CAST(n.n_regionkey AS BIGINT) AS user_id, s.s_suppkey AS site_id, s.s_name AS name, s.s_nationkey AS company_id
+FROM nation n JOIN supplier s ON s.s_nationkey = n.n_nationkey
+JOIN region r ON r.r_regionkey = n.n_regionkey WHERE r.r_regionkey <> 3"""
+
+NUMBER_RE = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def clean_number_sql(x: str) -> str:
+    t = f"replace(replace(replace(trim({x}), '$', ''), '%', ''), ' ', '')"
+    t2 = (f"(CASE WHEN contains({t}, '.') AND contains({t}, ',') THEN replace(replace({t}, '.', ''), ',', '.') "
+          f"WHEN contains({t}, ',') THEN replace({t}, ',', '.') ELSE {t} END)")
+    return f"(CASE WHEN regexp_matches({t2}, '{NUMBER_RE}') THEN TRY_CAST({t2} AS DOUBLE) END)"
+
+
+def clean_site_sql(x: str) -> str:
+    import re as _re
+    from weekcraft.functions.clean import SITE_PREFIXES
+    e = f"trim({x})"
+    for p in SITE_PREFIXES:
+        e = f"trim(regexp_replace({e}, '(?i)^{_re.escape(p)} ', ''))"
+    return e
+
+
+_concept_case = "CASE concept " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in REPORT_CONCEPTS) + " END"
+REPORT_CTES = DAILY_CTES + [
+    ("rc0", """SELECT dt.*, n.n_name AS company, CAST(isoyear(day) AS INTEGER) AS year, CAST(week(day) AS INTEGER) AS week
+FROM dt JOIN nation n ON dt.company_id = n.n_nationkey"""),
+    ("rc1", """SELECT *, CASE WHEN count(value) OVER w > 0 THEN (round(sum(value) OVER w * 100.0) / 100.0) / count(value) OVER w
+       END AS mean FROM rc0 WINDOW w AS (PARTITION BY site_id, year, week, concept)"""),
+    ("rc", f"""SELECT company, CAST(company_id AS VARCHAR) || '_' || company AS company_code_raw,
+       CASE site_id % 3 WHEN 0 THEN 'Fundo Site ' || site_id WHEN 1 THEN 'Agricola Site ' || site_id
+            ELSE ' Site ' || site_id || ' ' END AS site_raw, category,
+       CASE WHEN site_id % 29 = 0 AND concept = 'error' THEN '(F) ' ELSE {_concept_case} END AS concept_raw,
+       year, week,
+       CASE WHEN (site_id + dayofmonth(day)) % 41 = 0 THEN '31-02-' || CAST(year(day) AS VARCHAR)
+            ELSE strftime(day, '%-d-%-m-%Y') END AS day_text,
+       CASE WHEN row_no % 23 = 0 THEN '' WHEN row_no % 17 = 0 THEN 'n/d' ELSE {fmt_es_sql('value')} END AS cell_text,
+       CASE WHEN (site_id + week) % 4 = 0 THEN '' ELSE {fmt_es_sql('mean')} END AS total_text, row_no
+FROM rc1"""),
+    ("pc", f"""SELECT *, trim(split_part(company_code_raw, '_', 1)) AS company_code, {clean_site_sql('site_raw')} AS site,
+       {clean_concept_sql('concept_raw')} AS concept, CAST(try_strptime(day_text, '%d-%m-%Y') AS DATE) AS day,
+       {clean_number_sql('cell_text')} AS value, {clean_number_sql('total_text')} AS row_total
+FROM rc"""),
+    ("tg", """SELECT *, CASE WHEN concept IS NULL THEN 'empty concept'
+       WHEN cell_text IS NULL OR trim(cell_text) = '' THEN 'null value'
+       WHEN value IS NULL THEN 'unparseable value' WHEN day IS NULL THEN 'unparseable date' END AS reason
+FROM pc"""),
+]
+
+ORACLE["daily_melt"] = with_(*REPORT_CTES, ("va", "SELECT * FROM tg WHERE reason IS NULL"),
+                             ("per", "SELECT year, week, min(day) AS period_start, max(day) AS period_end FROM va GROUP BY ALL"),
+                             final="""
+SELECT company, company_code, site, category, concept, year, week, day, value,
+       coalesce(row_total, round(sum(value) OVER (PARTITION BY company, site, year, week, concept) * 100.0) / 100.0) AS row_total,
+       period_start, period_end
+FROM va JOIN per USING (year, week)""")
+
+ORACLE["load_rejects"] = with_(*REPORT_CTES, final="""
+SELECT company, site_raw, concept_raw, day_text, cell_text, reason FROM tg WHERE reason IS NOT NULL""")
+
+ORACLE["load_stats"] = with_(*REPORT_CTES, ("pr", """SELECT company, site_raw, site, year, week, concept_raw,
+       count(*) AS cells, count(*) FILTER (WHERE reason IS NULL) AS okc FROM tg GROUP BY ALL"""),
+    ("pk", "SELECT pr.*, k.nm AS known FROM pr LEFT JOIN (SELECT DISTINCT s_name AS nm FROM supplier) k ON pr.site = k.nm"),
+    final="""
+SELECT CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(okc) AS BIGINT) AS inserted,
+       CAST(sum(cells - okc) AS BIGINT) AS rejected_cells, CAST(count(*) AS BIGINT) AS rows,
+       CAST(count(*) FILTER (WHERE okc < cells) AS BIGINT) AS omitted_rows,
+       CAST(count(DISTINCT CASE WHEN okc > 0 THEN {'y': year, 'w': week} END) AS BIGINT) AS unique_weeks,
+       CAST(count(DISTINCT CASE WHEN okc > 0 THEN {'c': company, 's': site} END) AS BIGINT) AS unique_sites,
+       CAST(count(DISTINCT CASE WHEN okc > 0 AND known IS NULL THEN {'c': company, 's': site} END) AS BIGINT) AS new_sites
+FROM pk""")
+
+_ordered_patterns = sorted(WEEKLY_PATTERNS, key=lambda p: -len(p[0]))
+
+
+def target_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains({x}, {q(p)}) THEN {q(t)}" for p, t in _ordered_patterns) + " END"
+
+
+ORACLE["unmapped_concepts"] = with_(*REPORT_CTES, final=f"""
+SELECT DISTINCT company, site, lower(concept) AS concept FROM tg
+WHERE concept IS NOT NULL AND {target_sql('lower(concept)')} IS NULL""")
+
+
+def _tgt(t):
+    tot = davg(f"CASE WHEN target = {q(t)} THEN row_total END")
+    cs = snap(f"sum(CASE WHEN target = {q(t)} THEN cell_sum END)", 2)
+    cc = f"sum(CASE WHEN target = {q(t)} THEN cell_cnt END)"
+    return f"round(coalesce({tot}, CASE WHEN {cc} <> 0 THEN {cs} / {cc} END) * 100.0) / 100.0 AS {t}"
+
+
+ORACLE["weekly_from_report"] = with_(*REPORT_CTES, ("tr", f"""SELECT *, {target_sql('lower(concept)')} AS target
+FROM tg WHERE concept IS NOT NULL"""),
+    ("rows_", f"""SELECT company, site, year, week, concept, target, max(row_total) AS row_total,
+       {dsum('value')} AS cell_sum, count(value) AS cell_cnt
+FROM tr WHERE target IS NOT NULL GROUP BY ALL"""),
+    ("w0", f"""SELECT company, site, year, week, {', '.join(_tgt(t) for t in WEEKLY_TARGETS + ['ms_pasture', 'ms_green'])}
+FROM rows_ GROUP BY ALL"""),
+    final=f"""SELECT company, site, year, week, {', '.join(WEEKLY_TARGETS)},
+       round(CASE WHEN ms_pasture IS NOT NULL OR ms_green IS NOT NULL THEN coalesce(ms_pasture, 0) + coalesce(ms_green, 0) END
+             * 100.0) / 100.0 AS greens
+FROM w0""")
