@@ -102,6 +102,14 @@ def equals_ci(a, b) -> Column:
     return F.lower(_c(a)) == F.lower(_c(b))
 
 
+def replace_literals(c, mapping: dict) -> Column:
+    """Whole-value literal replacement (STR-8), as ``DataFrame.replace`` on one column."""
+    out = _c(c)
+    for old, new in mapping.items():
+        out = F.when(out == old, F.lit(new)).otherwise(out)
+    return out
+
+
 def period_label(start, end) -> Column:
     """``dd-mm-yyyy al dd-mm-yyyy`` (STR-11)."""
     return F.concat_ws(" al ", F.date_format(_c(start), "dd-MM-yyyy"), F.date_format(_c(end), "dd-MM-yyyy"))

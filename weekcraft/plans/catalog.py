@@ -269,3 +269,111 @@ def q_unmapped_concepts(spark, sf_dir) -> DataFrame:
 def q_weekly_from_report(spark, sf_dir) -> DataFrame:
     """QLT-9/AGG-4/DRV-7/STR-9: weekly values aggregated from the report rows."""
     return R.weekly_from_report(_tagged(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- scalar cleaning / formats / dates
+def _plain2(c):
+    """Number text with 2 decimals and no grouping (built from format_number)."""
+    return F.regexp_replace(F.format_number(c, 2), ",", "")
+
+
+@register("clean_numbers")
+def q_clean_numbers(spark, sf_dir) -> DataFrame:
+    """STR-1/NUM-1..3: locale-formatted number texts generated from every lineitem row, parsed back."""
+    li = _t(spark, sf_dir).lineitem
+    v = F.col("l_extendedprice")
+    k = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 7
+    text = (F.when(k == 0, C.fmt_es(v))
+             .when(k == 1, F.concat(F.lit("$ "), C.fmt_es(v)))
+             .when(k == 2, _plain2(v))
+             .when(k == 3, F.regexp_replace(_plain2(v), "[.]", ","))
+             .when(k == 4, F.concat(F.regexp_replace(F.format_number(F.col("l_quantity"), 0), ",", ""), F.lit(" %")))
+             .when(k == 5, F.regexp_replace(F.format_number(v * 1000, 0), "[.]", ","))
+             .otherwise(F.lit("n/a")))
+    return li.select("l_orderkey", "l_linenumber", text.alias("text"),
+                     C.clean_number(text).alias("value"),
+                     C.safe_float(F.col("l_quantity").cast("string")).alias("qty_float"),
+                     C.safe_int(_plain2(v)).alias("price_int"))
+
+
+@register("clean_concepts")
+def q_clean_concepts(spark, sf_dir) -> DataFrame:
+    """STR-2/STR-9/STR-10: concept texts with (X) prefixes and doubled spaces, from every part."""
+    p = _t(spark, sf_dir).part
+    k = F.col("p_partkey") % 4
+    raw = (F.when(k == 0, F.concat(F.lit("(A) "), F.col("p_name")))
+            .when(k == 1, F.concat(F.lit("(12)  "), F.regexp_replace("p_name", " ", "  "), F.lit("  ")))
+            .when(k == 2, F.lit("(BB) "))
+            .otherwise(F.concat(F.lit("  "), F.col("p_type"), F.lit(" "))))
+    concept = C.clean_concept(raw)
+    return p.select("p_partkey", raw.alias("raw"), concept.alias("concept"),
+                    F.coalesce(C.contains_ci(concept, "RING"), F.lit(False)).alias("has_ring"),
+                    C.equals_ci("p_type", F.lit("economy")).alias("is_economy"))
+
+
+@register("clean_names")
+def q_clean_names(spark, sf_dir) -> DataFrame:
+    """STR-3/STR-6/STR-7/STR-8: site names with prefixes, literal replacement, company codes."""
+    s = _t(spark, sf_dir).supplier
+    k = F.col("s_suppkey") % 6
+    raw = (F.when(k == 0, F.concat(F.lit("Fundo "), F.col("s_name")))
+            .when(k == 1, F.concat(F.lit("Soc. Agricola "), F.col("s_name")))
+            .when(k == 2, F.concat(F.lit("agricola  "), F.col("s_name"), F.lit(" ")))
+            .when(k == 3, F.concat(F.lit("Soc. Fundo "), F.col("s_name")))
+            .when(k == 4, F.lit("Ag. Los Maitenes"))
+            .otherwise(F.col("s_name")))
+    replaced = C.replace_literals(raw, C.SITE_LITERAL_REPLACEMENTS)
+    code_raw = F.concat(F.col("s_nationkey").cast("string"), F.lit(" _"), F.col("s_name"))
+    return s.select("s_suppkey", raw.alias("raw"), C.clean_site_name(replaced).alias("site"),
+                    C.company_code(code_raw).alias("company_code"), C.strip_ws(raw).alias("trimmed"))
+
+
+@register("fold_text")
+def q_fold_text(spark, sf_dir) -> DataFrame:
+    """STR-4: accent folding of part names written with accents and stray '?'."""
+    p = _t(spark, sf_dir).part
+    accented = F.translate(F.col("p_name"), "aeiou", "áéíóú")
+    raw = (F.when(F.col("p_partkey") % 3 == 0, F.upper(accented))
+            .when(F.col("p_partkey") % 3 == 1, F.concat(accented, F.lit("?")))
+            .otherwise(F.concat(F.lit("ñandú "), F.col("p_brand"))))
+    return p.select("p_partkey", raw.alias("raw"), C.fold_text(raw).alias("folded"))
+
+
+@register("format_spanish")
+def q_format_spanish(spark, sf_dir) -> DataFrame:
+    """FMT-1/FMT-2/STR-11: Spanish number, money, percent and integer texts for every lineitem."""
+    li = _t(spark, sf_dir).lineitem
+    return li.select("l_orderkey", "l_linenumber",
+                     C.fmt_es(F.col("l_extendedprice")).alias("price_es"),
+                     C.fmt_money(F.col("l_extendedprice") * F.col("l_discount")).alias("discount_money"),
+                     C.fmt_pct(F.col("l_tax") * 100).alias("tax_pct"),
+                     C.fmt_int(F.col("l_quantity")).alias("qty_int"),
+                     C.fmt_es(F.when(F.col("l_linenumber") != 1, -F.col("l_discount"))).alias("neg_or_blank"),
+                     C.key_label(F.col("l_returnflag"), F.col("l_linestatus")).alias("flag_label"))
+
+
+@register("iso_week")
+def q_iso_week(spark, sf_dir) -> DataFrame:
+    """DT-2/DT-3/DT-7: ISO week and ISO year (and the calendar-year variant), week key, texts."""
+    o = _t(spark, sf_dir).orders
+    d = F.col("o_orderdate").cast("date")
+    return o.select("o_orderkey",
+                    C.iso_week(d).cast("int").alias("iso_week"),
+                    C.iso_year(d).cast("int").alias("iso_year"),
+                    F.year(d).alias("calendar_year"),
+                    C.week_key(C.iso_year(d), C.iso_week(d)).cast("int").alias("week_key"),
+                    C.day_text(d).alias("day_text"),
+                    C.ts_text(F.col("o_orderdate")).alias("ts_text"))
+
+
+@register("week_fallback_date")
+def q_week_fallback_date(spark, sf_dir) -> DataFrame:
+    """DT-5/DT-1/STR-11: date of a week number (base + (week-1) weeks), day-text parse, period label."""
+    o = _t(spark, sf_dir).orders
+    wk = C.iso_week(F.col("o_orderdate").cast("date"))
+    fb = C.week_fallback_date(wk)
+    txt = F.date_format(F.col("o_orderdate"), "d-M-yyyy")
+    bad = F.when(F.col("o_orderkey") % 9 == 0, F.lit("31-02-2025")).otherwise(txt)
+    return o.select("o_orderkey", wk.cast("int").alias("week"), fb.alias("fallback_day"),
+                    C.parse_day(bad).alias("parsed_day"),
+                    C.period_label(fb, F.date_add(fb, 6)).alias("period"))

@@ -315,3 +315,70 @@ FROM rows_ GROUP BY ALL"""),
        round(CASE WHEN ms_pasture IS NOT NULL OR ms_green IS NOT NULL THEN coalesce(ms_pasture, 0) + coalesce(ms_green, 0) END
              * 100.0) / 100.0 AS greens
 FROM w0""")
+
+# --------------------------------------------------------------------------- scalar cleaning / formats / dates
+
+
+def _plain2_sql(x):
+    return f"replace(format('{{:,.2f}}', CAST({x} AS DOUBLE)), ',', '')"
+
+
+def safe_float_sql(x):
+    return f"(CASE WHEN regexp_matches(trim({x}), '{NUMBER_RE}') THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
+
+
+_txt = f"""CASE (l_orderkey * 7 + l_linenumber) % 7 WHEN 0 THEN {fmt_es_sql('l_extendedprice')}
+  WHEN 1 THEN '$ ' || {fmt_es_sql('l_extendedprice')} WHEN 2 THEN {_plain2_sql('l_extendedprice')}
+  WHEN 3 THEN replace({_plain2_sql('l_extendedprice')}, '.', ',')
+  WHEN 4 THEN replace(format('{{:,.0f}}', l_quantity), ',', '') || ' %'
+  WHEN 5 THEN replace(format('{{:,.0f}}', l_extendedprice * 1000), '.', ',') ELSE 'n/a' END"""
+_d = safe_float_sql(_plain2_sql("l_extendedprice"))
+ORACLE["clean_numbers"] = f"""
+SELECT l_orderkey, l_linenumber, text, {clean_number_sql('text')} AS value,
+       {safe_float_sql('CAST(l_quantity AS VARCHAR)')} AS qty_float,
+       CASE WHEN {_d} IS NOT NULL AND abs({_d}) < 2147483648 THEN CAST(trunc({_d}) AS INTEGER) END AS price_int
+FROM (SELECT *, {_txt} AS text FROM lineitem)"""
+
+ORACLE["clean_concepts"] = f"""
+SELECT p_partkey, raw, {clean_concept_sql('raw')} AS concept,
+       coalesce(contains(lower({clean_concept_sql('raw')}), 'ring'), FALSE) AS has_ring,
+       lower(p_type) = 'economy' AS is_economy
+FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN '(A) ' || p_name WHEN 1 THEN '(12)  ' || replace(p_name, ' ', '  ') || '  '
+                 WHEN 2 THEN '(BB) ' ELSE '  ' || p_type || ' ' END AS raw FROM part)"""
+
+ORACLE["clean_names"] = f"""
+SELECT s_suppkey, raw, {clean_site_sql("CASE WHEN raw = 'Ag. Los Maitenes' THEN 'Los Maitenes' ELSE raw END")} AS site,
+       trim(split_part(CAST(s_nationkey AS VARCHAR) || ' _' || s_name, '_', 1)) AS company_code, trim(raw) AS trimmed
+FROM (SELECT *, CASE s_suppkey % 6 WHEN 0 THEN 'Fundo ' || s_name WHEN 1 THEN 'Soc. Agricola ' || s_name
+                 WHEN 2 THEN 'agricola  ' || s_name || ' ' WHEN 3 THEN 'Soc. Fundo ' || s_name
+                 WHEN 4 THEN 'Ag. Los Maitenes' ELSE s_name END AS raw FROM supplier)"""
+
+ORACLE["fold_text"] = f"""
+SELECT p_partkey, raw, {fold('raw').replace('lower(raw)', 'raw')} AS folded
+FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN upper(translate(p_name, 'aeiou', 'áéíóú'))
+                 WHEN 1 THEN translate(p_name, 'aeiou', 'áéíóú') || '?' ELSE 'ñandú ' || p_brand END AS raw FROM part)"""
+
+ORACLE["format_spanish"] = f"""
+SELECT l_orderkey, l_linenumber, {fmt_es_sql('l_extendedprice')} AS price_es,
+       CASE WHEN l_extendedprice * l_discount IS NULL THEN '' ELSE '$' || {fmt_es_sql('l_extendedprice * l_discount')} END
+         AS discount_money,
+       CASE WHEN l_tax IS NULL THEN '' ELSE {fmt_es_sql('l_tax * 100')} || '%' END AS tax_pct,
+       coalesce(CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR), '') AS qty_int,
+       {fmt_es_sql('CASE WHEN l_linenumber <> 1 THEN -l_discount END')} AS neg_or_blank,
+       l_returnflag || ' (' || l_linestatus || ')' AS flag_label
+FROM lineitem"""
+
+ORACLE["iso_week"] = """
+SELECT o_orderkey, CAST(week(CAST(o_orderdate AS DATE)) AS INTEGER) AS iso_week,
+       CAST(isoyear(CAST(o_orderdate AS DATE)) AS INTEGER) AS iso_year, CAST(year(o_orderdate) AS INTEGER) AS calendar_year,
+       CAST(isoyear(CAST(o_orderdate AS DATE)) * 100 + week(CAST(o_orderdate AS DATE)) AS INTEGER) AS week_key,
+       strftime(CAST(o_orderdate AS DATE), '%d-%m-%Y') AS day_text, strftime(o_orderdate, '%d-%m-%Y %H:%M') AS ts_text
+FROM orders"""
+
+ORACLE["week_fallback_date"] = """
+SELECT o_orderkey, week, fb AS fallback_day,
+       CAST(try_strptime(CASE WHEN o_orderkey % 9 = 0 THEN '31-02-2025' ELSE strftime(o_orderdate, '%-d-%-m-%Y') END,
+                         '%d-%m-%Y') AS DATE) AS parsed_day,
+       strftime(fb, '%d-%m-%Y') || ' al ' || strftime(fb + 6, '%d-%m-%Y') AS period
+FROM (SELECT *, CAST(week(CAST(o_orderdate AS DATE)) AS INTEGER) AS week,
+             DATE '2025-01-01' + CAST((week(CAST(o_orderdate AS DATE)) - 1) * 7 AS INTEGER) AS fb FROM orders)"""
