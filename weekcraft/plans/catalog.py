@@ -377,3 +377,71 @@ def q_week_fallback_date(spark, sf_dir) -> DataFrame:
     return o.select("o_orderkey", wk.cast("int").alias("week"), fb.alias("fallback_day"),
                     C.parse_day(bad).alias("parsed_day"),
                     C.period_label(fb, F.date_add(fb, 6)).alias("period"))
+
+
+# --------------------------------------------------------------------------- administration
+from weekcraft.plans import admin as AD  # noqa: E402
+
+LOG_TYPES, LOG_STATUSES = ["weekly"], []
+DETAIL_WEEK = 100
+
+
+@register("company_counts")
+def q_company_counts(spark, sf_dir) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return AD.company_counts(B.companies(t), B.sites(t), B.grants(t))
+
+
+@register("site_counts")
+def q_site_counts(spark, sf_dir) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return AD.site_counts(B.sites(t).select("site_id", "name"), B.weekly(t), D.daily_table(t))
+
+
+@register("user_companies")
+def q_user_companies(spark, sf_dir) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return AD.user_companies(B.users(t), B.grants(t), B.companies(t))
+
+
+@register("recent_logs")
+def q_recent_logs(spark, sf_dir) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return AD.recent_logs(B.upload_logs(t), B.log_users(t), 100, LOG_TYPES, LOG_STATUSES)
+
+
+@register("log_counters")
+def q_log_counters(spark, sf_dir) -> DataFrame:
+    return AD.log_counters(B.upload_logs(_t(spark, sf_dir)))
+
+
+@register("history_summary")
+def q_history_summary(spark, sf_dir) -> DataFrame:
+    return AD.history_summary(_hist(_t(spark, sf_dir)))
+
+
+@register("weeks_available")
+def q_weeks_available(spark, sf_dir) -> DataFrame:
+    return AD.weeks_available(_hist(_t(spark, sf_dir)))
+
+
+@register("week_detail")
+def q_week_detail(spark, sf_dir) -> DataFrame:
+    h = _hist(_t(spark, sf_dir)).select("week", "day", "site", "margin", "weight")
+    return AD.week_detail(h, week=DETAIL_WEEK)
+
+
+@register("data_summary")
+def q_data_summary(spark, sf_dir) -> DataFrame:
+    t = _t(spark, sf_dir)
+    wk = B.weekly(t)
+    dt = D.daily_table(t)
+    counts = {"companies": B.companies(t), "sites": B.sites(t), "users": B.users(t), "weekly": wk,
+              "daily": dt, "logs": B.upload_logs(t)}
+    return AD.data_summary(counts, wk, dt)
+
+
+@register("distinct_values")
+def q_distinct_values(spark, sf_dir) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return AD.distinct_values(D.daily_table(t), B.weekly(t), B.sites(t))

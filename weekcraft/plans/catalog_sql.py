@@ -382,3 +382,81 @@ SELECT o_orderkey, week, fb AS fallback_day,
        strftime(fb, '%d-%m-%Y') || ' al ' || strftime(fb + 6, '%d-%m-%Y') AS period
 FROM (SELECT *, CAST(week(CAST(o_orderdate AS DATE)) AS INTEGER) AS week,
              DATE '2025-01-01' + CAST((week(CAST(o_orderdate AS DATE)) - 1) * 7 AS INTEGER) AS fb FROM orders)"""
+
+# --------------------------------------------------------------------------- administration
+from weekcraft.plans.admin import STATUS_DEFAULT, STATUS_SYMBOLS  # noqa: E402
+from weekcraft.plans.catalog import DETAIL_WEEK  # noqa: E402
+
+LOGS_CTE = ("logs", """SELECT o_orderkey AS log_id, o_custkey AS user_id,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'weekly' ELSE 'history' END AS file_type,
+       'report_' || CAST(o_orderkey AS VARCHAR) || '.csv' AS file_name, o_orderdate AS loaded_at,
+       CAST(o_orderkey % 97 AS INTEGER) AS processed, CAST(o_orderkey % 5 AS INTEGER) AS omitted,
+       CASE WHEN o_orderkey % 50 = 0 THEN 'pending' WHEN o_orderstatus = 'F' THEN 'exito'
+            WHEN o_orderstatus = 'O' THEN 'error' ELSE 'warning' END AS status, o_orderpriority AS message
+FROM orders""")
+
+ORACLE["company_counts"] = """
+SELECT n.n_nationkey AS company_id, n.n_name AS name, n.n_name AS code,
+       CAST(coalesce(s.n_sites, 0) AS BIGINT) AS n_sites, CAST(coalesce(g.n_users, 0) AS BIGINT) AS n_users,
+       n.n_name || ' (' || n.n_name || ')' AS label
+FROM nation n
+LEFT JOIN (SELECT s_nationkey AS company_id, count(DISTINCT s_suppkey) AS n_sites FROM supplier GROUP BY 1) s
+  ON s.company_id = n.n_nationkey
+LEFT JOIN (SELECT n_nationkey AS company_id, count(DISTINCT n_regionkey) AS n_users FROM nation GROUP BY 1) g
+  ON g.company_id = n.n_nationkey"""
+
+ORACLE["site_counts"] = with_(*W, *DAILY_CTES, final="""
+SELECT s.s_suppkey AS site_id, s.s_name AS name, CAST(coalesce(w.n_weeks, 0) AS BIGINT) AS n_weeks,
+       CAST(coalesce(d.n_days, 0) AS BIGINT) AS n_days, CAST(coalesce(d.n_daily, 0) AS BIGINT) AS n_daily
+FROM supplier s
+LEFT JOIN (SELECT site_id, count(DISTINCT (year, week)) AS n_weeks FROM weekly GROUP BY 1) w ON w.site_id = s.s_suppkey
+LEFT JOIN (SELECT site_id, count(DISTINCT day) AS n_days, count(*) AS n_daily FROM dt GROUP BY 1) d ON d.site_id = s.s_suppkey""")
+
+ORACLE["user_companies"] = """
+SELECT CAST(r.r_regionkey AS BIGINT) AS user_id, lower(r.r_name) AS username, r.r_regionkey <> 3 AS active,
+       g.companies, CAST(coalesce(g.n, 0) AS BIGINT) AS n_companies,
+       CASE WHEN r.r_regionkey <> 3 THEN '✅' ELSE '❌' END AS active_symbol
+FROM region r LEFT JOIN (SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS companies, count(*) AS n
+                          FROM nation GROUP BY 1) g ON g.n_regionkey = r.r_regionkey"""
+
+_sym = "CASE status " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in STATUS_SYMBOLS.items()) + \
+       f" ELSE {q(STATUS_DEFAULT)} END"
+ORACLE["recent_logs"] = with_(LOGS_CTE, ("top", """SELECT l.*, c.c_name AS username FROM logs l
+LEFT JOIN customer c ON l.user_id = c.c_custkey ORDER BY l.loaded_at DESC, l.log_id DESC LIMIT 100"""), final=f"""
+SELECT log_id, strftime(loaded_at, '%d-%m-%Y %H:%M') AS loaded_at, username, file_type, file_name, processed, status,
+       {_sym} AS status_symbol, message
+FROM top WHERE file_type IN ('weekly')""")
+
+ORACLE["log_counters"] = with_(LOGS_CTE, final="""
+SELECT file_type, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE status = 'exito') AS BIGINT) AS success,
+       CAST(count(*) FILTER (WHERE status = 'error') AS BIGINT) AS errors FROM logs GROUP BY 1""")
+
+ORACLE["history_summary"] = with_(*W, HISTORY_CTE, final="""
+SELECT CAST(count(DISTINCT week) AS BIGINT) AS weeks, CAST(count(DISTINCT site) AS BIGINT) AS sites,
+       min(day) AS first_day, max(day) AS last_day, CAST(count(*) AS BIGINT) AS rows FROM hist""")
+
+ORACLE["weeks_available"] = with_(*W, HISTORY_CTE, final="""
+SELECT week, max(day) AS last_day, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT site) AS BIGINT) AS sites
+FROM hist GROUP BY week ORDER BY week DESC LIMIT 100""")
+
+ORACLE["week_detail"] = with_(*W, HISTORY_CTE, final=f"""
+SELECT week, day, site, margin, weight FROM hist WHERE week = {DETAIL_WEEK}""")
+
+ORACLE["data_summary"] = with_(*W, *DAILY_CTES, LOGS_CTE, final="""
+SELECT 'companies' AS item, CAST(count(*) AS BIGINT) AS value FROM nation
+UNION ALL SELECT 'sites', count(*) FROM supplier
+UNION ALL SELECT 'users', count(*) FROM region
+UNION ALL SELECT 'weekly', count(*) FROM weekly
+UNION ALL SELECT 'daily', count(*) FROM dt
+UNION ALL SELECT 'logs', count(*) FROM logs
+UNION ALL SELECT 'latest_week_key', (SELECT year * 100 + week FROM weekly ORDER BY year DESC, week DESC LIMIT 1)
+UNION ALL SELECT 'latest_day', CAST(strftime(max(day), '%Y%m%d') AS BIGINT) FROM dt""")
+
+ORACLE["distinct_values"] = with_(*W, *DAILY_CTES, final=f"""
+SELECT DISTINCT * FROM (
+  SELECT 'day' AS kind, strftime(day, '%d-%m-%Y') AS value FROM dt
+  UNION ALL SELECT 'period', strftime(period_start, '%d-%m-%Y') || ' al ' || strftime(period_end, '%d-%m-%Y')
+            FROM weekly WHERE period_start IS NOT NULL AND period_end IS NOT NULL
+  UNION ALL SELECT 'site', s_name FROM supplier
+  UNION ALL SELECT 'category', category FROM dt
+  UNION ALL SELECT 'concept', concept FROM dt)""")

@@ -167,14 +167,14 @@ def daily(t: Tables) -> DataFrame:
                     F.col("event_id").alias("row_no"))
 
 
-LOG_STATUS = {"F": "success", "O": "error", "P": "partial"}
 
 
 def upload_logs(t: Tables) -> DataFrame:
     o = t.orders
-    status = (F.when(F.col("o_orderstatus") == "F", "success")
+    status = (F.when(F.col("o_orderkey") % 50 == 0, "pending")
+               .when(F.col("o_orderstatus") == "F", "exito")
                .when(F.col("o_orderstatus") == "O", "error")
-               .otherwise("partial"))
+               .otherwise("warning"))
     return o.select(F.col("o_orderkey").alias("log_id"),
                     F.col("o_custkey").alias("user_id"),
                     F.when(F.col("o_orderkey") % 2 == 0, "weekly").otherwise("history").alias("file_type"),
