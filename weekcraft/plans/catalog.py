@@ -445,3 +445,182 @@ def q_data_summary(spark, sf_dir) -> DataFrame:
 def q_distinct_values(spark, sf_dir) -> DataFrame:
     t = _t(spark, sf_dir)
     return AD.distinct_values(D.daily_table(t), B.weekly(t), B.sites(t))
+
+
+# --------------------------------------------------------------------------- upserts, deletes, moves
+from weekcraft.operators import merge as MG  # noqa: E402
+
+MARGIN_DEFAULT_YEAR = 2025
+RETENTION_AS_OF, RETENTION_DAYS = "2001-08-01", 90
+CASCADE_COMPANY, PERIOD_RUN_WEEK = 3, 100
+
+
+@register("upsert_daily")
+def q_upsert_daily(spark, sf_dir) -> DataFrame:
+    """MRG-1/WIN-7: even event ids form the stored table, odd ones the incoming batch; on
+    conflict only the value changes, the stored category stays; last write wins."""
+    raw = B.daily(_t(spark, sf_dir))
+    target = D.dedupe_daily(raw.filter(F.col("row_no") % 2 == 0)).drop("row_no")
+    batch = raw.filter(F.col("row_no") % 2 == 1).withColumn("category", F.upper("category"))
+    return MG.upsert(target, batch, D.DAILY_KEY, {"company_id": "keep", "category": "keep", "value": "new"},
+                     order_col="row_no", partition_col="day")
+
+
+def _weekly_part(t):
+    return B.weekly(t).select("site_id", "year", "week", "run_week", "period_start", "period_end",
+                              "margin", "fat", "prod", "weight")
+
+
+@register("upsert_weekly_partial")
+def q_upsert_weekly_partial(spark, sf_dir) -> DataFrame:
+    """MRG-2: measures present (non-null) in the load overwrite, the others keep their value;
+    period dates are always replaced."""
+    w = _weekly_part(_t(spark, sf_dir))
+    k = F.col("site_id") + F.col("run_week")
+    target = w.filter(F.col("run_week") % 3 != 0)
+    batch = w.filter(F.col("run_week") % 2 == 0).select(
+        "site_id", "year", "week", F.lit(0).alias("ord"),
+        F.date_add("period_start", 1).alias("period_start"), F.date_add("period_end", 1).alias("period_end"),
+        F.when(k % 3 != 0, C.rnd(F.col("margin") * 1.1, 2)).alias("margin"),
+        F.when(k % 4 != 0, F.col("fat") + 1).alias("fat"),
+        F.lit(None).cast("double").alias("prod"), F.col("weight"))
+    rules = {"period_start": "new", "period_end": "new", "margin": "coalesce", "fat": "coalesce",
+             "prod": "coalesce", "weight": "coalesce"}
+    return MG.upsert(target, batch, ["site_id", "year", "week"], rules, partition_col="year")
+
+
+@register("upsert_history_full")
+def q_upsert_history_full(spark, sf_dir) -> DataFrame:
+    """MRG-3: history keyed by (week, site); every measure replaced, nulls included."""
+    h = _hist(_t(spark, sf_dir)).select("week", "site", "day", "margin", "weight")
+    target = h.filter(F.col("week") % 2 == 0)
+    batch = h.filter(F.col("week") % 3 == 0).select(
+        "week", "site", "day", F.when(F.col("week") % 9 != 0, F.col("margin") + 1).alias("margin"),
+        (F.col("weight") + 1).alias("weight"))
+    return MG.upsert(target, batch, ["week", "site"], {"day": "new", "margin": "new", "weight": "new"},
+                     partition_col="week")
+
+
+@register("upsert_margin")
+def q_upsert_margin(spark, sf_dir) -> DataFrame:
+    """MRG-4 + QLT-4: margin history upsert; rows without margin are rejected, a missing
+    year takes the default year parameter."""
+    w = B.weekly(_t(spark, sf_dir)).select("site_id", "company_id", "week", "year", "run_week", "margin", "weight")
+    target = w.filter(F.col("run_week") % 2 == 1).drop("run_week")
+    batch = (w.withColumn("year", F.when(F.col("run_week") % 10 != 0, F.col("year")))
+              .withColumn("year", F.coalesce(F.col("year"), F.lit(MARGIN_DEFAULT_YEAR)))
+              .filter(F.col("margin").isNotNull())
+              .withColumn("margin", F.col("margin") + 1).drop("run_week"))
+    return MG.upsert(target, batch, ["site_id", "week", "year"],
+                     {"company_id": "keep", "margin": "new", "weight": "new"}, partition_col="year")
+
+
+@register("upsert_config")
+def q_upsert_config(spark, sf_dir) -> DataFrame:
+    """MRG-5 + JSON-2: config values keyed by name with author; later writes win."""
+    t = _t(spark, sf_dir)
+    target = t.region.select(F.concat(F.lit("region."), F.col("r_name")).alias("key"),
+                             C.to_json_value(F.col("r_regionkey").alias("id")).alias("value"),
+                             F.lit("init").alias("updated_by"))
+    r = t.region.select("r_regionkey", "r_name")
+    n = t.nation.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    upd = n.select(F.concat(F.lit("region."), F.col("r_name")).alias("key"),
+                   C.to_json_value(F.col("n_nationkey").alias("id")).alias("value"),
+                   F.lit("admin").alias("updated_by"), F.col("n_nationkey").alias("ord"))
+    new = n.select(F.concat(F.lit("nation."), F.col("n_name")).alias("key"),
+                   C.to_json_value(F.col("n_nationkey").alias("id")).alias("value"),
+                   F.lit("admin").alias("updated_by"), F.col("n_nationkey").alias("ord"))
+    return MG.upsert(target, upd.unionByName(new), ["key"], {"value": "new", "updated_by": "new"}, order_col="ord")
+
+
+def _companies_existing(t):
+    return t.nation.filter(F.col("n_nationkey") < 20).select(F.col("n_name").alias("code"),
+                                                             F.col("n_nationkey").cast("long").alias("company_id"))
+
+
+@register("load_dimensions")
+def q_load_dimensions(spark, sf_dir) -> DataFrame:
+    """MRG-6 + JOIN-7: insert companies whose code is absent, ids continue after max(id)."""
+    t = _t(spark, sf_dir)
+    return MG.get_or_create(_companies_existing(t), t.nation.select(F.col("n_name").alias("code")),
+                            ["code"], "company_id")
+
+
+@register("get_or_create_sites")
+def q_get_or_create_sites(spark, sf_dir) -> DataFrame:
+    """JOIN-7 + STR-6: sites keyed by (company, name); company from the code text before '_'."""
+    t = _t(spark, sf_dir)
+    s = t.supplier
+    existing = s.filter(F.col("s_suppkey") % 2 == 0).select(
+        F.col("s_nationkey").alias("company_id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("site_id"))
+    code_raw = F.concat(F.col("s_nationkey").cast("string"), F.lit("_"), F.col("s_name"))
+    incoming = s.select(C.company_code(code_raw).cast("int").alias("company_id"), F.col("s_name").alias("name"))
+    return MG.get_or_create(existing, incoming, ["company_id", "name"], "site_id")
+
+
+@register("first_site_per_company")
+def q_first_site_per_company(spark, sf_dir) -> DataFrame:
+    """JOIN-8: per (company, normalised name) the site with the lowest id."""
+    s = B.sites(_t(spark, sf_dir))
+    norm = F.lower(C.clean_site_name(F.regexp_replace("name", "[0-9]$", "")))
+    out = MG.first_per_group(s.withColumn("company_id", F.col("company_id")), F.concat_ws("|", F.col("company_id").cast("string"), norm),
+                             "site_id", ["site_id", "company_id", "name"])
+    return out.withColumnRenamed("_g", "group_key")
+
+
+def _period_keys(t):
+    return B.weekly(t).select("site_id", "year", "week", "run_week", "period_start", "period_end")
+
+
+@register("delete_period")
+def q_delete_period(spark, sf_dir) -> DataFrame:
+    """DEL-1: remove the weekly rows of one period (and the period's daily rows of its sites)."""
+    w = _period_keys(_t(spark, sf_dir))
+    doomed = w.filter(F.col("run_week") == PERIOD_RUN_WEEK)
+    return MG.delete_where(w, doomed, ["period_start", "period_end"]).select("site_id", "year", "week")
+
+
+@register("delete_latest_period")
+def q_delete_latest_period(spark, sf_dir) -> DataFrame:
+    """DEL-2: remove the newest period (max of (start, end))."""
+    w = _period_keys(_t(spark, sf_dir))
+    last = w.agg(F.max(F.struct("period_start", "period_end")).alias("p")).select("p.period_start", "p.period_end")
+    return MG.delete_where(w, last, ["period_start", "period_end"]).select("site_id", "year", "week")
+
+
+@register("cascade_delete")
+def q_cascade_delete(spark, sf_dir) -> DataFrame:
+    """DEL-3: delete one company from every fact; remaining row counts per table."""
+    t = _t(spark, sf_dir)
+    gone = spark.range(1).select(F.lit(CASCADE_COMPANY).cast("int").alias("company_id"))
+    sites = B.sites(t)
+    doomed_sites = sites.join(gone, "company_id").select("site_id", F.col("name").alias("site"))
+    parts = {
+        "sites": MG.delete_where(sites, gone, ["company_id"]),
+        "weekly": MG.delete_where(B.weekly(t), gone, ["company_id"]),
+        "daily": MG.delete_where(D.daily_table(t), gone, ["company_id"]),
+        "history": MG.delete_where(_hist(t), doomed_sites, ["site"]),
+    }
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count(F.lit(1)).cast("bigint").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("move_site")
+def q_move_site(spark, sf_dir) -> DataFrame:
+    """UPD-1: every tenth site moves to the next company, in the dimension and the facts."""
+    t = _t(spark, sf_dir)
+    moves = B.sites(t).filter(F.col("site_id") % 10 == 0).select(
+        "site_id", ((F.col("company_id") + 1) % 25).alias("new_value"))
+    w = B.weekly(t).select("site_id", "year", "week", "company_id")
+    return MG.move(w, moves, "site_id", "company_id")
+
+
+@register("retention")
+def q_retention(spark, sf_dir) -> DataFrame:
+    """DEL-5: logs older than N days before the as-of date are removed; kept/removed counts."""
+    logs = B.upload_logs(_t(spark, sf_dir))
+    old = F.col("loaded_at") < F.date_sub(F.lit(RETENTION_AS_OF).cast("date"), RETENTION_DAYS)
+    return logs.agg(F.count_if(old).cast("bigint").alias("removed"), F.count_if(~old).cast("bigint").alias("kept"))

@@ -460,3 +460,99 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT 'site', s_name FROM supplier
   UNION ALL SELECT 'category', category FROM dt
   UNION ALL SELECT 'concept', concept FROM dt)""")
+
+# --------------------------------------------------------------------------- upserts, deletes, moves
+from weekcraft.plans.catalog import (CASCADE_COMPANY, MARGIN_DEFAULT_YEAR, PERIOD_RUN_WEEK,  # noqa: E402
+                                     RETENTION_AS_OF, RETENTION_DAYS)
+
+ORACLE["upsert_daily"] = with_(DAILY_CTES[0], (
+    "old", """SELECT site_id, day, concept, min_by(company_id, row_no) AS company_id, min_by(category, row_no) AS category,
+       max_by(value, row_no) AS value FROM ev WHERE row_no % 2 = 0 GROUP BY ALL"""),
+    ("nb", """SELECT site_id, day, concept, max_by(company_id, row_no) AS company_id, max_by(upper(category), row_no) AS category,
+       max_by(value, row_no) AS value FROM ev WHERE row_no % 2 = 1 GROUP BY ALL"""), final="""
+SELECT site_id, day, concept, CASE WHEN o.site_id IS NOT NULL THEN o.company_id ELSE n.company_id END AS company_id,
+       CASE WHEN o.site_id IS NOT NULL THEN o.category ELSE n.category END AS category,
+       CASE WHEN n.site_id IS NOT NULL THEN n.value ELSE o.value END AS value
+FROM old o FULL OUTER JOIN nb n USING (site_id, day, concept)""")
+
+ORACLE["upsert_weekly_partial"] = with_(*W, (
+    "tg", "SELECT * FROM weekly WHERE run_week % 3 <> 0"),
+    ("nb", """SELECT site_id, year, week, period_start + 1 AS period_start, period_end + 1 AS period_end,
+       CASE WHEN (site_id + run_week) % 3 <> 0 THEN round(margin * 1.1 * 100.0) / 100.0 END AS margin,
+       CASE WHEN (site_id + run_week) % 4 <> 0 THEN fat + 1 END AS fat, CAST(NULL AS DOUBLE) AS prod, weight
+FROM weekly WHERE run_week % 2 = 0"""), final="""
+SELECT site_id, year, week,
+       CASE WHEN n.site_id IS NOT NULL THEN n.period_start ELSE o.period_start END AS period_start,
+       CASE WHEN n.site_id IS NOT NULL THEN n.period_end ELSE o.period_end END AS period_end,
+       coalesce(n.margin, o.margin) AS margin, coalesce(n.fat, o.fat) AS fat, coalesce(n.prod, o.prod) AS prod,
+       coalesce(n.weight, o.weight) AS weight
+FROM tg o FULL OUTER JOIN nb n USING (site_id, year, week)""")
+
+ORACLE["upsert_history_full"] = with_(*W, HISTORY_CTE, (
+    "tg", "SELECT week, site, day, margin, weight FROM hist WHERE week % 2 = 0"),
+    ("nb", """SELECT week, site, day, CASE WHEN week % 9 <> 0 THEN margin + 1 END AS margin, weight + 1 AS weight
+FROM hist WHERE week % 3 = 0"""), final="""
+SELECT week, site, CASE WHEN n.site IS NOT NULL THEN n.day ELSE o.day END AS day,
+       CASE WHEN n.site IS NOT NULL THEN n.margin ELSE o.margin END AS margin,
+       CASE WHEN n.site IS NOT NULL THEN n.weight ELSE o.weight END AS weight
+FROM tg o FULL OUTER JOIN nb n USING (week, site)""")
+
+ORACLE["upsert_margin"] = with_(*W, (
+    "tg", "SELECT site_id, company_id, week, year, margin, weight FROM weekly WHERE run_week % 2 = 1"),
+    ("nb", f"""SELECT site_id, company_id, week, coalesce(CASE WHEN run_week % 10 <> 0 THEN year END, {MARGIN_DEFAULT_YEAR}) AS year,
+       margin + 1 AS margin, weight FROM weekly WHERE margin IS NOT NULL"""), final="""
+SELECT site_id, week, year, CASE WHEN o.site_id IS NOT NULL THEN o.company_id ELSE n.company_id END AS company_id,
+       CASE WHEN n.site_id IS NOT NULL THEN n.margin ELSE o.margin END AS margin,
+       CASE WHEN n.site_id IS NOT NULL THEN n.weight ELSE o.weight END AS weight
+FROM tg o FULL OUTER JOIN nb n USING (site_id, week, year)""")
+
+ORACLE["upsert_config"] = with_((
+    "tg", "SELECT 'region.' || r_name AS key, to_json({'id': r_regionkey}) AS value, 'init' AS updated_by FROM region"),
+    ("nx", "SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"),
+    ("inc", """SELECT 'region.' || r_name AS key, to_json({'id': n_nationkey}) AS value, 'admin' AS updated_by, n_nationkey AS ord FROM nx
+UNION ALL SELECT 'nation.' || n_name, to_json({'id': n_nationkey}), 'admin', n_nationkey FROM nx"""),
+    ("nb", "SELECT key, max_by(value, ord) AS value, max_by(updated_by, ord) AS updated_by FROM inc GROUP BY key"), final="""
+SELECT key, CAST(CASE WHEN n.key IS NOT NULL THEN n.value ELSE o.value END AS VARCHAR) AS value,
+       CASE WHEN n.key IS NOT NULL THEN n.updated_by ELSE o.updated_by END AS updated_by
+FROM tg o FULL OUTER JOIN nb n USING (key)""")
+
+ORACLE["load_dimensions"] = with_((
+    "ex", "SELECT n_name AS code, CAST(n_nationkey AS BIGINT) AS company_id FROM nation WHERE n_nationkey < 20"),
+    ("nw", "SELECT DISTINCT n_name AS code FROM nation WHERE n_name NOT IN (SELECT code FROM ex)"), final="""
+SELECT code, company_id FROM ex
+UNION ALL SELECT code, (SELECT max(company_id) FROM ex) + row_number() OVER (ORDER BY code) FROM nw""")
+
+ORACLE["get_or_create_sites"] = with_((
+    "ex", "SELECT s_nationkey AS company_id, s_name AS name, CAST(s_suppkey AS BIGINT) AS site_id FROM supplier WHERE s_suppkey % 2 = 0"),
+    ("inc", "SELECT DISTINCT CAST(trim(split_part(CAST(s_nationkey AS VARCHAR) || '_' || s_name, '_', 1)) AS INTEGER) AS company_id, s_name AS name FROM supplier"),
+    ("nw", "SELECT * FROM inc WHERE (company_id, name) NOT IN (SELECT (company_id, name) FROM ex)"), final="""
+SELECT company_id, name, site_id FROM ex
+UNION ALL SELECT company_id, name, (SELECT max(site_id) FROM ex) + row_number() OVER (ORDER BY company_id, name) FROM nw""")
+
+ORACLE["first_site_per_company"] = f"""
+SELECT group_key, min_by(s_suppkey, s_suppkey) AS site_id, min_by(s_nationkey, s_suppkey) AS company_id,
+       min_by(s_name, s_suppkey) AS name
+FROM (SELECT *, CAST(s_nationkey AS VARCHAR) || '|' || lower({clean_site_sql("regexp_replace(s_name, '[0-9]$', '')")}) AS group_key
+      FROM supplier) GROUP BY group_key"""
+
+ORACLE["delete_period"] = with_(*W, final=f"""
+SELECT site_id, year, week FROM weekly w WHERE NOT EXISTS (
+  SELECT 1 FROM weekly d WHERE d.run_week = {PERIOD_RUN_WEEK} AND d.period_start = w.period_start AND d.period_end = w.period_end)""")
+
+ORACLE["delete_latest_period"] = with_(*W, ("lp", "SELECT period_start, period_end FROM weekly ORDER BY period_start DESC, period_end DESC LIMIT 1"), final="""
+SELECT site_id, year, week FROM weekly w WHERE NOT EXISTS (
+  SELECT 1 FROM lp WHERE lp.period_start = w.period_start AND lp.period_end = w.period_end)""")
+
+ORACLE["cascade_delete"] = with_(*W, *DAILY_CTES, HISTORY_CTE, final=f"""
+SELECT 'sites' AS "table", CAST(count(*) AS BIGINT) AS rows FROM supplier WHERE s_nationkey <> {CASCADE_COMPANY}
+UNION ALL SELECT 'weekly', count(*) FROM weekly WHERE company_id <> {CASCADE_COMPANY}
+UNION ALL SELECT 'daily', count(*) FROM dt WHERE company_id <> {CASCADE_COMPANY}
+UNION ALL SELECT 'history', count(*) FROM hist WHERE site NOT IN (SELECT s_name FROM supplier WHERE s_nationkey = {CASCADE_COMPANY})""")
+
+ORACLE["move_site"] = with_(*W, final="""
+SELECT site_id, year, week, CAST(CASE WHEN site_id % 10 = 0 THEN (s.s_nationkey + 1) % 25 ELSE w.company_id END AS INTEGER) AS company_id
+FROM weekly w JOIN supplier s ON s.s_suppkey = w.site_id""")
+
+ORACLE["retention"] = with_(LOGS_CTE, final=f"""
+SELECT CAST(count(*) FILTER (WHERE loaded_at < DATE '{RETENTION_AS_OF}' - {RETENTION_DAYS}) AS BIGINT) AS removed,
+       CAST(count(*) FILTER (WHERE NOT (loaded_at < DATE '{RETENTION_AS_OF}' - {RETENTION_DAYS})) AS BIGINT) AS kept FROM logs""")
