@@ -624,3 +624,20 @@ def q_retention(spark, sf_dir) -> DataFrame:
     logs = B.upload_logs(_t(spark, sf_dir))
     old = F.col("loaded_at") < F.date_sub(F.lit(RETENTION_AS_OF).cast("date"), RETENTION_DAYS)
     return logs.agg(F.count_if(old).cast("bigint").alias("removed"), F.count_if(~old).cast("bigint").alias("kept"))
+
+
+# --------------------------------------------------------------------------- history report load
+from weekcraft.plans import history as H  # noqa: E402
+
+
+@register("history_load")
+def q_history_load(spark, sf_dir) -> DataFrame:
+    """QLT-8: the history table after loading the history report (fuzzy headers, rejects,
+    modal-date imputation, last write per (week, site))."""
+    return H.load_history(H.history_report(_t(spark, sf_dir)))
+
+
+@register("history_rejects")
+def q_history_rejects(spark, sf_dir) -> DataFrame:
+    """QLT-3: history report rows without week or site, with reasons."""
+    return H.history_rejects(H.parse_history(H.history_report(_t(spark, sf_dir))))

@@ -556,3 +556,44 @@ FROM weekly w JOIN supplier s ON s.s_suppkey = w.site_id""")
 ORACLE["retention"] = with_(LOGS_CTE, final=f"""
 SELECT CAST(count(*) FILTER (WHERE loaded_at < DATE '{RETENTION_AS_OF}' - {RETENTION_DAYS}) AS BIGINT) AS removed,
        CAST(count(*) FILTER (WHERE NOT (loaded_at < DATE '{RETENTION_AS_OF}' - {RETENTION_DAYS})) AS BIGINT) AS kept FROM logs""")
+
+# --------------------------------------------------------------------------- history report load
+from weekcraft.plans.history import REASON_NO_SITE, REASON_NO_WEEK  # noqa: E402
+
+
+def safe_int_sql(x):
+    d = safe_float_sql(x)
+    return f"(CASE WHEN {d} IS NOT NULL AND abs({d}) < 2147483648 THEN CAST(trunc({d}) AS INTEGER) END)"
+
+
+HIST_REPORT_CTES = [
+    ("hr", """SELECT o_orderkey AS row_no,
+       CASE WHEN o_orderkey % 62 = 0 THEN NULL ELSE 'Co ' || CAST(o_custkey % 7 AS VARCHAR) END AS emp,
+       CASE WHEN o_orderkey % 37 = 0 THEN 'x' ELSE CAST(week(o_orderdate) AS VARCHAR) END AS semana,
+       CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE 'Site ' || CAST(o_custkey % 40 AS VARCHAR) END AS est,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%-d-%-m-%Y') END AS fecha,
+       replace(format('{:,.2f}', o_totalprice / 100), ',', '') AS mdat,
+       format('{:,.2f}', CAST(o_custkey % 300 AS DOUBLE) + 0.75) AS vacas
+FROM orders"""),
+    ("rec", f"""SELECT row_no, {safe_int_sql('semana')} AS week,
+       trim(coalesce(nullif(trim(est), ''), nullif(trim(emp), ''))) AS site,
+       CAST(try_strptime(trim(fecha), '%d-%m-%Y') AS DATE) AS day, {safe_float_sql('mdat')} AS margin,
+       {safe_int_sql('vacas')} AS weight
+FROM hr"""),
+]
+
+ORACLE["history_rejects"] = with_(*HIST_REPORT_CTES, final=f"""
+SELECT row_no, concat_ws(' | ', CASE WHEN week IS NULL THEN {q(REASON_NO_WEEK)} END,
+                         CASE WHEN site IS NULL THEN {q(REASON_NO_SITE)} END) AS reason
+FROM rec WHERE week IS NULL OR site IS NULL""")
+
+ORACLE["history_load"] = with_(*HIST_REPORT_CTES, (
+    "wd", """SELECT week, day, count(*) AS n, min(row_no) AS first_row FROM rec
+WHERE week IS NOT NULL AND day IS NOT NULL GROUP BY ALL"""),
+    ("modal", """SELECT week, day AS modal_day FROM (
+  SELECT *, row_number() OVER (PARTITION BY week ORDER BY n DESC, first_row ASC) AS rn FROM wd) WHERE rn = 1"""),
+    ("filled", """SELECT r.row_no, r.week, r.site,
+       coalesce(r.day, m.modal_day, DATE '2025-01-01' + CAST((r.week - 1) * 7 AS INTEGER)) AS day, r.margin, r.weight
+FROM rec r LEFT JOIN modal m USING (week) WHERE r.week IS NOT NULL AND r.site IS NOT NULL"""), final="""
+SELECT week, site, max_by(day, row_no) AS day, max_by(margin, row_no) AS margin, max_by(weight, row_no) AS weight
+FROM filled GROUP BY week, site""")
