@@ -641,3 +641,27 @@ def q_history_load(spark, sf_dir) -> DataFrame:
 def q_history_rejects(spark, sf_dir) -> DataFrame:
     """QLT-3: history report rows without week or site, with reasons."""
     return H.history_rejects(H.parse_history(H.history_report(_t(spark, sf_dir))))
+
+
+# --------------------------------------------------------------------------- sessions and lock-outs (batch twins)
+from weekcraft.streaming.lockouts import lockouts as _lockouts  # noqa: E402
+from weekcraft.streaming.sessions import sessions as _sessions  # noqa: E402
+
+SESSION_GAPS = [60, 360]
+
+
+@register("sessions")
+def q_sessions(spark, sf_dir) -> DataFrame:
+    """STM-2 batch twin: inactivity sessions per user for a 60-minute and a 6-hour gap."""
+    e = _t(spark, sf_dir).events.select("user_id", "ts")
+    out = None
+    for g in SESSION_GAPS:
+        s = _sessions(e, g)
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@register("lockouts")
+def q_lockouts(spark, sf_dir) -> DataFrame:
+    """STM-3 batch twin: lock-outs after 5 failures (rows-only check; tests use a Python oracle)."""
+    return _lockouts(_t(spark, sf_dir).events)

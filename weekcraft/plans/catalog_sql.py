@@ -597,3 +597,19 @@ WHERE week IS NOT NULL AND day IS NOT NULL GROUP BY ALL"""),
 FROM rec r LEFT JOIN modal m USING (week) WHERE r.week IS NOT NULL AND r.site IS NOT NULL"""), final="""
 SELECT week, site, max_by(day, row_no) AS day, max_by(margin, row_no) AS margin, max_by(weight, row_no) AS weight
 FROM filled GROUP BY week, site""")
+
+# --------------------------------------------------------------------------- sessions
+from weekcraft.plans.catalog import SESSION_GAPS  # noqa: E402
+
+
+def _sess(g):
+    return f"""SELECT user_id, {g} AS gap_minutes, min(ts) AS session_start, max(ts) AS session_end,
+       CAST(count(*) AS BIGINT) AS n_events FROM (
+  SELECT *, sum(new_s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM (
+    SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                     OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL {g} MINUTE
+                   THEN 1 ELSE 0 END AS new_s FROM events))
+GROUP BY user_id, sid"""
+
+
+ORACLE["sessions"] = "\nUNION ALL\n".join(_sess(g) for g in SESSION_GAPS)
