@@ -6,16 +6,14 @@ Plain Spark has no ``MERGE INTO`` for parquet tables, so an upsert is:
 2. split the target into untouched rows (partition value absent from the batch: passed
    through with no join) and touched rows;
 3. full outer join touched rows with the batch on the key and apply the column rules;
-4. (``write_table``) write the result to a staging path under the shared checkpoint
-   folder with dynamic partition overwrite, then swap it in.
+4. (``write_table``) publish: dynamic partition overwrite of the touched partitions, or a
+   staged full rewrite under the shared checkpoint folder.
 
 The functions return the table after the change, lazily.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +21,16 @@ from weekcraft.operators.windows import last_write_wins
 
 
 def _touched_split(target: DataFrame, incoming: DataFrame, partition_col: str | None):
+    """Untouched / touched target rows by the batch's partition values.
+
+    The touched values (days, weeks, years of one batch) are a short list resolved once;
+    as a literal ``isin`` they prune the partitions of a stored, partitioned target.
+    """
     if partition_col is None:
         return None, target
-    parts = incoming.select(partition_col).distinct()
-    untouched = target.join(parts, partition_col, "left_anti")
-    touched = target.join(parts, partition_col, "left_semi")
-    return untouched, touched
+    parts = [r[0] for r in incoming.select(partition_col).distinct().collect()]
+    hit = F.col(partition_col).isin(*parts) if parts else F.lit(False)
+    return target.filter(~hit | F.col(partition_col).isNull()), target.filter(hit)
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], rules: dict[str, str],
@@ -131,33 +133,24 @@ def first_per_group(df: DataFrame, group: Column, order_col: str, out_cols: list
               .select("_g", *[F.col(f"_r.{c}").alias(c) for c in out_cols]))
 
 
-def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> str:
-    """Publish a rewritten table: write to a staging folder next to ``path``, then swap.
+def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = None,
+                staging: str | None = None) -> str:
+    """Publish a rewritten table with the public writer API.
 
-    With ``partition_cols`` and dynamic partition overwrite only the partitions present in
-    ``df`` are replaced (touched partitions of an upsert).
+    With ``partition_cols``: ``df`` holds the touched partitions only and is written with
+    dynamic partition overwrite, so only those partitions of the table are replaced.
+    Without: the full result is first written to ``staging`` (it was computed from the
+    old files), then copied over ``path``; a failure after the first write leaves a
+    complete copy to re-publish from.
     """
     spark = df.sparkSession
-    staging = path.rstrip("/") + ".staging"
-    w = df.write.mode("overwrite")
     if partition_cols:
-        w = w.partitionBy(*partition_cols)
-    w.parquet(staging)
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    src = jvm.org.apache.hadoop.fs.Path(staging)
-    dst = jvm.org.apache.hadoop.fs.Path(path)
-    fs = src.getFileSystem(conf)
-    if fs.exists(dst):
-        old = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old")
-        if fs.exists(old):
-            fs.delete(old, True)
-        fs.rename(dst, old)
-        fs.rename(src, dst)
-        fs.delete(old, True)
-    else:
-        parent = os.path.dirname(path.rstrip("/"))
-        if parent:
-            fs.mkdirs(jvm.org.apache.hadoop.fs.Path(parent))
-        fs.rename(src, dst)
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(*partition_cols).parquet(path))
+        return path
+    if staging is None:
+        from weekcraft.session import scratch_path
+        staging = scratch_path(spark, "publish")
+    df.write.mode("overwrite").parquet(staging)
+    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
     return path

@@ -53,14 +53,25 @@ def select_week(weekly: DataFrame, year: int | None = None, week: int | None = N
     return weekly.join(F.broadcast(latest_week(weekly)), ["year", "week"])
 
 
+def weekly_of_week(t: Tables, year: int | None = None, week: int | None = None) -> DataFrame:
+    """The weekly fact of one (year, week) — the latest when not given (FLT-3, FLT-4).
+
+    The week becomes a ship-date range on the lineitem scan (``PushedFilters``), so only
+    that week's rows are read and aggregated.
+    """
+    rw = B.latest_run_week(t) if year is None or week is None else B.run_week_of(year, week)
+    return B.weekly(t, B.lineitem_for_weeks(t, rw, rw))
+
+
 def weekly_long(t: Tables, weekly: DataFrame | None = None, year: int | None = None,
                 week: int | None = None) -> DataFrame:
     """SRC-5: the week's facts as (company, company_code, site, week, concept, total) rows.
 
     JOIN-1 + RSH-1: one scan and one ``Expand`` instead of 18 union branches; nulls dropped
-    except for the greens label.
+    except for the greens label. With a stored ``weekly`` table the week is selected from
+    it; otherwise the week is bound straight from the lineitem scan.
     """
-    wk = select_week(weekly if weekly is not None else B.weekly(t), year, week)
+    wk = select_week(weekly, year, week) if weekly is not None else weekly_of_week(t, year, week)
     s = B.sites(t).select("site_id", F.col("name").alias("site"))
     c = B.companies(t).select("company_id", F.col("name").alias("company"), F.col("code").alias("company_code"))
     joined = wk.join(s, "site_id").join(F.broadcast(c), "company_id")
@@ -198,17 +209,30 @@ def build_matrix(long: DataFrame, hist: DataFrame, materialize: bool = True,
     return finish(body, total_row(body))
 
 
+def matrix_inputs(t: Tables, year: int | None = None, week: int | None = None):
+    """(long rows of the week, history) for the matrix.
+
+    For the latest week every body site has data in that week, so its own anchor week
+    (WIN-4) is the latest week and only weeks [latest-51, latest] can reach its 4/52-week
+    means: the history is bound from that ship-date range (pushed to the scan) instead of
+    all years. For a past week, anchors may be later weeks, so the whole history is read.
+    """
+    if year is None or week is None:
+        rw = B.latest_run_week(t)
+        long = weekly_long(t, B.weekly(t, B.lineitem_for_weeks(t, rw, rw)))
+        return long, B.history(t, B.weekly(t, B.lineitem_for_weeks(t, rw - 51, rw)))
+    return weekly_long(t, None, year, week), B.history(t)
+
+
 def weekly_matrix(t: Tables, year: int | None = None, week: int | None = None,
                   sites_filter: DataFrame | None = None) -> DataFrame:
     """Flagship: matrix of the latest (or given) week with history from all weeks.
 
     ``sites_filter`` (column ``site``) restricts the body BEFORE ranks and totals (FLT-1).
-    The matrix week and the history read the same weekly aggregate (one lineitem
-    aggregation; the exchange is reused) and the body is checkpointed once.
+    The matrix week reads one week of lineitem (pushed ship-date range); for the latest
+    week the history reads the trailing 52 weeks only (see below); the body is written once.
     """
-    wk = B.weekly(t)
-    long = weekly_long(t, wk, year, week)
-    hist = B.history(t, wk)
+    long, hist = matrix_inputs(t, year, week)
     if sites_filter is not None:
         long = long.join(sites_filter.select("site").distinct(), "site", "left_semi")
     return sort_matrix(build_matrix(long, hist))
@@ -262,9 +286,8 @@ def weekly_matrix_selected(t: Tables, config: DataFrame) -> DataFrame:
                  .select(json_or_default("value", "min_area double", default).alias("c")).first())
     min_area = float(row["c"]["min_area"]) if row and row["c"]["min_area"] is not None else 0.0
     configured = B.sites(t).filter(F.col("area") >= min_area).select(F.col("name").alias("site"))
-    wk = B.weekly(t)
-    long = weekly_long(t, wk)
+    long, hist = matrix_inputs(t)
     selected = long.select("site").distinct().join(configured, "site", "left_semi")
     if not selected.isEmpty():
         long = long.join(selected, "site", "left_semi")
-    return sort_matrix(build_matrix(long, B.history(t, wk)))
+    return sort_matrix(build_matrix(long, hist))

@@ -37,6 +37,37 @@ def week_start(run_week: Column) -> Column:
     return F.date_add(F.lit(WEEK_EPOCH).cast("date"), ((run_week - 1) * 7).cast("int"))
 
 
+def latest_run_week(t: Tables) -> int:
+    """FLT-3 on the binding: the latest running week with data.
+
+    Weeks increase with time, so the latest (year, week) of the weekly fact is the running
+    week of the latest ship date: a one-column aggregate, resolved once as a parameter.
+    """
+    mx = t.lineitem.agg(F.max("l_shipdate").alias("m")).first()["m"]
+    if mx is None:
+        return 0
+    import datetime as _dt
+    epoch = _dt.date.fromisoformat(WEEK_EPOCH)
+    return (mx.date() - epoch).days // 7 + 1
+
+
+def run_week_of(year: int, week: int) -> int:
+    """Running week of an ISO (year, week)."""
+    import datetime as _dt
+    monday = _dt.date.fromisocalendar(year, week, 1)
+    return (monday - _dt.date.fromisoformat(WEEK_EPOCH)).days // 7 + 1
+
+
+def lineitem_for_weeks(t: Tables, first: int, last: int) -> DataFrame:
+    """Lineitem rows of running weeks [first, last] as a ship-date range (pushed to the scan)."""
+    import datetime as _dt
+    epoch = _dt.datetime.fromisoformat(WEEK_EPOCH)
+    lo = epoch + _dt.timedelta(days=7 * (first - 1))
+    hi = epoch + _dt.timedelta(days=7 * last)
+    return t.lineitem.filter((F.col("l_shipdate") >= F.lit(lo).cast("timestamp_ntz"))
+                             & (F.col("l_shipdate") < F.lit(hi).cast("timestamp_ntz")))
+
+
 def companies(t: Tables) -> DataFrame:
     return t.nation.select(F.col("n_nationkey").alias("company_id"),
                            F.col("n_name").alias("code"),
@@ -71,25 +102,25 @@ def weekly_raw(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
     Money is summed in integer cents and rates in integer basis points, so every sum is
     exact and independent of partitioning and summation order; each measure is then one
     division. Results are identical on any cluster layout (and in any SQL engine).
+    Expressions are SQL text (one JVM call per projection instead of one per operator).
     """
     li = lineitem if lineitem is not None else t.lineitem
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    disc = F.round(F.col("l_discount") * 100).cast("bigint")
-    tax = F.round(F.col("l_tax") * 100).cast("bigint")
-    a = (li.groupBy(F.col("l_suppkey").alias("site_id"), running_week(F.col("l_shipdate")).alias("run_week"))
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.sum("l_quantity").alias("qty"),
-                F.sum(cents).alias("ext_c"),
-                F.sum(cents * disc).alias("cost_c"),
-                F.sum(tax).alias("tax_p"),
-                F.sum(disc).alias("disc_p")))
-    return a.select("site_id", "run_week", "n", "qty",
-                    (F.col("qty") / F.col("n")).alias("prod0"),
-                    (F.col("ext_c") / (F.col("qty") * 100)).alias("price0"),
-                    (F.col("cost_c") / (F.col("n") * 10000)).alias("cost0"),
-                    (F.col("tax_p") / (F.col("n") * 100)).alias("tax0"),
-                    (F.col("disc_p") / (F.col("n") * 100)).alias("disc0"),
-                    (F.col("ext_c") / (F.col("n") * 100)).alias("ext0"))
+    rw = f"CAST(floor(datediff(CAST(l_shipdate AS DATE), DATE'{WEEK_EPOCH}') / 7) + 1 AS INT)"
+    a = (li.selectExpr("l_suppkey AS site_id", f"{rw} AS run_week", "l_quantity",
+                       "CAST(round(l_extendedprice * 100) AS BIGINT) AS cents",
+                       "CAST(round(l_discount * 100) AS BIGINT) AS disc",
+                       "CAST(round(l_tax * 100) AS BIGINT) AS tax")
+           .groupBy("site_id", "run_week")
+           .agg(F.expr("count(1) AS n"), F.expr("sum(l_quantity) AS qty"), F.expr("sum(cents) AS ext_c"),
+                F.expr("sum(cents * disc) AS cost_c"), F.expr("sum(tax) AS tax_p"), F.expr("sum(disc) AS disc_p")))
+    return a.selectExpr("site_id", "run_week", "n", "qty", "qty / n AS prod0", "ext_c / (qty * 100) AS price0",
+                        "cost_c / (n * 10000) AS cost0", "tax_p / (n * 100) AS tax0", "disc_p / (n * 100) AS disc0",
+                        "ext_c / (n * 100) AS ext0")
+
+
+def _c2(x: str) -> str:
+    """Stored like the reference's DECIMAL(p, 2) columns (NUM-4): round(x*100)/100."""
+    return f"(round(CAST({x} AS DOUBLE) * 100.0, 0) / 100.0)"
 
 
 def weekly(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
@@ -100,47 +131,31 @@ def weekly(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
     measured small at run time and keeps a shuffle join otherwise.
     """
     a = weekly_raw(t, lineitem)
-    s = sites(t).select("site_id", "company_id", F.col("area").alias("site_area"))
-    k = F.col("site_id") + F.col("run_week")
-
-    def c2(x):  # stored like the reference's DECIMAL(p, 2) columns (NUM-4)
-        return rnd(x, 2)
-    prod0 = c2(F.col("prod0"))
-    price = c2(F.col("price0"))
-    cost = c2(F.col("cost0"))
-    prod = F.when(k % 13 != 0, prod0)
-    area = F.when(k % 11 != 0, F.col("site_area"))
-    margin = F.when(k % 7 != 0, c2(price * prod0 - cost))
-    greens = F.when(k % 5 != 0, c2(prod0 / 2)).otherwise(F.lit(0.0))
-    ms_conc = c2(F.col("tax0") * 50 + 4)
-    ms_cons = c2(F.col("disc0") * 40 + 2)
-    start = week_start(F.col("run_week"))
-    return (a.join(s, "site_id")
-             .select(
-                 "site_id", "company_id",
-                 iso_year(start).cast("int").alias("year"),
-                 iso_week(start).cast("int").alias("week"),
-                 "run_week",
-                 start.alias("period_start"),
-                 F.date_add(start, 6).alias("period_end"),
-                 area.alias("area"),
-                 (F.col("n") * HERD_PER_LINE).cast("int").alias("herd"),
-                 F.col("qty").cast("int").alias("weight"),
-                 c2(F.try_divide(F.col("n") * HERD_PER_LINE, area)).alias("stocking"),
-                 c2(F.col("tax0") * 100).alias("fat"),
-                 c2(F.col("disc0") * 10 + 3).alias("protein"),
-                 c2(F.col("ext0") / 100).alias("conc_cost"),
-                 ((F.col("n") * 13 + F.col("site_id")) % 150 + 250).cast("int").alias("grams_per_litre"),
-                 ms_conc.alias("ms_conc"),
-                 ms_cons.alias("ms_cons"),
-                 greens.alias("greens"),
-                 c2(greens + ms_conc + ms_cons).alias("total_ms"),
-                 prod.alias("prod"),
-                 cost.alias("cost"),
-                 price.alias("price"),
-                 c2(F.try_divide(margin, price)).alias("margin_l"),
-                 c2(F.try_divide(cost, price * prod)).alias("cost_pct"),
-                 margin.alias("margin")))
+    s = t.supplier.selectExpr("s_suppkey AS site_id", "s_nationkey AS company_id",
+                              f"CAST({AREA_BASE} + s_suppkey % {AREA_MOD} AS DOUBLE) AS site_area")
+    base = a.join(s, "site_id").selectExpr(
+        "*", "site_id + run_week AS k", f"date_add(DATE'{WEEK_EPOCH}', (run_week - 1) * 7) AS period_start",
+        f"{_c2('prod0')} AS prod0_", f"{_c2('price0')} AS price_", f"{_c2('cost0')} AS cost_",
+        f"{_c2('tax0 * 50 + 4')} AS ms_conc_", f"{_c2('disc0 * 40 + 2')} AS ms_cons_")
+    base = base.selectExpr(
+        "*", "CASE WHEN k % 13 != 0 THEN prod0_ END AS prod_", "CASE WHEN k % 11 != 0 THEN site_area END AS area_",
+        f"CASE WHEN k % 7 != 0 THEN {_c2('price_ * prod0_ - cost_')} END AS margin_",
+        f"CASE WHEN k % 5 != 0 THEN {_c2('prod0_ / 2')} ELSE 0.0D END AS greens_")
+    return base.selectExpr(
+        "site_id", "company_id",
+        "CAST(extract(YEAROFWEEK FROM period_start) AS INT) AS year",
+        "CAST(weekofyear(period_start) AS INT) AS week",
+        "run_week", "period_start", "date_add(period_start, 6) AS period_end",
+        "area_ AS area", f"CAST(n * {HERD_PER_LINE} AS INT) AS herd", "CAST(qty AS INT) AS weight",
+        f"{_c2(f'try_divide(n * {HERD_PER_LINE}, area_)')} AS stocking",
+        f"{_c2('tax0 * 100')} AS fat", f"{_c2('disc0 * 10 + 3')} AS protein", f"{_c2('ext0 / 100')} AS conc_cost",
+        "CAST((n * 13 + site_id) % 150 + 250 AS INT) AS grams_per_litre",
+        "ms_conc_ AS ms_conc", "ms_cons_ AS ms_cons", "greens_ AS greens",
+        f"{_c2('greens_ + ms_conc_ + ms_cons_')} AS total_ms",
+        "prod_ AS prod", "cost_ AS cost", "price_ AS price",
+        f"{_c2('try_divide(margin_, price_)')} AS margin_l",
+        f"{_c2('try_divide(cost_, price_ * prod_)')} AS cost_pct",
+        "margin_ AS margin")
 
 
 def history(t: Tables, wk: DataFrame | None = None) -> DataFrame:

@@ -20,9 +20,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        """The table as a DataFrame; the reader (file listing, footer schema) runs once per
+        ``Tables`` and the same lazy frame is reused by every plan built from it."""
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:

@@ -2,7 +2,7 @@
 daily table by key, so replaying a batch changes nothing and late data is just an upsert.
 
 ``readStream`` over the drop folder -> ``foreachBatch`` -> keyed rewrite (MRG-1) ->
-staged write + swap of the table. Progress lives in the query's checkpoint location.
+staged rewrite of the table. Progress lives in the query's checkpoint location.
 """
 
 from __future__ import annotations
@@ -22,9 +22,7 @@ def apply_batch(spark: SparkSession, batch: DataFrame, table_path: str) -> None:
     except Exception:  # first batch: empty table
         current = spark.createDataFrame([], batch.drop("row_no").schema)
     result = upsert(current, batch, DAILY_KEY, RULES, order_col="row_no")
-    # materialise before replacing the files the result was computed from
-    from weekcraft.session import materialize
-    write_table(materialize(result, "daily-upsert"), table_path)
+    write_table(result, table_path)
 
 
 def start_daily_arrival(spark: SparkSession, source_dir: str, schema, table_path: str, checkpoint: str,
