@@ -178,8 +178,12 @@ def load_stats(tagged: DataFrame, sites: DataFrame) -> DataFrame:
 
 def unmapped_concepts(tagged: DataFrame) -> DataFrame:
     """QLT-5 / SET-3: concepts (lower-case) of each site that no AGG-4 pattern maps."""
-    c = tagged.filter(F.col("concept").isNotNull()).select("company", "site", F.lower("concept").alias("concept"))
-    return c.filter(pattern_target(F.col("concept")).isNull()).distinct()
+    c = (tagged.filter(F.col("concept").isNotNull())
+               .select("company", "site", F.lower("concept").alias("concept")).distinct())
+    # one ``exists`` over the pattern list: the concept expression is referenced once even
+    # when the optimiser pushes this filter below the distinct
+    pats = F.array(*[F.lit(p) for p, _ in WEEKLY_PATTERNS])
+    return c.filter(~F.exists(pats, lambda p: F.col("concept").contains(p)))
 
 
 def weekly_from_report(tagged: DataFrame) -> DataFrame:
@@ -189,12 +193,12 @@ def weekly_from_report(tagged: DataFrame) -> DataFrame:
     column: mean of row totals, else mean of all day cells; rounded to 2 decimals.
     """
     rows = (tagged.filter(F.col("concept").isNotNull())
-                  .withColumn("target", pattern_target(F.lower("concept")))
-                  .filter(F.col("target").isNotNull())
-                  .groupBy("company", "site", "year", "week", "concept", "target")
+                  .groupBy("company", "site", "year", "week", "concept")
                   .agg(F.max("row_total").alias("row_total"),
                        dec_sum(F.col("value"), 2).alias("cell_sum"),
-                       F.count("value").alias("cell_cnt")))
+                       F.count("value").alias("cell_cnt"))
+                  # patterns are tested once per report row; rows without a target feed no column
+                  .withColumn("target", pattern_target(F.lower("concept"))))
     aggs = []
     for tgt in WEEKLY_TARGETS + ["ms_pasture", "ms_green"]:
         hit = F.col("target") == tgt

@@ -34,6 +34,9 @@ def session_stream(stream: DataFrame, gap_minutes: int, watermark: str = "2 hour
                    user_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
     """Streaming sessions: ``session_window`` + watermark (late events within the
     watermark still extend their session; the session is emitted once it closes)."""
+    if stream.schema[ts_col].dataType.simpleString() == "timestamp_ntz":
+        # watermarks need TIMESTAMP; with the session time zone pinned the instants are unchanged
+        stream = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
     return (stream.withWatermark(ts_col, watermark)
                   .groupBy(user_col, F.session_window(ts_col, f"{gap_minutes} minutes").alias("session"))
                   .agg(F.count(F.lit(1)).alias("n_events"), F.min(ts_col).alias("session_start"),
