@@ -88,3 +88,28 @@ def greens_weekly(pasture, green) -> Column:
     """DRV-7: pasture + green when either is present (nulls as 0)."""
     return F.when(_c(pasture).isNotNull() | _c(green).isNotNull(),
                   F.coalesce(_c(pasture), F.lit(0.0)) + F.coalesce(_c(green), F.lit(0.0)))
+
+
+# SQL-text twins of the helpers above, for building wide projections/aggregations in one
+# JVM call (``selectExpr`` / ``F.expr``) instead of one py4j call per operator.
+def dec_sum_sql(x: str, decimals: int | None = 2) -> str:
+    s = f"sum(CAST({x} AS DOUBLE))"
+    if decimals is None:
+        return s
+    f = f"{float(10 ** decimals)}D"
+    return f"(round({s} * {f}, 0) / {f})"
+
+
+def dec_avg_sql(x: str, decimals: int | None = 2) -> str:
+    return f"CASE WHEN count({x}) > 0 THEN {dec_sum_sql(x, decimals)} / count({x}) END"
+
+
+def weighted_avg_sql(v: str, w: str, num_decimals: int | None = None, den_decimals: int | None = None) -> str:
+    ok = f"({v}) IS NOT NULL AND ({w}) IS NOT NULL AND ({w}) != 0"
+    num = dec_sum_sql(f"CASE WHEN {ok} THEN CAST({v} AS DOUBLE) * CAST({w} AS DOUBLE) END", num_decimals)
+    den = dec_sum_sql(f"CASE WHEN {ok} THEN CAST({w} AS DOUBLE) END", den_decimals)
+    return f"CASE WHEN {den} != 0 THEN {num} / {den} END"
+
+
+def sum0_sql(x: str, decimals: int | None = 2) -> str:
+    return f"coalesce({dec_sum_sql(x, decimals)}, 0.0D)"

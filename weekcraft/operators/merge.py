@@ -154,3 +154,14 @@ def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = Non
     df.write.mode("overwrite").parquet(staging)
     spark.read.parquet(staging).write.mode("overwrite").parquet(path)
     return path
+
+
+def truncate(df: DataFrame) -> DataFrame:
+    """DEL-4: an empty frame with the table's schema (publish it with ``write_table``)."""
+    return df.sparkSession.createDataFrame([], df.schema)
+
+
+def stamp_updated(df: DataFrame, changed_col: str, updated_col: str, now) -> DataFrame:
+    """UPD-2: ``updated_at`` set to ``now`` only on rows the upsert changed or inserted."""
+    keep = F.col(updated_col) if updated_col in df.columns else F.lit(None).cast("timestamp")
+    return df.withColumn(updated_col, F.when(F.col(changed_col), F.lit(now)).otherwise(keep)).drop(changed_col)

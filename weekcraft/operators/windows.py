@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcraft.operators.aggregates import dec_avg
+from weekcraft.operators.aggregates import dec_avg_sql
 
 
 def _snap(s, decimals: int | None):
@@ -30,11 +30,10 @@ def trailing_actual(hist: DataFrame, site_col: str = "site", week_col: str = "we
     values). The max includes rows whose values are null. One window (max per site) and
     one aggregate on the same key: a single shuffle.
     """
-    mx = F.max(week_col).over(Window.partitionBy(site_col))
-    h = hist.select(site_col, week_col, *value_cols).withColumn("_mx", mx)
-    aggs = [dec_avg(F.when(F.col(week_col) >= F.col("_mx") - (n - 1), F.col(c).cast("double")), decimals)
-            .alias(f"{c}_{n}w") for n in spans for c in value_cols]
-    return h.groupBy(site_col).agg(F.max("_mx").alias("last_week"), *aggs)
+    h = hist.selectExpr(site_col, week_col, *value_cols, f"max({week_col}) OVER (PARTITION BY {site_col}) AS _mx")
+    aggs = [F.expr(f"{dec_avg_sql(f'CASE WHEN {week_col} >= _mx - {n - 1} THEN CAST({c} AS DOUBLE) END', decimals)}"
+                   f" AS {c}_{n}w") for n in spans for c in value_cols]
+    return h.groupBy(site_col).agg(F.expr("max(_mx) AS last_week"), *aggs)
 
 
 def trailing_fixed(hist: DataFrame, site_col: str = "site", day_col: str = "day",

@@ -130,21 +130,35 @@ FROM wk JOIN supplier s ON wk.site_id = s.s_suppkey JOIN nation n ON wk.company_
     return sel + [j, ("long", "\nUNION ALL\n".join(branches))]
 
 
-def matrix_ctes(long_name: str = "long") -> list[tuple[str, str]]:
-    piv = ", ".join(f"{davg(f'CASE WHEN concept_key = {q(k)} THEN total END')} AS {c}" for c, k in MATRIX_FROM_KEY)
+def matrix_ctes(long_name: str = "long", cells: bool = False, hist_cte=None) -> list[tuple[str, str]]:
+    def metric(k):
+        m = davg(f"CASE WHEN concept_key = {q(k)} THEN total END")
+        if cells:
+            cs = dsum(f"CASE WHEN concept_key = {q(k)} THEN cell_sum END")
+            cc = f"sum(CASE WHEN concept_key = {q(k)} THEN cell_cnt END)"
+            m = f"coalesce({m}, CASE WHEN {cc} <> 0 THEN {cs} / {cc} END)"
+        return m
+    piv = ", ".join(f"{metric(k)} AS {c}" for c, k in MATRIX_FROM_KEY)
+    if cells:
+        cs = dsum("CASE WHEN concept_key = 'mdat' THEN cell_sum END")
+        cc = "sum(CASE WHEN concept_key = 'mdat' THEN cell_cnt END)"
+        piv += f", CASE WHEN {cc} <> 0 THEN {cs} / {cc} END AS margin_cells"
+    ml = ("CASE WHEN prod IS NOT NULL AND cost IS NOT NULL AND price IS NOT NULL AND price <> 0 "
+          "THEN (price * prod - cost) / price END")
+    if cells:
+        ml = f"coalesce({ml}, margin_cells)"
     return DICT_CTES + [
         ("keyed", f"""SELECT l.*, coalesce(d.concept_key, f.k2) AS concept_key FROM {long_name} l
 LEFT JOIN dict d ON l.concept = d.spelling LEFT JOIN dict_f f ON {fold('l.concept')} = f.folded"""),
         ("piv", f"SELECT site, {piv} FROM keyed GROUP BY site"),
         ("d1", """SELECT *, CASE WHEN coalesce(greens_stored, 0) = 0 THEN coalesce(ms_pasture, 0) + coalesce(ms_green, 0)
                  ELSE greens_stored END AS greens FROM piv"""),
-        ("d2", """SELECT *, greens + coalesce(ms_cons, 0) + coalesce(ms_conc, 0) AS total_ms,
+        ("d2", f"""SELECT *, greens + coalesce(ms_cons, 0) + coalesce(ms_conc, 0) AS total_ms,
        CASE WHEN area > 0 THEN herd / area END AS stocking,
-       CASE WHEN prod IS NOT NULL AND cost IS NOT NULL AND price IS NOT NULL AND price <> 0
-            THEN (price * prod - cost) / price END AS margin_l,
+       {ml} AS margin_l,
        CASE WHEN prod <> 0 AND price <> 0 AND cost <> 0 AND price * prod > 0 THEN cost / (price * prod) END AS cost_pct
 FROM d1"""),
-        HISTORY_CTE,
+        hist_cte or HISTORY_CTE,
         ("hmx", "SELECT trim(site) AS site, week, margin, weight, max(week) OVER (PARTITION BY trim(site)) AS mx FROM hist"),
         ("hm", f"""SELECT site AS hsite,
        {davg('CASE WHEN week >= mx - 3 THEN margin END')} AS margin_4w,

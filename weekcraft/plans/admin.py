@@ -125,3 +125,23 @@ def distinct_values(daily: DataFrame, weekly: DataFrame, sites: DataFrame) -> Da
     concepts = daily.select(F.lit("concept").alias("kind"), F.col("concept").alias("value"))
     return days.unionByName(periods).unionByName(names).unionByName(cats).unionByName(concepts).distinct() \
                .orderBy("kind", "value")
+
+
+def run_maintenance(logs: DataFrame, tables: dict[str, DataFrame], as_of: str, retention_days: int = 90):
+    """MNT-1 / UDF-3: the maintenance run as a DataFrame of (task, result, duration_ms).
+
+    Retention counts the logs older than ``retention_days`` before ``as_of`` (DEL-5), then
+    table statistics are refreshed (row count per table; catalog tables would use
+    ``ANALYZE TABLE ... COMPUTE STATISTICS``)."""
+    import time
+    spark = logs.sparkSession
+    rows = []
+    t0 = time.time()
+    old = F.col("loaded_at") < F.date_sub(F.lit(as_of).cast("date"), retention_days)
+    removed = logs.agg(F.count_if(old).alias("n")).first()["n"]
+    rows.append(("retention_logs", f"{removed} removed", int((time.time() - t0) * 1000)))
+    for name, df in tables.items():
+        t0 = time.time()
+        n = df.count()
+        rows.append((f"statistics_{name}", f"{n} rows", int((time.time() - t0) * 1000)))
+    return spark.createDataFrame(rows, "task string, result string, duration_ms long")

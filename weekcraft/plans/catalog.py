@@ -665,3 +665,23 @@ def q_sessions(spark, sf_dir) -> DataFrame:
 def q_lockouts(spark, sf_dir) -> DataFrame:
     """STM-3 batch twin: lock-outs after 5 failures (rows-only check; tests use a Python oracle)."""
     return _lockouts(_t(spark, sf_dir).events)
+
+
+@register("report_matrix")
+def q_report_matrix(spark, sf_dir) -> DataFrame:
+    """RSH-8/AGG-1/DRV-6: matrix preview of the latest report week, from the report cells."""
+    return R.report_matrix(_tagged(spark, sf_dir))
+
+
+@register("margin_rejects")
+def q_margin_rejects(spark, sf_dir) -> DataFrame:
+    """QLT-4/JOIN-12: margin-history rows rejected for an unknown site or an empty margin."""
+    t = _t(spark, sf_dir)
+    w = B.weekly(t).join(t.supplier.select(F.col("s_suppkey").alias("site_id"), F.col("s_name")), "site_id")
+    name = F.when(F.col("site_id") % 9 == 0, F.concat(F.lit("Unknown "), F.col("s_name"))).otherwise(F.col("s_name"))
+    incoming = w.select(name.alias("site"), "year", "week", "margin")
+    known = B.sites(t).select(F.col("name").alias("site"))
+    unknown = incoming.join(known, "site", "left_anti").withColumn("reason", F.lit("unknown site"))
+    empty = (incoming.join(known, "site", "left_semi").filter(F.col("margin").isNull())
+                     .withColumn("reason", F.lit("empty margin")))
+    return unknown.unionByName(empty).select("site", "year", "week", "reason")

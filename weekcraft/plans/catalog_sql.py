@@ -613,3 +613,21 @@ GROUP BY user_id, sid"""
 
 
 ORACLE["sessions"] = "\nUNION ALL\n".join(_sess(g) for g in SESSION_GAPS)
+
+# --------------------------------------------------------------------------- report matrix, margin rejects
+from weekcraft.oracle import matrix_select  # noqa: E402
+
+_EMPTY_HIST = ("hist", """SELECT CAST(NULL AS INTEGER) AS week, CAST(NULL AS DATE) AS day, CAST(NULL AS VARCHAR) AS site,
+       CAST(NULL AS DOUBLE) AS margin, CAST(NULL AS DOUBLE) AS weight WHERE FALSE""")
+ORACLE["report_matrix"] = with_(*REPORT_CTES, (
+    "lw", "SELECT year, week FROM tg ORDER BY year DESC, week DESC LIMIT 1"),
+    ("rrows", f"""SELECT site, concept, max(row_total) AS total, {dsum('value')} AS cell_sum, count(value) AS cell_cnt
+FROM tg JOIN lw USING (year, week) WHERE concept IS NOT NULL GROUP BY site, concept"""),
+    *matrix_ctes("rrows", cells=True, hist_cte=_EMPTY_HIST),
+    final=matrix_select("body", False) + "\nUNION ALL\n" + matrix_select("tot", True))
+
+ORACLE["margin_rejects"] = with_(*W, ("inc", """SELECT CASE WHEN w.site_id % 9 = 0 THEN 'Unknown ' || s.s_name ELSE s.s_name END AS site,
+       w.year, w.week, w.margin FROM weekly w JOIN supplier s ON w.site_id = s.s_suppkey"""), final="""
+SELECT site, year, week, 'unknown site' AS reason FROM inc WHERE site NOT IN (SELECT s_name FROM supplier)
+UNION ALL
+SELECT site, year, week, 'empty margin' FROM inc WHERE site IN (SELECT s_name FROM supplier) AND margin IS NULL""")

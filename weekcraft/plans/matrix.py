@@ -90,36 +90,54 @@ def concept_metrics(long: DataFrame, site_col: str = "site", day_cols: list[str]
     """
     keyed = attach_concept_key(long, "concept", "concept_key")
     day_cols = day_cols or []
+    cells = bool(day_cols) or {"cell_sum", "cell_cnt"} <= set(long.columns)
     if day_cols:
-        cells = [F.col(c).cast("double") for c in day_cols]
-        keyed = keyed.withColumn("_cs", sum(F.coalesce(x, F.lit(0.0)) for x in cells)) \
-                     .withColumn("_cc", sum(F.when(x.isNotNull(), 1).otherwise(0) for x in cells))
+        xs = [F.col(c).cast("double") for c in day_cols]
+        keyed = keyed.withColumn("_cs", sum(F.coalesce(x, F.lit(0.0)) for x in xs)) \
+                     .withColumn("_cc", sum(F.when(x.isNotNull(), 1).otherwise(0) for x in xs))
+    elif cells:  # cell form: per-row sum / count of the parseable day cells
+        keyed = keyed.withColumnsRenamed({"cell_sum": "_cs", "cell_cnt": "_cc"})
+
+    def cell_mean(key):
+        hit = f"concept_key = '{key}'"
+        return f"try_divide({A.dec_sum_sql(f'CASE WHEN {hit} THEN _cs END', 2)}, sum(CASE WHEN {hit} THEN _cc END))"
     aggs = []
     for col, key in MATRIX_FROM_KEY:
-        hit = F.col("concept_key") == key
-        m = A.dec_avg(F.when(hit, F.col("total").cast("double")), 2)
-        if day_cols:
-            m = F.coalesce(m, F.try_divide(F.sum(F.when(hit, F.col("_cs"))), F.sum(F.when(hit, F.col("_cc")))))
-        aggs.append(m.alias(col))
+        m = A.dec_avg_sql(f"CASE WHEN concept_key = '{key}' THEN CAST(total AS DOUBLE) END", 2)
+        if cells:
+            m = f"coalesce({m}, {cell_mean(key)})"
+        aggs.append(F.expr(f"{m} AS {col}"))
+    if cells:  # DRV-6: margin per litre falls back to the mean of the margin concept's day cells
+        aggs.append(F.expr(f"{cell_mean('mdat')} AS _margin_cells"))
     out = keyed.groupBy(site_col).agg(*aggs)
     if daily_means is not None:
         dm = daily_means.groupBy(F.col(site_col).alias("_s")).agg(*[
             F.try_divide(F.sum(F.when(F.col("concept_key") == key, F.col("cell_sum"))),
                          F.sum(F.when(F.col("concept_key") == key, F.col("cell_cnt")))).alias(f"_d_{col}")
             for col, key in MATRIX_FROM_KEY])
+        keep = [c for c in out.columns if c not in dict(MATRIX_FROM_KEY) and c != site_col]
         out = out.join(dm, F.col(site_col) == F.col("_s"), "left").select(
-            site_col, *[F.coalesce(F.col(col), F.col(f"_d_{col}")).alias(col) for col, _ in MATRIX_FROM_KEY])
+            site_col, *[F.coalesce(F.col(col), F.col(f"_d_{col}")).alias(col) for col, _ in MATRIX_FROM_KEY], *keep)
     return out
 
 
 def derive(m: DataFrame) -> DataFrame:
-    """DRV-1..5 on the pivoted rows."""
-    greens = A.greens_expr("greens_stored", "ms_pasture", "ms_green")
-    return (m.withColumn("greens", greens)
-             .withColumn("total_ms", A.total_ms_expr("greens", "ms_cons", "ms_conc"))
-             .withColumn("stocking", A.stocking_expr("herd", "area"))
-             .withColumn("margin_l", A.margin_per_litre("price", "prod", "cost"))
-             .withColumn("cost_pct", A.cost_share("price", "prod", "cost")))
+    """DRV-1..5 on the pivoted rows (one projection; same rules as the Column helpers in
+    ``operators.aggregates``)."""
+    greens = ("CASE WHEN coalesce(greens_stored, 0.0D) = 0 THEN coalesce(ms_pasture, 0.0D) + coalesce(ms_green, 0.0D) "
+              "ELSE coalesce(greens_stored, 0.0D) END")
+    m = m.selectExpr("*", f"{greens} AS greens")
+    out = m.selectExpr(
+        "*",
+        "greens + coalesce(ms_cons, 0.0D) + coalesce(ms_conc, 0.0D) AS total_ms",
+        "CASE WHEN area > 0 THEN herd / area END AS stocking",
+        "CASE WHEN prod IS NOT NULL AND cost IS NOT NULL AND price IS NOT NULL AND price != 0 "
+        "THEN (price * prod - cost) / price END AS margin_l",
+        "CASE WHEN prod IS NOT NULL AND prod != 0 AND price IS NOT NULL AND price != 0 AND cost IS NOT NULL "
+        "AND cost != 0 AND price * prod > 0 THEN cost / (price * prod) END AS cost_pct")
+    if "_margin_cells" in out.columns:
+        out = out.withColumn("margin_l", F.coalesce("margin_l", "_margin_cells")).drop("_margin_cells")
+    return out
 
 
 def with_history(m: DataFrame, hist: DataFrame) -> DataFrame:
@@ -145,31 +163,27 @@ def total_row(body: DataFrame, label: str = TOTAL_LABEL, group_cols: list[str] |
 
     With ``group_cols`` one total row per group (e.g. per week over the weekly fact).
     """
-    w, wp = F.col("weight"), F.col("weight") * F.col("prod")
-
-    def wa(v, weights):  # inputs stored with 2 decimals; weight x prod has 2 decimals too
-        return A.weighted_avg(v, weights, 2, 0) if weights is w else A.weighted_avg(v, weights, 4, 2)
-    hist = [A.weighted_avg("margin_4w", w).alias("margin_4w"), A.sum0("weight_4w", None).alias("weight_4w"),
-            A.weighted_avg("margin_52w", w).alias("margin_52w"), A.sum0("weight_52w", None).alias("weight_52w")]
+    def wa(v, by_litres=False):  # 2-decimal measures; weight is integral, weight*prod has 2 decimals
+        if by_litres:
+            return F.expr(f"{A.weighted_avg_sql(v, 'weight * prod', 4, 2)} AS {v}")
+        return F.expr(f"{A.weighted_avg_sql(v, 'weight', 2, 0)} AS {v}")
+    hist = [F.expr(f"{A.weighted_avg_sql('margin_4w', 'weight')} AS margin_4w"),
+            F.expr(f"{A.sum0_sql('weight_4w', None)} AS weight_4w"),
+            F.expr(f"{A.weighted_avg_sql('margin_52w', 'weight')} AS margin_52w"),
+            F.expr(f"{A.sum0_sql('weight_52w', None)} AS weight_52w")]
     t = body.groupBy(*(group_cols or [])).agg(
-        A.sum0("area").alias("area"), A.sum0("herd").alias("herd"), A.sum0("weight").alias("weight"),
-        wa("fat", w).alias("fat"), wa("protein", w).alias("protein"),
-        wa("conc_cost", w).alias("conc_cost"),
-        wa("grams_per_litre", wp).alias("grams_per_litre"),
-        wa("ms_conc", w).alias("ms_conc"), wa("ms_cons", w).alias("ms_cons"),
-        wa("greens", w).alias("greens"), wa("total_ms", w).alias("total_ms"),
-        wa("prod", w).alias("prod"), wa("cost", w).alias("cost"),
-        wa("price", wp).alias("price"), wa("margin", w).alias("margin"),
+        F.expr(f"{A.sum0_sql('area')} AS area"), F.expr(f"{A.sum0_sql('herd')} AS herd"),
+        F.expr(f"{A.sum0_sql('weight')} AS weight"),
+        wa("fat"), wa("protein"), wa("conc_cost"), wa("grams_per_litre", True), wa("ms_conc"), wa("ms_cons"),
+        wa("greens"), wa("total_ms"), wa("prod"), wa("cost"), wa("price", True), wa("margin"),
         *(hist if history else []))
-    price, prod, cost = F.col("price"), F.col("prod"), F.col("cost")
-    income = price * prod
-    return (t.withColumn("site", F.lit(label))
-             .withColumn("stocking", F.when(F.col("area") > 0, F.col("herd") / F.col("area")))
-             .withColumn("margin_l", F.when(A.truthy(price), F.col("margin") / price))
-             .withColumn("cost_pct", F.when(A.truthy(price) & A.truthy(prod) & (income > 0), cost / income))
-             .withColumn("rank_margin", F.lit(None).cast("bigint"))
-             .withColumn("rank_4w", F.lit(None).cast("bigint"))
-             .withColumn("rank_52w", F.lit(None).cast("bigint")))
+    return t.selectExpr(
+        "*", f"'{label}' AS site",
+        "CASE WHEN area > 0 THEN herd / area END AS stocking",
+        "CASE WHEN price IS NOT NULL AND price != 0 THEN margin / price END AS margin_l",
+        "CASE WHEN price IS NOT NULL AND price != 0 AND prod IS NOT NULL AND prod != 0 AND price * prod > 0 "
+        "THEN cost / (price * prod) END AS cost_pct",
+        "CAST(NULL AS BIGINT) AS rank_margin", "CAST(NULL AS BIGINT) AS rank_4w", "CAST(NULL AS BIGINT) AS rank_52w")
 
 
 def finish(body: DataFrame, total: DataFrame, digits: int | None = 6) -> DataFrame:
@@ -178,13 +192,15 @@ def finish(body: DataFrame, total: DataFrame, digits: int | None = 6) -> DataFra
         cols = []
         for c in MATRIX_COLUMNS:
             if c == "site":
-                cols.append(F.col(c))
+                cols.append(c)
             elif c.startswith("rank"):
-                cols.append(F.col(c).cast("bigint").alias(c))
+                cols.append(f"CAST({c} AS BIGINT) AS {c}")
+            elif digits is not None:
+                f = f"{float(10 ** digits)}D"
+                cols.append(f"round(CAST({c} AS DOUBLE) * {f}, 0) / {f} AS {c}")
             else:
-                v = F.col(c).cast("double")
-                cols.append((rnd(v, digits) if digits is not None else v).alias(c))
-        return df.select(*cols, F.lit(is_total).alias("is_total"))
+                cols.append(f"CAST({c} AS DOUBLE) AS {c}")
+        return df.selectExpr(*cols, f"{'true' if is_total else 'false'} AS is_total")
     return shape(body, False).unionByName(shape(total, True))
 
 
@@ -291,3 +307,35 @@ def weekly_matrix_selected(t: Tables, config: DataFrame) -> DataFrame:
     if not selected.isEmpty():
         long = long.join(selected, "site", "left_semi")
     return sort_matrix(build_matrix(long, hist))
+
+
+# SCH-8: two-level display headers (group -> columns).
+HEADER_GROUPS = [
+    ("site", ["site", "area", "herd", "weight", "stocking", "fat", "protein", "conc_cost", "grams_per_litre"]),
+    ("dry_matter_per_cow", ["ms_conc", "ms_cons", "greens", "total_ms"]),
+    ("economics", ["prod", "cost", "price", "margin_l", "cost_pct", "margin", "rank_margin"]),
+    ("last_4_weeks", ["margin_4w", "weight_4w", "rank_4w"]),
+    ("last_52_weeks", ["margin_52w", "weight_52w", "rank_52w"]),
+]
+
+
+def display_headers(m: DataFrame) -> DataFrame:
+    """SCH-8: one struct column per header group, plus the total flag."""
+    return m.select(*[F.struct(*cols).alias(g) for g, cols in HEADER_GROUPS], "is_total")
+
+
+def sort_from_config(m: DataFrame, config: DataFrame, key: str = "matrix_sort") -> DataFrame:
+    """SRT-2: default sort read from a JSON config value ``{"column": .., "direction": ..}``;
+    a missing or unknown column falls back to the first matrix column."""
+    from weekcraft.functions.clean import json_or_default
+    default = F.struct(F.lit(MATRIX_COLUMNS[0]).alias("column"), F.lit("desc").alias("direction"))
+    row = (config.filter(F.col("key") == key)
+                 .select(json_or_default("value", "column string, direction string", default).alias("c")).first())
+    col = row["c"]["column"] if row and row["c"]["column"] in m.columns else MATRIX_COLUMNS[0]
+    asc = bool(row and (row["c"]["direction"] or "").lower() == "asc")
+    return sort_matrix(m, col, ascending=asc)
+
+
+def preview(df: DataFrame, n: int = 10) -> DataFrame:
+    """SRT-5: first ``n`` rows of an upload for a preview."""
+    return df.limit(n)

@@ -208,3 +208,26 @@ def weekly_from_report(tagged: DataFrame) -> DataFrame:
     w = rows.groupBy("company", "site", "year", "week").agg(*aggs)
     return (w.withColumn("greens", C.rnd(greens_weekly("ms_pasture", "ms_green"), 2))
              .drop("ms_pasture", "ms_green"))
+
+
+def report_rows(tagged: DataFrame) -> DataFrame:
+    """Report rows of the latest report week in the long form the matrix takes:
+    (site, concept, total, cell_sum, cell_cnt); every cell with a parseable number counts,
+    as in the preview, whatever its other rejects."""
+    latest = tagged.agg(F.max(F.struct("year", "week")).alias("m")).first()["m"]
+    rows = tagged.filter((F.col("year") == latest["year"]) & (F.col("week") == latest["week"])) if latest else tagged
+    return (rows.filter(F.col("concept").isNotNull())
+                .groupBy("site", "concept")
+                .agg(F.max("row_total").alias("total"), dec_sum(F.col("value"), 2).alias("cell_sum"),
+                     F.count("value").alias("cell_cnt")))
+
+
+def report_matrix(tagged: DataFrame, hist: DataFrame | None = None) -> DataFrame:
+    """RSH-8: preview of the matrix straight from an uploaded report, nothing persisted.
+
+    AGG-1 in full: row total, else the mean of the concept's day cells; DRV-6: margin per
+    litre falls back to the margin concept's day cells."""
+    from weekcraft.plans import matrix as M
+    if hist is None:
+        hist = tagged.sparkSession.createDataFrame([], "week int, site string, margin double, weight double")
+    return M.sort_matrix(M.build_matrix(report_rows(tagged), hist))
