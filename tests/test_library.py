@@ -69,3 +69,19 @@ def test_date_headers_and_json(spark):
     assert C.is_date_header("7-9-2025") and not C.is_date_header("07/09/2025")
     r = spark.range(1).select(C.to_json_value(F.lit(3).alias("id"), F.lit("x").alias("k")).alias("j")).first()
     assert r.j == '{"id":3,"k":"x"}'
+
+
+def test_parameterised_sql(spark, tables):
+    df = tables.sql("SELECT s_suppkey, s_name FROM {supplier} WHERE s_nationkey = :n ORDER BY s_suppkey", {"n": 3})
+    exp = [r.s_suppkey for r in tables.supplier.filter("s_nationkey = 3").orderBy("s_suppkey").collect()]
+    assert [r.s_suppkey for r in df.collect()] == exp
+
+
+def test_history_for_matrix(spark, tables):
+    from weekcraft.plans.history import history_for_matrix
+    h = B.history(tables).join(B.sites(tables).select(F.col("name").alias("site"), "company_id"), "site") \
+        .join(B.companies(tables).select("company_id", F.col("name").alias("company")), "company_id")
+    last = h.agg(F.max("day")).first()[0]
+    out = history_for_matrix(h, last, 4, company="nation_3").collect()
+    assert out and all(r.company == "NATION_3" for r in out)
+    assert all(r.day >= last - dt.timedelta(days=28) for r in out)

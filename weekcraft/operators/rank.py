@@ -104,6 +104,10 @@ def global_ranks(df: DataFrame, specs: list[tuple[str, str]], descending: bool =
     when its lineage is expensive, since the statistics job reads it once more.
     """
     n, bounds = rank_stats(df, [v for v, _ in specs], buckets)
+    if n <= small_rows and not partition_cols:
+        # measured small: one partition, so the rank windows (and whatever the caller does
+        # next with this frame: totals, final sort) need no exchange at all
+        df = df.coalesce(1)
     for value_col, rank_col in specs:
         if n <= small_rows:
             df = window_rank(df, value_col, rank_col, descending, keep_null, partition_cols)

@@ -159,3 +159,14 @@ def load_history(report: DataFrame, target: DataFrame | None = None) -> DataFram
         target = spark.createDataFrame([], "week int, site string, day date, margin double, weight int")
     return upsert(target, batch, ["week", "site"], {"day": "new", "margin": "new", "weight": "new"},
                   order_col="row_no")
+
+
+def history_for_matrix(hist: DataFrame, as_of, weeks_back: int = 52, company: str | None = None,
+                       company_col: str = "company") -> DataFrame:
+    """SRC-9: history rows from ``weeks_back`` weeks before ``as_of`` (a parameter, not the
+    current date, so results are reproducible), optionally one company compared
+    case-insensitively (STR-10); newest first."""
+    out = hist.filter(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), 7 * weeks_back))
+    if company is not None:
+        out = out.filter(C.equals_ci(F.col(company_col), F.lit(company)))
+    return out.orderBy(F.col("day").desc(), F.col(company_col))

@@ -64,14 +64,17 @@ def weekly_of_week(t: Tables, year: int | None = None, week: int | None = None)
 
 
 def weekly_long(t: Tables, weekly: DataFrame | None = None, year: int | None = None,
-                week: int | None = None) -> DataFrame:
+                week: int | None = None, one_week: bool = False) -> DataFrame:
     """SRC-5: the week's facts as (company, company_code, site, week, concept, total) rows.
 
     JOIN-1 + RSH-1: one scan and one ``Expand`` instead of 18 union branches; nulls dropped
     except for the greens label. With a stored ``weekly`` table the week is selected from
     it; otherwise the week is bound straight from the lineitem scan.
     """
-    wk = select_week(weekly, year, week) if weekly is not None else weekly_of_week(t, year, week)
+    if weekly is None:
+        wk = weekly_of_week(t, year, week)
+    else:
+        wk = weekly if one_week else select_week(weekly, year, week)
     s = B.sites(t).select("site_id", F.col("name").alias("site"))
     c = B.companies(t).select("company_id", F.col("name").alias("company"), F.col("code").alias("company_code"))
     joined = wk.join(s, "site_id").join(F.broadcast(c), "company_id")
@@ -235,7 +238,7 @@ def matrix_inputs(t: Tables, year: int | None = None, week: int | None = None):
     """
     if year is None or week is None:
         rw = B.latest_run_week(t)
-        long = weekly_long(t, B.weekly(t, B.lineitem_for_weeks(t, rw, rw)))
+        long = weekly_long(t, B.weekly(t, B.lineitem_for_weeks(t, rw, rw)), one_week=True)
         return long, B.history(t, B.weekly(t, B.lineitem_for_weeks(t, rw - 51, rw)))
     return weekly_long(t, None, year, week), B.history(t)
 

@@ -29,6 +29,16 @@ class Tables:
             self._frames[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
         return self._frames[name]
 
+    def sql(self, query: str, args: dict | None = None) -> DataFrame:
+        """SRC-4: a parameterised SELECT over the tables (named markers ``:name``).
+
+        Tables referenced as ``{lineitem}``-style placeholders are passed as DataFrame
+        arguments, so no global temp view is registered; values go through ``args`` and are
+        never spliced into the text.
+        """
+        frames = {n: self.read(n) for n in TABLE_NAMES if "{" + n + "}" in query}
+        return self.spark.sql(query, args=args or {}, **frames)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
             return self.read(name)
