@@ -61,10 +61,6 @@ def fold(x: str) -> str:
 
 RUN_WEEK = "CAST(floor(datediff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) / 7) + 1 AS INTEGER)"
 
-def c2_inline(x: str) -> str:
-    return f"(round(CAST({x} AS DOUBLE) * 100.0) / 100.0)"
-
-
 WEEKLY_CTES = [
     ("li_c", f"""SELECT l_suppkey AS site_id, {RUN_WEEK} AS run_week, l_quantity,
        CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(round(l_discount * 100) AS BIGINT) AS disc,

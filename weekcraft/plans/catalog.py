@@ -563,8 +563,8 @@ def q_first_site_per_company(spark, sf_dir) -> DataFrame:
     """JOIN-8: per (company, normalised name) the site with the lowest id."""
     s = B.sites(_t(spark, sf_dir))
     norm = F.lower(C.clean_site_name(F.regexp_replace("name", "[0-9]$", "")))
-    out = MG.first_per_group(s.withColumn("company_id", F.col("company_id")), F.concat_ws("|", F.col("company_id").cast("string"), norm),
-                             "site_id", ["site_id", "company_id", "name"])
+    group = F.concat_ws("|", F.col("company_id").cast("string"), norm)
+    out = MG.first_per_group(s, group, "site_id", ["site_id", "company_id", "name"])
     return out.withColumnRenamed("_g", "group_key")
 
 

@@ -1,28 +1,36 @@
 """Incremental report arrival (STM-1): each new batch of daily facts is upserted into the
 daily table by key, so replaying a batch changes nothing and late data is just an upsert.
 
-``readStream`` over the drop folder -> ``foreachBatch`` -> keyed rewrite (MRG-1) ->
-staged rewrite of the table. Progress lives in the query's checkpoint location.
+``readStream`` over the drop folder -> ``foreachBatch`` -> keyed rewrite (MRG-1) of the
+day partitions the batch touches only -> staged copy on the shared checkpoint folder ->
+dynamic partition overwrite of those days. Progress lives in the query's checkpoint.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weekcraft.operators.merge import upsert, write_table
 from weekcraft.plans.daily import DAILY_KEY
+from weekcraft.session import materialize
 
 RULES = {"company_id": "keep", "category": "keep", "value": "new"}
+PARTITION = "day"
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, table_path: str) -> None:
-    """Upsert one micro-batch into the daily table at ``table_path``."""
+    """Upsert one micro-batch into the day-partitioned daily table at ``table_path``."""
+    days = [r[0] for r in batch.select(PARTITION).distinct().collect()]  # one batch: a few days
+    if not days:
+        return
     try:
-        current = spark.read.parquet(table_path)
-    except Exception:  # first batch: empty table
+        current = spark.read.parquet(table_path).filter(F.col(PARTITION).isin(*days))
+    except Exception:  # first batch: the table does not exist yet
         current = spark.createDataFrame([], batch.drop("row_no").schema)
-    result = upsert(current, batch, DAILY_KEY, RULES, order_col="row_no")
-    write_table(result, table_path)
+    touched = upsert(current, batch, DAILY_KEY, RULES, order_col="row_no")
+    # the new partitions are computed from the old files: stage them before the overwrite
+    write_table(materialize(touched, "daily-upsert"), table_path, partition_cols=[PARTITION])
 
 
 def start_daily_arrival(spark: SparkSession, source_dir: str, schema, table_path: str, checkpoint: str,
