@@ -20,7 +20,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.sql.parquet.timestampNTZ.enabled": "true",
 }
 
 
