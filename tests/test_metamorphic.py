@@ -117,3 +117,15 @@ def test_lockouts_against_brute_force(spark):
     got = sorted((r.user_id, pd.Timestamp(r.blocked_at), pd.Timestamp(r.blocked_until)) for r in lockouts(ev).collect())
     exp = _py_lockouts(ev.select("user_id", "ts", "event_id", "event_type").toPandas())
     assert got == exp and len(got) > 0
+
+
+def test_matrix_independent_of_input_order(spark):
+    """Row-order independence: a reshuffled lineitem gives the identical matrix."""
+    from weekcraft.plans import matrix as M
+    from weekcraft.sources.tables import Tables
+    a = Tables(spark, "/root/testdata/sf0.001")
+    b = Tables(spark, "/root/testdata/sf0.001")
+    b._frames["lineitem"] = b.lineitem.repartition(7, "l_orderkey").sortWithinPartitions(F.rand(3))
+    ra = sorted(map(tuple, M.weekly_matrix(a).collect()))
+    rb = sorted(map(tuple, M.weekly_matrix(b).collect()))
+    assert ra == rb

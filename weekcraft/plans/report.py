@@ -55,7 +55,6 @@ REPORT_CONCEPTS = [
     ("error", "(D) Costo ración vaca"),
     ("signup", "(E)  Porcentaje  leche no vendible"),
 ]
-REQUIRED_COLUMNS = ["empresa_cod", "establecimiento", "categoria", "concepto"]
 
 
 def pattern_target(concept_lower):

@@ -1,8 +1,11 @@
 """Login lock-outs (STM-3): 5 counted failures block the user for 5 minutes; a success
 clears the count; attempts while blocked are refused and not counted.
 
-The rule is a per-user state machine over time-ordered attempts. Batch: ``applyInPandas``
-per user over the (failure, success) events only, sorted by time inside the group.
+The rule is a per-user state machine over time-ordered attempts. Batch: attempts are
+hash-partitioned by user and sorted by (user, time) inside each partition, then
+``mapInPandas`` folds the Arrow batches in order carrying only the current user's two state
+values, so memory is one batch whatever the length of a user's history (no group is ever
+collected whole).
 Stream: ``applyInPandasWithState`` keeps two numbers per user (count, blocked_until), so
 state stays tiny whatever the stream length.
 """
@@ -48,12 +51,29 @@ def attempts(events: DataFrame, failure: str = "error", success: str = "signup")
 
 
 def lockouts(events: DataFrame) -> DataFrame:
-    def per_user(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks, _, _ = _fold(pdf)
-        uid = int(pdf["user_id"].iloc[0])
-        return pd.DataFrame([(uid, a, b, int(e)) for a, b, e in blocks],
-                            columns=["user_id", "blocked_at", "blocked_until", "attempt_no"])
-    return attempts(events).groupBy("user_id").applyInPandas(per_user, OUT_SCHEMA)
+    block = pd.Timedelta(minutes=BLOCK_MINUTES)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur, count, until = None, 0, None
+        for pdf in batches:
+            out = []
+            for uid, ts, ok, eid in zip(pdf["user_id"].to_numpy(), pdf["ts"], pdf["success"].to_numpy(),
+                                        pdf["event_id"].to_numpy()):
+                if uid != cur:
+                    cur, count, until = uid, 0, None
+                if until is not None and ts < until:
+                    continue
+                if ok:
+                    count, until = 0, None
+                    continue
+                count += 1
+                if count >= MAX_FAILURES:
+                    until = ts + block
+                    count = 0
+                    out.append((int(uid), ts, until, int(eid)))
+            yield pd.DataFrame(out, columns=["user_id", "blocked_at", "blocked_until", "attempt_no"])
+    ordered = attempts(events).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return ordered.mapInPandas(fold, OUT_SCHEMA)
 
 
 def lockout_stream(stream: DataFrame) -> DataFrame:
