@@ -129,3 +129,14 @@ def test_matrix_independent_of_input_order(spark):
     ra = sorted(map(tuple, M.weekly_matrix(a).collect()))
     rb = sorted(map(tuple, M.weekly_matrix(b).collect()))
     assert ra == rb
+
+
+def test_two_phase_rank_many_buckets_both_directions(spark):
+    rnd = random.Random(11)
+    rows = [(i, None if i % 17 == 0 else float(rnd.randint(0, 300)) / 4) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, v double")
+    for desc in (True, False):
+        order = F.col("v").desc_nulls_last() if desc else F.col("v").asc_nulls_last()
+        exp = {r.id: r.r for r in df.select("id", F.rank().over(Window.orderBy(order)).alias("r")).collect()}
+        got = {r.id: r.r for r in global_rank(df, "v", "r", descending=desc, buckets=97).collect()}
+        assert got == exp
