@@ -7,18 +7,17 @@ bounded by the number of weeks, not by the data volume.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekcraft.operators.aggregates import dec_avg_sql
 
 
-def _snap(s, decimals: int | None):
-    """Snap a windowed double sum back to its known decimal places (exact decimal total)."""
+def _snap_sql(s: str, decimals: int | None) -> str:
     if decimals is None:
         return s
-    f = float(10 ** decimals)
-    return F.round(s * f, 0) / f
+    f = f"{float(10 ** decimals)}D"
+    return f"(round({s} * {f}, 0) / {f})"
 
 
 def trailing_actual(hist: DataFrame, site_col: str = "site", week_col: str = "week",
@@ -43,28 +42,26 @@ def trailing_fixed(hist: DataFrame, site_col: str = "site", day_col: str = "day"
 
     Nulls add 0; with no earlier row the result is null. A ROWS frame per site.
     """
-    out = hist
+    exprs = []
     for n in spans:
-        w = Window.partitionBy(site_col).orderBy(day_col).rowsBetween(-n, -1)
-        cnt = F.count(F.lit(1)).over(w)
+        w = f"(PARTITION BY {site_col} ORDER BY {day_col} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
         for c in value_cols:
-            s = F.coalesce(_snap(F.sum(F.col(c).cast("double")).over(w), decimals), F.lit(0.0))
-            out = out.withColumn(f"{c}_{n}f", F.when(cnt > 0, s / n))
-    return out
+            total = _snap_sql(f"sum(CAST({c} AS DOUBLE)) OVER {w}", decimals)
+            exprs.append(f"CASE WHEN count(1) OVER {w} > 0 THEN coalesce({total}, 0.0D) / {n} END AS {c}_{n}f")
+    return hist.selectExpr("*", *exprs)
 
 
 def trailing_series(hist: DataFrame, site_col: str = "site", week_col: str = "week",
                     value_cols: tuple[str, ...] = ("margin", "weight"),
                     spans: tuple[int, ...] = (4, 52), decimals: int | None = 2) -> DataFrame:
     """Rolling n-week mean at every week: RANGE frame ``[week-n+1, week]`` (WIN-6)."""
-    out = hist
+    exprs = []
     for n in spans:
-        w = Window.partitionBy(site_col).orderBy(F.col(week_col)).rangeBetween(-(n - 1), 0)
+        w = f"(PARTITION BY {site_col} ORDER BY {week_col} RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
         for c in value_cols:
-            cnt = F.count(F.col(c)).over(w)
-            out = out.withColumn(f"{c}_{n}w",
-                                 F.when(cnt > 0, _snap(F.sum(F.col(c).cast("double")).over(w), decimals) / cnt))
-    return out
+            total = _snap_sql(f"sum(CAST({c} AS DOUBLE)) OVER {w}", decimals)
+            exprs.append(f"CASE WHEN count({c}) OVER {w} > 0 THEN {total} / count({c}) OVER {w} END AS {c}_{n}w")
+    return hist.selectExpr("*", *exprs)
 
 
 def last_write_wins(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
