@@ -8,7 +8,6 @@ in Spark 4, so dirty text is always parsed with ``try_*`` functions.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F

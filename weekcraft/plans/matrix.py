@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcraft.functions.clean import rnd, strip_ws
+from weekcraft.functions.clean import strip_ws
 from weekcraft.functions.concepts import (MATRIX_FROM_KEY, NULL_KEPT_MEASURE, WEEKLY_MEASURE_LABELS,
                                           attach_concept_key)
 from weekcraft.operators import aggregates as A
