@@ -145,3 +145,10 @@ def run_maintenance(logs: DataFrame, tables: dict[str, DataFrame], as_of: str, r
         n = df.count()
         rows.append((f"statistics_{name}", f"{n} rows", int((time.time() - t0) * 1000)))
     return spark.createDataFrame(rows, "task string, result string, duration_ms long")
+
+
+def weeks_by_date(hist: DataFrame, limit: int = 100) -> DataFrame:
+    """AGG-7 variant: rows and sites per (week, closing day), newest ``limit`` (top-k)."""
+    return (hist.groupBy("week", "day").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
+                                            F.count_distinct("site").cast("bigint").alias("sites"))
+                .orderBy(F.col("week").desc(), F.col("day").desc()).limit(limit))

@@ -685,3 +685,23 @@ def q_margin_rejects(spark, sf_dir) -> DataFrame:
     empty = (incoming.join(known, "site", "left_semi").filter(F.col("margin").isNull())
                      .withColumn("reason", F.lit("empty margin")))
     return unknown.unionByName(empty).select("site", "year", "week", "reason")
+
+
+HISTORY_COMPANY, HISTORY_WEEKS_BACK = "nation_7", 52
+
+
+@register("weeks_by_date")
+def q_weeks_by_date(spark, sf_dir) -> DataFrame:
+    """AGG-7 variant: history rows and sites per (week, closing day), newest 100."""
+    return AD.weeks_by_date(_hist(_t(spark, sf_dir)))
+
+
+@register("history_by_date")
+def q_history_by_date(spark, sf_dir) -> DataFrame:
+    """SRC-9 + STR-10: one company's history from 52 weeks before the last closing day."""
+    t = _t(spark, sf_dir)
+    h = (_hist(t).join(B.sites(t).select(F.col("name").alias("site"), "company_id"), "site")
+                 .join(F.broadcast(B.companies(t).select("company_id", F.col("name").alias("company"))), "company_id")
+                 .select("week", "day", "company", "site", "margin", "weight"))
+    as_of = h.agg(F.max("day")).first()[0]
+    return H.history_for_matrix(h, as_of, HISTORY_WEEKS_BACK, company=HISTORY_COMPANY)

@@ -631,3 +631,14 @@ ORACLE["margin_rejects"] = with_(*W, ("inc", """SELECT CASE WHEN w.site_id % 9 =
 SELECT site, year, week, 'unknown site' AS reason FROM inc WHERE site NOT IN (SELECT s_name FROM supplier)
 UNION ALL
 SELECT site, year, week, 'empty margin' FROM inc WHERE site IN (SELECT s_name FROM supplier) AND margin IS NULL""")
+
+from weekcraft.plans.catalog import HISTORY_COMPANY, HISTORY_WEEKS_BACK  # noqa: E402
+
+ORACLE["weeks_by_date"] = with_(*W, HISTORY_CTE, final="""
+SELECT week, day, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT site) AS BIGINT) AS sites
+FROM hist GROUP BY week, day ORDER BY week DESC, day DESC LIMIT 100""")
+
+ORACLE["history_by_date"] = with_(*W, HISTORY_CTE, ("hc", """SELECT h.week, h.day, n.n_name AS company, h.site, h.margin, h.weight
+FROM hist h JOIN supplier s ON s.s_name = h.site JOIN nation n ON n.n_nationkey = s.s_nationkey"""), final=f"""
+SELECT * FROM hc WHERE day >= (SELECT max(day) FROM hc) - {7 * HISTORY_WEEKS_BACK}
+  AND lower(company) = lower({q(HISTORY_COMPANY)})""")
