@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcraft.functions import clean as C
-from weekcraft.operators.aggregates import dec_avg, dec_sum, greens_weekly
+from weekcraft.operators.aggregates import dec_avg_sql, dec_sum, dec_sum_sql
 from weekcraft.plans.daily import daily_table
 from weekcraft.sources import bindings as B
 from weekcraft.sources.tables import Tables
@@ -200,13 +200,14 @@ def weekly_from_report(tagged: DataFrame) -> DataFrame:
                   .withColumn("target", pattern_target(F.lower("concept"))))
     aggs = []
     for tgt in WEEKLY_TARGETS + ["ms_pasture", "ms_green"]:
-        hit = F.col("target") == tgt
-        tot = dec_avg(F.when(hit, F.col("row_total")), 2)
-        cells = F.try_divide(dec_sum(F.when(hit, F.col("cell_sum")), 2), F.sum(F.when(hit, F.col("cell_cnt"))))
-        aggs.append(C.rnd(F.coalesce(tot, cells), 2).alias(tgt))
+        hit = f"target = '{tgt}'"
+        tot = dec_avg_sql(f"CASE WHEN {hit} THEN row_total END", 2)
+        cells = f"try_divide({dec_sum_sql(f'CASE WHEN {hit} THEN cell_sum END', 2)}, sum(CASE WHEN {hit} THEN cell_cnt END))"
+        aggs.append(F.expr(f"round(coalesce({tot}, {cells}) * 100.0D, 0) / 100.0D AS {tgt}"))
     w = rows.groupBy("company", "site", "year", "week").agg(*aggs)
-    return (w.withColumn("greens", C.rnd(greens_weekly("ms_pasture", "ms_green"), 2))
-             .drop("ms_pasture", "ms_green"))
+    greens = ("CASE WHEN ms_pasture IS NOT NULL OR ms_green IS NOT NULL "
+              "THEN coalesce(ms_pasture, 0.0D) + coalesce(ms_green, 0.0D) END")
+    return w.selectExpr("*", f"round(({greens}) * 100.0D, 0) / 100.0D AS greens").drop("ms_pasture", "ms_green")
 
 
 def report_rows(tagged: DataFrame) -> DataFrame:
