@@ -44,3 +44,22 @@ def test_session_stream_runs(spark, tables):
     q.awaitTermination()
     n = spark.sql("SELECT count(*) AS n FROM sess_out").first()["n"]
     assert n >= 0
+
+
+def test_lockout_stream_equals_batch(spark):
+    from weekcraft.sources.tables import Tables
+    from weekcraft.streaming.lockouts import lockout_stream, lockouts
+    ev = Tables(spark, "/root/testdata/sf0.01").events.select("event_id", "ts", "user_id", "event_type")
+    base = tempfile.mkdtemp(prefix="weekcraft-lock-")
+    mid = ev.agg(F.expr("percentile_approx(unix_micros(CAST(ts AS TIMESTAMP)), 0.5)")).first()[0]
+    early = F.expr(f"unix_micros(CAST(ts AS TIMESTAMP)) < {mid}")
+    ev.filter(early).coalesce(1).write.parquet(os.path.join(base, "in", "a"))
+    ev.filter(~early).coalesce(1).write.parquet(os.path.join(base, "in", "b"))
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .parquet(os.path.join(base, "in", "*")))
+    q = (lockout_stream(stream).writeStream.format("memory").queryName("lock_out").outputMode("append")
+         .option("checkpointLocation", os.path.join(base, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.sql("SELECT user_id, blocked_at, blocked_until FROM lock_out").collect()))
+    exp = sorted(map(tuple, lockouts(ev).select("user_id", "blocked_at", "blocked_until").collect()))
+    assert got == exp and len(exp) > 0

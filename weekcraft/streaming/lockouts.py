@@ -77,7 +77,9 @@ def lockouts(events: DataFrame) -> DataFrame:
 
 
 def lockout_stream(stream: DataFrame) -> DataFrame:
-    """Streaming form: per-user state (count, blocked_until as epoch micros)."""
+    """Streaming form: per-user state (count, blocked_until as epoch micros). Attempts of a
+    user are assumed to arrive in time order across micro-batches (within a batch they are
+    sorted)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -85,12 +87,12 @@ def lockout_stream(stream: DataFrame) -> DataFrame:
         if state.exists:
             c, u = state.get
             count, until = int(c), (pd.Timestamp(u, unit="us") if u is not None and u >= 0 else None)
-        rows = []
-        for pdf in pdfs:
-            blocks, count, until = _fold(pdf, count, until)
-            rows += [(int(key[0]), a, b, int(e)) for a, b, e in blocks]
+        # one micro-batch of one user: chunks arrive in no particular order, so sort them together
+        batch = pd.concat(list(pdfs), ignore_index=True)
+        blocks, count, until = _fold(batch, count, until)
         state.update((count, -1 if until is None else int(until.value // 1000)))
-        yield pd.DataFrame(rows, columns=["user_id", "blocked_at", "blocked_until", "attempt_no"])
+        yield pd.DataFrame([(int(key[0]), a, b, int(e)) for a, b, e in blocks],
+                           columns=["user_id", "blocked_at", "blocked_until", "attempt_no"])
     return (attempts(stream).groupBy("user_id")
                             .applyInPandasWithState(fn, OUT_SCHEMA, "count long, until long", "append",
                                                     GroupStateTimeout.NoTimeout))
