@@ -140,3 +140,22 @@ def test_two_phase_rank_many_buckets_both_directions(spark):
         exp = {r.id: r.r for r in df.select("id", F.rank().over(Window.orderBy(order)).alias("r")).collect()}
         got = {r.id: r.r for r in global_rank(df, "v", "r", descending=desc, buckets=97).collect()}
         assert got == exp
+
+
+def test_sessions_chain_across_days(spark):
+    """Sessions that continue over several midnights, single-partial days in the middle of a
+    chain, and days with several partials — all against brute force."""
+    import datetime as dt
+    from weekcraft.streaming.sessions import sessions
+    t0 = dt.datetime(2024, 1, 1, 20, 0)
+    rows = [(1, t0 + dt.timedelta(minutes=50 * i)) for i in range(90)]            # ~3 days nonstop
+    rows += [(2, dt.datetime(2024, 1, d, 23, 40)) for d in range(1, 6)]          # one event a day
+    rows += [(2, dt.datetime(2024, 1, d, 0, 20)) for d in range(2, 7)]           # just after midnight
+    rows += [(3, dt.datetime(2024, 1, 3, h, 0)) for h in (1, 5, 9, 23)] + [(3, dt.datetime(2024, 1, 4, 0, 30))]
+    rows += [(4, dt.datetime(2024, 1, 10, 12, 0)), (4, dt.datetime(2024, 1, 10, 13, 0))]  # gap exactly 60
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz")
+    pdf = df.toPandas()
+    for gap in (60, 360):
+        got = sorted((r.user_id, pd.Timestamp(r.session_start), pd.Timestamp(r.session_end), r.n_events)
+                     for r in sessions(df, gap).collect())
+        assert got == _py_sessions(pdf, gap)

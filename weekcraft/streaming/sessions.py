@@ -1,10 +1,12 @@
 """Inactivity sessions (STM-2): a session ends after ``gap`` idle minutes; a gap of exactly
 ``gap`` continues the session (the reference's idle test is strictly greater).
 
-Batch plan in two levels so a hot user is split before any per-user step:
+Batch plan, exact, with no per-user step over events or sessions:
 1. ``session_window`` inside (user, day) groups -> partial sessions (start, end, count);
-2. per user, consecutive partials closer than the gap are merged (a window over the
-   partial sessions, which are far fewer than events).
+2. a per-(user, day) table decides whether each day's first partial continues the previous
+   active day's last one; the session start in force is carried over days with a running
+   max (per-user windows over active days only: bounded by the calendar, not by activity);
+3. partials are keyed by their session start and aggregated by (user, key).
 The streaming form is the native ``session_window`` aggregation with a watermark.
 """
 
@@ -16,18 +18,33 @@ from pyspark.sql import functions as F
 
 def sessions(events: DataFrame, gap_minutes: int, user_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
     gap = f"{gap_minutes} minutes"
-    part = (events.groupBy(user_col, F.date_trunc("day", F.col(ts_col)).alias("_day"),
+    u = user_col
+    # 1. partial sessions inside each (user, day): maximal within the day
+    part = (events.groupBy(u, F.date_trunc("day", F.col(ts_col)).alias("_day"),
                            F.session_window(ts_col, gap).alias("_sw"))
                   .agg(F.min(ts_col).alias("_s"), F.max(ts_col).alias("_e"), F.count(F.lit(1)).alias("_n")))
-    w = Window.partitionBy(user_col).orderBy("_s", "_e")
-    prev_end = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(prev_end.isNull() | (F.col("_s") > prev_end + F.expr(f"INTERVAL {gap_minutes} MINUTES")), 1).otherwise(0)
-    sid = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return (part.withColumn("_new", new).withColumn("_sid", sid)
-                .groupBy(user_col, "_sid")
-                .agg(F.min("_s").alias("session_start"), F.max("_e").alias("session_end"),
-                     F.sum("_n").cast("bigint").alias("n_events"))
-                .select(user_col, F.lit(gap_minutes).alias("gap_minutes"), "session_start", "session_end", "n_events"))
+    # 2. per (user, day): does the day's first partial continue the previous active day's
+    #    last partial, and which session start ("anchor") is in force at the end of the day.
+    #    The per-user windows run over active days only, never over events or sessions.
+    days = part.groupBy(u, "_day").agg(F.min("_s").alias("_fs"), F.max("_s").alias("_ls"),
+                                       F.max("_e").alias("_le"), F.count(F.lit(1)).alias("_np"))
+    w = Window.partitionBy(u).orderBy("_day")
+    prev_end = F.lag("_le").over(w)
+    cont = prev_end.isNotNull() & (F.col("_fs") <= prev_end + F.expr(f"INTERVAL {gap_minutes} MINUTES"))
+    days = days.withColumn("_cont", cont)
+    anchor = (F.when(F.col("_np") > 1, F.col("_ls"))
+               .when(~F.col("_cont"), F.col("_fs")))            # null: a continued single-partial day
+    days = days.withColumn("_anchor", anchor)
+    inherited = F.max("_anchor").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(u, "_day", "_fs", F.when(F.col("_cont"), inherited).otherwise(F.col("_fs")).alias("_fkey"))
+    # 3. every partial gets its session key (its own start, or the inherited start for a
+    #    continuing first partial) and sessions are aggregated by (user, key)
+    keyed = (part.join(days, [u, "_day"])
+                 .withColumn("_key", F.when(F.col("_s") == F.col("_fs"), F.col("_fkey")).otherwise(F.col("_s"))))
+    return (keyed.groupBy(u, "_key")
+                 .agg(F.min("_s").alias("session_start"), F.max("_e").alias("session_end"),
+                      F.sum("_n").cast("bigint").alias("n_events"))
+                 .select(u, F.lit(gap_minutes).alias("gap_minutes"), "session_start", "session_end", "n_events"))
 
 
 def session_stream(stream: DataFrame, gap_minutes: int, watermark: str = "2 hours",
