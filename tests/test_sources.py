@@ -58,3 +58,31 @@ def test_sinks(spark, tables):
     S.append_log(spark, os.path.join(d, "logs"), {"file": "r.csv", "status": "exito", "processed": 3})
     S.append_log(spark, os.path.join(d, "logs"), {"file": "r2.csv", "status": "error", "processed": 0})
     assert spark.read.parquet(os.path.join(d, "logs")).count() == 2
+
+
+def test_typed_read_and_site_export(spark, tables):
+    from pyspark.sql import types as T
+    from weekcraft.plans import daily as D
+    d = tempfile.mkdtemp(prefix="weekcraft-typed-")
+    path = _write("a,b\n1,2.5\n2,x\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.DoubleType())])
+    rows = S.read_typed(spark, path, schema).collect()
+    assert rows[0].a == 1 and rows[0].b == 2.5 and rows[1].b is None
+    detail = D.daily_detail(tables, None, is_admin=True)
+    S.write_daily_by_site(detail, os.path.join(d, "detail"))
+    sites = {p for p in os.listdir(os.path.join(d, "detail")) if p.startswith("site=")}
+    assert len(sites) == detail.select("site").distinct().count()
+
+
+def test_history_header_mapping():
+    from weekcraft.plans.history import first_present, map_headers
+    m = map_headers(["N° Semana", "Fecha", "(A) Vacas en ordeña", "Vacas masa", "(I) MDAT", "Empresa",
+                     "Precio de la leche", "Porcentaje costo alimentos", "Carga animal", "Otra cosa"])
+    assert m["N° Semana"] == "semana" and m["(A) Vacas en ordeña"] == "vacas_en_ordena"
+    assert m["Vacas masa"] == "vacas_masa" and m["(I) MDAT"] == "mdat" and m["Empresa"] == "establecimiento"
+    assert m["Precio de la leche"] == "precio_leche" and m["Carga animal"] == "carga_animal"
+    assert "Otra cosa" not in m
+    assert first_present(["x", "(I) MDAT"]) == "(I) MDAT"
+    import pytest
+    with pytest.raises(KeyError):
+        first_present(["x"])
