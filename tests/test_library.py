@@ -85,3 +85,15 @@ def test_history_for_matrix(spark, tables):
     out = history_for_matrix(h, last, 4, company="nation_3").collect()
     assert out and all(r.company == "NATION_3" for r in out)
     assert all(r.day >= last - dt.timedelta(days=28) for r in out)
+
+
+def test_delete_period_facts(spark):
+    w = spark.createDataFrame([(1, dt.date(2024, 1, 1), dt.date(2024, 1, 7)), (2, dt.date(2024, 1, 8), dt.date(2024, 1, 14))],
+                              "site_id long, period_start date, period_end date")
+    d = spark.createDataFrame([(1, dt.date(2024, 1, 3), "x", 1.0), (1, dt.date(2024, 1, 9), "x", 2.0),
+                               (2, dt.date(2024, 1, 3), "x", 3.0)], "site_id long, day date, concept string, value double")
+    kw, kd = MG.delete_period_facts(w, d, "2024-01-01", "2024-01-07")
+    assert [r.site_id for r in kw.collect()] == [2]
+    assert sorted((r.site_id, r.value) for r in kd.collect()) == [(1, 2.0), (2, 3.0)]
+    _, kd_all = MG.delete_period_facts(w, d, "2024-01-01", "2024-01-07", all_days=True)
+    assert sorted(r.value for r in kd_all.collect()) == [3.0]

@@ -165,3 +165,19 @@ def stamp_updated(df: DataFrame, changed_col: str, updated_col: str, now) -> Dat
     """UPD-2: ``updated_at`` set to ``now`` only on rows the upsert changed or inserted."""
     keep = F.col(updated_col) if updated_col in df.columns else F.lit(None).cast("timestamp")
     return df.withColumn(updated_col, F.when(F.col(changed_col), F.lit(now)).otherwise(keep)).drop(changed_col)
+
+
+def delete_period_facts(weekly: DataFrame, daily: DataFrame, period_start, period_end,
+                        all_days: bool = False) -> tuple[DataFrame, DataFrame]:
+    """DEL-1: remove the weekly rows of one period and the daily rows of that period's sites
+    whose day lies inside the period. ``all_days=True`` is the reference's wider form (every
+    daily row of those sites). Returns (weekly, daily) after the delete."""
+    in_period = (F.col("period_start") == F.lit(period_start).cast("date")) & \
+                (F.col("period_end") == F.lit(period_end).cast("date"))
+    doomed_sites = weekly.filter(in_period).select("site_id").distinct()
+    kept_weekly = weekly.filter(~in_period)
+    hit = daily.join(doomed_sites, "site_id", "left_semi")
+    if not all_days:
+        hit = hit.filter(F.col("day").between(F.lit(period_start).cast("date"), F.lit(period_end).cast("date")))
+    keys = ["site_id", "day", "concept"]
+    return kept_weekly, daily.join(hit.select(*keys), keys, "left_anti")
