@@ -575,9 +575,12 @@ def _period_keys(t):
 @register("delete_period")
 def q_delete_period(spark, sf_dir) -> DataFrame:
     """DEL-1: remove the weekly rows of one period (and the period's daily rows of its sites)."""
-    w = _period_keys(_t(spark, sf_dir))
-    doomed = w.filter(F.col("run_week") == PERIOD_RUN_WEEK)
-    return MG.delete_where(w, doomed, ["period_start", "period_end"]).select("site_id", "year", "week")
+    import datetime as _dt
+    t = _t(spark, sf_dir)
+    start = _dt.date.fromisoformat(B.WEEK_EPOCH) + _dt.timedelta(days=7 * (PERIOD_RUN_WEEK - 1))
+    end = start + _dt.timedelta(days=6)
+    weekly, _daily = MG.delete_period_facts(_period_keys(t), D.daily_table(t), start.isoformat(), end.isoformat())
+    return weekly.select("site_id", "year", "week")
 
 
 @register("delete_latest_period")
