@@ -642,3 +642,27 @@ ORACLE["history_by_date"] = with_(*W, HISTORY_CTE, ("hc", """SELECT h.week, h.da
 FROM hist h JOIN supplier s ON s.s_name = h.site JOIN nation n ON n.n_nationkey = s.s_nationkey"""), final=f"""
 SELECT * FROM hc WHERE day >= (SELECT max(day) FROM hc) - {7 * HISTORY_WEEKS_BACK}
   AND lower(company) = lower({q(HISTORY_COMPANY)})""")
+
+# --------------------------------------------------------------------------- lock-outs (recursive walk per user)
+from weekcraft.streaming.lockouts import BLOCK_MINUTES, MAX_FAILURES  # noqa: E402
+
+_IGN = "(st.until IS NOT NULL AND a.ts < st.until)"
+ORACLE["lockouts"] = f"""
+WITH RECURSIVE a AS (
+  SELECT user_id, ts, event_id, event_type = 'signup' AS ok,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events WHERE event_type IN ('error', 'signup')),
+st AS (
+  SELECT user_id, rn, ts, event_id,
+         CASE WHEN ok THEN 0 WHEN 1 >= {MAX_FAILURES} THEN 0 ELSE 1 END AS cnt,
+         CASE WHEN NOT ok AND 1 >= {MAX_FAILURES} THEN ts + INTERVAL {BLOCK_MINUTES} MINUTE END AS until,
+         (NOT ok AND 1 >= {MAX_FAILURES}) AS blocked
+  FROM a WHERE rn = 1
+  UNION ALL
+  SELECT a.user_id, a.rn, a.ts, a.event_id,
+         CASE WHEN {_IGN} THEN st.cnt WHEN a.ok THEN 0 WHEN st.cnt + 1 >= {MAX_FAILURES} THEN 0 ELSE st.cnt + 1 END,
+         CASE WHEN {_IGN} THEN st.until WHEN a.ok THEN NULL
+              WHEN st.cnt + 1 >= {MAX_FAILURES} THEN a.ts + INTERVAL {BLOCK_MINUTES} MINUTE ELSE st.until END,
+         (NOT {_IGN}) AND NOT a.ok AND st.cnt + 1 >= {MAX_FAILURES}
+  FROM st JOIN a ON a.user_id = st.user_id AND a.rn = st.rn + 1)
+SELECT user_id, ts AS blocked_at, until AS blocked_until, event_id AS attempt_no FROM st WHERE blocked"""
