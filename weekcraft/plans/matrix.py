@@ -234,12 +234,17 @@ def matrix_inputs(t: Tables, year: int | None = None, week: int | None = None):
     For the latest week every body site has data in that week, so its own anchor week
     (WIN-4) is the latest week and only weeks [latest-51, latest] can reach its 4/52-week
     means: the history is bound from that ship-date range (pushed to the scan) instead of
-    all years. For a past week, anchors may be later weeks, so the whole history is read.
+    all years, aggregated once and shared with the week's rows. For a past week, anchors
+    may be later weeks, so the whole history is read.
     """
     if year is None or week is None:
+        from weekcraft.session import materialize
         rw = B.latest_run_week(t)
-        long = weekly_long(t, B.weekly(t, B.lineitem_for_weeks(t, rw, rw)), one_week=True)
-        return long, B.history(t, B.weekly(t, B.lineitem_for_weeks(t, rw - 51, rw)))
+        # one lineitem pass aggregates the 52 weeks; the small result (sites x 52 rows) is
+        # written once and feeds both the matrix week and the history
+        wk52 = materialize(B.weekly(t, B.lineitem_for_weeks(t, rw - 51, rw)), "weekly-52w")
+        long = weekly_long(t, wk52.filter(F.col("run_week") == rw), one_week=True)
+        return long, B.history(t, wk52)
     return weekly_long(t, None, year, week), B.history(t)
 
 
