@@ -43,10 +43,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged table rewrites.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder and is used
-    as is. Only when it is unset (tests, local runs) a private scratch folder is created.
+    On a cluster the folder named by ``spark.checkpoint.dir`` (or set with
+    ``SparkContext.setCheckpointDir``) is shared storage and is used as is. Only when
+    neither is set (tests, local runs) a private scratch folder is created.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="weekcraft-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
