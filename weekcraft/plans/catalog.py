@@ -13,6 +13,20 @@ from weekcraft.functions.clean import rnd
 from weekcraft.plans import matrix as M
 from weekcraft.sources import bindings as B
 from weekcraft.sources.tables import Tables
+from weekcraft.functions import clean as C
+from weekcraft.functions.concepts import attach_concept_key
+from weekcraft.operators import aggregates as A
+from weekcraft.operators.rank import global_rank, global_ranks
+from weekcraft.operators.windows import trailing_actual, trailing_fixed, trailing_series
+from weekcraft.session import materialize
+from weekcraft.operators.security import visible_sites
+from weekcraft.plans import daily as D
+from weekcraft.plans import report as R
+from weekcraft.plans import admin as AD
+from weekcraft.operators import merge as MG
+from weekcraft.plans import history as H
+from weekcraft.streaming.lockouts import lockouts as _lockouts
+from weekcraft.streaming.sessions import sessions as _sessions
 
 QUERIES: dict = {}
 
@@ -42,12 +56,6 @@ def q_weekly_long(spark, sf_dir) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- weekly fact family
-from weekcraft.functions import clean as C  # noqa: E402
-from weekcraft.functions.concepts import attach_concept_key  # noqa: E402
-from weekcraft.operators import aggregates as A  # noqa: E402
-from weekcraft.operators.rank import global_rank, global_ranks  # noqa: E402
-from weekcraft.operators.windows import trailing_actual, trailing_fixed, trailing_series  # noqa: E402
-from weekcraft.session import materialize  # noqa: E402
 
 
 def _round_doubles(df: DataFrame) -> DataFrame:
@@ -203,9 +211,6 @@ def q_weekly_matrix_selected(spark, sf_dir) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- daily facts and security
-from weekcraft.operators.security import visible_sites  # noqa: E402
-from weekcraft.plans import daily as D  # noqa: E402
-from weekcraft.plans import report as R  # noqa: E402
 
 DETAIL_USER, SECURED_USER = 1, 2
 DETAIL_CATEGORIES = ["activity", "sales"]
@@ -380,7 +385,6 @@ def q_week_fallback_date(spark, sf_dir) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- administration
-from weekcraft.plans import admin as AD  # noqa: E402
 
 LOG_TYPES, LOG_STATUSES = ["weekly"], []
 DETAIL_WEEK = 100
@@ -448,7 +452,6 @@ def q_distinct_values(spark, sf_dir) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- upserts, deletes, moves
-from weekcraft.operators import merge as MG  # noqa: E402
 
 MARGIN_DEFAULT_YEAR = 2025
 RETENTION_AS_OF, RETENTION_DAYS = "2001-08-01", 90
@@ -630,7 +633,6 @@ def q_retention(spark, sf_dir) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- history report load
-from weekcraft.plans import history as H  # noqa: E402
 
 
 @register("history_load")
@@ -647,8 +649,6 @@ def q_history_rejects(spark, sf_dir) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- sessions and lock-outs (batch twins)
-from weekcraft.streaming.lockouts import lockouts as _lockouts  # noqa: E402
-from weekcraft.streaming.sessions import sessions as _sessions  # noqa: E402
 
 SESSION_GAPS = [60, 360]
 

@@ -3,6 +3,21 @@
 from __future__ import annotations
 
 from weekcraft.oracle import WEEKLY_CTES, long_ctes, r6, weekly_matrix_sql, with_
+from weekcraft.functions.concepts import WEEKLY_MEASURE_LABELS
+from weekcraft.oracle import DICT_CTES, HISTORY_CTE, MATRIX_OUT, davg, dsum, fold, matrix_ctes, q, snap, wa
+from weekcraft.plans.matrix import (FLOAT_COLUMNS, HIGH_IS_GOOD, INT_COLUMNS, LOW_IS_GOOD, MONEY_COLUMNS,
+                                    PCT_COLUMNS)
+from weekcraft.plans.catalog import DETAIL_CATEGORIES, DETAIL_USER, SECURED_USER
+from weekcraft.plans.report import REPORT_CONCEPTS, WEEKLY_PATTERNS, WEEKLY_TARGETS
+from weekcraft.plans.admin import STATUS_DEFAULT, STATUS_SYMBOLS
+from weekcraft.plans.catalog import DETAIL_WEEK
+from weekcraft.plans.catalog import (CASCADE_COMPANY, MARGIN_DEFAULT_YEAR, PERIOD_RUN_WEEK,
+                                     RETENTION_AS_OF, RETENTION_DAYS)
+from weekcraft.plans.history import REASON_NO_SITE, REASON_NO_WEEK
+from weekcraft.plans.catalog import SESSION_GAPS
+from weekcraft.oracle import matrix_select
+from weekcraft.plans.catalog import HISTORY_COMPANY, HISTORY_WEEKS_BACK
+from weekcraft.streaming.lockouts import BLOCK_MINUTES, MAX_FAILURES
 
 ORACLE: dict[str, str] = {}
 
@@ -11,10 +26,6 @@ ORACLE["weekly_matrix"] = weekly_matrix_sql()
 ORACLE["weekly_long"] = with_(*WEEKLY_CTES, *long_ctes(), final=f"""
 SELECT company, company_code, site, CAST(week AS INTEGER) AS week, concept, {r6('total', 'total')} FROM long""")
 
-from weekcraft.functions.concepts import WEEKLY_MEASURE_LABELS  # noqa: E402
-from weekcraft.oracle import DICT_CTES, HISTORY_CTE, MATRIX_OUT, davg, dsum, fold, matrix_ctes, q, snap, wa  # noqa: E402
-from weekcraft.plans.matrix import (FLOAT_COLUMNS, HIGH_IS_GOOD, INT_COLUMNS, LOW_IS_GOOD, MONEY_COLUMNS,  # noqa: E402
-                                    PCT_COLUMNS)
 
 W = WEEKLY_CTES
 
@@ -169,8 +180,6 @@ ORACLE["weekly_matrix_selected"] = weekly_matrix_sql(
     site_filter=f"site IN ({_CFG}) OR (SELECT count(*) FROM long WHERE site IN ({_CFG})) = 0")
 
 # --------------------------------------------------------------------------- daily facts and reports
-from weekcraft.plans.catalog import DETAIL_CATEGORIES, DETAIL_USER, SECURED_USER  # noqa: E402
-from weekcraft.plans.report import REPORT_CONCEPTS, WEEKLY_PATTERNS, WEEKLY_TARGETS  # noqa: E402
 
 DAILY_CTES = [
     ("ev", """SELECT user_id AS site_id, CAST(user_id % 25 AS INTEGER) AS company_id, CAST(ts AS DATE) AS day,
@@ -384,8 +393,6 @@ FROM (SELECT *, CAST(week(CAST(o_orderdate AS DATE)) AS INTEGER) AS week,
              DATE '2025-01-01' + CAST((week(CAST(o_orderdate AS DATE)) - 1) * 7 AS INTEGER) AS fb FROM orders)"""
 
 # --------------------------------------------------------------------------- administration
-from weekcraft.plans.admin import STATUS_DEFAULT, STATUS_SYMBOLS  # noqa: E402
-from weekcraft.plans.catalog import DETAIL_WEEK  # noqa: E402
 
 LOGS_CTE = ("logs", """SELECT o_orderkey AS log_id, o_custkey AS user_id,
        CASE WHEN o_orderkey % 2 = 0 THEN 'weekly' ELSE 'history' END AS file_type,
@@ -462,8 +469,6 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT 'concept', concept FROM dt)""")
 
 # --------------------------------------------------------------------------- upserts, deletes, moves
-from weekcraft.plans.catalog import (CASCADE_COMPANY, MARGIN_DEFAULT_YEAR, PERIOD_RUN_WEEK,  # noqa: E402
-                                     RETENTION_AS_OF, RETENTION_DAYS)
 
 ORACLE["upsert_daily"] = with_(DAILY_CTES[0], (
     "old", """SELECT site_id, day, concept, min_by(company_id, row_no) AS company_id, min_by(category, row_no) AS category,
@@ -558,7 +563,6 @@ SELECT CAST(count(*) FILTER (WHERE loaded_at < DATE '{RETENTION_AS_OF}' - {RETEN
        CAST(count(*) FILTER (WHERE NOT (loaded_at < DATE '{RETENTION_AS_OF}' - {RETENTION_DAYS})) AS BIGINT) AS kept FROM logs""")
 
 # --------------------------------------------------------------------------- history report load
-from weekcraft.plans.history import REASON_NO_SITE, REASON_NO_WEEK  # noqa: E402
 
 
 def safe_int_sql(x):
@@ -599,7 +603,6 @@ SELECT week, site, max_by(day, row_no) AS day, max_by(margin, row_no) AS margin,
 FROM filled GROUP BY week, site""")
 
 # --------------------------------------------------------------------------- sessions
-from weekcraft.plans.catalog import SESSION_GAPS  # noqa: E402
 
 
 def _sess(g):
@@ -615,7 +618,6 @@ GROUP BY user_id, sid"""
 ORACLE["sessions"] = "\nUNION ALL\n".join(_sess(g) for g in SESSION_GAPS)
 
 # --------------------------------------------------------------------------- report matrix, margin rejects
-from weekcraft.oracle import matrix_select  # noqa: E402
 
 _EMPTY_HIST = ("hist", """SELECT CAST(NULL AS INTEGER) AS week, CAST(NULL AS DATE) AS day, CAST(NULL AS VARCHAR) AS site,
        CAST(NULL AS DOUBLE) AS margin, CAST(NULL AS DOUBLE) AS weight WHERE FALSE""")
@@ -632,7 +634,6 @@ SELECT site, year, week, 'unknown site' AS reason FROM inc WHERE site NOT IN (SE
 UNION ALL
 SELECT site, year, week, 'empty margin' FROM inc WHERE site IN (SELECT s_name FROM supplier) AND margin IS NULL""")
 
-from weekcraft.plans.catalog import HISTORY_COMPANY, HISTORY_WEEKS_BACK  # noqa: E402
 
 ORACLE["weeks_by_date"] = with_(*W, HISTORY_CTE, final="""
 SELECT week, day, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT site) AS BIGINT) AS sites
@@ -644,7 +645,6 @@ SELECT * FROM hc WHERE day >= (SELECT max(day) FROM hc) - {7 * HISTORY_WEEKS_BAC
   AND lower(company) = lower({q(HISTORY_COMPANY)})""")
 
 # --------------------------------------------------------------------------- lock-outs (recursive walk per user)
-from weekcraft.streaming.lockouts import BLOCK_MINUTES, MAX_FAILURES  # noqa: E402
 
 _IGN = "(st.until IS NOT NULL AND a.ts < st.until)"
 ORACLE["lockouts"] = f"""
