@@ -159,3 +159,36 @@ def test_sessions_chain_across_days(spark):
         got = sorted((r.user_id, pd.Timestamp(r.session_start), pd.Timestamp(r.session_end), r.n_events)
                      for r in sessions(df, gap).collect())
         assert got == _py_sessions(pdf, gap)
+
+
+def test_lockouts_tricky_sequences(spark):
+    """Successes inside a block are ignored (so they are not reset points), a success right
+    at block expiry resets, equal timestamps order by event id, counts carry over midnight."""
+    import datetime as dt
+    from weekcraft.streaming.lockouts import lockouts
+    base = dt.datetime(2024, 1, 1, 23, 50)
+    ev = []
+    eid = 0
+
+    def add(user, minutes, kind):
+        nonlocal eid
+        eid += 1
+        ev.append((eid, base + dt.timedelta(minutes=minutes), user, kind))
+    for m in (0, 1, 2, 3, 4):        # user 1: block at 23:54 until 23:59
+        add(1, m, "error")
+    add(1, 6, "signup")               # inside the block: ignored
+    for m in (7, 8, 9):                # ignored too (still blocked until 23:59)
+        add(1, m, "error")
+    add(1, 9, "signup")               # at 23:59 = block end: effective reset
+    for m in (20, 21, 22, 23, 24):     # after midnight: a new block
+        add(1, m, "error")
+    for m in (0, 0, 0, 0):            # user 2: four failures at the same instant ...
+        add(2, m, "error")
+    add(2, 0, "signup")               # ... then a success with the same timestamp resets
+    for m in (30, 31, 32, 33):        # four more: no block
+        add(2, m, "error")
+    add(2, 400, "error")              # fifth counted failure hours later (over midnight): block
+    df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    got = sorted((r.user_id, pd.Timestamp(r.blocked_at)) for r in lockouts(df).collect())
+    exp = sorted((u, t) for u, t, _ in _py_lockouts(df.toPandas()))
+    assert got == exp and len(exp) == 3

@@ -1,11 +1,11 @@
 """Login lock-outs (STM-3): 5 counted failures block the user for 5 minutes; a success
 clears the count; attempts while blocked are refused and not counted.
 
-The rule is a per-user state machine over time-ordered attempts. Batch: attempts are
-hash-partitioned by user and sorted by (user, time) inside each partition, then
-``mapInPandas`` folds the Arrow batches in order carrying only the current user's two state
-values, so memory is one batch whatever the length of a user's history (no group is ever
-collected whole).
+The rule is a per-user state machine over time-ordered attempts. Batch: each user's
+attempts are cut at provable reset points (``reset_segments``); segments are
+hash-partitioned by (user, segment), sorted inside partitions, and ``mapInPandas`` folds
+the Arrow batches in order carrying two state values, so a busy user is spread over many
+tasks and memory is one batch (no group is ever collected whole).
 Stream: ``applyInPandasWithState`` keeps two numbers per user (count, blocked_until), so
 state stays tiny whatever the stream length.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's rule.
@@ -50,6 +50,34 @@ def attempts(events: DataFrame, failure: str = "error", success: str = "signup")
                   .select("user_id", "ts", "event_id", (F.col("event_type") == success).alias("success")))
 
 
+def reset_segments(att: DataFrame) -> DataFrame:
+    """Split each user's attempts at provable reset points.
+
+    A success whose previous attempt (by the same user) is more than BLOCK_MINUTES earlier
+    cannot fall inside a block, so the state after it is (0, none) whatever came before;
+    every later attempt up to the next such point forms an independent segment. The
+    previous attempt and the latest reset point are found with windows per (user, day),
+    plus a per-user window over active days (bounded by the calendar, not by activity).
+    """
+    u = "user_id"
+    a = att.withColumn("_day", F.date_trunc("day", "ts"))
+    wd = Window.partitionBy(u, "_day").orderBy("ts", "event_id")
+    wdays = Window.partitionBy(u).orderBy("_day")
+    a = a.withColumn("_prev", F.lag("ts").over(wd))
+    days = a.groupBy(u, "_day").agg(F.max("ts").alias("_last"))
+    days = days.withColumn("_prev_day_last", F.lag("_last").over(wdays))
+    a = a.join(days.select(u, "_day", "_prev_day_last"), [u, "_day"])
+    prev = F.coalesce(F.col("_prev"), F.col("_prev_day_last"))
+    safe = F.col("success") & (prev.isNull() | (prev < F.col("ts") - F.expr(f"INTERVAL {BLOCK_MINUTES} MINUTES")))
+    a = a.withColumn("_safe", F.when(safe, F.struct("ts", "event_id")))
+    within = F.max("_safe").over(wd.rowsBetween(Window.unboundedPreceding, 0))
+    dsafe = a.groupBy(u, "_day").agg(F.max("_safe").alias("_dlast"))
+    dsafe = dsafe.withColumn("_inh", F.max("_dlast").over(wdays.rowsBetween(Window.unboundedPreceding, -1)))
+    a = a.join(dsafe.select(u, "_day", "_inh"), [u, "_day"])
+    seg = F.coalesce(F.coalesce(within, F.col("_inh")).getField("event_id"), F.lit(-1))
+    return a.select(u, seg.alias("segment"), "ts", "event_id", "success")
+
+
 def lockouts(events: DataFrame) -> DataFrame:
     block = pd.Timedelta(minutes=BLOCK_MINUTES)
 
@@ -57,10 +85,10 @@ def lockouts(events: DataFrame) -> DataFrame:
         cur, count, until = None, 0, None
         for pdf in batches:
             out = []
-            for uid, ts, ok, eid in zip(pdf["user_id"].to_numpy(), pdf["ts"], pdf["success"].to_numpy(),
-                                        pdf["event_id"].to_numpy()):
-                if uid != cur:
-                    cur, count, until = uid, 0, None
+            for uid, sg, ts, ok, eid in zip(pdf["user_id"].to_numpy(), pdf["segment"].to_numpy(), pdf["ts"],
+                                            pdf["success"].to_numpy(), pdf["event_id"].to_numpy()):
+                if (uid, sg) != cur:
+                    cur, count, until = (uid, sg), 0, None
                 if until is not None and ts < until:
                     continue
                 if ok:
@@ -72,7 +100,8 @@ def lockouts(events: DataFrame) -> DataFrame:
                     count = 0
                     out.append((int(uid), ts, until, int(eid)))
             yield pd.DataFrame(out, columns=["user_id", "blocked_at", "blocked_until", "attempt_no"])
-    ordered = attempts(events).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    ordered = (reset_segments(attempts(events)).repartition("user_id", "segment")
+               .sortWithinPartitions("user_id", "segment", "ts", "event_id"))
     return ordered.mapInPandas(fold, OUT_SCHEMA)
 
 
