@@ -44,11 +44,13 @@ def _t(spark: SparkSession, sf_dir: str) -> Tables:
 
 @register("weekly_matrix")
 def q_weekly_matrix(spark, sf_dir) -> DataFrame:
+    """RSH-7 flagship: the latest week's site x metric matrix with ranks and the weighted total row."""
     return M.weekly_matrix(_t(spark, sf_dir))
 
 
 @register("weekly_long")
 def q_weekly_long(spark, sf_dir) -> DataFrame:
+    """SRC-5/RSH-1/JOIN-1/FLT-3: the latest week's facts as (company, site, concept, total) rows."""
     t = _t(spark, sf_dir)
     long = M.weekly_long(t)
     return long.select("company", "company_code", "site", F.col("week").cast("int").alias("week"), "concept",
@@ -392,51 +394,60 @@ DETAIL_WEEK = 100
 
 @register("company_counts")
 def q_company_counts(spark, sf_dir) -> DataFrame:
+    """JOIN-3/STR-11: sites and users per company, each side pre-aggregated."""
     t = _t(spark, sf_dir)
     return AD.company_counts(B.companies(t), B.sites(t), B.grants(t))
 
 
 @register("site_counts")
 def q_site_counts(spark, sf_dir) -> DataFrame:
+    """JOIN-4: weeks with weekly data and days with daily data per site."""
     t = _t(spark, sf_dir)
     return AD.site_counts(B.sites(t).select("site_id", "name"), B.weekly(t), D.daily_table(t))
 
 
 @register("user_companies")
 def q_user_companies(spark, sf_dir) -> DataFrame:
+    """JOIN-5/AGG-9/MAP-1: each user's companies as an ordered list."""
     t = _t(spark, sf_dir)
     return AD.user_companies(B.users(t), B.grants(t), B.companies(t))
 
 
 @register("recent_logs")
 def q_recent_logs(spark, sf_dir) -> DataFrame:
+    """JOIN-6/SRT-4/FLT-8/MAP-1/DT-2: newest 100 loads with author and status symbol."""
     t = _t(spark, sf_dir)
     return AD.recent_logs(B.upload_logs(t), B.log_users(t), 100, LOG_TYPES, LOG_STATUSES)
 
 
 @register("log_counters")
 def q_log_counters(spark, sf_dir) -> DataFrame:
+    """AGG-11: total / success / error loads per file type."""
     return AD.log_counters(B.upload_logs(_t(spark, sf_dir)))
 
 
 @register("history_summary")
 def q_history_summary(spark, sf_dir) -> DataFrame:
+    """AGG-6: distinct weeks and sites, first and last day of the history."""
     return AD.history_summary(_hist(_t(spark, sf_dir)))
 
 
 @register("weeks_available")
 def q_weeks_available(spark, sf_dir) -> DataFrame:
+    """AGG-7: per week the closing day, rows and sites; newest 100 weeks."""
     return AD.weeks_available(_hist(_t(spark, sf_dir)))
 
 
 @register("week_detail")
 def q_week_detail(spark, sf_dir) -> DataFrame:
+    """FLT-6: history rows of one week."""
     h = _hist(_t(spark, sf_dir)).select("week", "day", "site", "margin", "weight")
     return AD.week_detail(h, week=DETAIL_WEEK)
 
 
 @register("data_summary")
 def q_data_summary(spark, sf_dir) -> DataFrame:
+    """AGG-5/AGG-8/AGG-14: table counts, latest week key and latest day."""
     t = _t(spark, sf_dir)
     wk = B.weekly(t)
     dt = D.daily_table(t)
@@ -447,6 +458,7 @@ def q_data_summary(spark, sf_dir) -> DataFrame:
 
 @register("distinct_values")
 def q_distinct_values(spark, sf_dir) -> DataFrame:
+    """AGG-12/FLT-10: sorted distinct days, periods, sites, categories, concepts."""
     t = _t(spark, sf_dir)
     return AD.distinct_values(D.daily_table(t), B.weekly(t), B.sites(t))
 
