@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,12 +44,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged table rewrites.
 
-    On a cluster the folder named by ``spark.checkpoint.dir`` (or set with
-    ``SparkContext.setCheckpointDir``) is shared storage and is used as is. Only when
-    neither is set (tests, local runs) a private scratch folder is created.
+    The folder named by ``spark.checkpoint.dir`` (or set with ``SparkContext.setCheckpointDir``)
+    is shared storage and is used as is. A session whose driver is also its only executor
+    (``local[N]``, as in tests) may leave it unset and gets a scratch folder of its own; on a
+    cluster an unset folder is an error, because executors do not share local disks.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="weekcraft-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -57,19 +62,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-path of the checkpoint folder (unique per call)."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
+    """A fresh sub-path of the checkpoint folder, unique over sessions, drivers and calls."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path through the file system that holds it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df, name: str = "stage"):
@@ -78,9 +79,23 @@ def materialize(df, name: str = "stage"):
     One job computes the input once (``Dataset.checkpoint`` would compute it twice unless
     persisted); the written files live in the shared checkpoint folder, so a lost
     executor does not lose them, and the re-read carries file-size statistics that AQE
-    uses for join planning.
+    uses for join planning. A stage is removed when the driver process ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    df.write.mode("errorifexists").parquet(path)
+    _stages.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_stages: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_stages() -> None:
+    for spark, path in _stages:
+        try:
+            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+                remove_path(spark, path)
+        except Exception:  # the JVM may be gone by now; a leftover stage is harmless
+            return
