@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from weekcraft.llm import exact
+from weekcraft.llm import exact, pieces, viterbi, winnow
 
 QUERIES = {
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op6_token_counts": pieces.op6_token_counts,
+    "op8_sentencepiece": viterbi.op8_sentencepiece,
+    "op9_winnowing": winnow.op9_winnowing,
 }
 
 ORACLE = {**exact.ORACLE}

@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -33,8 +34,7 @@ def rolling_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     Built by doubling: the polynomial hash of 2m symbols is that of the first m times base**m
     plus that of the last m, so k takes log2(k) vector steps.
     """
-    base = np.uint64(0x100000001B3)
-    run, power, length = symbols.astype(np.uint64) + np.uint64(0x51ED27), base, 1
+    run, power, length = symbols.astype(np.uint64) + np.uint64(0x51ED27), np.array([0x100000001B3], np.uint64), 1
     out, have = None, 0
     while True:
         if k & length:
@@ -102,32 +102,91 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         run, "doc_id long, n_chars long, hashes array<long>, offsets array<int>")
 
 
-def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """Rows (doc_id, text, bucket, guest) laid out in descending doc_id order, with the successor at hand.
+def _laid_out(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+    """Rows (key, doc_id, text, bucket, guest) in descending order within ``parts`` ranges of ids.
 
-    Ids alone give the cut points (quantiles) of ``parts`` ranges. The texts are shuffled once, by
-    range, and the largest row of every range goes to the next range as well, as a guest: the
-    smallest row there finds its successor in it. The guest of the lowest range is the largest
-    row of all, which follows the last. There is one boundary row per range.
+    Ids alone give the cut points. The texts are shuffled once, by range, and the largest row of
+    every range visits the next higher range as a guest, where the smallest row finds its
+    successor; the largest row of all, which follows the last, visits the lowest range. There is
+    one such row per range. Null ids sort last.
     """
-    spark = docs.sparkSession
-    parts = parts or shuffle_partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = rows.select("doc_id").where(F.col("doc_id").isNotNull())
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    # Range 0 holds the ids below the first cut and the null ids (they sort last).
-    bucket = F.coalesce(F.array_size(F.filter(F.lit([int(c) for c in cuts]), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    tops = {r["b"]: r["top"] for r in ids.groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("top")).collect()}
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("key"), F.col(id_col).alias("doc_id"),
+                       F.col(text_col).cast("string").alias("text"))
+    cuts = np.array(sorted(set(rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts))), dtype=np.float64)
+
+    @F.pandas_udf("int")
+    def bucket_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, key.to_numpy().astype(np.float64), side="right").astype(np.int32))
+
+    tops = {r["b"]: r["top"] for r in rows.groupBy(bucket_of("key").alias("b")).agg(F.max("key").alias("top")).collect()}
     filled = sorted(tops)
-    # The rows of each top id visit the next filled range above theirs; those of the largest the lowest.
     visits = {tops[b]: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
-    if filled and 0 not in tops:
-        visits[tops[filled[-1]]] = 0
-        if len(filled) > 1:  # range 0 holds null ids alone, if anything
-            visits[tops[filled[-1]]] = -1
-    target = F.lit(None).cast("int")
-    if visits:
-        target = F.element_at(F.create_map(*[F.lit(x) for kv in visits.items() for x in kv]), F.col("doc_id"))
-    laid = rows.withColumn("bucket", bucket.cast("int"))
-    return laid.withColumn("guest", F.lit(False)).unionByName(
-        laid.withColumn("bucket", target.cast("int")).where(F.col("bucket").isNotNull()).withColumn("guest", F.lit(True)))
+
+    @F.pandas_udf("int")
+    def visit_of(key: pd.Series) -> pd.Series:
+        return key.map(visits).astype("Int32")
+
+    own = F.struct(bucket_of("key").alias("bucket"), F.lit(False).alias("guest"))
+    visit = F.struct(F.col("_visit").alias("bucket"), F.lit(True).alias("guest"))
+    return (rows.withColumn("_visit", visit_of("key"))
+            .withColumn("_own", own)
+            .withColumn("_at", F.explode(F.when(F.col("_visit").isNull(), F.array("_own")).otherwise(F.array("_own", visit))))
+            .select("key", "doc_id", "text", "_at.bucket", "_at.guest")
+            .repartitionById(parts, F.col("bucket"))
+            .sortWithinPartitions("bucket", "guest", F.col("key").desc(), "text"))
+
+
+def edited_text(text: str, successor: str) -> str:
+    """The last half of the code points replaced by as many (or all) first ones of the successor."""
+    half = len(text) // 2
+    return text[:len(text) - half] + successor[:half]
+
+
+def compare_with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW,
+                           parts: int | None = None) -> DataFrame:
+    """Per row its fingerprint, that of its edited text, and its likeness to both neighbours.
+
+    Rows with one doc_id follow each other by text. Each task streams its sorted rows and holds
+    two texts at a time, so ranges of any size fit. An empty table gives an empty result.
+    """
+    parts = parts or shuffle_partitions(docs.sparkSession)
+    schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+              "near_edited double, near_next double, marks int")
+
+    def packed(hashes: np.ndarray) -> str:
+        return hashes.astype(">u4").tobytes().hex()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = None
+        size = 0
+        for batch in batches:
+            for part in steps(batch):
+                for doc, text, bucket, guest in zip(column(part, "doc_id").to_pylist(), strings(part), column(part, "bucket").to_pylist(),
+                                                    column(part, "guest").to_pylist(), strict=True):
+                    hashes, _ = winnow(text, k, window)
+                    distinct = np.unique(hashes)
+                    if held is not None and held[2] == bucket and not held[3]:
+                        edited = edited_text(held[1], text)
+                        marks, _ = winnow(edited, k, window)
+                        out.append((held[0], len(held[1]), hashlib.sha256(edited.encode("utf-8")).hexdigest(), packed(held[4]), packed(marks),
+                                    likeness(held[5], np.unique(marks)), likeness(held[5], distinct), len(held[4])))
+                        size += len(edited)
+                    held = (doc, text, bucket, guest, hashes, distinct)
+                    if size > 4_000_000:
+                        yield rows(out)
+                        out, size = [], 0
+        if out:
+            yield rows(out)
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+                                          names=[f.split()[0] for f in schema.split(", ")])
+
+    return _laid_out(docs, id_col, text_col, parts).mapInArrow(run, schema)
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document fingerprints: winnowing marks of every text and of its edited text, and their likeness."""
+    return compare_with_successor(read_table(spark, sf_dir, "documents"))
