@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from weekcraft.llm import exact, pieces, viterbi, winnow
+from weekcraft.llm import exact, language, mixing, pieces, toxicity, viterbi, winnow
 
 QUERIES = {
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_language_id": language.op5_language_id,
     "op6_token_counts": pieces.op6_token_counts,
     "op8_sentencepiece": viterbi.op8_sentencepiece,
     "op9_winnowing": winnow.op9_winnowing,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE = {**exact.ORACLE}
