@@ -10,9 +10,9 @@ The cube method turns the probabilities into 0 or 1. In the flight phase three d
 move along the vector that changes neither the expected number of words nor of documents, by a random
 step with zero mean, until one of them is 0 or 1. Documents are dealt by a hash into buckets of
 about ``BUCKET`` of one source; two at most stay fractional in each. Those of ``FAN`` buckets meet in a
-bucket of the next level, and so on until one bucket per source is left; its last two land on the
-corner that misses the words least. So a source of any size is split, every bucket is bounded, and
-the words taken of a source miss its target by about one document.
+bucket of the next level, and so on until one bucket per source is left. There the last two land on
+the corner that misses the words least, and single documents are turned over while that brings the words nearer. So a source of any size is split, every bucket is bounded, and
+the words taken of a source miss its target by a few words.
 
 Random steps come from a hash of the documents in the bucket, so reruns agree for any partitioning.
 Rows that repeat both id and text are one unit and get the same copies. Null texts have
@@ -97,15 +97,25 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
         active = left
 
 
-def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the few fractional units so that the words, then the documents, are missed least."""
+def land(start: np.ndarray, p: np.ndarray, size: np.ndarray, turns: int = 8) -> np.ndarray:
+    """Round the few units that the flight left, then turn over single units while that brings the words nearer.
+
+    ``start``: the probabilities before the flight; only units that were fractional there are turned.
+    """
     at = np.flatnonzero((p > 0) & (p < 1))
-    if not len(at):
-        return p
-    words, docs = (p[at] * size[at]).sum(), p[at].sum()
+    words = (start * size).sum()
     p = p.copy()
-    p[at] = min(itertools.product((0.0, 1.0), repeat=len(at)),
-                key=lambda x: (round(abs(np.dot(x, size[at]) - words), 6), abs(sum(x) - docs), x))
+    if len(at):
+        others = (p * size).sum() - (p[at] * size[at]).sum()
+        p[at] = min(itertools.product((0.0, 1.0), repeat=len(at)), key=lambda x: (round(abs(others + np.dot(x, size[at]) - words), 6), x))
+    free = np.flatnonzero((start > 0) & (start < 1))
+    for _ in range(turns if len(free) else 0):
+        miss = (p * size).sum() - words
+        turned = np.abs(miss + np.where(p[free] > 0, -size[free], size[free]))
+        best = int(turned.argmin())
+        if turned[best] >= abs(miss) - 1e-6:
+            break
+        p[free[best]] = 1 - p[free[best]]
     return p
 
 
@@ -118,9 +128,10 @@ def _level(units: DataFrame, last: bool) -> DataFrame:
                 .reset_index(drop=True))
         p, size = rows["p"].to_numpy(), rows.pop("words").to_numpy().astype(float)
         rng = np.random.default_rng(zlib.crc32(rows["spot"].to_numpy().tobytes()))
-        p = flight(p, size, rng)
+        start = p
+        p = flight(start, size, rng)
         if last:
-            p = land(p, size)
+            p = land(start, p, size)
         rows["p"] = p
         rows["extra"] = pd.array(np.where(p >= 1, 1, 0), dtype="Int32")
         rows.loc[(p > 0) & (p < 1), "extra"] = pd.NA
