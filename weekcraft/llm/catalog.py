@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekcraft.llm import exact, jaccard, language, mixing, pieces, toxicity, viterbi, warc, winnow
+from weekcraft.llm import exact, jaccard, language, mixing, pieces, private, toxicity, viterbi, warc, winnow
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": language.op5_language_id,
     "op6_token_counts": pieces.op6_token_counts,
+    "op7_pii": private.op7_pii,
     "op8_sentencepiece": viterbi.op8_sentencepiece,
     "op9_winnowing": winnow.op9_winnowing,
     "op10_mixing": mixing.op10_mixing,
