@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 from collections.abc import Iterator
@@ -45,6 +46,43 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` with bounded memory.
+
+    A task gives its freed memory back at its end, because Spark keeps Python workers for later tasks.
+    """
+    small_batches(rows.sparkSession)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return rows.mapInArrow(bounded, schema)
+
+
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches from its default of 64 MB to ``BATCH_BYTES``.
+
+    Long texts would fill the default in every task, in the JVM and in Python. A value that the user has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give freed memory of this worker back to the system (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def steps(batch: pa.RecordBatch, text: str = "text", most: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about ``most`` bytes (one longer text is a slice of its own)."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
@@ -161,7 +199,7 @@ def build_filter(keys: DataFrame, bits: int, least: int = 1, hashes: int = 2) ->
             seen += weight * np.bincount(low, minlength=BLOCK_BITS)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(seen >= least).tobytes()], pa.binary())})
 
-    merged = (keys.mapInArrow(local, "block long, once binary, twice binary")
+    merged = (arrow(keys, local, "block long, once binary, twice binary")
               .groupBy("block").applyInArrow(merge, "block long, bits binary"))
     out = np.zeros(bits // 8, dtype=np.uint8)
     for row in merged.collect():

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import (build_filter, code_points, column, filter_bits, filter_column, read_table, shuffle_partitions, spread,
+from weekcraft.llm.common import (arrow, build_filter, code_points, column, filter_bits, filter_column, read_table, shuffle_partitions, spread,
                                   steps, strings, text_of)
 from weekcraft.llm.components import components
 from weekcraft.session import materialize
@@ -92,7 +92,8 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["uid", "doc_id", "hash", "digest", "n", "signature"])
 
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("hash"),
-                       F.col(text_col).cast("string").alias("text")).mapInArrow(
+                       F.col(text_col).cast("string").alias("text")).transform(
+        arrow,
         run, "uid long, doc_id long, hash long, digest binary, n int, signature binary")
 
 
@@ -109,7 +110,7 @@ def trie_entries(classes: DataFrame) -> DataFrame:
                 pa.Array.from_buffers(pa.binary(2 * DEEP), n * TREES, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary()),
                 pa.array(np.repeat(column(batch, "uid").to_numpy(), TREES))], names=["tree", "key", "uid"])
 
-    return classes.select("uid", "signature").mapInArrow(run, "tree int, key binary, uid long")
+    return classes.select("uid", "signature").transform(arrow, run, "tree int, key binary, uid long")
 
 
 def _prefix(depth: int):
@@ -147,7 +148,7 @@ def depth_for(entries: DataFrame, classes: DataFrame, least: float, recall: floa
             a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             yield pa.RecordBatch.from_arrays([pa.array((a == b).sum(axis=1).astype(np.int32))], names=["same"])
 
-    counts = pairs.join(left, "a").join(right, "b").mapInArrow(alike, "same int").groupBy("same").count().collect()
+    counts = pairs.join(left, "a").join(right, "b").transform(arrow, alike, "same int").groupBy("same").count().collect()
     found = weight = 0.0
     for depth in range(DEEP, SHALLOW, -1):
         found = weight = 0.0
@@ -243,7 +244,7 @@ def verify(docs: DataFrame, classes: DataFrame, members: DataFrame, least: float
                                                  names=["digest", "shingles"])
 
     texts = docs.where(wanted(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))).select(F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(sets, "digest binary, shingles binary").join(placed.select("root", "node", "chunks", "chunk", "digest"), "digest")
+    rows = texts.transform(arrow, sets, "digest binary, shingles binary").join(placed.select("root", "node", "chunks", "chunk", "digest"), "digest")
     pieces = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
               .select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "chunk", "shingles")
               .repartition(shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node"))
@@ -280,7 +281,7 @@ def verify(docs: DataFrame, classes: DataFrame, members: DataFrame, least: float
         if out:
             yield rows_of()
 
-    return pieces.mapInArrow(run, "u long, v long, links long")
+    return pieces.transform(arrow, run, "u long, v long, links long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, recall: float = RECALL) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import code_points, column, fold_of, letter_table, read_table, spread, steps, strings
+from weekcraft.llm.common import arrow, code_points, column, fold_of, letter_table, read_table, spread, steps, strings
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 
@@ -47,7 +47,7 @@ def subwords(symbols: np.ndarray, order: int) -> np.ndarray:
 
 def features(text: str) -> np.ndarray:
     symbols = np.concatenate([[0], letters_of(text), [0]]).astype(np.uint32)
-    return np.concatenate([subwords(symbols, n)[symbols[:max(0, len(symbols) - n + 1)] > 0] if n > 2 else subwords(symbols, n) for n in ORDERS])
+    return np.concatenate([subwords(symbols, n)[symbols[:max(0, len(symbols) - n + 1)] > 0] if n > 2 else subwords(symbols, n) for n in ORDERS]).astype(np.uint16)
 
 
 class LanguageModel:
@@ -163,7 +163,7 @@ def training_sample(docs: DataFrame, rows: int, id_col: str = "doc_id", text_col
     return picked.sort_values(["doc_id", "lang", "text"]).drop_duplicates("text").reset_index(drop=True)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 4000,
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 3000,
              accept: float = 0.99) -> DataFrame:
     """One row per row: doc_id, held_out, lang_pred, score, rejected."""
     spark = docs.sparkSession
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                                                   pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, 4) == 2).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.transform(arrow, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

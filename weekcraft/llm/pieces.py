@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import column, read_table, steps, strings, tokenizer_path
+from weekcraft.llm.common import arrow, column, read_table, steps, strings, tokenizer_path
 from weekcraft.session import materialize
 
 MODEL = "piece_bpe_32k.model"
@@ -81,7 +81,7 @@ def distinct_pre_tokens(docs: DataFrame, text_col: str = "text", held: int = 400
     def rows(counts: Counter[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
 
-    return (docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token string, n long")
+    return (docs.select(F.col(text_col).cast("string").alias("text")).transform(arrow, run, "token string, n long")
             .groupBy("token").agg(F.sum("n").alias("occurrences")))
 
 
@@ -95,7 +95,7 @@ def counted_pre_tokens(tokens: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([column(part, "token"), column(part, "occurrences"), pa.array(piece_counts(sp, strings(part, "token")), pa.int32())],
                                                  names=["token", "occurrences", "pieces"])
 
-    return tokens.mapInArrow(run, "token string, occurrences long, pieces int")
+    return tokens.transform(arrow, run, "token string, occurrences long, pieces int")
 
 
 def common_dictionary(counted: DataFrame, most: int) -> dict[str, int]:
@@ -147,7 +147,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                                   pa.array(tokens, pa.string()), pa.array(numbers, pa.int64())], names=["row", "doc_id", "n_bytes", "token", "n"])
 
     rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-                       .mapInArrow(frequencies, "row long, doc_id long, n_bytes long, token string, n long"), "frequencies")
+                       .transform(arrow, frequencies, "row long, doc_id long, n_bytes long, token string, n long"), "frequencies")
     rest = (rows.where(F.col("token").isNotNull()).select("row", "token", "n").join(counted.select("token", "pieces"), "token")
             .groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("_rest")))
     total = F.col("n") + F.coalesce(F.col("_rest"), F.lit(0))

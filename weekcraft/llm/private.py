@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import column, read_table, steps, strings
+from weekcraft.llm.common import arrow, column, read_table, steps, strings
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, SURE, TRAIN_ZONES = 20, 0.9, 600
@@ -317,7 +317,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        pa.array([len(m) for m in more], pa.int64())], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.transform(arrow, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,16 +20,14 @@ id the largest counts. Rows are scored one by one; an empty table gives an empty
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import column, fold_of, read_table, steps, strings
+from weekcraft.llm.common import arrow, column, fold_of, read_table, small_batches, spread, steps, strings
 
 WORD = re.compile(r"\w+")
 #: Length of a chunk, words of the vocabulary, least lift and least document frequency of a lexicon word.
@@ -159,7 +157,7 @@ def evidence(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def far_apart(words: list[list[str]], kept: int = 4) -> np.ndarray:
+def far_apart(words: list[np.ndarray], kept: int = 4, width: int = 5) -> np.ndarray:
     """False for a text that shares one of its least five-word hashes with an earlier text, a likely near copy.
 
     A group of near copies with one label would otherwise make all of its rare words look telling.
@@ -167,7 +165,11 @@ def far_apart(words: list[list[str]], kept: int = 4) -> np.ndarray:
     met: set[int] = set()
     out = np.ones(len(words), dtype=bool)
     for k, w in enumerate(words):
-        least = set(sorted({crc32(" ".join(w[i:i + 5]).encode()) for i in range(max(1, len(w) - 4))})[:kept]) if w else set()
+        n = max(0, len(w) - width + 1) or min(1, len(w))
+        h = np.zeros(n, dtype=np.uint64)
+        for i in range(min(width, len(w))):
+            h = spread(h + w[i:i + n].astype(np.uint64))
+        least = set(np.unique(h)[:kept].tolist())
         out[k] = not (least & met)
         met |= least
     return out
@@ -182,27 +184,30 @@ def train(texts: list[str], toxic: list[int], shares: tuple[float, float], seed:
         return ToxicityModel({}, np.zeros((3, 1)), np.ones((2, 2)), flat_curve)
     rng = np.random.default_rng(seed)
     fit = rng.random(len(texts)) < 0.75
-    words = [words_of(t) for t in texts]
+    number: dict[str, int] = {}
+    words = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int32) for t in texts]
     fit &= far_apart(words)
-    docs, bad = Counter(), Counter()
+    docs, bad = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
     n_bad = max(1, int(y[fit].sum()))
     n_good = max(1, int(fit.sum()) - n_bad)
     for w, t, f in zip(words, y, fit, strict=True):
         if f:
-            docs.update(set(w))
-            if t:
-                bad.update(set(w))
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(docs, key=lambda w: (-docs[w], w))[:VOCABULARY])}
-    least = max(LEAST_DOCS, n_bad // 50)
-    lexicon = {w for w, n in bad.items() if n >= least and (n + 0.5) / n_bad >= LIFT * (docs[w] - n + 0.5) / n_good}
-    vocabulary |= {w: len(vocabulary) + i + 1 for i, w in enumerate(sorted(lexicon - set(vocabulary)))}
+            own = np.unique(w)
+            docs[own] += 1
+            bad[own] += t
+    telling = (bad >= max(LEAST_DOCS, n_bad // 50)) & ((bad + 0.5) / n_bad >= LIFT * (docs - bad + 0.5) / n_good)
+    names = np.array(list(number), dtype=object)
+    common = np.lexsort((np.arange(len(docs)), -docs))[:VOCABULARY]
+    vocabulary = {names[i]: k + 1 for k, i in enumerate(np.union1d(common, np.flatnonzero(telling)))}
+    known = np.array([vocabulary.get(w, 0) for w in number], dtype=np.int32)
     model = ToxicityModel(vocabulary, np.zeros((3, len(vocabulary) + 1)), np.array([[1.0, 1.0], [1.0, 1.0]]), flat_curve)
-    chosen = [(w, t) for w, t, f in zip(words, y, fit, strict=True) if f and w]
+    chosen = [(w, t) for w, t, f in zip(words, y, fit, strict=True) if f and len(w)]
     if not chosen:
         return model
     sizes = np.array([len(w) for w, _ in chosen])
-    ids = np.array([vocabulary.get(x, 0) for w, _ in chosen for x in w])
-    label = np.array([float(t and x in lexicon) for w, t in chosen for x in w])
+    ids = known[np.concatenate([w for w, _ in chosen])]
+    label = np.concatenate([telling[w] * float(t) for w, t in chosen])
+    del words, number
     first, last = np.cumsum(sizes) - sizes, np.cumsum(sizes) - 1
     before, after = np.roll(ids, 1), np.roll(ids, -1)
     before[first], after[last] = 0, 0
@@ -250,7 +255,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[pd.D
     return got.sort_values(["doc_id", "text"]).drop_duplicates("text").reset_index(drop=True), shares
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 3000) -> ToxicityModel:
     sample, shares = labelled_sample(docs, labels, train_rows)
     return train(list(sample["text"]), list(sample["toxic"]), shares)
 
@@ -274,7 +279,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, most=8_000_000):
+            for part in steps(batch, most=4_000_000):
                 texts = strings(part)
                 p, sizes = shared.value.tag(texts)
                 score = shared.value.scores(p, sizes)
@@ -287,20 +292,22 @@ def score_texts(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", t
                     names=["doc_id", "held_out", "score", "predicted", "toxic_words", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, 5) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, toxic_words double, "
+    return rows.transform(arrow, run, "doc_id long, held_out boolean, score double, predicted int, toxic_words double, "
                                 "spans array<struct<start: int, end: int, p: double>>")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``least`` or more; columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         texts, out, i = [t or "" for t in text], [], 0
         while i < len(texts):
             j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) <= 8_000_000):
+            while j < len(texts) and (j == i or size + len(texts[j]) <= 4_000_000):
                 size += len(texts[j])
                 j += 1
             out.append(shared.value.scores(*shared.value.tag(texts[i:j])))

@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import code_points, column, letter_table, read_table, shuffle_partitions, spread, steps, strings
+from weekcraft.llm.common import arrow, code_points, column, letter_table, read_table, shuffle_partitions, spread, steps, strings
 
 K, WINDOW = 32, 33
 
@@ -98,7 +98,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     pa.array([h.astype(np.int64) for h, _ in marks], pa.list_(pa.int64())),
                     pa.array([o.astype(np.int32) for _, o in marks], pa.list_(pa.int32()))], names=["doc_id", "n_chars", "hashes", "offsets"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(
+        arrow,
         run, "doc_id long, n_chars long, hashes array<long>, offsets array<int>")
 
 
@@ -184,7 +185,7 @@ def compare_with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
                                           names=[f.split()[0] for f in schema.split(", ")])
 
-    return _laid_out(docs, id_col, text_col, parts).mapInArrow(run, schema)
+    return _laid_out(docs, id_col, text_col, parts).transform(arrow, run, schema)
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
