@@ -26,10 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import column, read_table, steps, strings, tokenizer_path
+from weekcraft.llm.common import arrow, column, read_table, steps, strings, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
+#: Segments of up to so many characters are searched in one go and remembered; longer ones are streamed.
+SHORT = 64
+NEVER = -float("inf")
 
 
 class PieceTable:
@@ -50,9 +53,16 @@ class PieceTable:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[piece] = i
                 self.bytes[i] = piece.replace(MARK, " ").encode("utf-8")
-        self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.unknown = min(self.score.values()) - 10.0
+        scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        self.unknown = min(scores.values()) - 10.0
         self.longest = max(map(len, self.ids))
+        #: Pieces as a trie: character -> (score, or -inf where no piece ends; the nodes below).
+        self.trie: dict = {}
+        for piece, score in scores.items():
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, [NEVER, {}])[1]
+            node.setdefault(piece[-1], [NEVER, {}])[0] = score
         crossing = re.compile(f"[^{MARK}]{MARK}")
         self.borders = not any(crossing.search(p) for p in self.ids)
 
@@ -61,6 +71,41 @@ class PieceTable:
         return [self.byte_ids[b] for b in piece.encode("utf-8")] if i is None else [i]
 
 
+    def push(self, text: str, best: list[float], length: list[int], begin: int, stop: int) -> None:
+        """Continue the best paths to the positions from ``begin`` to ``stop`` by every piece that fits."""
+        get, n, unknown = self.trie.get, len(text), self.unknown
+        for i in range(begin, stop):
+            base = best[i]
+            node = get(text[i])
+            if node is None or node[0] == NEVER:
+                if (t := base + unknown) > best[i + 1]:
+                    best[i + 1], length[i + 1] = t, 1
+                if node is None:
+                    continue
+            elif (t := base + node[0]) > best[i + 1]:
+                best[i + 1], length[i + 1] = t, 1
+            for end in range(i + 2, n + 1):
+                node = node[1].get(text[end - 1])
+                if node is None:
+                    break
+                if (t := base + node[0]) > best[end]:
+                    best[end], length[end] = t, end - i
+
+    def path(self, text: str, length: list[int], to: int) -> list[int]:
+        """The ids on the best path to a position."""
+        cuts, at = [], to
+        while at:
+            cuts.append((at - length[at], at))
+            at -= length[at]
+        return [i for a, b in reversed(cuts) for i in self.ids_of(text[a:b])]
+
+    def search(self, text: str) -> list[int]:
+        """The ids of a text that is searched in one go."""
+        best, length = [0.0] + [NEVER] * len(text), [0] * (len(text) + 1)
+        self.push(text, best, length, 0, len(text))
+        return self.path(text, length, len(text))
+
+
 class StreamEncoder:
     """Viterbi over a stream of characters with bounded memory; ``feed`` and ``finish`` return committed ids."""
 
@@ -69,69 +114,58 @@ class StreamEncoder:
         self.text = ""          # characters after the last commit
         self.best = [0.0]       # best sum to each position after the last commit
         self.length = [0]       # length of the last piece on that path
+        self.done = 0           # positions before this one are final and continued
         self.widest = 0         # the longest window so far, for tests
         self.due = 4 * table.longest
 
     def feed(self, chars: str) -> list[int]:
         out: list[int] = []
         for i in range(0, len(chars), 64):
-            self._extend(chars[i:i + 64])
+            self._extend(chars[i:i + 64], self.table.longest)
             if len(self.text) >= self.due:
                 out += self._commit(self._meeting())
                 self.due = len(self.text) + 4 * self.table.longest
         return out
 
     def finish(self) -> list[int]:
+        self._extend("", 1)
         return self._commit(len(self.text))
 
-    def _extend(self, chars: str) -> None:
-        score, longest, unknown = self.table.score, self.table.longest, self.table.unknown
-        best, length = self.best, self.length
-        start = len(self.text)
-        self.text = text = self.text + chars
-        self.widest = max(self.widest, len(text))
-        for end in range(start + 1, len(text) + 1):
-            top, size = -float("inf"), 1
-            for begin in range(max(0, end - longest), end):
-                s = score.get(text[begin:end])
-                if s is None:
-                    if end - begin > 1:
-                        continue
-                    s = unknown
-                if (s := best[begin] + s) > top:
-                    top, size = s, end - begin
-            best.append(top)
-            length.append(size)
+    def _extend(self, chars: str, ahead: int) -> None:
+        self.text += chars
+        self.best += [NEVER] * len(chars)
+        self.length += [0] * len(chars)
+        self.widest = max(self.widest, len(self.text))
+        stop = max(self.done, len(self.text) - ahead + 1)  # where the longest piece fits
+        self.table.push(self.text, self.best, self.length, self.done, stop)
+        self.done = stop
 
     def _meeting(self) -> int:
-        """The last boundary on all paths that can still be continued."""
-        end = len(self.text)
-        path, at = {0}, end
+        """The last boundary on all paths that can still be continued: those to ``done`` and over it."""
+        path, at = {0}, self.done
         while at:
             path.add(at)
             at -= self.length[at]
-        meet = end
-        for at in range(max(0, end - self.table.longest + 1), end):
-            while at not in path:
-                at -= self.length[at]
-            meet = min(meet, at)
+        meet = self.done
+        for at in range(self.done + 1, min(len(self.text), self.done + self.table.longest) + 1):
+            if self.length[at]:
+                while at not in path:
+                    at -= self.length[at]
+                meet = min(meet, at)
         return meet
 
     def _commit(self, to: int) -> list[int]:
-        cuts, at = [], to
-        while at:
-            cuts.append((at - self.length[at], at))
-            at -= self.length[at]
-        out = [i for a, b in reversed(cuts) for i in self.table.ids_of(self.text[a:b])]
+        out = self.table.path(self.text, self.length, to)
         base = self.best[to]
         self.text, self.length, self.best = self.text[to:], [0] + self.length[to + 1:], [b - base for b in self.best[to:]]
+        self.done -= to
         return out
 
 
 class Encoder:
     """Texts to ids and back, with a bounded memory of the segments met."""
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 100_000):
         self.table = PieceTable(path)
         self.remembered = remembered
         self.young: dict[str, bytes] = {}
@@ -152,12 +186,13 @@ class Encoder:
         if ids is None:
             ids = self.old.get(key)
             if ids is None:
-                search = StreamEncoder(self.table)
-                ids = np.array(search.feed(MARK + key) + search.finish(), dtype="<i4").tobytes()
-            if len(key) <= 64:
-                self.young[key] = ids
-                if len(self.young) > self.remembered:
-                    self.old, self.young = self.young, {}
+                if len(key) > SHORT:
+                    return np.array([i for part in self.stream([key]) for i in part], dtype="<i4").tobytes()
+                ids = np.array(self.table.search(MARK + key), dtype="<i4").tobytes()
+            self.young[key] = ids
+            if len(self.young) > self.remembered:
+                self.old = self.young.copy()
+                self.young.clear()  # the same object: callers hold its ``get``
         return ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -205,7 +240,8 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())),
                     pa.array(same, pa.bool_())], names=["doc_id", "n_chars", "n_tokens", "ids", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(
+        arrow,
         run, "doc_id long, n_chars long, n_tokens long, ids array<int>, round_trip boolean")
 
 
@@ -219,7 +255,7 @@ def decode_ids(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pa
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([enc.decode(i or []) for i in column(batch, "ids").to_pylist()], pa.string())],
                                              names=["doc_id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).transform(arrow, run, "doc_id long, text string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
