@@ -104,6 +104,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def cut_points(rows: DataFrame, name: str, parts: int) -> np.ndarray:
+    """At most ``parts - 1`` ascending values that cut a number column into about equal ranges; none for no rows."""
+    if parts < 2:
+        return np.zeros(0)
+    found = rows.agg(F.percentile_approx(name, [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    return np.array(sorted(set(found or ())), dtype=np.float64)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 

@@ -68,15 +68,15 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     written once with an id of their own and joined with the rows that stay.
     """
     spark = docs.sparkSession
-    cols = docs.columns
-    hashed = docs.withColumn("_sha", _digest(text_col))
+    # The row as one struct: columns named like those added here stay apart.
+    hashed = docs.select(F.struct("*").alias("_doc"), _digest(text_col).alias("_sha"))
     keys = materialize(hashed.select(_key(F.col("_sha")).alias("key")), "exact_keys")
     maybe = _maybe_repeated(spark, keys, most_bits)
     marked = hashed.withColumn("_maybe", maybe(_key(F.col("_sha"))))
     rows = materialize(marked.where("_maybe").drop("_maybe").withColumn("_uid", F.monotonically_increasing_id()), "exact_rows")
-    groups = _groups(rows.select("_sha", F.length(text_of(text_col)).alias("_n"), F.col(id_col).alias("_id"), "_uid"))
+    groups = _groups(rows.select("_sha", F.length(text_of(f"_doc.{text_col}")).alias("_n"), F.col(f"_doc.{id_col}").alias("_id"), "_uid"))
     stay = groups.select(F.col("_best.uid").alias("_uid"))
-    return marked.where(~F.col("_maybe")).select(*cols).unionByName(rows.join(stay, "_uid", "leftsemi").select(*cols))
+    return marked.where(~F.col("_maybe")).select("_doc.*").unionByName(rows.join(stay, "_uid", "leftsemi").select("_doc.*"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,9 +324,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("hash"))
     gone = materialize(found.groupBy("doc_id", "hash").agg(F.max("stays").alias("stays")).where(~F.col("stays")).select(key.alias("key")), "dropped")
     maybe = filter_column(spark, build_filter(gone, filter_bits(gone.count())))
-    marked = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(text_of(text_col)))).withColumn("_maybe", maybe(F.col("_key")))
+    own = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(text_of(text_col)))
+    # The row as one struct: columns named like those added here stay apart.
+    marked = docs.select(F.struct("*").alias("_doc"), own.alias("_key")).withColumn("_maybe", maybe(F.col("_key")))
     kept = marked.where("_maybe").join(gone.select(F.col("key").alias("_key")), "_key", "leftanti")
-    return marked.where(~F.col("_maybe")).select(*docs.columns).unionByName(kept.select(*docs.columns))
+    return marked.where(~F.col("_maybe")).select("_doc.*").unionByName(kept.select("_doc.*"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

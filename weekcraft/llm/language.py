@@ -69,6 +69,8 @@ class LanguageModel:
             symbols[s + 1:s + 1 + len(m)] = m
         for n in ORDERS:
             at = subwords(symbols, n)
+            if not len(at):
+                continue
             used = np.ones(len(at), dtype=np.float32) if n == 2 else (symbols[:len(at)] > 0).astype(np.float32)
             ends = starts + sizes
             for d in range(1, n):  # n-grams do not run into the next text

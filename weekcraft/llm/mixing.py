@@ -11,7 +11,7 @@ move along the vector that changes neither the expected number of words nor of d
 step with zero mean, until one of them is 0 or 1. Documents are dealt by a hash into buckets of
 about ``BUCKET`` of one source; two at most stay fractional in each. Those of ``FAN`` buckets meet in a
 bucket of the next level, and so on until one bucket per source is left. There the last two land on
-the corner that misses the words least, and single documents are turned over while that brings the words nearer. So a source of any size is split, every bucket is bounded, and
+the corner that misses the words least, and one or two documents at a time are turned over while that brings the words nearer. So a source of any size is split, every bucket is bounded, and
 the words taken of a source miss its target by a few words.
 
 Random steps come from a hash of the documents in the bucket, so reruns agree for any partitioning.
@@ -98,7 +98,7 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def land(start: np.ndarray, p: np.ndarray, size: np.ndarray, turns: int = 8) -> np.ndarray:
-    """Round the few units that the flight left, then turn over single units while that brings the words nearer.
+    """Round the few units that the flight left, then turn over one or two units while that brings the words nearer.
 
     ``start``: the probabilities before the flight; only units that were fractional there are turned.
     """
@@ -109,13 +109,25 @@ def land(start: np.ndarray, p: np.ndarray, size: np.ndarray, turns: int = 8) ->
         others = (p * size).sum() - (p[at] * size[at]).sum()
         p[at] = min(itertools.product((0.0, 1.0), repeat=len(at)), key=lambda x: (round(abs(others + np.dot(x, size[at]) - words), 6), x))
     free = np.flatnonzero((start > 0) & (start < 1))
-    for _ in range(turns if len(free) else 0):
+    for _ in range(turns if len(free) > 1 else 0):
         miss = (p * size).sum() - words
-        turned = np.abs(miss + np.where(p[free] > 0, -size[free], size[free]))
-        best = int(turned.argmin())
-        if turned[best] >= abs(miss) - 1e-6:
+        change = np.where(p[free] > 0, -size[free], size[free])
+        order = np.argsort(change, kind="stable")
+        ranked = change[order]
+        # One unit, or the pair whose changes come nearest to -miss: each unit with the two best partners by rank.
+        best = (abs(miss), ())
+        one = int(np.abs(miss + change).argmin())
+        best = min(best, (abs(miss + change[one]), (one,)))
+        at = np.searchsorted(ranked, -miss - change)
+        for shift in (-1, 0):
+            mate = order[np.clip(at + shift, 0, len(order) - 1)]
+            off = np.where(mate == np.arange(len(free)), np.inf, np.abs(miss + change + change[mate]))
+            k = int(off.argmin())
+            best = min(best, (off[k], (k, int(mate[k]))))
+        if best[0] >= abs(miss) - 1e-6:
             break
-        p[free[best]] = 1 - p[free[best]]
+        for k in best[1]:
+            p[free[k]] = 1 - p[free[k]]
     return p
 
 
@@ -177,9 +189,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     units = mix_units(docs, id_col, text_col, source_col).where("copies > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("hash").alias("_hash"), F.col("copies").alias("_copies"))
     units = materialize(units, "mix_copies")
-    match = ((F.xxhash64(text_of(text_col)) == F.col("_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-             & F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    return docs.join(units, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # The row as one struct: columns named like those joined stay apart.
+    rows = docs.select(F.struct("*").alias("_doc"), F.xxhash64(text_of(text_col)).alias("_text"), F.col(id_col).cast("long").alias("_doc_id"),
+                       F.col(source_col).cast("string").alias("_from"))
+    match = (F.col("_text") == F.col("_hash")) & F.col("_doc_id").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source"))
+    return rows.join(units, match).select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from weekcraft.llm.common import read_table
+from weekcraft.llm.common import cut_points, read_table
 
 #: Headers that a 304 never changes, and query parameters that do not name a resource.
 PROTECTED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
@@ -50,7 +50,7 @@ def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame
                           canonical_url(F.col("url")).alias("canonical_url"))
     if slices is None:
         slices = int(min(4096, max(64, rows.count() // 1_000_000)))
-    cuts = np.array(sorted(set(rows.where("time is not null").approxQuantile("time", [i / slices for i in range(1, slices)], 0.2 / slices))))
+    cuts = cut_points(rows, "time", slices)
 
     @F.pandas_udf("int")
     def slice_of(time: pd.Series) -> pd.Series:

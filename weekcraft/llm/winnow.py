@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import arrow, code_points, column, letter_table, read_table, shuffle_partitions, spread, steps, strings
+from weekcraft.llm.common import arrow, code_points, column, cut_points, letter_table, read_table, shuffle_partitions, spread, steps, strings
 
 K, WINDOW = 32, 33
 
@@ -113,7 +113,7 @@ def _laid_out(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("key"), F.col(id_col).alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
-    cuts = np.array(sorted(set(rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts))), dtype=np.float64)
+    cuts = cut_points(rows, "key", parts)
 
     @F.pandas_udf("int")
     def bucket_of(key: pd.Series) -> pd.Series:
