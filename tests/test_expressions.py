@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weekcraft.functions import clean as C
-from weekcraft.functions.concepts import CONCEPT_SPELLINGS, attach_concept_key, concept_key_expr
+from weekcraft.functions.concepts import CONCEPT_SPELLINGS, attach_concept_key
 
 
 def one(spark, expr, value, dtype="string"):
@@ -62,7 +62,6 @@ def test_site_name_matches_sequential_rule(spark):
 def test_concept_key(spark, text, key):
     df = spark.createDataFrame([(text,)], "concept string")
     assert attach_concept_key(df).first()["concept_key"] == key
-    assert df.select(concept_key_expr(F.col("concept")).alias("k")).first()["k"] == key
 
 
 def test_dictionary_has_30_spellings_and_23_keys():

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weekcraft.operators.merge import upsert
-from weekcraft.operators.rank import global_rank, global_ranks
+from weekcraft.operators.rank import global_rank, global_ranks, window_rank
 from weekcraft.operators.reshape import unpivot_measures
 from weekcraft.operators.security import secure
 from weekcraft.plans import daily as D
@@ -25,9 +25,9 @@ def test_two_phase_rank_equals_window(spark):
     assert got == exp
     wg = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last())
     exp_g = {r.id: r.r for r in df.select("id", F.rank().over(wg).alias("r")).collect()}
-    got_g = {r.id: r.r for r in global_rank(df, "v", "r", partition_cols=["g"], buckets=4).collect()}
+    got_g = {r.id: r.r for r in window_rank(df, "v", "r", ["g"]).collect()}
     assert got_g == exp_g
-    kept = {r.id: r.r for r in global_ranks(df, [("v", "r")], keep_null=True, small_rows=0, buckets=3).collect()}
+    kept = {r.id: r.r for r in global_ranks(df, [("v", "r")], keep_null=True, buckets=3).collect()}
     assert kept == {i: (None if v is None else exp[i]) for i, v, _ in rows}
 
 

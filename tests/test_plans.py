@@ -38,10 +38,15 @@ def test_dictionary_join_is_broadcast(spark):
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
 
 
-def test_rank_all_weeks_windows_are_partitioned(spark):
-    """WIN-1 runs two-phase: its windows are partitioned by the value bucket, and the only
-    unpartitioned window is over the per-bucket totals (one row per bucket)."""
-    p = plan_of(E.queries()["rank_all_weeks"](spark, SF))
+def test_rank_windows_are_partitioned(spark):
+    """WIN-1 runs two-phase: the rows' window and that over the ranges' totals are both partitioned."""
+    from weekcraft.operators.rank import value_ranks
+    p = plan_of(value_ranks(spark.range(500).selectExpr("CAST(id % 90 AS DOUBLE) AS v"), ["v"], buckets=4))
     windows = [ln for ln in p.splitlines() if "Window [" in ln]
-    assert windows
-    assert any("_b" in ln.split("],")[-1] for ln in windows)
+    assert len(windows) >= 2 and all("[_col" in ln for ln in windows)
+    assert "SinglePartition" not in p
+
+
+def test_rank_per_week_is_one_window(spark):
+    p = plan_of(E.queries()["rank_per_week"](spark, SF))
+    assert p.count("Window [") == 1 and "Expand" not in p

@@ -1,6 +1,7 @@
 """Wide CSV report reader (SRC-1, SCH-1..4) feeding the ingest jobs; sinks."""
 
 import os
+from datetime import date
 import tempfile
 
 from weekcraft.plans import report as R
@@ -68,7 +69,7 @@ def test_typed_read_and_site_export(spark, tables):
     schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.DoubleType())])
     rows = S.read_typed(spark, path, schema).collect()
     assert rows[0].a == 1 and rows[0].b == 2.5 and rows[1].b is None
-    detail = D.daily_detail(tables, None, is_admin=True)
+    detail = D.daily_detail(tables, None, D.period_days(date(2024, 1, 1), 30), is_admin=True)
     S.write_daily_by_site(detail, os.path.join(d, "detail"))
     sites = {p for p in os.listdir(os.path.join(d, "detail")) if p.startswith("site=")}
     assert len(sites) == detail.select("site").distinct().count()

@@ -8,6 +8,7 @@ in Spark 4, so dirty text is always parsed with ``try_*`` functions.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,11 +26,11 @@ DATE_HEADER_PATTERN = r"^\d{1,2}-\d{1,2}-\d{4}$"
 # Fallback base date for a week number with no usable date: base + (week - 1) weeks.
 WEEK_FALLBACK_BASE = "2025-01-01"
 
-# Accent folding table (NFD + drop combining marks) for the Latin letters that occur in
-# Spanish and Portuguese text; both strings have the same length.
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
-assert len(_ACCENTED) == len(_PLAIN)
+# Accent folding: every precomposed Latin letter whose canonical decomposition starts with an
+# ASCII letter, built from the Unicode data; combining marks themselves (U+0300-036F) are dropped.
+_FOLDED = {chr(c): d[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+           if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()}
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 # A plain decimal number after separators were normalised (no nan/inf/underscores,
 # which the two SQL engines parse differently).
@@ -86,8 +87,8 @@ def clean_site_name(c) -> Column:
 
 
 def fold_text(c) -> Column:
-    """Drop accents and the characters ``�`` and ``?`` (STR-4)."""
-    return F.translate(_c(c), _ACCENTED + "�?", _PLAIN)  # the two extra characters are deleted
+    """Drop accents (composed or not) and the characters ``�`` and ``?`` (STR-4)."""
+    return F.translate(_c(c), "".join(_FOLDED) + _MARKS + "�?", "".join(_FOLDED.values()))  # those past the letters are deleted
 
 
 def company_code(c) -> Column:
@@ -130,9 +131,9 @@ def safe_float(c) -> Column:
 
 
 def safe_int(c) -> Column:
-    """``int(float(x))``: truncation toward zero, or null (NUM-2)."""
+    """``int(float(x))``: truncation toward zero as bigint, or null (NUM-2; null beyond 64 bits)."""
     d = safe_float(c)
-    return F.when(d.isNotNull() & (F.abs(d) < 2.0 ** 31), F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).cast("int"))
+    return F.when(d.isNotNull() & (F.abs(d) < 2.0 ** 63), F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).cast("bigint"))
 
 
 def to_numeric(c) -> Column:

@@ -116,20 +116,3 @@ def attach_concept_key(df: DataFrame, concept_col: str = "concept", out: str = "
               .join(folded, F.col("_fold") == F.col("_fo"), "left")
               .withColumn(out, F.coalesce("_k1", "_k2"))
               .drop("_fold", "_sp", "_k1", "_fo", "_k2"))
-
-
-def concept_key_expr(c: Column) -> Column:
-    """The same mapping as one literal-map expression (for narrow per-row use)."""
-    exact = F.create_map(*[F.lit(x) for s, k in CONCEPT_SPELLINGS for x in (s, k)])
-    pairs = {}
-    for s, k in CONCEPT_SPELLINGS:
-        pairs[_py_fold(s.lower())] = k
-    folded = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    return F.coalesce(F.element_at(exact, c), F.element_at(folded, fold_text(F.lower(c))))
-
-
-def _py_fold(s: str) -> str:
-    import unicodedata
-    s = unicodedata.normalize("NFD", s)
-    s = "".join(ch for ch in s if unicodedata.category(ch) != "Mn")
-    return s.replace("�", "").replace("?", "")

@@ -6,6 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from weekcraft.functions.clean import _PY_WHITESPACE
+
+# The characters that the Column API strips, no-break space and byte order mark included.
+_BLANKS = "'" + "".join(f"\\u{ord(c):04X}" for c in _PY_WHITESPACE) + "'"
 _NUM = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _T = "regexp_replace(regexp_replace(x, '^[\\\\s\\\\u00A0\\\\uFEFF]+|[\\\\s\\\\u00A0\\\\uFEFF]+$', ''), '[$% ]', '')"
 
@@ -17,11 +21,11 @@ FUNCTIONS = {
              THEN try_cast(CASE WHEN instr({_T}, '.') > 0 AND instr({_T}, ',') > 0
                                 THEN replace(replace({_T}, '.', ''), ',', '.')
                                 WHEN instr({_T}, ',') > 0 THEN replace({_T}, ',', '.') ELSE {_T} END AS DOUBLE) END"""),
-    "wc_clean_concept": ("x STRING", "STRING", """
-        nullif(trim(regexp_replace(regexp_replace(trim(x), '^\\\\([A-Za-z0-9]+\\\\)\\\\s*', ''), ' {2,}', ' ')), '')"""),
+    "wc_clean_concept": ("x STRING", "STRING", f"""
+        nullif(btrim(regexp_replace(regexp_replace(btrim(x, {_BLANKS}), '^\\\\([A-Za-z0-9]+\\\\)\\\\s*', ''), ' {{2,}}', ' '), {_BLANKS}), '')"""),
     "wc_fmt_es": ("x DOUBLE", "STRING", "coalesce(translate(format_number(x, 2), ',.', '.,'), '')"),
-    "wc_parse_day": ("x STRING", "DATE", "try_to_date(trim(x), 'd-M-yyyy')"),
-    "wc_company_code": ("x STRING", "STRING", "trim(substring_index(x, '_', 1))"),
+    "wc_parse_day": ("x STRING", "DATE", f"try_to_date(btrim(x, {_BLANKS}), 'd-M-yyyy')"),
+    "wc_company_code": ("x STRING", "STRING", f"btrim(substring_index(x, '_', 1), {_BLANKS})"),
 }
 
 

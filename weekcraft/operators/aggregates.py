@@ -10,40 +10,20 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def dec_sum(c, decimals: int | None = 2) -> Column:
-    """Sum of values that carry ``decimals`` decimal places (DECIMAL(p, d) semantics).
+def as_exact(x: str) -> str:
+    """A number as DECIMAL(28, 10): sums of it are exact, whatever the order (partitioning, retries, engine)."""
+    return f"CAST({x} AS DECIMAL(28, 10))"
 
-    The double sum is snapped back to ``decimals`` places, which recovers the exact
-    decimal total whatever the summation order (partitioning, retries, engine).
-    """
-    s = F.sum(_c(c).cast("double"))
-    if decimals is None:
-        return s
-    f = float(10 ** decimals)
-    return F.round(s * f, 0) / f
 
+def dec_sum(c) -> Column:
+    """Exact sum of numbers with up to ten decimal places, as double; no rounding to fewer."""
+    return F.sum(_c(c).cast("decimal(28, 10)")).cast("double")
 
-def dec_avg(c, decimals: int | None = 2) -> Column:
-    """Mean of non-null values as exact decimal sum / count (null when none)."""
-    n = F.count(_c(c))
-    return F.when(n > 0, dec_sum(c, decimals) / n)
-
-
-def weighted_avg(v, w, num_decimals: int | None = None, den_decimals: int | None = None) -> Column:
-    """sum(v*w)/sum(w) over rows where v, w are non-null and w != 0; null if none (AGG-2).
 
-    When v and w carry a known number of decimals the two sums are decimal-exact.
-    """
-    v, w = _c(v).cast("double"), _c(w).cast("double")
-    ok = v.isNotNull() & w.isNotNull() & (w != 0)
-    num = dec_sum(F.when(ok, v * w), num_decimals)
-    den = dec_sum(F.when(ok, w), den_decimals)
-    return F.when(den != 0, num / den)
-
-
-def sum0(c, decimals: int | None = 2) -> Column:
-    """pandas-style sum: nulls skipped, all-null gives 0."""
-    return F.coalesce(dec_sum(c, decimals), F.lit(0.0))
+def dec_avg(c) -> Column:
+    """Mean of non-null values as exact sum / count (null when none)."""
+    n = F.count(_c(c))
+    return F.when(n > 0, dec_sum(c) / n)
 
 
 def truthy(c: Column) -> Column:
@@ -92,24 +72,21 @@ def greens_weekly(pasture, green) -> Column:
 
 # SQL-text twins of the helpers above, for building wide projections/aggregations in one
 # JVM call (``selectExpr`` / ``F.expr``) instead of one py4j call per operator.
-def dec_sum_sql(x: str, decimals: int | None = 2) -> str:
-    s = f"sum(CAST({x} AS DOUBLE))"
-    if decimals is None:
-        return s
-    f = f"{float(10 ** decimals)}D"
-    return f"(round({s} * {f}, 0) / {f})"
+def dec_sum_sql(x: str) -> str:
+    return f"CAST(sum({as_exact(x)}) AS DOUBLE)"
 
 
-def dec_avg_sql(x: str, decimals: int | None = 2) -> str:
-    return f"CASE WHEN count({x}) > 0 THEN {dec_sum_sql(x, decimals)} / count({x}) END"
+def dec_avg_sql(x: str) -> str:
+    return f"CASE WHEN count({x}) > 0 THEN {dec_sum_sql(x)} / count({x}) END"
 
 
-def weighted_avg_sql(v: str, w: str, num_decimals: int | None = None, den_decimals: int | None = None) -> str:
+def weighted_avg_sql(v: str, w: str) -> str:
+    """sum(v*w)/sum(w) over rows where v, w are non-null and w != 0; null if none (AGG-2)."""
     ok = f"({v}) IS NOT NULL AND ({w}) IS NOT NULL AND ({w}) != 0"
-    num = dec_sum_sql(f"CASE WHEN {ok} THEN CAST({v} AS DOUBLE) * CAST({w} AS DOUBLE) END", num_decimals)
-    den = dec_sum_sql(f"CASE WHEN {ok} THEN CAST({w} AS DOUBLE) END", den_decimals)
+    num = dec_sum_sql(f"CASE WHEN {ok} THEN CAST({v} AS DOUBLE) * CAST({w} AS DOUBLE) END")
+    den = dec_sum_sql(f"CASE WHEN {ok} THEN {w} END")
     return f"CASE WHEN {den} != 0 THEN {num} / {den} END"
 
 
-def sum0_sql(x: str, decimals: int | None = 2) -> str:
-    return f"coalesce({dec_sum_sql(x, decimals)}, 0.0D)"
+def sum0_sql(x: str) -> str:
+    return f"coalesce({dec_sum_sql(x)}, 0.0D)"

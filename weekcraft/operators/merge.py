@@ -4,7 +4,7 @@ Plain Spark has no ``MERGE INTO`` for parquet tables, so an upsert is:
 
 1. dedupe the incoming batch per key (last write wins, WIN-7);
 2. split the target into untouched rows (partition value absent from the batch: passed
-   through with no join) and touched rows;
+   through) and touched rows, by joins with the batch's distinct partition values;
 3. full outer join touched rows with the batch on the key and apply the column rules;
 4. (``write_table``) publish: dynamic partition overwrite of the touched partitions, or a
    staged full rewrite under the shared checkpoint folder.
@@ -14,23 +14,23 @@ The functions return the table after the change, lazily.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcraft.operators.windows import last_write_wins
 
 
 def _touched_split(target: DataFrame, incoming: DataFrame, partition_col: str | None):
-    """Untouched / touched target rows by the batch's partition values.
+    """Untouched / touched target rows by the batch's partition values, null being a value like others.
 
-    The touched values (days, weeks, years of one batch) are a short list resolved once;
-    as a literal ``isin`` they prune the partitions of a stored, partitioned target.
+    A semi and an anti join on the batch's distinct values; nothing is collected, and AQE
+    broadcasts the values where they are measured small.
     """
     if partition_col is None:
         return None, target
-    parts = [r[0] for r in incoming.select(partition_col).distinct().collect()]
-    hit = F.col(partition_col).isin(*parts) if parts else F.lit(False)
-    return target.filter(~hit | F.col(partition_col).isNull()), target.filter(hit)
+    parts = incoming.select(F.col(partition_col).alias("_part")).distinct()
+    same = F.col(partition_col).eqNullSafe(F.col("_part"))
+    return target.join(parts, same, "left_anti"), target.join(parts, same, "left_semi")
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], rules: dict[str, str],
@@ -45,10 +45,9 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], rules: dict[
     or a row was inserted (UPD-2 ``updated_at`` stamping uses it).
     """
     cols = list(rules)
-    inc = incoming.select(*keys, *cols, *([order_col] if order_col else []))
-    if order_col:
-        inc = last_write_wins(inc, keys, order_col).drop(order_col)
-    untouched, touched = _touched_split(target.select(*keys, *cols), inc, partition_col)
+    batch = incoming.select(*keys, *cols, *([order_col] if order_col else []))
+    inc = last_write_wins(batch, keys, order_col).drop(order_col) if order_col else batch
+    untouched, touched = _touched_split(target.select(*keys, *cols), batch, partition_col)
     o = touched.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in cols], F.lit(True).alias("_o"))
     n = inc.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_n"))
     j = o.join(n, keys, "full_outer")
@@ -102,14 +101,19 @@ def move(target: DataFrame, moves: DataFrame, key: str, col: str, new_col: str =
 def assign_ids(new_members: DataFrame, order_cols: list[str], start: int, id_col: str) -> DataFrame:
     """Dense, deterministic ids ``start, start+1, ...`` in key order (JOIN-7).
 
-    A distributed range sort, then ``zipWithIndex`` (one small job counts each sorted
-    partition, then every partition numbers its own rows) — no single-task window.
+    The members are range-partitioned and sorted, and written with their partition and their
+    place in it. Row counts per partition (one row each) give every partition its offset.
     """
-    spark = new_members.sparkSession
-    ordered = new_members.orderBy(*order_cols)
-    schema = ordered.schema.add(id_col, "long", False)
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1] + start))
-    return spark.createDataFrame(rdd, schema)
+    from weekcraft.session import materialize
+    parts = int(new_members.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = materialize(new_members.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
+                         .withColumn("_at", F.monotonically_increasing_id()), "new-members")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    return (placed.withColumn("_part", part).join(offsets, "_part")
+            .withColumn(id_col, (F.lit(start) + F.col("_offset") + place).cast("long")).drop("_at", "_part", "_offset"))
 
 
 def get_or_create(dim: DataFrame, incoming_keys: DataFrame, keys: list[str], id_col: str) -> DataFrame:
@@ -134,22 +138,32 @@ def first_per_group(df: DataFrame, group: Column, order_col: str, out_cols: list
 
 
 def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = None,
-                staging: str | None = None) -> str:
+                staging: str | None = None, emptied: DataFrame | None = None) -> str:
     """Publish a rewritten table with the public writer API.
 
     With ``partition_cols``: ``df`` holds the touched partitions only and is written with
-    dynamic partition overwrite, so only those partitions of the table are replaced.
-    Without: the full result is first written to ``staging`` (it was computed from the
-    old files), then copied over ``path``; a failure after the first write leaves a
-    complete copy to re-publish from.
+    dynamic partition overwrite, so only those partitions of the table are replaced. A partition that
+    a delete has emptied has no row to replace it: ``emptied`` (distinct partition values) names
+    the touched ones, and those without a row in ``df`` are removed. Without ``partition_cols``: the
+    full result is first written to ``staging`` (it was computed from the old files), then
+    copied over ``path``; a failure after the first write leaves a complete copy to re-publish from.
     """
+    from weekcraft.session import remove_path, scratch_path
     spark = df.sparkSession
     if partition_cols:
+        gone = []
+        if emptied is not None:
+            present = df.select(*[F.col(c).alias(f"_p_{c}") for c in partition_cols]).distinct()
+            same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in partition_cols]
+            gone = emptied.select(*[F.col(c) for c in partition_cols]).distinct().join(present, same, "left_anti").select(
+                *[F.col(c).cast("string").alias(c) for c in partition_cols]).collect()
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(*partition_cols).parquet(path))
+        for r in gone:
+            values = "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if r[c] is None else r[c]}" for c in partition_cols)
+            remove_path(spark, f"{path.rstrip('/')}/{values}")
         return path
     if staging is None:
-        from weekcraft.session import scratch_path
         staging = scratch_path(spark, "publish")
     df.write.mode("overwrite").parquet(staging)
     spark.read.parquet(staging).write.mode("overwrite").parquet(path)

@@ -5,11 +5,12 @@
 
 1. ``groupBy(v).count()`` — one row per distinct value (partial aggregation map-side, so
    a hot value that holds a third of all rows collapses to a single row early);
-2. range buckets over the distinct values from ``percentile_approx`` boundaries (a
-   handful of numbers, fetched to the driver like a range-partitioner sample);
-3. per-bucket row totals (one row per bucket) give each bucket its rank offset;
-4. inside a bucket, a running sum over the distinct values gives the rank;
-5. ranks are joined back on the value (AQE splits a skewed value's partition).
+2. the distinct values are range-partitioned and written with the number of their range, so
+   every range holds about as many distinct values as the others;
+3. per-range row totals (one row per range) give each range its rank offset;
+4. inside a range, a running sum over the distinct values gives the rank;
+5. ranks are joined back on the value (AQE splits a skewed value's partition). Null values all
+   have one rank, a scalar: their rows match nothing and are spread over the join's partitions.
 
 rank(v) = 1 + number of rows whose value sorts strictly before v, which is exactly SQL
 ``RANK``. Nulls sort last: they share rank ``non-null rows + 1`` (``keep_null=False``) or
@@ -18,135 +19,64 @@ stay null (``keep_null=True``, pandas ``rank`` semantics).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekcraft.session import materialize
 
-def _bucket_expr(v: Column, bounds: list, descending: bool) -> Column:
-    """Bucket = number of boundaries that sort strictly before ``v``.
 
-    A balanced binary search written as nested CASE: about log2(len(bounds)) comparisons
-    per row, all built-in expressions."""
-    if not bounds:
-        return F.lit(0)
-    ordered = sorted(bounds, reverse=descending)
+def value_ranks(df: DataFrame, value_cols: list[str], descending: bool = True, buckets: int | None = None) -> DataFrame:
+    """(_col, _rv, _rk): rank of every distinct non-null value of each column, in one pass over ``df``.
 
-    def before(b):  # does boundary b sort strictly before v?
-        return F.lit(b) > v if descending else F.lit(b) < v
-
-    def build(lo: int, hi: int) -> Column:  # the answer lies in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2  # answer > mid  <=>  ordered[mid] sorts before v
-        return F.when(before(ordered[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
-    return build(0, len(ordered))
-
-
-# Inputs up to this many rows are ranked with a plain window (one task holds them all);
-# the row count is measured first, in the same job that samples the bucket boundaries.
-SMALL_RANK_ROWS = 200_000
-
-
-# Upper bound on range buckets: per-bucket work is distinct values / buckets, and the bucket
-# expression grows with the number of boundaries.
-MAX_BUCKETS = 1024
-
-
-def _n_buckets(df: DataFrame, buckets: int | None) -> int:
-    return min(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), MAX_BUCKETS)
-
-
-def rank_stats(df: DataFrame, value_cols: list[str], buckets: int | None = None) -> tuple[int, dict]:
-    """One aggregate job: row count and range-bucket boundaries for every value column."""
-    nb = _n_buckets(df, buckets)
-    qs = [i / nb for i in range(1, nb)] if nb > 1 else [0.5]
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.percentile_approx(F.col(c), qs, 10000).alias(f"_b{i}") for i, c in enumerate(value_cols)]).first()
-    bounds = {c: sorted(set(row[f"_b{i}"] or [])) for i, c in enumerate(value_cols)}
-    return int(row["_n"]), bounds
-
-
-def value_ranks(df: DataFrame, value_col: str, descending: bool = True, buckets: int | None = None,
-                partition_cols: list[str] | None = None, rank_col: str = "rank",
-                bounds: list | None = None) -> DataFrame:
-    """Distinct (partition cols, value) -> rank, nulls last with rank = non-null count + 1."""
-    pcols = partition_cols or []
-    v = F.col(value_col)
-    counts = df.groupBy(*pcols, value_col).agg(F.count(F.lit(1)).alias("_n"))
-    nonnull = counts.filter(v.isNotNull())
-    if bounds is None:
-        bounds = rank_stats(df, [value_col], buckets)[1][value_col]
-    b = _bucket_expr(v, bounds, descending)
-    nonnull = nonnull.withColumn("_b", b)
-    tot = nonnull.groupBy(*pcols, "_b").agg(F.sum("_n").alias("_bt"))
-    off = tot.withColumn(
-        "_off",
-        F.coalesce(F.sum("_bt").over(Window.partitionBy(*pcols).orderBy("_b")
-                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    Values are taken as doubles; ``_col`` is the column's place in ``value_cols``.
+    """
+    v = F.col("_rv")
     order = v.desc() if descending else v.asc()
-    within = Window.partitionBy(*pcols, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (nonnull.join(off.select(*pcols, "_b", "_off") if pcols else F.broadcast(off.select("_b", "_off")),
-                           [*pcols, "_b"])
-                     .select(*pcols, value_col,
-                             (F.col("_off") + F.coalesce(F.sum("_n").over(within), F.lit(0)) + 1)
-                             .cast("bigint").alias(rank_col)))
-    nulls = (counts.groupBy(*pcols)
-                   .agg(F.sum(F.when(v.isNotNull(), F.col("_n"))).alias("_nn"),
-                        F.max(F.when(v.isNull(), F.lit(1))).alias("_has_null"))
-                   .filter(F.col("_has_null") == 1)
-                   .select(*pcols, F.lit(None).cast(df.schema[value_col].dataType).alias(value_col),
-                           (F.coalesce(F.col("_nn"), F.lit(0)) + 1).cast("bigint").alias(rank_col)))
-    return ranked.unionByName(nulls)
-
-
-def window_rank(df: DataFrame, value_col: str, rank_col: str, descending: bool = True,
-                keep_null: bool = False, partition_cols: list[str] | None = None) -> DataFrame:
-    """Plain ``rank()`` window; only for inputs whose size was checked (see SMALL_RANK_ROWS)."""
+    parts = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_rv")) for i, c in enumerate(value_cols)]))
+    counts = df.select(pairs.alias("_p")).select("_p.*").where(v.isNotNull()).groupBy("_col", "_rv").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = materialize(counts.repartitionByRange(parts, "_col", order).withColumn("_range", F.spark_partition_id()), "rank-values")
+    before = Window.partitionBy("_col").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("_col", "_range").agg(F.sum("_n").alias("_t"))
+               .select("_col", "_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset")))
+    within = Window.partitionBy("_col", "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(offsets, ["_col", "_range"]).select(
+        "_col", "_rv", (F.col("_offset") + F.col("_before") + 1).cast("bigint").alias("_rk"))
+
+
+def window_rank(df: DataFrame, value_col: str, rank_col: str, partition_cols: list[str], descending: bool = True,
+                keep_null: bool = False) -> DataFrame:
+    """WIN-3: rank inside groups of bounded size (the sites of a week), one exchange."""
     v = F.col(value_col)
-    w = Window.partitionBy(*(partition_cols or [])).orderBy(v.desc_nulls_last() if descending else v.asc_nulls_last())
+    w = Window.partitionBy(*partition_cols).orderBy(v.desc_nulls_last() if descending else v.asc_nulls_last())
     r = F.rank().over(w).cast("bigint")
     return df.withColumn(rank_col, F.when(v.isNotNull(), r) if keep_null else r)
 
 
 def global_ranks(df: DataFrame, specs: list[tuple[str, str]], descending: bool = True, keep_null: bool = False,
-                 partition_cols: list[str] | None = None, small_rows: int = SMALL_RANK_ROWS,
                  buckets: int | None = None) -> DataFrame:
-    """Several ranks ``[(value_col, rank_col), ...]`` with one statistics job for all of them.
+    """Several ranks ``[(value_col, rank_col), ...]`` over all rows.
 
-    Inputs measured at ``small_rows`` rows or fewer use a plain window; larger inputs use
-    the two-phase bucketed rank. ``df`` should be materialised (checkpointed) by the caller
-    when its lineage is expensive, since the statistics job reads it once more.
-    """
-    n, bounds = rank_stats(df, [v for v, _ in specs], buckets)
-    if n <= small_rows and not partition_cols:
-        # measured small: one partition, so the rank windows (and whatever the caller does
-        # next with this frame: totals, final sort) need no exchange at all
-        df = df.coalesce(1)
-    for value_col, rank_col in specs:
-        if n <= small_rows:
-            df = window_rank(df, value_col, rank_col, descending, keep_null, partition_cols)
-        else:
-            df = global_rank(df, value_col, rank_col, descending, keep_null, partition_cols, buckets,
-                             bounds=bounds[value_col])
-    return df
-
-
-def global_rank(df: DataFrame, value_col: str, rank_col: str, descending: bool = True,
-                keep_null: bool = False, partition_cols: list[str] | None = None,
-                buckets: int | None = None, bounds: list | None = None) -> DataFrame:
-    """Attach ``RANK() OVER ([PARTITION BY p] ORDER BY v [DESC] NULLS LAST)`` to every row.
-
-    With ``partition_cols`` the ranking restarts per group (WIN-3);
-    the same global buckets apply, so a hot group is split across buckets as well.
+    ``df`` should be materialised by the caller when its lineage is expensive: the values are
+    read once for all ranks, then the rows once.
     """
-    pcols = partition_cols or []
-    r = value_ranks(df, value_col, descending, buckets, pcols, "_rk", bounds)
-    # rename the rank side so the join back is not an ambiguous self-join
-    ren = {c: f"_rp{i}" for i, c in enumerate(pcols)}
-    ren[value_col] = "_rv"
-    r = r.select(*[F.col(c).alias(a) for c, a in ren.items()], "_rk")
-    keys = [F.col(c).eqNullSafe(F.col(a)) for c, a in ren.items()]
-    out = df.join(r, keys, "left").select(*df.columns, F.col("_rk").alias(rank_col))
-    if keep_null:
-        out = out.withColumn(rank_col, F.when(F.col(value_col).isNotNull(), F.col(rank_col)))
-    return out
+    columns = df.columns
+    ranks = materialize(value_ranks(df, [v for v, _ in specs], descending, buckets), "ranks")
+    if not keep_null:
+        after = df.agg(*[(F.count(v) + 1).cast("bigint").alias(f"_null_{i}") for i, (v, _) in enumerate(specs)])
+    # Rows without a value match nothing; their second key spreads them over the join's partitions.
+    df = df.withColumn("_spread", F.pmod(F.xxhash64(*columns), F.lit(1024)))
+    for i, (value_col, rank_col) in enumerate(specs):
+        own = ranks.where(F.col("_col") == i).select(F.col("_rv").alias(f"_rv_{i}"), F.lit(0).cast("bigint").alias(f"_z_{i}"), F.col("_rk").alias(rank_col))
+        v = F.col(value_col)
+        spread = F.when(v.isNull(), F.col("_spread")).otherwise(F.lit(0))
+        df = df.join(own, (v.cast("double") == F.col(f"_rv_{i}")) & (spread == F.col(f"_z_{i}")), "left").drop(f"_rv_{i}", f"_z_{i}")
+    if not keep_null:
+        df = df.crossJoin(F.broadcast(after)).withColumns({r: F.coalesce(F.col(r), F.col(f"_null_{i}")) for i, (_, r) in enumerate(specs)})
+    return df.select(*columns, *[r for _, r in specs])
+
+
+def global_rank(df: DataFrame, value_col: str, rank_col: str, descending: bool = True, keep_null: bool = False,
+                buckets: int | None = None) -> DataFrame:
+    """Attach ``RANK() OVER (ORDER BY v [DESC] NULLS LAST)`` to every row."""
+    return global_ranks(df, [(value_col, rank_col)], descending, keep_null, buckets)

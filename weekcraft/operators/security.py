@@ -20,7 +20,7 @@ def secure(df: DataFrame, grants: DataFrame, user_id: int | None, is_admin: bool
     if user_id is None:
         return df.limit(0)
     mine = grants.filter(F.col("user_id") == F.lit(user_id)).select(F.col("company_id").alias("_gc")).distinct()
-    return df.join(F.broadcast(mine), F.col(company_col) == F.col("_gc"), "left_semi")
+    return df.join(mine, F.col(company_col) == F.col("_gc"), "left_semi")
 
 
 def visible_sites(sites: DataFrame, grants: DataFrame, users: DataFrame) -> DataFrame:

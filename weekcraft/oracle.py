@@ -35,26 +35,23 @@ def snap(expr: str, d: int | None) -> str:
     return f"(round(({expr}) * {f}) / {f})"
 
 
-def dsum(x: str, d: int | None = 2) -> str:
-    return snap(f"sum(CAST({x} AS DOUBLE))", d)
+def dsum(x: str) -> str:
+    """Exact sum: decimals add without rounding, in any order."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(28, 10))) AS DOUBLE)"
 
 
-def davg(x: str, d: int | None = 2) -> str:
-    return f"CASE WHEN count({x}) > 0 THEN {dsum(x, d)} / count({x}) END"
+def davg(x: str) -> str:
+    return f"CASE WHEN count({x}) > 0 THEN {dsum(x)} / count({x}) END"
 
 
-def wavg(v: str, w: str, nd: int | None = None, dd: int | None = None) -> str:
+def wa(v: str, w: str) -> str:
+    """sum(v*w)/sum(w) over the rows that have both, w not 0."""
     ok = f"({v}) IS NOT NULL AND ({w}) IS NOT NULL AND ({w}) <> 0"
-    den = snap(f"sum(CASE WHEN {ok} THEN CAST({w} AS DOUBLE) END)", dd)
-    num = snap(f"sum(CASE WHEN {ok} THEN CAST({v} AS DOUBLE) * CAST({w} AS DOUBLE) END)", nd)
+    den = dsum(f"CASE WHEN {ok} THEN {w} END")
+    num = dsum(f"CASE WHEN {ok} THEN CAST({v} AS DOUBLE) * CAST({w} AS DOUBLE) END")
     return f"CASE WHEN {den} <> 0 THEN {num} / {den} END"
 
 
-def wa(v: str, w: str) -> str:
-    """Weighted mean of a 2-decimal measure by weight (integer) or weight*prod (2 decimals)."""
-    return wavg(v, w, 2, 0) if w == "weight" else wavg(v, w, 4, 2)
-
-
 def fold(x: str) -> str:
     return f"replace(replace(strip_accents(lower({x})), '�', ''), '?', '')"
 
@@ -86,7 +83,7 @@ FROM wb"""),
 FROM wb2"""),
     ("weekly", """SELECT site_id, company_id, CAST(isoyear(period_start) AS INTEGER) AS year,
        CAST(week(period_start) AS INTEGER) AS week, run_week, period_start, period_start + 6 AS period_end,
-       area_ AS area, CAST(n * 50 AS INTEGER) AS herd, CAST(qty AS INTEGER) AS weight,
+       area_ AS area, CAST(n * 50 AS BIGINT) AS herd, CAST(qty AS BIGINT) AS weight,
        (round(CAST(CASE WHEN area_ <> 0 THEN n * 50 / area_ END AS DOUBLE) * 100.0) / 100.0) AS stocking,
        (round(CAST(tax0 * 100 AS DOUBLE) * 100.0) / 100.0) AS fat, (round(CAST(disc0 * 10 + 3 AS DOUBLE) * 100.0) / 100.0) AS protein, (round(CAST(ext0 / 100 AS DOUBLE) * 100.0) / 100.0) AS conc_cost,
        CAST((n * 13 + site_id) % 150 + 250 AS INTEGER) AS grams_per_litre,
@@ -175,8 +172,8 @@ FROM body0"""),
        {wa('ms_conc', 'weight')} AS ms_conc, {wa('ms_cons', 'weight')} AS ms_cons,
        {wa('greens', 'weight')} AS greens, {wa('total_ms', 'weight')} AS total_ms,
        {wa('prod', 'weight')} AS prod, {wa('cost', 'weight')} AS cost, {wa('price', 'weight * prod')} AS price,
-       {wa('margin', 'weight')} AS margin, {wavg('margin_4w', 'weight')} AS margin_4w,
-       coalesce(sum(weight_4w), 0) AS weight_4w, {wavg('margin_52w', 'weight')} AS margin_52w,
+       {wa('margin', 'weight')} AS margin, {wa('margin_4w', 'weight')} AS margin_4w,
+       coalesce(sum(weight_4w), 0) AS weight_4w, {wa('margin_52w', 'weight')} AS margin_52w,
        coalesce(sum(weight_52w), 0) AS weight_52w
 FROM body"""),
         ("tot", f"""SELECT {q(TOTAL_LABEL)} AS site, *,

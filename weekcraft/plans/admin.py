@@ -54,14 +54,14 @@ def user_companies(users: DataFrame, grants: DataFrame, companies: DataFrame) ->
 
 def recent_logs(logs: DataFrame, users: DataFrame, limit: int = 100, file_types: list[str] | None = None,
                 statuses: list[str] | None = None) -> DataFrame:
-    """JOIN-6 + SRT-4 + FLT-8 + MAP-1 + DT-2: newest ``limit`` loads (the top-k is the
-    feature; ``log_id`` breaks ties), then the optional type/status filters (empty = all)."""
-    j = logs.join(users.select("user_id", "username"), "user_id", "left")
-    top = j.orderBy(F.col("loaded_at").desc(), F.col("log_id").desc()).limit(limit)
+    """JOIN-6 + SRT-4 + FLT-8 + MAP-1 + DT-2: the newest ``limit`` loads that match the optional
+    type/status filters (empty = all); the top-k is the feature, ``log_id`` breaks ties."""
     if file_types:
-        top = top.filter(F.col("file_type").isin(*file_types))
+        logs = logs.filter(F.col("file_type").isin(*file_types))
     if statuses:
-        top = top.filter(F.col("status").isin(*statuses))
+        logs = logs.filter(F.col("status").isin(*statuses))
+    newest = (F.col("loaded_at").desc(), F.col("log_id").desc())
+    top = logs.orderBy(*newest).limit(limit).join(users.select("user_id", "username"), "user_id", "left").orderBy(*newest)
     return top.select("log_id", C.ts_text(F.col("loaded_at")).alias("loaded_at"), "username", "file_type",
                       "file_name", "processed", "status",
                       C.map_value(F.col("status"), STATUS_SYMBOLS, STATUS_DEFAULT).alias("status_symbol"), "message")
@@ -147,8 +147,8 @@ def run_maintenance(logs: DataFrame, tables: dict[str, DataFrame], as_of: str, r
     return spark.createDataFrame(rows, "task string, result string, duration_ms long")
 
 
-def weeks_by_date(hist: DataFrame, limit: int = 100) -> DataFrame:
-    """AGG-7 variant: rows and sites per (week, closing day), newest ``limit`` (top-k)."""
+def weeks_by_date(hist: DataFrame) -> DataFrame:
+    """AGG-7 variant: rows and sites per (week, closing day), all of them, newest day first."""
     return (hist.groupBy("week", "day").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
                                             F.count_distinct("site").cast("bigint").alias("sites"))
-                .orderBy(F.col("week").desc(), F.col("day").desc()).limit(limit))
+                .orderBy(F.col("day").desc(), F.col("week").desc()))

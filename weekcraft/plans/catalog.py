@@ -6,6 +6,8 @@ the library's plans over the whole tables.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from weekcraft.sources.tables import Tables
 from weekcraft.functions import clean as C
 from weekcraft.functions.concepts import attach_concept_key
 from weekcraft.operators import aggregates as A
-from weekcraft.operators.rank import global_rank, global_ranks
+from weekcraft.operators.rank import global_rank, global_ranks, window_rank
 from weekcraft.operators.windows import trailing_actual, trailing_fixed, trailing_series
 from weekcraft.session import materialize
 from weekcraft.operators.security import visible_sites
@@ -130,7 +132,7 @@ def q_history_window(spark, sf_dir) -> DataFrame:
     s = B.sites(t).select(C.strip_ws("name").alias("_sn"), "company_id")
     c = B.companies(t).select("company_id", F.col("name").alias("company"))
     out = (win.join(s, C.strip_ws("site") == F.col("_sn"))
-              .join(F.broadcast(c), "company_id")
+              .join(c, "company_id")
               .select("week", "day", "site", "company", F.col("margin").cast("double").alias("margin"),
                       F.col("weight").cast("double").alias("weight")))
     return _round_doubles(out)
@@ -155,15 +157,14 @@ def q_rank_all_weeks(spark, sf_dir) -> DataFrame:
 def q_rank_nulls_kept(spark, sf_dir) -> DataFrame:
     """WIN-2 over all weekly rows: min-rank descending, null margins keep a null rank."""
     w = materialize(_weekly_named(_t(spark, sf_dir)), "weekly-named")
-    return _round_doubles(global_ranks(w, [("margin", "rank")], descending=True, keep_null=True, small_rows=0))
+    return _round_doubles(global_ranks(w, [("margin", "rank")], descending=True, keep_null=True))
 
 
 @register("rank_per_week")
 def q_rank_per_week(spark, sf_dir) -> DataFrame:
     """WIN-3: rank within each (year, week), nulls last and ranked."""
     w = _weekly_named(_t(spark, sf_dir))
-    return _round_doubles(global_rank(w, "margin", "rank", descending=True, keep_null=False,
-                                      partition_cols=["year", "week"]))
+    return _round_doubles(window_rank(w, "margin", "rank", ["year", "week"]))
 
 
 @register("concept_metric")
@@ -181,7 +182,7 @@ def q_concept_metric(spark, sf_dir) -> DataFrame:
               .otherwise(F.concat(F.lit("(A)  "), F.col("concept"), F.lit(" "))))
     long = long.withColumn("concept", C.clean_concept(dirty))
     keyed = attach_concept_key(long, "concept", "concept_key")
-    out = keyed.groupBy("site", "concept_key").agg(A.dec_avg("total", 2).alias("metric"),
+    out = keyed.groupBy("site", "concept_key").agg(A.dec_avg("total").alias("metric"),
                                                    F.count(F.lit(1)).alias("n"))
     return _round_doubles(out)
 
@@ -215,19 +216,21 @@ def q_weekly_matrix_selected(spark, sf_dir) -> DataFrame:
 # --------------------------------------------------------------------------- daily facts and security
 
 DETAIL_USER, SECURED_USER = 1, 2
+# The period of the day pivots (a parameter of the operators): the month of the events.
+DETAIL_DAYS = D.period_days(date(2024, 1, 1), 30)
 DETAIL_CATEGORIES = ["activity", "sales"]
 
 
 @register("daily_pivot")
 def q_daily_pivot(spark, sf_dir) -> DataFrame:
     """RSH-3/RSH-4: stored daily facts, one column per day, plus the row total."""
-    return D.daily_pivot(D.daily_table(_t(spark, sf_dir)))
+    return D.daily_pivot(D.daily_table(_t(spark, sf_dir)), DETAIL_DAYS)
 
 
 @register("daily_detail")
 def q_daily_detail(spark, sf_dir) -> DataFrame:
     """SRC-6/RSH-9: a user's secured daily detail, category filter, zeros for gaps."""
-    return D.daily_detail(_t(spark, sf_dir), DETAIL_USER, False, categories=DETAIL_CATEGORIES)
+    return D.daily_detail(_t(spark, sf_dir), DETAIL_USER, DETAIL_DAYS, categories=DETAIL_CATEGORIES)
 
 
 @register("secured_daily")
@@ -716,7 +719,7 @@ def q_history_by_date(spark, sf_dir) -> DataFrame:
     """SRC-9 + STR-10: one company's history from 52 weeks before the last closing day."""
     t = _t(spark, sf_dir)
     h = (_hist(t).join(B.sites(t).select(F.col("name").alias("site"), "company_id"), "site")
-                 .join(F.broadcast(B.companies(t).select("company_id", F.col("name").alias("company"))), "company_id")
+                 .join(B.companies(t).select("company_id", F.col("name").alias("company")), "company_id")
                  .select("week", "day", "company", "site", "margin", "weight"))
     as_of = h.agg(F.max("day")).first()[0]
     return H.history_for_matrix(h, as_of, HISTORY_WEEKS_BACK, company=HISTORY_COMPANY)

@@ -7,8 +7,8 @@ from weekcraft.functions.concepts import WEEKLY_MEASURE_LABELS
 from weekcraft.oracle import DICT_CTES, HISTORY_CTE, MATRIX_OUT, davg, dsum, fold, matrix_ctes, q, snap, wa
 from weekcraft.plans.matrix import (FLOAT_COLUMNS, HIGH_IS_GOOD, INT_COLUMNS, LOW_IS_GOOD, MONEY_COLUMNS,
                                     PCT_COLUMNS)
-from weekcraft.plans.catalog import DETAIL_CATEGORIES, DETAIL_USER, SECURED_USER
-from weekcraft.plans.report import REPORT_CONCEPTS, WEEKLY_PATTERNS, WEEKLY_TARGETS
+from weekcraft.plans.catalog import DETAIL_CATEGORIES, DETAIL_DAYS, DETAIL_USER, SECURED_USER
+from weekcraft.plans.report import REPORT_CONCEPTS, REPORT_VARIANTS, WEEKLY_PATTERNS, WEEKLY_TARGETS
 from weekcraft.plans.admin import STATUS_DEFAULT, STATUS_SYMBOLS
 from weekcraft.plans.catalog import DETAIL_WEEK
 from weekcraft.plans.catalog import (CASCADE_COMPANY, MARGIN_DEFAULT_YEAR, PERIOD_RUN_WEEK,
@@ -68,15 +68,15 @@ FROM hx GROUP BY site""")
 
 
 def _fixed(c, n):
-    w = f"(PARTITION BY site ORDER BY day ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-    return r6(f"CASE WHEN count(*) OVER {w} > 0 THEN coalesce({snap(f'sum({c}) OVER {w}', 2)}, 0) / {n} END",
-              f"{c}_{n}f")
+    """Written from the rule, not as a window: the last n rows of earlier days."""
+    last = f"(SELECT {c} FROM hist p WHERE p.site = h.site AND p.day < h.day ORDER BY p.day DESC, p.week DESC LIMIT {n})"
+    return r6(f"(SELECT CASE WHEN count(*) > 0 THEN coalesce({snap(f'sum({c})', 2)}, 0) / {n} END FROM {last})", f"{c}_{n}f")
 
 
 ORACLE["trailing_fixed"] = with_(*W, HISTORY_CTE, final=f"""
 SELECT site, week, day, {r6('margin', 'margin')}, weight,
        {_fixed('margin', 4)}, {_fixed('weight', 4)}, {_fixed('margin', 52)}, {_fixed('weight', 52)}
-FROM hist""")
+FROM hist h""")
 
 
 def _roll(c, n):
@@ -192,29 +192,21 @@ FROM ev GROUP BY site_id, day, concept"""),
 ]
 DAY_TEXT = "strftime(day, '%d-%m-%Y')"
 
-def _top_pivot(ctes, src, keys):
-    """``WITH ... PIVOT`` as the outermost statement (DuckDB does not see CTEs from a PIVOT
-    nested inside another CTE)."""
-    body = with_(*ctes, final="")
-    return body + f"PIVOT {src} ON day_text USING first(v) GROUP BY {keys}"
+def _day_cells(value: str, gap: str) -> str:
+    return ", ".join(f"coalesce(max(CASE WHEN day = DATE '{d}' THEN {value} END), {gap}) AS \"{d:%d-%m-%Y}\"" for d in DETAIL_DAYS)
 
 
-ORACLE["daily_pivot"] = _top_pivot(DAILY_CTES + [
-    ("tt", f"SELECT site_id, category, concept, coalesce({dsum('value')}, 0) AS total FROM dt GROUP BY ALL"),
-    ("src", f"""SELECT dt.site_id, dt.category, dt.concept, {DAY_TEXT} AS day_text, dt.value AS v, tt.total
-FROM dt JOIN tt USING (site_id, category, concept)""")], "src", "site_id, category, concept, total")
+_in_period = f"day BETWEEN DATE '{DETAIL_DAYS[0]}' AND DATE '{DETAIL_DAYS[-1]}'"
+ORACLE["daily_pivot"] = with_(*DAILY_CTES, final=f"""
+SELECT site_id, category, concept, {_day_cells('value', 'NULL')}, coalesce({dsum('value')}, 0) AS total
+FROM dt WHERE {_in_period} GROUP BY site_id, category, concept""")
 
 _cats = ", ".join(q(c) for c in DETAIL_CATEGORIES)
-ORACLE["daily_detail"] = _top_pivot(DAILY_CTES + [
-    ("sec", f"SELECT * FROM dt WHERE company_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = {DETAIL_USER})"),
-    ("j", f"""SELECT s.s_name AS site, sec.*, {DAY_TEXT} AS day_text FROM sec JOIN supplier s ON sec.site_id = s.s_suppkey
-WHERE category IN ({_cats})"""),
-    ("tt", f"SELECT site, category, concept, coalesce({dsum('value')}, 0) AS total FROM j GROUP BY ALL"),
-    ("grid", """SELECT k.site, k.category, k.concept, d.day_text, coalesce(j.value, 0.0) AS v, tt.total
-FROM (SELECT DISTINCT site, category, concept FROM j) k CROSS JOIN (SELECT DISTINCT day_text FROM j) d
-LEFT JOIN j ON j.site = k.site AND j.category = k.category AND j.concept = k.concept AND j.day_text = d.day_text
-JOIN tt ON tt.site = k.site AND tt.category = k.category AND tt.concept = k.concept""")],
-    "grid", "site, category, concept, total")
+ORACLE["daily_detail"] = with_(*DAILY_CTES, final=f"""
+SELECT s.s_name AS site, category, concept, {_day_cells('value', '0.0')}, coalesce({dsum('value')}, 0) AS total
+FROM dt JOIN supplier s ON dt.site_id = s.s_suppkey
+WHERE company_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = {DETAIL_USER}) AND category IN ({_cats}) AND {_in_period}
+GROUP BY s.s_name, category, concept""")
 
 ORACLE["secured_daily"] = with_(*DAILY_CTES, final=f"""
 SELECT n.n_name AS company, s.s_name AS site, dt.day, dt.category, dt.concept, dt.value
@@ -246,6 +238,7 @@ def clean_site_sql(x: str) -> str:
 
 
 _concept_case = "CASE concept " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in REPORT_CONCEPTS) + " END"
+_variants = " ".join(f"WHEN site_id % 5 = {r} AND concept = {q(c)} THEN {q(w)}" for r, c, w in REPORT_VARIANTS)
 REPORT_CTES = DAILY_CTES + [
     ("rc0", """SELECT dt.*, n.n_name AS company, CAST(isoyear(day) AS INTEGER) AS year, CAST(week(day) AS INTEGER) AS week
 FROM dt JOIN nation n ON dt.company_id = n.n_nationkey"""),
@@ -254,7 +247,7 @@ FROM dt JOIN nation n ON dt.company_id = n.n_nationkey"""),
     ("rc", f"""SELECT company, CAST(company_id AS VARCHAR) || '_' || company AS company_code_raw,
        CASE site_id % 3 WHEN 0 THEN 'Fundo Site ' || site_id WHEN 1 THEN 'Agricola Site ' || site_id
             ELSE ' Site ' || site_id || ' ' END AS site_raw, category,
-       CASE WHEN site_id % 29 = 0 AND concept = 'error' THEN '(F) ' ELSE {_concept_case} END AS concept_raw,
+       CASE WHEN site_id % 29 = 0 AND concept = 'error' THEN '(F) ' {_variants} ELSE {_concept_case} END AS concept_raw,
        year, week,
        CASE WHEN (site_id + dayofmonth(day)) % 41 = 0 THEN '31-02-' || CAST(year(day) AS VARCHAR)
             ELSE strftime(day, '%-d-%-m-%Y') END AS day_text,
@@ -303,19 +296,19 @@ def target_sql(x: str) -> str:
 
 ORACLE["unmapped_concepts"] = with_(*REPORT_CTES, final=f"""
 SELECT DISTINCT company, site, lower(concept) AS concept FROM tg
-WHERE concept IS NOT NULL AND {target_sql('lower(concept)')} IS NULL""")
+WHERE concept IS NOT NULL AND {target_sql('lower(concept_raw)')} IS NULL""")
 
 
 def _tgt(t):
     tot = davg(f"CASE WHEN target = {q(t)} THEN row_total END")
-    cs = snap(f"sum(CASE WHEN target = {q(t)} THEN cell_sum END)", 2)
+    cs = dsum(f"CASE WHEN target = {q(t)} THEN cell_sum END")
     cc = f"sum(CASE WHEN target = {q(t)} THEN cell_cnt END)"
     return f"round(coalesce({tot}, CASE WHEN {cc} <> 0 THEN {cs} / {cc} END) * 100.0) / 100.0 AS {t}"
 
 
-ORACLE["weekly_from_report"] = with_(*REPORT_CTES, ("tr", f"""SELECT *, {target_sql('lower(concept)')} AS target
+ORACLE["weekly_from_report"] = with_(*REPORT_CTES, ("tr", f"""SELECT *, {target_sql('lower(concept_raw)')} AS target
 FROM tg WHERE concept IS NOT NULL"""),
-    ("rows_", f"""SELECT company, site, year, week, concept, target, max(row_total) AS row_total,
+    ("rows_", f"""SELECT company, site, year, week, concept_raw, target, max(row_total) AS row_total,
        {dsum('value')} AS cell_sum, count(value) AS cell_cnt
 FROM tr WHERE target IS NOT NULL GROUP BY ALL"""),
     ("w0", f"""SELECT company, site, year, week, {', '.join(_tgt(t) for t in WEEKLY_TARGETS + ['ms_pasture', 'ms_green'])}
@@ -345,7 +338,7 @@ _d = safe_float_sql(_plain2_sql("l_extendedprice"))
 ORACLE["clean_numbers"] = f"""
 SELECT l_orderkey, l_linenumber, text, {clean_number_sql('text')} AS value,
        {safe_float_sql('CAST(l_quantity AS VARCHAR)')} AS qty_float,
-       CASE WHEN {_d} IS NOT NULL AND abs({_d}) < 2147483648 THEN CAST(trunc({_d}) AS INTEGER) END AS price_int
+       CASE WHEN {_d} IS NOT NULL AND abs({_d}) < 9223372036854775808 THEN CAST(trunc({_d}) AS BIGINT) END AS price_int
 FROM (SELECT *, {_txt} AS text FROM lineitem)"""
 
 ORACLE["clean_concepts"] = f"""
@@ -429,10 +422,11 @@ FROM region r LEFT JOIN (SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_
 _sym = "CASE status " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in STATUS_SYMBOLS.items()) + \
        f" ELSE {q(STATUS_DEFAULT)} END"
 ORACLE["recent_logs"] = with_(LOGS_CTE, ("top", """SELECT l.*, c.c_name AS username FROM logs l
-LEFT JOIN customer c ON l.user_id = c.c_custkey ORDER BY l.loaded_at DESC, l.log_id DESC LIMIT 100"""), final=f"""
+LEFT JOIN customer c ON l.user_id = c.c_custkey WHERE l.file_type IN ('weekly')
+ORDER BY l.loaded_at DESC, l.log_id DESC LIMIT 100"""), final=f"""
 SELECT log_id, strftime(loaded_at, '%d-%m-%Y %H:%M') AS loaded_at, username, file_type, file_name, processed, status,
        {_sym} AS status_symbol, message
-FROM top WHERE file_type IN ('weekly')""")
+FROM top""")
 
 ORACLE["log_counters"] = with_(LOGS_CTE, final="""
 SELECT file_type, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE status = 'exito') AS BIGINT) AS success,
@@ -567,7 +561,7 @@ SELECT CAST(count(*) FILTER (WHERE loaded_at < DATE '{RETENTION_AS_OF}' - {RETEN
 
 def safe_int_sql(x):
     d = safe_float_sql(x)
-    return f"(CASE WHEN {d} IS NOT NULL AND abs({d}) < 2147483648 THEN CAST(trunc({d}) AS INTEGER) END)"
+    return f"(CASE WHEN {d} IS NOT NULL AND abs({d}) < 9223372036854775808 THEN CAST(trunc({d}) AS BIGINT) END)"
 
 
 HIST_REPORT_CTES = [
@@ -624,7 +618,7 @@ _EMPTY_HIST = ("hist", """SELECT CAST(NULL AS INTEGER) AS week, CAST(NULL AS DAT
 ORACLE["report_matrix"] = with_(*REPORT_CTES, (
     "lw", "SELECT year, week FROM tg ORDER BY year DESC, week DESC LIMIT 1"),
     ("rrows", f"""SELECT site, concept, max(row_total) AS total, {dsum('value')} AS cell_sum, count(value) AS cell_cnt
-FROM tg JOIN lw USING (year, week) WHERE concept IS NOT NULL GROUP BY site, concept"""),
+FROM tg JOIN lw USING (year, week) WHERE concept IS NOT NULL GROUP BY site, concept, concept_raw"""),
     *matrix_ctes("rrows", cells=True, hist_cte=_EMPTY_HIST),
     final=matrix_select("body", False) + "\nUNION ALL\n" + matrix_select("tot", True))
 
@@ -637,7 +631,7 @@ SELECT site, year, week, 'empty margin' FROM inc WHERE site IN (SELECT s_name FR
 
 ORACLE["weeks_by_date"] = with_(*W, HISTORY_CTE, final="""
 SELECT week, day, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT site) AS BIGINT) AS sites
-FROM hist GROUP BY week, day ORDER BY week DESC, day DESC LIMIT 100""")
+FROM hist GROUP BY week, day""")
 
 ORACLE["history_by_date"] = with_(*W, HISTORY_CTE, ("hc", """SELECT h.week, h.day, n.n_name AS company, h.site, h.margin, h.weight
 FROM hist h JOIN supplier s ON s.s_name = h.site JOIN nation n ON n.n_nationkey = s.s_nationkey"""), final=f"""

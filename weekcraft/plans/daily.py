@@ -3,12 +3,13 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcraft.functions.clean import day_text, sort_date_headers
+from weekcraft.functions.clean import day_text
 from weekcraft.operators.reshape import pivot_days
 from weekcraft.operators.security import secure
 from weekcraft.sources import bindings as B
@@ -33,13 +34,14 @@ def daily_table(t: Tables) -> DataFrame:
     return dedupe_daily(B.daily(t))
 
 
-def day_columns(df: DataFrame, day_col: str = "day") -> list[str]:
-    """Distinct days as ``dd-MM-yyyy`` header texts in calendar order (DT-6).
+def period_days(first: date, days: int) -> list[date]:
+    """The calendar days of a period, in order (DT-6)."""
+    return [first + timedelta(days=i) for i in range(days)]
 
-    The list is bounded by the calendar span of the data (days, not rows).
-    """
-    rows = df.select(day_text(F.col(day_col)).alias("d")).distinct().collect()
-    return sort_date_headers([r["d"] for r in rows])
+
+def _in_period(daily: DataFrame, days: list[date]) -> DataFrame:
+    """Rows of the period, with their header text; the bounds reach the scan as day literals."""
+    return (daily.filter(F.col("day").between(F.lit(days[0]), F.lit(days[-1]))).withColumn("day_text", day_text(F.col("day"))))
 
 
 def row_total_of(cols: list[str], decimals: int = 2):
@@ -51,17 +53,18 @@ def row_total_of(cols: list[str], decimals: int = 2):
     return F.round(s * f, 0) / f
 
 
-def daily_pivot(daily: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """RSH-3 + RSH-4: one row per key, one column per day (explicit list, no extra job for
-    the pivot values), plus the row total."""
+def daily_pivot(daily: DataFrame, days: list[date], keys: list[str] | None = None) -> DataFrame:
+    """RSH-3 + RSH-4: one row per key with facts in the period, one column per day of it, plus the row total.
+
+    The columns come from the period, so the data are read once and the schema is fixed.
+    """
     keys = keys or ["site_id", "category", "concept"]
-    days = day_columns(daily)
-    long = daily.withColumn("day_text", day_text(F.col("day")))
-    pv = pivot_days(long, keys, "day_text", "value", days, order_col="row_no" if "row_no" in daily.columns else None)
-    return pv.withColumn("total", row_total_of(days))
+    names = [f"{d:%d-%m-%Y}" for d in days]
+    pv = pivot_days(_in_period(daily, days), keys, "day_text", "value", names, order_col="row_no" if "row_no" in daily.columns else None)
+    return pv.withColumn("total", row_total_of(names))
 
 
-def daily_detail(t: Tables, user_id: int | None, is_admin: bool = False,
+def daily_detail(t: Tables, user_id: int | None, days: list[date], is_admin: bool = False,
                  categories: list[str] | None = None, concepts: list[str] | None = None,
                  site: str | None = None) -> DataFrame:
     """SRC-6 / RSH-9: secured daily facts joined to site names, optional filters
@@ -78,11 +81,9 @@ def daily_detail(t: Tables, user_id: int | None, is_admin: bool = False,
     if site:
         preds.append(F.col("site") == site)
     d = d.filter(reduce(lambda a, b: a & b, preds))
-    days = day_columns(d)
-    long = d.withColumn("day_text", day_text(F.col("day")))
-    pv = pivot_days(long, ["site", "category", "concept"], "day_text", "value", days, order_col="row_no")
-    pv = pv.fillna(0.0, subset=days) if days else pv
-    return pv.withColumn("total", row_total_of(days)).orderBy("site", "category", "concept")
+    names = [f"{x:%d-%m-%Y}" for x in days]
+    pv = pivot_days(_in_period(d, days), ["site", "category", "concept"], "day_text", "value", names, order_col="row_no")
+    return pv.fillna(0.0, subset=names).withColumn("total", row_total_of(names)).orderBy("site", "category", "concept")
 
 
 def secured_daily(t: Tables, user_id: int | None, is_admin: bool = False) -> DataFrame:
@@ -90,5 +91,5 @@ def secured_daily(t: Tables, user_id: int | None, is_admin: bool = False) -> Dat
     d = secure(daily_table(t), B.grants(t), user_id, is_admin)
     s = B.sites(t).select("site_id", F.col("name").alias("site"))
     c = B.companies(t).select("company_id", F.col("name").alias("company"))
-    return d.join(s, "site_id").join(F.broadcast(c), "company_id").select(
+    return d.join(s, "site_id").join(c, "company_id").select(
         "company", "site", "day", "category", "concept", "value")

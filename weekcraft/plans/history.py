@@ -51,12 +51,13 @@ MARGIN_CANDIDATES = ["MDAT", "(I) MDAT", "I) MDAT", "MDAT (I)", "I MDAT"]
 REASON_NO_WEEK, REASON_NO_SITE = "Semana vacía", "Establecimiento vacío"
 
 
+# Letters that encodings garble in the reports' headers, and degree signs, for fuzzy matching (SCH-5).
+_HEADER_FOLD = str.maketrans("âãñ", "aan", "°º")
+
+
 def normalize_header(h: str) -> str:
-    """Header normalisation for fuzzy matching (lower, strip, ñ/â/ã folded, ° removed)."""
-    h = str(h).lower().strip()
-    for a, b in (("â", "a"), ("ã", "a"), ("ñ", "n"), ("°", ""), ("º", "")):
-        h = h.replace(a, b)
-    return h
+    """A header for fuzzy matching: lower case, without outer blanks, by ``_HEADER_FOLD``."""
+    return str(h).strip().lower().translate(_HEADER_FOLD)
 
 
 def map_headers(columns: list[str]) -> dict[str, str]:

@@ -77,7 +77,7 @@ def weekly_long(t: Tables, weekly: DataFrame | None = None, year: int | None = N
         wk = weekly if one_week else select_week(weekly, year, week)
     s = B.sites(t).select("site_id", F.col("name").alias("site"))
     c = B.companies(t).select("company_id", F.col("name").alias("company"), F.col("code").alias("company_code"))
-    joined = wk.join(s, "site_id").join(F.broadcast(c), "company_id")
+    joined = wk.join(s, "site_id").join(c, "company_id")
     keep = tuple(label for m, label in WEEKLY_MEASURE_LABELS if m == NULL_KEPT_MEASURE)
     return unpivot_measures(joined, ["company", "company_code", "site", "week"], WEEKLY_MEASURE_LABELS,
                             keep_null=keep)
@@ -103,10 +103,10 @@ def concept_metrics(long: DataFrame, site_col: str = "site", day_cols: list[str]
 
     def cell_mean(key):
         hit = f"concept_key = '{key}'"
-        return f"try_divide({A.dec_sum_sql(f'CASE WHEN {hit} THEN _cs END', 2)}, sum(CASE WHEN {hit} THEN _cc END))"
+        return f"try_divide({A.dec_sum_sql(f'CASE WHEN {hit} THEN _cs END')}, sum(CASE WHEN {hit} THEN _cc END))"
     aggs = []
     for col, key in MATRIX_FROM_KEY:
-        m = A.dec_avg_sql(f"CASE WHEN concept_key = '{key}' THEN CAST(total AS DOUBLE) END", 2)
+        m = A.dec_avg_sql(f"CASE WHEN concept_key = '{key}' THEN CAST(total AS DOUBLE) END")
         if cells:
             m = f"coalesce({m}, {cell_mean(key)})"
         aggs.append(F.expr(f"{m} AS {col}"))
@@ -151,13 +151,9 @@ def with_history(m: DataFrame, hist: DataFrame) -> DataFrame:
     return m.join(h, strip_ws("site") == F.col("_hs"), "left").drop("_hs")
 
 
-def add_ranks(body: DataFrame, small_rows: int | None = None) -> DataFrame:
-    """WIN-2: rank desc, ties share the minimum, null stays null.
-
-    The body's size is measured; large bodies are ranked two-phase (no single task).
-    """
-    kw = {} if small_rows is None else {"small_rows": small_rows}
-    return global_ranks(body, [(v, r) for r, v in RANK_COLUMNS.items()], descending=True, keep_null=True, **kw)
+def add_ranks(body: DataFrame) -> DataFrame:
+    """WIN-2: rank desc, ties share the minimum, null stays null (two-phase, no single task)."""
+    return global_ranks(body, [(v, r) for r, v in RANK_COLUMNS.items()], descending=True, keep_null=True)
 
 
 def total_row(body: DataFrame, label: str = TOTAL_LABEL, group_cols: list[str] | None = None,
@@ -168,12 +164,12 @@ def total_row(body: DataFrame, label: str = TOTAL_LABEL, group_cols: list[str] |
     """
     def wa(v, by_litres=False):  # 2-decimal measures; weight is integral, weight*prod has 2 decimals
         if by_litres:
-            return F.expr(f"{A.weighted_avg_sql(v, 'weight * prod', 4, 2)} AS {v}")
-        return F.expr(f"{A.weighted_avg_sql(v, 'weight', 2, 0)} AS {v}")
+            return F.expr(f"{A.weighted_avg_sql(v, 'weight * prod')} AS {v}")
+        return F.expr(f"{A.weighted_avg_sql(v, 'weight')} AS {v}")
     hist = [F.expr(f"{A.weighted_avg_sql('margin_4w', 'weight')} AS margin_4w"),
-            F.expr(f"{A.sum0_sql('weight_4w', None)} AS weight_4w"),
+            F.expr(f"{A.sum0_sql('weight_4w')} AS weight_4w"),
             F.expr(f"{A.weighted_avg_sql('margin_52w', 'weight')} AS margin_52w"),
-            F.expr(f"{A.sum0_sql('weight_52w', None)} AS weight_52w")]
+            F.expr(f"{A.sum0_sql('weight_52w')} AS weight_52w")]
     t = body.groupBy(*(group_cols or [])).agg(
         F.expr(f"{A.sum0_sql('area')} AS area"), F.expr(f"{A.sum0_sql('herd')} AS herd"),
         F.expr(f"{A.sum0_sql('weight')} AS weight"),

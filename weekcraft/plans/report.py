@@ -56,6 +56,15 @@ REPORT_CONCEPTS = [
     ("signup", "(E)  Porcentaje  leche no vendible"),
 ]
 
+# Sites whose number leaves this rest by 5 write another concept: the margin, the two kinds of greens,
+# and a second row for a measure they report already.
+REPORT_VARIANTS = [
+    (1, "purchase", "(I) MDAT"),
+    (2, "purchase", "(J) Kg MS pradera / vaca"),
+    (2, "error", "(K) Kg MS verde / vaca"),
+    (3, "purchase", "(L) Promedio semanal"),
+]
+
 
 def pattern_target(concept_lower):
     """AGG-4 target column of a concept: longest contained pattern (a CASE chain ordered by
@@ -82,8 +91,10 @@ def report_cells(t: Tables) -> DataFrame:
     site_raw = (F.when(F.col("site_id") % 3 == 0, F.concat(F.lit("Fundo Site "), sid))
                  .when(F.col("site_id") % 3 == 1, F.concat(F.lit("Agricola Site "), sid))
                  .otherwise(F.concat(F.lit(" Site "), sid, F.lit(" "))))
-    concept_raw = F.when((F.col("site_id") % 29 == 0) & (F.col("concept") == "error"), F.lit("(F) ")) \
-                   .otherwise(F.element_at(concept_map, F.col("concept")))
+    concept_raw = F.when((F.col("site_id") % 29 == 0) & (F.col("concept") == "error"), F.lit("(F) "))
+    for rest, concept, written in REPORT_VARIANTS:
+        concept_raw = concept_raw.when((F.col("site_id") % 5 == rest) & (F.col("concept") == concept), F.lit(written))
+    concept_raw = concept_raw.otherwise(F.element_at(concept_map, F.col("concept")))
     day_hdr = F.when((F.col("site_id") + F.dayofmonth("day")) % 41 == 0,
                      F.concat(F.lit("31-02-"), F.year("day").cast("string"))) \
                .otherwise(F.date_format("day", "d-M-yyyy"))
@@ -91,7 +102,7 @@ def report_cells(t: Tables) -> DataFrame:
              .when(F.col("row_no") % 17 == 0, F.lit("n/d"))
              .otherwise(C.fmt_es(F.col("value"))))
     row_w = Window.partitionBy("site_id", "_y", "_w", "concept")
-    base = (d.join(F.broadcast(n), "company_id")
+    base = (d.join(n, "company_id")
              .withColumn("_y", C.iso_year(F.col("day")).cast("int"))
              .withColumn("_w", C.iso_week(F.col("day")).cast("int")))
     cnt = F.count("value").over(row_w)
@@ -176,13 +187,19 @@ def load_stats(tagged: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def unmapped_concepts(tagged: DataFrame) -> DataFrame:
-    """QLT-5 / SET-3: concepts (lower-case) of each site that no AGG-4 pattern maps."""
+    """QLT-5 / SET-3: concepts (lower-case) of each site that no AGG-4 pattern maps; patterns look at
+    the text as written, with its ``(X)`` prefix, which the margin's pattern needs."""
     c = (tagged.filter(F.col("concept").isNotNull())
-               .select("company", "site", F.lower("concept").alias("concept")).distinct())
+               .select("company", "site", F.lower("concept").alias("concept"), F.lower("concept_raw").alias("_raw")).distinct())
     # one ``exists`` over the pattern list: the concept expression is referenced once even
     # when the optimiser pushes this filter below the distinct
     pats = F.array(*[F.lit(p) for p, _ in WEEKLY_PATTERNS])
-    return c.filter(~F.exists(pats, lambda p: F.col("concept").contains(p)))
+    return c.filter(~F.exists(pats, lambda p: F.col("_raw").contains(p))).select("company", "site", "concept").distinct()
+
+
+def _report_row(tagged: DataFrame) -> list[str]:
+    """What tells rows of a report apart: the row's number where the reader gave one, else its written concept."""
+    return ["concept_raw", "report_row"] if "report_row" in tagged.columns else ["concept_raw"]
 
 
 def weekly_from_report(tagged: DataFrame) -> DataFrame:
@@ -192,17 +209,17 @@ def weekly_from_report(tagged: DataFrame) -> DataFrame:
     column: mean of row totals, else mean of all day cells; rounded to 2 decimals.
     """
     rows = (tagged.filter(F.col("concept").isNotNull())
-                  .groupBy("company", "site", "year", "week", "concept")
+                  .groupBy("company", "site", "year", "week", *_report_row(tagged))
                   .agg(F.max("row_total").alias("row_total"),
-                       dec_sum(F.col("value"), 2).alias("cell_sum"),
+                       dec_sum(F.col("value")).alias("cell_sum"),
                        F.count("value").alias("cell_cnt"))
-                  # patterns are tested once per report row; rows without a target feed no column
-                  .withColumn("target", pattern_target(F.lower("concept"))))
+                  # patterns are tested once per report row, on the text as written
+                  .withColumn("target", pattern_target(F.lower("concept_raw"))))
     aggs = []
     for tgt in WEEKLY_TARGETS + ["ms_pasture", "ms_green"]:
         hit = f"target = '{tgt}'"
-        tot = dec_avg_sql(f"CASE WHEN {hit} THEN row_total END", 2)
-        cells = f"try_divide({dec_sum_sql(f'CASE WHEN {hit} THEN cell_sum END', 2)}, sum(CASE WHEN {hit} THEN cell_cnt END))"
+        tot = dec_avg_sql(f"CASE WHEN {hit} THEN row_total END")
+        cells = f"try_divide({dec_sum_sql(f'CASE WHEN {hit} THEN cell_sum END')}, sum(CASE WHEN {hit} THEN cell_cnt END))"
         aggs.append(F.expr(f"round(coalesce({tot}, {cells}) * 100.0D, 0) / 100.0D AS {tgt}"))
     w = rows.groupBy("company", "site", "year", "week").agg(*aggs)
     greens = ("CASE WHEN ms_pasture IS NOT NULL OR ms_green IS NOT NULL "
@@ -217,8 +234,8 @@ def report_rows(tagged: DataFrame) -> DataFrame:
     latest = tagged.agg(F.max(F.struct("year", "week")).alias("m")).first()["m"]
     rows = tagged.filter((F.col("year") == latest["year"]) & (F.col("week") == latest["week"])) if latest else tagged
     return (rows.filter(F.col("concept").isNotNull())
-                .groupBy("site", "concept")
-                .agg(F.max("row_total").alias("total"), dec_sum(F.col("value"), 2).alias("cell_sum"),
+                .groupBy("site", "concept", *_report_row(tagged))
+                .agg(F.max("row_total").alias("total"), dec_sum(F.col("value")).alias("cell_sum"),
                      F.count("value").alias("cell_cnt")))
 
 

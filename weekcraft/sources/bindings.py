@@ -136,7 +136,7 @@ def weekly(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
         "CAST(extract(YEAROFWEEK FROM period_start) AS INT) AS year",
         "CAST(weekofyear(period_start) AS INT) AS week",
         "run_week", "period_start", "date_add(period_start, 6) AS period_end",
-        "area_ AS area", f"CAST(n * {HERD_PER_LINE} AS INT) AS herd", "CAST(qty AS INT) AS weight",
+        "area_ AS area", f"CAST(n * {HERD_PER_LINE} AS BIGINT) AS herd", "CAST(qty AS BIGINT) AS weight",
         f"{_c2(f'try_divide(n * {HERD_PER_LINE}, area_)')} AS stocking",
         f"{_c2('tax0 * 100')} AS fat", f"{_c2('disc0 * 10 + 3')} AS protein", f"{_c2('ext0 / 100')} AS conc_cost",
         "CAST((n * 13 + site_id) % 150 + 250 AS INT) AS grams_per_litre",

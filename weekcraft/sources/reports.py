@@ -7,6 +7,8 @@ driver. ``to_cells`` melts the day columns into the cell form the ingest jobs co
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +21,14 @@ REQUIRED_LOAD = ["empresa_cod", "establecimiento", "categoria", "concepto"]
 WEEK_HEADERS = ["n_semana", "semana", "n°_semana"]
 
 
+# SCH-1 in one translation: spaces become '_', dots, NBSP and BOM go away.
+_HEADER_CHARS = str.maketrans({" ": "_", ".": None, "\u00a0": None, "\ufeff": None})
+
+
 def normalize_col(col) -> str:
-    """SCH-1: strip, drop NBSP/BOM, lower, spaces to '_', drop '.', '__' to '_' (one pass)."""
-    c = str(col).strip().replace("\u00a0", "").replace("\ufeff", "").lower().strip()
-    return c.replace(" ", "_").replace(".", "").replace("__", "_")
+    """SCH-1: lower-case header without outer blanks, NBSP, BOM and dots; spaces as '_', pairs of '_' as one."""
+    trimmed = str(col).strip(" \t\r\n\u00a0\ufeff")
+    return re.sub("__", "_", trimmed.lower().translate(_HEADER_CHARS))
 
 
 def date_columns(columns: list[str]) -> list[str]:
@@ -40,8 +46,8 @@ def validate(df: DataFrame, required: list[str]) -> list[str]:
     return errors
 
 
-def read_week_report(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1: CSV report(s), all text, headers normalised (date headers kept as written)."""
+def read_week_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """SRC-1: CSV report(s) with one header, all text, headers normalised (date headers kept as written)."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     names = [c if C.is_date_header(c.strip()) else normalize_col(c) for c in df.columns]
     names = [c.strip() for c in names]
@@ -55,6 +61,24 @@ def read_week_report(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("row_no", F.monotonically_increasing_id())
 
 
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-1 over a folder whose files may differ in their headers: the cells of all reports.
+
+    The header line of each file groups the files (one row per file); each group is read with its own
+    columns and melted, and the cells are joined by name. ``report_row`` is a row of one file.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value"), F.monotonically_increasing_id().alias("at"))
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    cells = None
+    for i, g in enumerate(groups):
+        part = to_cells(read_week_report(spark, list(g["files"]))).withColumn("report_row", F.concat_ws(":", F.lit(str(i)), F.col("row_no").cast("string")))
+        cells = part if cells is None else cells.unionByName(part)
+    if cells is None:
+        raise ValueError(f"no report below {path}")
+    return cells
+
+
 def to_cells(report: DataFrame) -> DataFrame:
     """Melt a wide report into the cell form used by ``plans.report`` (RSH-2, DT-3, RSH-5).
 
@@ -78,7 +102,7 @@ def to_cells(report: DataFrame) -> DataFrame:
         F.col("categoria").alias("category") if "categoria" in ids else F.lit(None).cast("string").alias("category"),
         F.col("concepto").alias("concept_raw"),
         C.iso_year(first_day).cast("int").alias("year"), week.cast("int").alias("week"),
-        "day_text", "cell_text", total.alias("total_text"), "row_no")
+        "day_text", "cell_text", total.alias("total_text"), "row_no", F.col("row_no").alias("report_row"))
 
 
 def read_typed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:

@@ -13,20 +13,26 @@ from pyspark.sql import functions as F
 
 from weekcraft.operators.merge import upsert, write_table
 from weekcraft.plans.daily import DAILY_KEY
-from weekcraft.session import materialize
+from weekcraft.session import materialize, path_exists
 
 RULES = {"company_id": "keep", "category": "keep", "value": "new"}
 PARTITION = "day"
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, table_path: str) -> None:
-    """Upsert one micro-batch into the day-partitioned daily table at ``table_path``."""
-    days = [r[0] for r in batch.select(PARTITION).distinct().collect()]  # one batch: a few days
-    if not days:
+    """Upsert one micro-batch into the day-partitioned daily table at ``table_path``.
+
+    Whether the table exists is asked of its file system; any other failure to read it rises, so a
+    passing error never makes stored days look empty.
+    """
+    batch = materialize(batch, "daily-batch")
+    if batch.isEmpty():
         return
-    try:
-        current = spark.read.parquet(table_path).filter(F.col(PARTITION).isin(*days))
-    except Exception:  # first batch: the table does not exist yet
+    if path_exists(spark, table_path):
+        days = batch.select(F.col(PARTITION).alias("_day")).distinct()
+        stored = spark.read.parquet(table_path)
+        current = stored.join(days, stored[PARTITION].eqNullSafe(days["_day"]), "left_semi")
+    else:
         current = spark.createDataFrame([], batch.drop("row_no").schema)
     touched = upsert(current, batch, DAILY_KEY, RULES, order_col="row_no")
     # the new partitions are computed from the old files: stage them before the overwrite
