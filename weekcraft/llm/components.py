@@ -12,15 +12,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star steps: each node's higher neighbours, then its lower ones,
     are linked to the least node around it, which keeps components and flattens them in few rounds.
-    Minima are summed before the shuffle; the joins back read written tables, so AQE splits a
-    node with very many neighbours. Every round is a written table in the shared folder.
+    Minima are summed before the shuffle and written; both sides of the joins back are written
+    tables, so AQE splits a node with very many neighbours. Every round is a written table in the shared folder.
     """
     links = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = materialize(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large_star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         links = materialize(small, "small_star")
