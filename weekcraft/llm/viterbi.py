@@ -165,7 +165,7 @@ class StreamEncoder:
 class Encoder:
     """Texts to ids and back, with a bounded memory of the segments met."""
 
-    def __init__(self, path: str, remembered: int = 100_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         self.table = PieceTable(path)
         self.remembered = remembered
         self.young: dict[str, bytes] = {}
