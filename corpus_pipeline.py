@@ -36,7 +36,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, and whether they decode to its text."""
-    return viterbi.encode_texts(docs)
+    # Fewer remembered segments than alone: Python workers of earlier stages still hold memory here.
+    return viterbi.encode_texts(docs, remembered=100_000)
 
 
 STAGES = [

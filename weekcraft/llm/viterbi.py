@@ -32,6 +32,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Segments of up to so many characters are searched in one go and remembered; longer ones are streamed.
 SHORT = 64
+#: Segments that a Python worker remembers (twice as many at most, about 200 bytes each).
+REMEMBERED = 250_000
 NEVER = -float("inf")
 
 
@@ -165,7 +167,7 @@ class StreamEncoder:
 class Encoder:
     """Texts to ids and back, with a bounded memory of the segments met."""
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.table = PieceTable(path)
         self.remembered = remembered
         self.young: dict[str, bytes] = {}
@@ -213,21 +215,22 @@ class Encoder:
         return b"".join([piece[i] for i in ids])[1:].decode("utf-8")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+                 remembered: int = REMEMBERED) -> DataFrame:
     """One row per row: doc_id, n_chars, n_tokens, ids array<int>, round_trip (decoding gives the text back); no shuffle."""
     path = path or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, remembered)
         for batch in batches:
             for part in steps(batch):
                 texts = strings(part)
