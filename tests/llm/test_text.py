@@ -151,7 +151,7 @@ def test_window_stays_bounded():
     text = "abcdefgh" * 4000 + "中" * 3000
     ids = search.feed("▁" + text) + search.finish()
     assert search.widest < 12 * table.longest
-    assert viterbi.encoder(MODEL).decode(ids) == text
+    assert viterbi.Encoder(MODEL).decode(ids) == text
 
 
 def test_encoding_rows_and_decoding(spark):

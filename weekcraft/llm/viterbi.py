@@ -32,7 +32,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Segments of up to so many characters are searched in one go and remembered; longer ones are streamed.
 SHORT = 64
-#: Segments that a Python worker remembers (twice as many at most, about 200 bytes each).
+#: Segments that a task remembers (twice as many at most, about 200 bytes each); idle workers remember none.
 REMEMBERED = 250_000
 NEVER = -float("inf")
 
@@ -72,7 +72,6 @@ class PieceTable:
         i = self.ids.get(piece)
         return [self.byte_ids[b] for b in piece.encode("utf-8")] if i is None else [i]
 
-
     def push(self, text: str, best: list[float], length: list[int], begin: int, stop: int) -> None:
         """Continue the best paths to the positions from ``begin`` to ``stop`` by every piece that fits."""
         get, n, unknown = self.trie.get, len(text), self.unknown
@@ -108,6 +107,16 @@ class PieceTable:
         return self.path(text, length, len(text))
 
 
+_tables: dict[str, PieceTable] = {}
+
+
+def piece_table(path: str) -> PieceTable:
+    """The model's table, loaded once a process."""
+    if path not in _tables:
+        _tables[path] = PieceTable(path)
+    return _tables[path]
+
+
 class StreamEncoder:
     """Viterbi over a stream of characters with bounded memory; ``feed`` and ``finish`` return committed ids."""
 
@@ -168,7 +177,7 @@ class Encoder:
     """Texts to ids and back, with a bounded memory of the segments met."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.table = PieceTable(path)
+        self.table = piece_table(path)
         self.remembered = remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -215,22 +224,13 @@ class Encoder:
         return b"".join([piece[i] for i in ids])[1:].decode("utf-8")
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
-def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
-    if (path, remembered) not in _encoders:
-        _encoders[path, remembered] = Encoder(path, remembered)
-    return _encoders[path, remembered]
-
-
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
                  remembered: int = REMEMBERED) -> DataFrame:
     """One row per row: doc_id, n_chars, n_tokens, ids array<int>, round_trip (decoding gives the text back); no shuffle."""
     path = path or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, remembered)
+        enc = Encoder(path, remembered)
         for batch in batches:
             for part in steps(batch):
                 texts = strings(part)
@@ -253,7 +253,7 @@ def decode_ids(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pa
     path = path or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = Encoder(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([enc.decode(i or []) for i in column(batch, "ids").to_pylist()], pa.string())],
                                              names=["doc_id", "text"])
