@@ -238,6 +238,33 @@ def test_field_adds_what_the_patterns_miss():
     assert private.train(["no data here"]).added(t, []) == []
 
 
+def test_blocks_of_a_zone_agree_with_the_whole(monkeypatch):
+    text = " ".join(f"call 00{i} 555 {1000 + i} or me{i} [at] mail [dot] com, 10.0.{i}.1" for i in range(12))
+    weights = np.random.default_rng(4).normal(size=(len(private.KINDS), len(private.FEATURES)))
+    borders = private.borders_of(text, (0, len(text)))
+    spans, x = private.segments(text, borders, 0, len(borders) - 1)
+    monkeypatch.setattr(private, "BLOCK", 7)
+    blocks = private.Blocks(text, borders, weights)
+    assert [(i, j, kind) for i, j, kind, _ in blocks.best()] == [(*spans[k], kind) for k, kind in private.best_segments(len(borders) - 1, spans, x @ weights.T)]
+    for got, want in zip(blocks.sums(), private._sums(len(borders) - 1, spans, x @ weights.T), strict=True):
+        assert np.allclose(got, want)
+
+
+def test_long_lists_are_searched_whole():
+    """A list of numbers is one trigger; spans behind its first 2000 characters count like those before."""
+    numbers = "555123456 " * 400
+    assert private.zones(numbers) == [(0, len(numbers))]
+    weights = np.full((len(private.KINDS), len(private.FEATURES)), 0.0)
+    weights[:, 0] = -30
+    weights[private.KINDS.index("phone"), private.FEATURES.index("digits_9_11")] = 45
+    got = private.PrivateModel(weights).added(numbers, [])
+    assert got == [(10 * i, 10 * i + 9, "phone") for i in range(400)]
+    known = [(10 * i, 10 * i + 9, "phone") for i in range(0, 400, 3)]
+    assert private.PrivateModel(weights).added(numbers, known) == [s for s in got if s not in known]
+    pieces = private.cases_of(numbers, (0, len(numbers)), [])
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(numbers) and all(x[1] == y[0] for x, y in zip(pieces, pieces[1:]))
+
+
 def test_private_rows(spark):
     docs = clashing(spark)
     got = private.find_private(docs)

@@ -6,7 +6,8 @@ stretches of tokens around at-signs, spelled-out ones and clusters of digits. A
 is a sequence of single outside tokens and of segments of at most ``LONGEST`` tokens with a kind; a
 segment's score comes from features of the whole span (digits, checksum, parts, separators, words
 before it), so dynamic programming chooses boundaries and kinds together. Zones are
-apart from each other, because outside of them every token is outside at no cost.
+apart from each other, because outside of them every token is outside at no cost. A zone of any length is
+searched whole: its segments are scored ``BLOCK`` tokens at a time, and only sums and best scores go on.
 
 The field is learned by likelihood gradients in numpy on zones of a bounded sample (about
 ``train_rows`` rows by a hash of the id): its base spans are the right segments, and copies with
@@ -22,7 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -87,19 +91,34 @@ TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.DOTALL)
 AT = re.compile(r"@|\x20?[\[({<]\x20?at\x20?[\])}>]\x20?|\x20at\x20")
 DOT = re.compile(r"\.|\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20")
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\x20?[\[({<]\x20?at\x20?[\])}>]\x20?|\x20at\x20)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+")
-AROUND, WIDEST = 48, 2000
+AROUND = 48
+#: Characters of a training case, and tokens whose segments are scored together.
+WIDEST, BLOCK = 2000, 1000
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches of ``AROUND`` characters about each trigger, merged, cut at white space and at ``WIDEST``."""
+    """Stretches of ``AROUND`` characters about each trigger; those that touch are one, of any length."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1] and b - out[-1][0] <= WIDEST:
+        if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
-            out.append([max(a, out[-1][1]) if out else a, min(b, a + WIDEST)])
-    return [(a, b) for a, b in out if a < b]
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def cases_of(text: str, zone: tuple[int, int], gold: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The zone in training cases of about ``WIDEST`` characters, cut at white space outside the right spans."""
+    out, (a, end) = [], zone
+    spans = sorted((s, e) for s, e, _ in gold)
+    while end - a > WIDEST:
+        b = a + WIDEST
+        while b < min(end, a + 2 * WIDEST) and (not text[b].isspace() or any(s < b < e for s, e in spans)):
+            b += 1
+        out.append((a, b))
+        a = b
+    return out + [(a, end)] * (a < end)
 
 
 FEATURES = ("bias", "few_digits", "digits_9_11", "digits_12_19", "many_digits", "luhn", "four_parts", "part_over_255", "address_shape", "no_at",
@@ -129,11 +148,14 @@ def features(text: str, a: int, b: int) -> np.ndarray:
     return np.array(x, dtype=np.float64)
 
 
-def segments(text: str, zone: tuple[int, int]) -> tuple[list[int], list[tuple[int, int]], np.ndarray]:
-    """(token borders, candidate segments as token ranges, their features): spans that begin and end like data."""
-    borders = [m.start() for m in TOKEN.finditer(text, zone[0], zone[1])] + [zone[1]]
+def borders_of(text: str, zone: tuple[int, int]) -> list[int]:
+    return [m.start() for m in TOKEN.finditer(text, zone[0], zone[1])] + [zone[1]]
+
+
+def segments(text: str, borders: list[int], first: int, last: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(candidate segments that start at tokens first to last, as token ranges; their features): spans that begin and end like data."""
     spans, rows = [], []
-    for i in range(len(borders) - 1):
+    for i in range(first, last):
         c = text[borders[i]]
         if not (c.isalnum() or c in "+("):
             continue
@@ -145,7 +167,7 @@ def segments(text: str, zone: tuple[int, int]) -> tuple[list[int], list[tuple[in
             if sum("0" <= ch <= "9" for ch in s) >= 4 or AT.search(s):
                 spans.append((i, j))
                 rows.append(features(text, a, b))
-    return borders, spans, np.array(rows) if rows else np.zeros((0, len(FEATURES)))
+    return spans, np.array(rows) if rows else np.zeros((0, len(FEATURES)))
 
 
 def _sums(n: int, spans: list[tuple[int, int]], scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,6 +248,66 @@ def rewritten(text: str, spans: list[tuple[int, int, str]], rng: np.random.Gener
     return "".join(out) + text[last:], moved
 
 
+class Blocks:
+    """Sums and best segmentation of a zone of any length, as ``_sums`` and ``best_segments`` have them, from segments scored by blocks."""
+
+    def __init__(self, text: str, borders: list[int], weights: np.ndarray):
+        self.borders, self.n = borders, len(borders) - 1
+        self.count = -(-self.n // BLOCK)
+
+        @lru_cache(maxsize=8)
+        def scored(k: int) -> tuple[dict[int, list[tuple[int, int]]], np.ndarray]:
+            spans, x = segments(text, borders, k * BLOCK, min(self.n, (k + 1) * BLOCK))
+            starts: dict[int, list[tuple[int, int]]] = {}
+            for row, (i, j) in enumerate(spans):
+                starts.setdefault(i, []).append((row, j))
+            return starts, x @ weights.T
+
+        self.scored = scored
+
+    def best(self) -> list[tuple[int, int, int, float]]:
+        """(first token, end, kind, score) of the best segmentation's segments; on equal scores fewer segments win."""
+        best, back = [0.0] + [-np.inf] * self.n, [None] * (self.n + 1)
+        for block in range(self.count):
+            starts, scores = self.scored(block)
+            top, kind = (scores.max(axis=1), scores.argmax(axis=1)) if len(scores) else ((), ())
+            for t in range(block * BLOCK, min(self.n, (block + 1) * BLOCK)):
+                for row, j in starts.get(t, ()):
+                    if (s := best[t] + top[row]) > best[j]:
+                        best[j], back[j] = s, (t, int(kind[row]), float(top[row]))
+                if best[t] >= best[t + 1]:
+                    best[t + 1], back[t + 1] = best[t], None
+        out, t = [], self.n
+        while t:
+            if back[t] is None:
+                t -= 1
+            else:
+                i, kind, score = back[t]
+                out.append((i, t, kind, score))
+                t = i
+        return out[::-1]
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Forward and backward log sums over segmentations."""
+        f, b = np.full(self.n + 1, -np.inf), np.zeros(self.n + 1)
+        f[0] = 0.0
+        for block in range(self.count):
+            starts, scores = self.scored(block)
+            total = np.logaddexp.reduce(scores, axis=1)
+            for t in range(block * BLOCK, min(self.n, (block + 1) * BLOCK)):
+                for row, j in starts.get(t, ()):
+                    f[j] = np.logaddexp(f[j], f[t] + total[row])
+                f[t + 1] = np.logaddexp(f[t + 1], f[t])
+        for block in range(self.count - 1, -1, -1):
+            starts, scores = self.scored(block)
+            total = np.logaddexp.reduce(scores, axis=1)
+            for t in range(min(self.n, (block + 1) * BLOCK) - 1, block * BLOCK - 1, -1):
+                b[t] = b[t + 1]
+                for row, j in starts.get(t, ()):
+                    b[t] = np.logaddexp(b[t], total[row] + b[j])
+        return f, b
+
+
 class PrivateModel:
     def __init__(self, weights: np.ndarray | None):
         self.weights = weights
@@ -234,19 +316,19 @@ class PrivateModel:
         if self.weights is None:
             return []
         out = []
+        starts, ends = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
         for zone in zones(text):
-            borders, spans, x = segments(text, zone)
-            if not spans:
-                continue
-            scores = x @ self.weights.T
-            sure = None
-            for k, kind in best_segments(len(borders) - 1, spans, scores):
-                a, b = borders[spans[k][0]], borders[spans[k][1]]
-                if any(s < b and a < e for s, e, _ in base):
+            blocks = Blocks(text, borders_of(text, zone), self.weights)
+            borders, sums = blocks.borders, None
+            for i, j, kind, score in blocks.best():
+                a, b = borders[i], borders[j]
+                before = bisect_left(starts, b)
+                if before and ends[before - 1] > a:
                     continue
-                if sure is None:
-                    sure = posteriors(len(borders) - 1, spans, scores)
-                if sure[k, kind] >= SURE:
+                if sums is None:
+                    sums = blocks.sums()
+                f, g = sums
+                if np.exp(f[i] + score + g[j] - f[-1]) >= SURE:
                     out.append((a, b, KINDS[kind]))
         return out
 
@@ -258,10 +340,11 @@ def train(texts: list[str], rounds: int = 60, most: int = TRAIN_ZONES, seed: int
     for text in texts:
         base = base_spans(text)
         for t, gold in [(text, base)] + ([rewritten(text, base, rng)] if base else []):
-            for zone in zones(t):
+            for zone in (c for z in zones(t) for c in cases_of(t, z, gold)):
                 if len(cases) >= most:
                     break
-                borders, spans, x = segments(t, zone)
+                borders = borders_of(t, zone)
+                spans, x = segments(t, borders, 0, len(borders) - 1)
                 if not spans:
                     continue
                 at = {borders[i]: i for i in range(len(borders))}
