@@ -177,3 +177,26 @@ def test_signature_estimates_likeness():
         j = n / (2000 - n)
         errors.append(abs((jaccard.signature(base) == jaccard.signature(other)).mean() - j))
     assert max(errors) < 0.12
+
+
+def test_pairs_at_the_threshold_beside_many_copies(spark):
+    """Close copies around them do not cost the pairs of likeness 0.8 their links."""
+    rng = random.Random(9)
+
+    def text(n):
+        return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+    data = []
+    for i in range(4300):
+        base = text(44)  # 40 shingles; ten more words make a likeness of 0.8, one more 0.976
+        data += [(2 * i, base), (2 * i + 1, f"{base} {text(10 if i < 300 else 1)}")]
+    got = jaccard.near_groups(spark.createDataFrame(data, "doc_id long, text string"))
+    linked = {r["doc_id"]: r["class_id"] for r in got.collect()}
+    assert [i for i in range(4300) if linked[2 * i + 1] != 2 * i] == []
+
+
+def test_depth_reaches_the_recall_at_the_threshold():
+    assert jaccard.depth_for(0.8, 0.999) == 5
+    for least in (0.4, 0.6, 0.8, 0.9, 0.95):
+        d = jaccard.depth_for(least, 0.999)
+        assert 1 - (1 - least ** d) ** jaccard.TREES >= 0.999

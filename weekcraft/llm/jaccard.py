@@ -5,10 +5,10 @@ five-word shingles (all its words as one shingle where it has fewer than five).
 set are one class. Two classes are linked when the Jaccard index of their sets is ``least`` or more.
 
 Each class has ``TREES`` keys of ``DEEP`` MinHash values. Sorted, the keys of a tree form a prefix trie;
-two classes are candidates when they share a prefix of some depth in some tree. The depth
-starts at ``DEEP`` and is shortened until the recall, estimated from signatures of pairs drawn from
-the trie's nodes at the shortest depth, reaches ``recall``. Prefixes that only one class has
-never leave their task: a Bloom filter of the prefixes met twice finds them.
+two classes are candidates when they share a prefix of some depth in some tree. The depth is the
+longest one that finds a pair of likeness ``least`` with probability ``recall``; likelier pairs are found with
+more, so neither a corpus nor its mix of likenesses changes which pairs are candidates. Prefixes that only
+one class has never leave their task: a Bloom filter of the prefixes met twice finds them.
 
 Candidates are gathered into components, and all pairs inside a component are verified on the whole
 shingle sets. A component of many documents or shingles is cut into chunks, and every pair of
@@ -34,9 +34,9 @@ from weekcraft.llm.components import components
 from weekcraft.session import materialize
 
 SHINGLE, LEAST = 5, 0.8
-TREES, DEEP, SHALLOW, RECALL = 20, 8, 5, 0.999
-#: Documents and shingles of a chunk of a component, and pairs drawn for the estimate of recall.
-CHUNK_DOCS, CHUNK_SHINGLES, DRAWN = 512, 1_500_000, 20_000
+TREES, DEEP, RECALL = 20, 8, 0.999
+#: Documents and shingles of a chunk of a component.
+CHUNK_DOCS, CHUNK_SHINGLES = 512, 1_500_000
 
 _rng = np.random.default_rng(20)
 _ODD = (_rng.integers(0, 1 << 32, TREES * DEEP, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -117,51 +117,21 @@ def _prefix(depth: int):
     return F.substring("key", 1, 2 * depth)
 
 
-def shared_entries(classes: DataFrame) -> DataFrame:
-    """Entries whose prefix of the shortest depth another class may have as well."""
+def shared_entries(classes: DataFrame, depth: int) -> DataFrame:
+    """Entries whose prefix of this depth another class may have as well."""
     spark = classes.sparkSession
-    node = F.xxhash64("tree", _prefix(SHALLOW))
+    node = F.xxhash64("tree", _prefix(depth))
     entries = trie_entries(classes)
     maybe = filter_column(spark, build_filter(entries.select(node.alias("key")), filter_bits(classes.count() * TREES), least=2))
     return materialize(entries.where(maybe(node)), "trie_entries")
 
 
-def depth_for(entries: DataFrame, classes: DataFrame, least: float, recall: float, drawn: int = DRAWN) -> int:
-    """The longest prefix that finds pairs of ``least`` or more with the target recall.
+def depth_for(least: float, recall: float) -> int:
+    """The longest prefix that finds pairs of likeness ``least`` with the target recall, 1 where none does.
 
-    About ``drawn`` nodes of the shortest depth are drawn by a hash; each gives its two outermost classes.
-    A pair of likeness j shares TREES * j**d nodes of depth d on average, which is its weight's
-    inverse, and is found at depth d with probability 1 - (1 - j**d)**TREES.
+    A pair of likeness j is found at depth d with probability 1 - (1 - j**d)**TREES.
     """
-    node = F.xxhash64("tree", _prefix(SHALLOW))
-    nodes = entries.groupBy("tree", _prefix(SHALLOW).alias("prefix")).agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a <> b")
-    total = nodes.count()
-    if not total:
-        return SHALLOW
-    part = min(1.0, drawn / total)
-    pairs = nodes.where(F.pmod(F.xxhash64("tree", "prefix"), F.lit(1_000_000)) < int(part * 1_000_000)).select("a", "b")
-    left = classes.select(F.col("uid").alias("a"), F.col("signature").alias("sa"))
-    right = classes.select(F.col("uid").alias("b"), F.col("signature").alias("sb"))
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            yield pa.RecordBatch.from_arrays([pa.array((a == b).sum(axis=1).astype(np.int32))], names=["same"])
-
-    counts = pairs.join(left, "a").join(right, "b").transform(arrow, alike, "same int").groupBy("same").count().collect()
-    found = weight = 0.0
-    for depth in range(DEEP, SHALLOW, -1):
-        found = weight = 0.0
-        for r in counts:
-            j = r["same"] / (TREES * DEEP)
-            if j >= least - 0.02:
-                j = min(max(j, least), 1 - 1e-9)
-                w = r["count"] / (TREES * j ** SHALLOW)
-                weight += w
-                found += w * (1 - (1 - j ** depth) ** TREES)
-        if weight and found >= recall * weight:
-            return depth
-    return SHALLOW
+    return next((d for d in range(DEEP, 1, -1) if 1 - (1 - least ** d) ** TREES >= recall), 1)
 
 
 def candidate_edges(entries: DataFrame, depth: int) -> DataFrame:
@@ -294,9 +264,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialize(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
         F.min(first).alias("first"), F.count(F.lit(1)).alias("n_same"), F.first("n").alias("n"), F.first("signature").alias("signature"))
         .select("digest", F.col("first.uid").alias("uid"), F.col("first.doc_id").alias("doc_id"), "first", "n_same", "n", "signature"), "classes")
-    entries = shared_entries(classes)
-    depth = depth_for(entries, classes, least, recall)
-    members = components(candidate_edges(entries, depth))
+    depth = depth_for(least, recall)
+    members = components(candidate_edges(shared_entries(classes, depth), depth))
     checked = materialize(verify(docs, classes, members, least, id_col, text_col), "checked")
     linked = components(checked.where("v is not null").select("u", "v"))
     counts = checked.where("v is null").groupBy("u").agg(F.sum("links").alias("n_links"))
