@@ -87,3 +87,25 @@ def test_history_header_mapping():
     import pytest
     with pytest.raises(KeyError):
         first_present(["x"])
+
+
+def test_history_load_keeps_every_measure(spark):
+    """Every mapped header reaches the table; a later report replaces all measures, with null where it lacks a header."""
+    from weekcraft.plans import history as H
+    headers = {"Vacas en producción": "vacas_en_produccion", "Le envían": "leche_enviada", "Che no": "leche_no_vendible", "PNA Tern": "pna_terneros",
+               "Producción": "produccion_total", "Precio de": "precio_leche", "Dias lactancia": "dias_lactancia", "% grasa": "porcentaje_grasa",
+               "% prot": "porcentaje_proteina", "Kg MS prad": "kg_ms_pradera", "Kg MS cons": "kg_ms_conservado", "Kg MS conc": "kg_ms_concentrado",
+               "Consumo MS": "consumo_ms", "MS/ha": "ms_por_ha", "Costo raci": "costo_racion_vaca", "(I) MDAT": "margin", "Eficiencia": "eficiencia",
+               "Vacas masa": "vacas_masa", "Vacas en ordeña": "weight", "Centaje c": "relacion_ordena_masa", "Superficie": "superficie_praderas",
+               "% leche no": "porcentaje_leche_no_vendible", "Carga animal": "carga_animal"}
+    names = ["row_no", "N° Semana", "Establecimiento", "Fecha", *headers]
+    schema = ", ".join(f"`{n}` {'long' if n == 'row_no' else 'string'}" for n in names)
+    table = H.load_history(spark.createDataFrame([(1, "7", "A", "3-2-2025", *[str(i + 10) for i in range(23)]),
+                                                  (2, "8", "A", "10-2-2025", *[str(i + 50) for i in range(23)])], schema))
+    got = {r["week"]: r.asDict() for r in table.collect()}
+    assert {c: got[7][c] for c in headers.values()} == {c: i + 10 for i, c in enumerate(headers.values())}
+    later = spark.createDataFrame([(1, "8", "A", "10-2-2025", "3.5")], "row_no long, `N° Semana` string, Establecimiento string, Fecha string, `% grasa` string")
+    after = {r["week"]: r.asDict() for r in H.load_history(later, table).collect()}
+    assert after[7] == got[7]
+    assert {c: v for c, v in after[8].items() if v is not None and c in headers.values()} == {"porcentaje_grasa": 3.5}
+    assert H.load_history(later, table.select("week", "site", "day", "margin", "weight")).count() == 2

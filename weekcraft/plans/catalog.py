@@ -653,8 +653,8 @@ def q_retention(spark, sf_dir) -> DataFrame:
 @register("history_load")
 def q_history_load(spark, sf_dir) -> DataFrame:
     """QLT-8: the history table after loading the history report (fuzzy headers, rejects,
-    modal-date imputation, last write per (week, site))."""
-    return H.load_history(H.history_report(_t(spark, sf_dir)))
+    modal-date imputation, last write per (week, site)); the two measures its report has."""
+    return H.load_history(H.history_report(_t(spark, sf_dir))).select("week", "site", "day", "margin", "weight")
 
 
 @register("history_rejects")

@@ -45,6 +45,16 @@ HISTORY_HEADER_PATTERNS = [
 ]
 # Stocking has no pattern in the reference although it is read (Q10); this build adds one.
 EXTRA_HEADER_PATTERNS = [("carga animal", "carga_animal")]
+# Type of every measure of the history, in the reference's order; margin and weight are this build's names of two.
+HISTORY_MEASURES = {
+    "vacas_en_produccion": "long", "leche_enviada": "double", "leche_no_vendible": "double", "pna_terneros": "double",
+    "produccion_total": "double", "precio_leche": "double", "dias_lactancia": "long", "porcentaje_grasa": "double",
+    "porcentaje_proteina": "double", "kg_ms_pradera": "double", "kg_ms_conservado": "double", "kg_ms_concentrado": "double",
+    "consumo_ms": "double", "ms_por_ha": "double", "costo_racion_vaca": "double", "mdat": "double", "eficiencia": "double",
+    "vacas_masa": "long", "vacas_en_ordena": "long", "relacion_ordena_masa": "double", "superficie_praderas": "double",
+    "porcentaje_leche_no_vendible": "double", "carga_animal": "double",
+}
+MEASURE_NAMES = {"mdat": "margin", "vacas_en_ordena": "weight"}
 # Margin column candidates of the margin-history report, first present wins (SCH-6).
 MARGIN_CANDIDATES = ["MDAT", "(I) MDAT", "I) MDAT", "MDAT (I)", "I MDAT"]
 # Fixed reject reasons (QLT-3).
@@ -122,6 +132,7 @@ def modal_day(rec: DataFrame) -> DataFrame:
 
 
 def parse_history(report: DataFrame) -> DataFrame:
+    """(row_no, week, site, day, every measure); a measure without a header is null."""
     rec = mapped_records(report)
     cols = set(rec.columns)
 
@@ -132,8 +143,8 @@ def parse_history(report: DataFrame) -> DataFrame:
         C.safe_int(opt("semana")).alias("week"),
         C.strip_ws(opt("establecimiento")).alias("site"),
         C.parse_day(opt("fecha")).alias("day"),
-        C.safe_float(opt("mdat")).alias("margin"),
-        C.safe_int(opt("vacas_en_ordena")).alias("weight"))
+        *[(C.safe_int if kind == "long" else C.safe_float)(opt(m)).alias(MEASURE_NAMES.get(m, m))
+          for m, kind in HISTORY_MEASURES.items()])
 
 
 def history_rejects(parsed: DataFrame) -> DataFrame:
@@ -147,19 +158,19 @@ def history_rejects(parsed: DataFrame) -> DataFrame:
 def load_history(report: DataFrame, target: DataFrame | None = None) -> DataFrame:
     """QLT-8 ``process_historico``: map, reject, impute the date (own date, else the week's
     modal date, else the week-derived date; QLT-7), keep the last row per (week, site) and
-    upsert into ``target`` replacing every measure (MRG-3)."""
+    upsert into ``target`` replacing every measure (MRG-3). A measure that ``target`` lacks is null in its rows."""
     parsed = parse_history(report)
     modal = modal_day(parsed)
     ok = parsed.filter(F.col("week").isNotNull() & F.col("site").isNotNull())
     filled = (ok.join(modal, "week", "left")
                 .withColumn("day", F.coalesce(F.col("day"), F.col("modal_day"), C.week_fallback_date(F.col("week"))))
                 .drop("modal_day"))
-    batch = filled.select("week", "site", "day", "margin", "weight", "row_no")
-    spark = report.sparkSession
+    measures = [MEASURE_NAMES.get(m, m) for m in HISTORY_MEASURES]
+    batch = filled.select("week", "site", "day", *measures, "row_no")
     if target is None:
-        target = spark.createDataFrame([], "week int, site string, day date, margin double, weight int")
-    return upsert(target, batch, ["week", "site"], {"day": "new", "margin": "new", "weight": "new"},
-                  order_col="row_no")
+        target = batch.drop("row_no").limit(0)
+    target = target.select("*", *[F.lit(None).cast(batch.schema[m].dataType).alias(m) for m in measures if m not in target.columns])
+    return upsert(target, batch, ["week", "site"], dict.fromkeys(["day", *measures], "new"), order_col="row_no")
 
 
 def history_for_matrix(hist: DataFrame, as_of, weeks_back: int = 52, company: str | None = None,
