@@ -97,3 +97,17 @@ def test_delete_period_facts(spark):
     assert sorted((r.site_id, r.value) for r in kd.collect()) == [(1, 2.0), (2, 3.0)]
     _, kd_all = MG.delete_period_facts(w, d, "2024-01-01", "2024-01-07", all_days=True)
     assert sorted(r.value for r in kd_all.collect()) == [3.0]
+
+
+def test_latest_period_and_moves_reach_daily_facts_and_dimension(spark):
+    from weekcraft.plans import catalog
+    weekly = spark.sql("SELECT * FROM VALUES (1, DATE'2024-01-01', DATE'2024-01-07'), (1, DATE'2024-01-08', DATE'2024-01-14'), "
+                       "(2, DATE'2024-01-01', DATE'2024-01-07') AS t(site_id, period_start, period_end)")
+    daily = spark.sql("SELECT * FROM VALUES (1, DATE'2024-01-07', 'a'), (1, DATE'2024-01-08', 'a'), (2, DATE'2024-01-08', 'a') AS t(site_id, day, concept)")
+    kept_weekly, kept_daily = catalog._without_latest_period(weekly, daily)
+    assert kept_weekly.count() == 2
+    assert sorted((r["site_id"], r["day"].day) for r in kept_daily.collect()) == [(1, 7), (2, 8)]
+    assert catalog._without_latest_period(weekly.limit(0), daily)[1].count() == 3
+    moved = {r["site_id"]: r["company_id"] for r in catalog.QUERIES["move_site_dimension"](spark, "/root/testdata/sf0.001").collect()}
+    facts = catalog.QUERIES["move_site"](spark, "/root/testdata/sf0.001").select("site_id", "company_id").distinct().collect()
+    assert facts and all(moved[r["site_id"]] == r["company_id"] for r in facts)

@@ -590,23 +590,43 @@ def _period_keys(t):
     return B.weekly(t).select("site_id", "year", "week", "run_week", "period_start", "period_end")
 
 
+def _one_period() -> tuple[str, str]:
+    import datetime as _dt
+    start = _dt.date.fromisoformat(B.WEEK_EPOCH) + _dt.timedelta(days=7 * (PERIOD_RUN_WEEK - 1))
+    return start.isoformat(), (start + _dt.timedelta(days=6)).isoformat()
+
+
+def _without_latest_period(weekly, daily) -> tuple[DataFrame, DataFrame]:
+    last = weekly.agg(F.max(F.struct("period_start", "period_end")).alias("p")).first()["p"]
+    return MG.delete_period_facts(weekly, daily, *last) if last else (weekly, daily)
+
+
 @register("delete_period")
 def q_delete_period(spark, sf_dir) -> DataFrame:
-    """DEL-1: remove the weekly rows of one period (and the period's daily rows of its sites)."""
-    import datetime as _dt
+    """DEL-1: remove the weekly rows of one period (its daily rows: ``delete_period_daily``)."""
     t = _t(spark, sf_dir)
-    start = _dt.date.fromisoformat(B.WEEK_EPOCH) + _dt.timedelta(days=7 * (PERIOD_RUN_WEEK - 1))
-    end = start + _dt.timedelta(days=6)
-    weekly, _daily = MG.delete_period_facts(_period_keys(t), D.daily_table(t), start.isoformat(), end.isoformat())
-    return weekly.select("site_id", "year", "week")
+    return MG.delete_period_facts(_period_keys(t), D.daily_table(t), *_one_period())[0].select("site_id", "year", "week")
+
+
+@register("delete_period_daily")
+def q_delete_period_daily(spark, sf_dir) -> DataFrame:
+    """DEL-1: the daily facts without those of the period's sites on its days."""
+    t = _t(spark, sf_dir)
+    return MG.delete_period_facts(_period_keys(t), D.daily_table(t), *_one_period())[1].select("site_id", "day", "concept", "value")
 
 
 @register("delete_latest_period")
 def q_delete_latest_period(spark, sf_dir) -> DataFrame:
-    """DEL-2: remove the newest period (max of (start, end))."""
-    w = _period_keys(_t(spark, sf_dir))
-    last = w.agg(F.max(F.struct("period_start", "period_end")).alias("p")).select("p.period_start", "p.period_end")
-    return MG.delete_where(w, last, ["period_start", "period_end"]).select("site_id", "year", "week")
+    """DEL-2: remove the newest period (max of (start, end)); its daily rows: ``delete_latest_period_daily``."""
+    t = _t(spark, sf_dir)
+    return _without_latest_period(_period_keys(t), D.daily_table(t))[0].select("site_id", "year", "week")
+
+
+@register("delete_latest_period_daily")
+def q_delete_latest_period_daily(spark, sf_dir) -> DataFrame:
+    """DEL-2: the daily facts without those of the newest period's sites on its days."""
+    t = _t(spark, sf_dir)
+    return _without_latest_period(_period_keys(t), D.daily_table(t))[1].select("site_id", "day", "concept", "value")
 
 
 @register("cascade_delete")
@@ -629,14 +649,24 @@ def q_cascade_delete(spark, sf_dir) -> DataFrame:
     return out
 
 
+def _moves(t) -> DataFrame:
+    return B.sites(t).filter(F.col("site_id") % 10 == 0).select(
+        "site_id", ((F.col("company_id") + 1) % 25).alias("new_value"))
+
+
 @register("move_site")
 def q_move_site(spark, sf_dir) -> DataFrame:
-    """UPD-1: every tenth site moves to the next company, in the dimension and the facts."""
+    """UPD-1: every tenth site moves to the next company, in the facts (the dimension: ``move_site_dimension``)."""
     t = _t(spark, sf_dir)
-    moves = B.sites(t).filter(F.col("site_id") % 10 == 0).select(
-        "site_id", ((F.col("company_id") + 1) % 25).alias("new_value"))
     w = B.weekly(t).select("site_id", "year", "week", "company_id")
-    return MG.move(w, moves, "site_id", "company_id")
+    return MG.move(w, _moves(t), "site_id", "company_id")
+
+
+@register("move_site_dimension")
+def q_move_site_dimension(spark, sf_dir) -> DataFrame:
+    """UPD-1: every tenth site moves to the next company, in the dimension."""
+    t = _t(spark, sf_dir)
+    return MG.move(B.sites(t).select("site_id", "name", "company_id"), _moves(t), "site_id", "company_id")
 
 
 @register("retention")

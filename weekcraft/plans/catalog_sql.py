@@ -542,6 +542,16 @@ ORACLE["delete_latest_period"] = with_(*W, ("lp", "SELECT period_start, period_e
 SELECT site_id, year, week FROM weekly w WHERE NOT EXISTS (
   SELECT 1 FROM lp WHERE lp.period_start = w.period_start AND lp.period_end = w.period_end)""")
 
+ORACLE["delete_period_daily"] = with_(*W, *DAILY_CTES, ("pd", f"SELECT DISTINCT site_id, period_start, period_end FROM weekly WHERE run_week = {PERIOD_RUN_WEEK}"), final="""
+SELECT site_id, day, concept, value FROM dt WHERE NOT EXISTS (
+  SELECT 1 FROM pd WHERE pd.site_id = dt.site_id AND dt.day BETWEEN pd.period_start AND pd.period_end)""")
+
+ORACLE["delete_latest_period_daily"] = with_(*W, *DAILY_CTES, (
+    "lp", "SELECT period_start, period_end FROM weekly ORDER BY period_start DESC, period_end DESC LIMIT 1"),
+    ("pd", "SELECT DISTINCT w.site_id, w.period_start, w.period_end FROM weekly w JOIN lp USING (period_start, period_end)"), final="""
+SELECT site_id, day, concept, value FROM dt WHERE NOT EXISTS (
+  SELECT 1 FROM pd WHERE pd.site_id = dt.site_id AND dt.day BETWEEN pd.period_start AND pd.period_end)""")
+
 ORACLE["cascade_delete"] = with_(*W, *DAILY_CTES, HISTORY_CTE, final=f"""
 SELECT 'sites' AS "table", CAST(count(*) AS BIGINT) AS rows FROM supplier WHERE s_nationkey <> {CASCADE_COMPANY}
 UNION ALL SELECT 'weekly', count(*) FROM weekly WHERE company_id <> {CASCADE_COMPANY}
@@ -552,6 +562,10 @@ ORACLE["move_site"] = with_(*W, final="""
 SELECT site_id, year, week, CAST(CASE WHEN site_id % 10 = 0 THEN (s.s_nationkey + 1) % 25 ELSE w.company_id END AS INTEGER) AS company_id
 FROM weekly w JOIN supplier s ON s.s_suppkey = w.site_id""")
 
+ORACLE["move_site_dimension"] = """
+SELECT s_suppkey AS site_id, s_name AS name, CAST(CASE WHEN s_suppkey % 10 = 0 THEN (s_nationkey + 1) % 25 ELSE s_nationkey END AS INTEGER) AS company_id
+FROM supplier"""
+
 ORACLE["retention"] = with_(LOGS_CTE, final=f"""
 SELECT CAST(count(*) FILTER (WHERE loaded_at < DATE '{RETENTION_AS_OF}' - {RETENTION_DAYS}) AS BIGINT) AS removed,
        CAST(count(*) FILTER (WHERE NOT (loaded_at < DATE '{RETENTION_AS_OF}' - {RETENTION_DAYS})) AS BIGINT) AS kept FROM logs""")
