@@ -265,6 +265,21 @@ def test_long_lists_are_searched_whole():
     assert pieces[0][0] == 0 and pieces[-1][1] == len(numbers) and all(x[1] == y[0] for x, y in zip(pieces, pieces[1:]))
 
 
+def test_spelled_addresses_of_any_length_are_candidates():
+    many = "a.b" + ".c" * 30 + "".join(f" [dot] d{i}" for i in range(30))
+    local = "very." * 20 + "long"
+    for address in ("john.smith [at] mail [dot] example [dot] com", "j.p.smith-jones [at] mail [dot] a [dot] example [dot] co [dot] uk",
+                    "x.y [at] " + many.replace("a.b", "ab", 1).replace(".c", " [dot] c"), local + " (at) example (dot) com", "0 0 4 9 1 7 1 5 5 5 1 2 3 4 5"):
+        text = f"please write to {address} ,  thanks"
+        zone = next((a, b) for a, b in private.zones(text) if a <= text.index(address) < b)
+        borders = private.borders_of(text, zone)
+        spans, x = private.segments(text, borders, 0, len(borders) - 1)
+        assert address in {text[borders[i]:borders[j]] for i, j in spans}, address
+        assert len(spans) == len(set(spans)) == len(x)
+        blocks = [s for k in range(0, len(borders) - 1, 5) for s in private.segments(text, borders, k, min(k + 5, len(borders) - 1))[0]]
+        assert blocks == spans
+
+
 def test_private_rows(spark):
     docs = clashing(spark)
     got = private.find_private(docs)

@@ -3,7 +3,8 @@
 Base spans come from the fixed patterns of four kinds (email, ip, card, phone). The field adds spans
 that the patterns miss, such as spelled-out addresses or numbers without a plus sign. It works on zones:
 stretches of tokens around at-signs, spelled-out ones and clusters of digits. A segmentation of a zone
-is a sequence of single outside tokens and of segments of at most ``LONGEST`` tokens with a kind; a
+is a sequence of single outside tokens and of segments with a kind: any of up to ``LONGEST`` tokens, longer ones
+that are numbers of up to 19 digits however they are separated, and spelled-out addresses of any length; a
 segment's score comes from features of the whole span (digits, checksum, parts, separators, words
 before it), so dynamic programming chooses boundaries and kinds together. Zones are
 apart from each other, because outside of them every token is outside at no cost. A zone of any length is
@@ -91,13 +92,15 @@ TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.DOTALL)
 AT = re.compile(r"@|\x20?[\[({<]\x20?at\x20?[\])}>]\x20?|\x20at\x20")
 DOT = re.compile(r"\.|\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20")
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\x20?[\[({<]\x20?at\x20?[\])}>]\x20?|\x20at\x20)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+")
+WHOLE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++" + SPELLED.pattern.partition("+-]+")[2])
+WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 AROUND = 48
 #: Characters of a training case, and tokens whose segments are scored together.
 WIDEST, BLOCK = 2000, 1000
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches of ``AROUND`` characters about each trigger; those that touch are one, of any length."""
+    """Stretches of ``AROUND`` characters and whole words about each trigger; those that touch are one, of any length."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
@@ -105,7 +108,17 @@ def zones(text: str) -> list[tuple[int, int]]:
             out[-1][1] = b
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out]
+    whole: list[tuple[int, int]] = []
+    for k, (a, b) in enumerate(out):
+        low, high = whole[-1][1] if whole else 0, out[k + 1][0] if k + 1 < len(out) else len(text)
+        while a > low and text[a] in WORD and text[a - 1] in WORD:
+            a -= 1
+        while b < high and text[b] in WORD and text[b - 1] in WORD:
+            b += 1
+        if whole and a == low:
+            a = whole.pop()[0]
+        whole.append((a, b))
+    return whole
 
 
 def cases_of(text: str, zone: tuple[int, int], gold: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -152,21 +165,71 @@ def borders_of(text: str, zone: tuple[int, int]) -> list[int]:
     return [m.start() for m in TOKEN.finditer(text, zone[0], zone[1])] + [zone[1]]
 
 
-def segments(text: str, borders: list[int], first: int, last: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(candidate segments that start at tokens first to last, as token ranges; their features): spans that begin and end like data."""
+def addresses(text: str, borders: list[int]) -> dict[int, int]:
+    """First token and end of each whole spelled-out address, whatever its length."""
+    out = {}
+    for m in WHOLE.finditer(text, borders[0], borders[-1]):
+        a, b = m.start(), m.end()
+        while not (text[a].isalnum() or text[a] == "+"):
+            a += 1
+            if a == b:
+                break
+        while b > a and not text[b - 1].isalnum():
+            b -= 1
+        i, j = bisect_left(borders, a), bisect_left(borders, b)
+        if a < b and borders[i] == a and borders[j] == b:
+            out[i] = j
+    return out
+
+
+def segments(text: str, borders: list[int], first: int, last: int, long: dict[int, int] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(candidate segments that start at tokens first to last, as token ranges; their features): spans that begin and end like data.
+
+    ``long`` are the zone's ``addresses``. Over ``LONGEST`` tokens, only numbers (4 to 19 digits, no word but "dot") and
+    addresses by their shape are candidates.
+    """
+    if long is None:
+        long = addresses(text, borders)
+    # Ends of words and digit groups and the digits up to them, as far as this block's segments reach.
+    ends, digits, words, before = [], [], [], {}
+    count, letters, more = 0, 0, 0
+    for t in range(first, len(borders) - 1):
+        if t < last:
+            before[t] = count, letters
+        elif more > LONGEST:
+            break
+        c = text[borders[t]]
+        if "0" <= c <= "9":
+            count += borders[t + 1] - borders[t]
+        elif c.isalpha():
+            letters += text[borders[t]:borders[t + 1]] != "dot"
+        if text[borders[t + 1] - 1].isalnum():
+            ends.append(t + 1)
+            digits.append(count)
+            words.append(letters)
+            more += t >= last
     spans, rows = [], []
     for i in range(first, last):
-        c = text[borders[i]]
-        if not (c.isalnum() or c in "+("):
+        a = borders[i]
+        if not (text[a].isalnum() or text[a] in "+("):
             continue
-        for j in range(i + 1, min(len(borders) - 1, i + LONGEST) + 1):
-            a, b = borders[i], borders[j]
-            if b - a < 5 or not text[b - 1].isalnum():
-                continue
-            s = text[a:b]
-            if sum("0" <= ch <= "9" for ch in s) >= 4 or AT.search(s):
+        p = bisect_left(ends, i + 1)
+        near = ends[p:p + LONGEST]
+        at = AT.search(text, a, borders[near[-1]]) if near else None
+        n0, w0 = before[i]
+        for j, n, w in zip(near, digits[p:p + LONGEST], words[p:p + LONGEST], strict=True):
+            b = borders[j]
+            spelled = at is not None and b >= at.end()
+            if j - i <= LONGEST:
+                fits = b - a >= 5 and (spelled or n - n0 >= 4)
+            else:
+                fits = bool(SPELLED.fullmatch(text, a, b)) if spelled else w == w0 and 4 <= n - n0 <= 19
+            if fits:
                 spans.append((i, j))
                 rows.append(features(text, a, b))
+        if near and long.get(i, 0) > near[-1]:
+            spans.append((i, long[i]))
+            rows.append(features(text, a, borders[long[i]]))
     return spans, np.array(rows) if rows else np.zeros((0, len(FEATURES)))
 
 
@@ -254,10 +317,11 @@ class Blocks:
     def __init__(self, text: str, borders: list[int], weights: np.ndarray):
         self.borders, self.n = borders, len(borders) - 1
         self.count = -(-self.n // BLOCK)
+        long = addresses(text, borders)
 
         @lru_cache(maxsize=8)
         def scored(k: int) -> tuple[dict[int, list[tuple[int, int]]], np.ndarray]:
-            spans, x = segments(text, borders, k * BLOCK, min(self.n, (k + 1) * BLOCK))
+            spans, x = segments(text, borders, k * BLOCK, min(self.n, (k + 1) * BLOCK), long)
             starts: dict[int, list[tuple[int, int]]] = {}
             for row, (i, j) in enumerate(spans):
                 starts.setdefault(i, []).append((row, j))
