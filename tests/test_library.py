@@ -108,6 +108,8 @@ def test_latest_period_and_moves_reach_daily_facts_and_dimension(spark):
     assert kept_weekly.count() == 2
     assert sorted((r["site_id"], r["day"].day) for r in kept_daily.collect()) == [(1, 7), (2, 8)]
     assert catalog._without_latest_period(weekly.limit(0), daily)[1].count() == 3
+    undated = weekly.unionByName(spark.sql("SELECT 3 AS site_id, CAST(NULL AS DATE) AS period_start, CAST(NULL AS DATE) AS period_end"))
+    assert catalog._without_latest_period(undated, daily)[0].count() == 3
     moved = {r["site_id"]: r["company_id"] for r in catalog.QUERIES["move_site_dimension"](spark, "/root/testdata/sf0.001").collect()}
     facts = catalog.QUERIES["move_site"](spark, "/root/testdata/sf0.001").select("site_id", "company_id").distinct().collect()
     assert facts and all(moved[r["site_id"]] == r["company_id"] for r in facts)

@@ -186,8 +186,8 @@ def delete_period_facts(weekly: DataFrame, daily: DataFrame, period_start, perio
     """DEL-1: remove the weekly rows of one period and the daily rows of that period's sites
     whose day lies inside the period. ``all_days=True`` is the reference's wider form (every
     daily row of those sites). Returns (weekly, daily) after the delete."""
-    in_period = (F.col("period_start") == F.lit(period_start).cast("date")) & \
-                (F.col("period_end") == F.lit(period_end).cast("date"))
+    in_period = F.col("period_start").eqNullSafe(F.lit(period_start).cast("date")) & \
+                F.col("period_end").eqNullSafe(F.lit(period_end).cast("date"))
     doomed_sites = weekly.filter(in_period).select("site_id").distinct()
     kept_weekly = weekly.filter(~in_period)
     hit = daily.join(doomed_sites, "site_id", "left_semi")
