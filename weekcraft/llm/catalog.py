@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekcraft.llm import exact, jaccard, language, mixing, pieces, private, toxicity, viterbi, warc, winnow
+from weekcraft.llm import audit, exact, infill, jaccard, language, mixing, pieces, private, toxicity, viterbi, warc, winnow
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,9 @@ QUERIES = {
     "op8_sentencepiece": viterbi.op8_sentencepiece,
     "op9_winnowing": winnow.op9_winnowing,
     "op10_mixing": mixing.op10_mixing,
+    "op11_infill": infill.op11_infill,
+    "op13_filter_audit": audit.op13_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLE = {**exact.ORACLE, **warc.ORACLE}
+ORACLE = {**exact.ORACLE, **warc.ORACLE, **infill.ORACLE, **audit.ORACLE}
