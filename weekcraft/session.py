@@ -84,13 +84,22 @@ def materialize(df, name: str = "stage"):
     One job computes the input once (``Dataset.checkpoint`` would compute it twice unless
     persisted); the written files live in the shared checkpoint folder, so a lost
     executor does not lose them, and the re-read carries file-size statistics that AQE
-    uses for join planning. A stage is removed when the driver process ends.
+    uses for join planning. A stage is removed by ``drop_stage``, else when the driver process ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     _stages.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def drop_stage(df) -> None:
+    """Remove the files of a frame that ``materialize`` returned, once nothing reads them any more."""
+    spark, path = df.sparkSession, df._stage_path
+    remove_path(spark, path)
+    _stages.remove((spark, path))
 
 
 _stages: list[tuple[SparkSession, str]] = []
