@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekcraft.llm import audit, exact, infill, jaccard, language, mixing, pieces, private, toxicity, viterbi, warc, winnow
+from weekcraft.llm import audit, exact, infill, jaccard, language, mixing, pieces, pitman_yor, private, toxicity, viterbi, warc, winnow
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ QUERIES = {
     "op9_winnowing": winnow.op9_winnowing,
     "op10_mixing": mixing.op10_mixing,
     "op11_infill": infill.op11_infill,
+    "op12_pitman_yor": pitman_yor.op12_pitman_yor,
     "op13_filter_audit": audit.op13_filter_audit,
     "pipeline": pipeline,
 }
