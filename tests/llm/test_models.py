@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, clashing, empty, odd, rows
-from weekcraft.llm import language, mixing, toxicity, warc
+from weekcraft.llm import common, language, mixing, toxicity, warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -235,7 +237,7 @@ def test_queries_are_registered():
     import __spark_entry__
     import corpus_pipeline
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries() and corpus_pipeline.ORACLE_SQL is None
     assert {"op2_exact_dedup", "op3_warc_revisits"} <= __spark_entry__.oracle_sql().keys()
 
@@ -254,3 +256,91 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count() and last.where("not round_trip").count() == 0
     assert count
+
+
+# --- samples, letters ----------------------------------------------------------------------
+
+@pytest.mark.parametrize("total", [10, 5_000, 10 ** 7, 10 ** 10, 10 ** 13])
+def test_a_sample_of_a_table_of_any_size_is_not_empty(total):
+    """The share of the hash range under the limit holds the rows asked for, with a margin, however many rows there are."""
+    limit = common.hash_limit(1500, total)
+    expected = (limit + 2 ** 63) / 2 ** 64 * total
+    if total <= 1500:
+        assert limit == 2 ** 63 - 1
+    else:
+        assert 1500 <= expected * (1 + 1e-9) and expected < 1500 + 6 * 1500 ** 0.5 + 18
+
+
+def test_samples_hold_the_smallest_hashes_within_rows_and_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * (i % 50), "ab"[i % 2]) for i in range(2000)] + [(7, "twice", "a"), (3000, "y" * 40_000, "a")],
+                                 "doc_id long, text string, lang string")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = common.hash_sample(rows, counts, 100, group="lang").collect()
+    assert Counter(r["group"] for r in got) == {"a": 100, "b": 100}
+    every = {g: sorted(r[0] for r in rows.where(F.col("lang") == g).select(F.xxhash64("doc_id", F.lit(3))).distinct().collect()) for g in "ab"}
+    assert all(sorted(r["hash"] for r in got if r["group"] == g) == every[g][:100] for g in "ab")
+    small = common.hash_sample(rows, counts, 100, group="lang", most_bytes=2000).collect()
+    assert 0 < len(small) < 200 and all(sum(len(r["text"]) for r in small if r["group"] == g) <= 1000 for g in "ab")
+    assert common.hash_sample(rows.limit(0), {}, 100, group="lang").count() == 0
+    # A share as of ten thousand million rows leaves few of these, without failing.
+    assert common.hash_sample(rows, {"a": 10 ** 10, "b": 10 ** 10}, 100, group="lang").count() <= 2
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    texts = ["٣٤٥", "²³", "½ ¾", "Ⅷ", "123 456", "", None, "%&", "０１２"]
+    docs = spark.createDataFrame([(i, f"the {w} of the house and", "en") for i, w in enumerate("abcdefgh" * 4)]
+                                 + [(100 + i, f"der {w} von dem haus und", "de") for i, w in enumerate("abcdefgh" * 4)]
+                                 + [(1000 + i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    for r in language.identify(docs).where("doc_id >= 1000").collect():
+        assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
+def test_language_scores_by_brute_force(spark):
+    """The whole prediction anew: letters by their Unicode category, n-grams one by one, mean, softmax."""
+    import unicodedata
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sample = language.training_sample(docs, 200)
+    model = language.train(list(sample["text"]), list(sample["lang"]))
+
+    def plain(text):
+        low = [c.lower() if len(c.lower()) == 1 else c for c in text]
+        symbols = [0, *(ord(c) if unicodedata.category(o)[0] == "L" else 0 for c, o in zip(low, text, strict=True)), 0]
+        total, n = np.zeros(len(model.langs)), 0
+        for order in language.ORDERS:
+            for i in range(len(symbols) - order + 1):
+                if order > 2 and not symbols[i]:
+                    continue
+                total += model.table[language.subwords(np.array(symbols[i:i + order], dtype=np.uint32), order)[0]]
+                n += 1
+        z = (total / n + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
+    texts = [r["text"] for r in docs.where("length(text) between 1 and 400").limit(40).collect()] + ["Ünïcode ﬀ İ ß 12", "a", "日本"]
+    got, some = model.scores(texts)
+    for t, p, ok in zip(texts, got, some, strict=True):
+        assert ok == any(unicodedata.category(c)[0] == "L" for c in t)
+        if ok:
+            assert np.allclose(p, plain(t), atol=1e-5)
+
+
+# --- revisits ------------------------------------------------------------------------------
+
+RECORD = "record_id long, url string, kind string, time long, etag string, last_modified string, headers map<string,string>"
+
+
+def test_headers_merge_whatever_their_case(spark):
+    long = "v" * 100_000
+    got = warc.resolve_revisits(spark.createDataFrame([
+        (1, "http://a.org/x", "response", 10, '"t"', None, {"ETag": '"t"', "Date": "old", "Content-Length": "9", "Server": long, "X-Old": "1"}),
+        (2, "http://A.org/x", "revisit", 20, 'W/"t"', None, {"etag": 'W/"t"', "date": "new", "content-length": "0", "x-new": long}),
+        (3, "http://a.org/x", "revisit", 30, '"t"', None, None)], RECORD).withColumn("slice", F.lit("extra")).withColumn("carried", F.lit(1))).collect()
+    assert {r["revisit_id"]: r["headers"] for r in got} == {
+        2: {"etag": 'W/"t"', "date": "new", "Content-Length": "9", "Server": long, "X-Old": "1", "x-new": long},
+        3: {"ETag": '"t"', "Date": "old", "Content-Length": "9", "Server": long, "X-Old": "1"}}
+
+
+def test_default_ports_belong_to_their_scheme(spark):
+    urls = ["http://a.org:80/", "https://a.org:443", "a.org:80", "http://a.org:443/", "https://A.org:80/", "HTTPS://www.a.org:443/"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(warc.canonical_url(F.col("url"))).collect()]
+    assert got == ["a.org", "a.org", "a.org", "a.org:443", "a.org:80", "a.org"]

@@ -16,15 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Folder of the public tokenizer files; a parameter of every tokenizing operator.
-TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-
 #: Characters that one step of a per-document kernel takes at once (bounds a task's memory).
 STEP_CHARS = 2_000_000
 
 
-def tokenizer_path(name: str, folder: str = TOKENIZER_DIR) -> str:
-    return os.path.join(folder, name)
+#: Bytes of text that a training sample holds at most.
+SAMPLE_BYTES = 64 << 20
+
+
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """Place of a public tokenizer's file: in ``folder``, else where the package of vocabularies has it."""
+    if folder is not None:
+        return os.path.join(folder, name)
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +47,50 @@ def fold_of(doc_id: Column | str, folds: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
+def hash_limit(most: float, total: float) -> int:
+    """The 64-bit hash below which about ``most`` of ``total`` rows lie, with a margin that makes fewer unlikely.
+
+    The share is taken of the whole 64-bit range, so it does not vanish for any number of rows.
+    """
+    share = (most + 6 * most ** 0.5 + 16) / max(1.0, total)
+    return 2 ** 63 - 1 if share >= 1 else int(share * 2.0 ** 64) - 2 ** 63
+
+
+def hash_sample(rows: DataFrame, counts: dict, most: float, key: str = "doc_id", text: str = "text", group: str | None = None,
+                most_bytes: int = SAMPLE_BYTES, seed: int = 3) -> DataFrame:
+    """(group, hash, text): of every group the ``most`` rows with the smallest hashes of ``key``, as far as their texts
+    fit into the group's equal share of ``most_bytes``; a text of over a quarter of that share is passed over.
+
+    counts: rows per group (``{None: rows}`` without a group). Of rows with one key and group the least text
+    counts. Only hashes and lengths of about ``most`` rows per group come to the driver before the texts are read.
+    """
+    if not counts:
+        return rows.select(F.lit(None).cast("string").alias("group"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("text")).limit(0)
+    of = F.lit("").alias("group") if group is None else F.col(group).cast("string").alias("group")
+    names = {g: "" if group is None else str(g) for g in counts}
+
+    def per_group(values: dict) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for g, v in values.items() for x in (names[g], int(v))]), F.col("group"))
+
+    least = F.min(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text")
+    near = (rows.withColumns({"group": of, "hash": F.xxhash64(F.col(key), F.lit(seed))})
+            .where(F.col("hash") <= per_group({g: hash_limit(most, n) for g, n in counts.items()})).groupBy("group", "hash").agg(least))
+    share = most_bytes // len(counts)
+    fits = F.octet_length("text") <= share // 4
+    sizes = near.where(fits).select("group", "hash", F.octet_length("text").alias("n")).collect()
+    last = {}
+    for g, name in names.items():
+        held = 0
+        for taken, r in enumerate(sorted((r for r in sizes if r["group"] == name), key=lambda r: r["hash"])):
+            held += r["n"]
+            if held > share or taken >= most:
+                break
+            last[g] = r["hash"]
+    if not last:
+        return near.limit(0)
+    return near.where(fits & (F.col("hash") <= per_group(last)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -116,21 +165,19 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def letter_table() -> np.ndarray:
-    """Code point -> lower-case code point for letters and digits, 0 for everything else (built once a worker)."""
-    global _LETTERS
-    if _LETTERS is None:
+def letter_table(digits: bool = True) -> np.ndarray:
+    """Code point -> lower-case code point for letters (and all digits and numbers), 0 for everything else (built once a worker)."""
+    if digits not in _LETTERS:
         out = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
-        for c in range(0x20000):
+        for c in range(0x40000):
             s = chr(c)
-            if s.isalnum():
+            if s.isalnum() if digits else s.isalpha():
                 out[c] = ord(low) if len(low := s.lower()) == 1 else c
-        out[0x20000:0x40000] = np.arange(0x20000, 0x40000)
-        _LETTERS = out
-    return _LETTERS
+        _LETTERS[digits] = out
+    return _LETTERS[digits]
 
 
-_LETTERS: np.ndarray | None = None
+_LETTERS: dict[bool, np.ndarray] = {}
 
 
 def spread(h: np.ndarray) -> np.ndarray:

@@ -3,8 +3,9 @@
 Texts are reduced to lower-case letters with one blank for each other character. Character
 n-grams of 2 to 4 are hashed into ``BUCKETS`` rows of an embedding; a text is the mean of its rows,
 and a linear softmax gives the classes. Embedding and softmax are trained together by stochastic
-gradient descent in numpy, on the driver, on a bounded sample: about ``train_rows`` rows, the
-languages in equal shares, drawn by a hash of the id, whole texts and short pieces of them.
+gradient descent in numpy, on the driver, on a bounded sample: ``train_rows`` rows, the
+languages in equal shares, those with the smallest hashes of the id, whole texts and short pieces of them, 64 MB
+at most (a text of over a quarter of a language's share of that is passed over).
 For prediction both fold into one table of class scores per bucket, so each whole text is one
 gather and one sum.
 
@@ -24,16 +25,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import arrow, code_points, column, fold_of, letter_table, read_table, spread, steps, strings
+from weekcraft.llm.common import arrow, code_points, column, fold_of, hash_sample, letter_table, read_table, spread, steps, strings
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 
 
 def letters_of(text: str) -> np.ndarray:
     """Lower-case letters as code points, 0 for every other character."""
-    symbols = letter_table()[code_points(text)].copy()
-    symbols[(symbols >= 48) & (symbols <= 57)] = 0
-    return symbols
+    return letter_table(digits=False)[code_points(text)]
 
 
 def subwords(symbols: np.ndarray, order: int) -> np.ndarray:
@@ -153,16 +152,14 @@ def train(texts: list[str], langs: list[str], accept: float = 0.99, epochs: int
 
 
 def training_sample(docs: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> pd.DataFrame:
-    """About ``rows`` labelled rows, the languages in equal shares, by a hash of the id; equal texts once."""
+    """Of every language its equal share of ``rows`` labelled rows, the smallest hashes of the id, at most 64 MB of text; equal texts once."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", 4) != 2))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return pd.DataFrame({"text": [], "lang": []})
-    share = rows / len(counts)
-    most = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, share / n) * 1_000_000))]), F.col("lang"))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < most).select("doc_id", "text", "lang").toPandas()
-    return picked.sort_values(["doc_id", "lang", "text"]).drop_duplicates("text").reset_index(drop=True)
+    picked = hash_sample(known, counts, rows / len(counts), group="lang").select("hash", "text", F.col("group").alias("lang")).toPandas()
+    return picked.sort_values(["hash", "lang", "text"]).drop_duplicates("text").reset_index(drop=True)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 3000,

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import arrow, column, read_table, steps, strings
+from weekcraft.llm.common import arrow, column, hash_sample, read_table, steps, strings
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, SURE, TRAIN_ZONES = 20, 0.9, 600
@@ -435,12 +435,10 @@ def train(texts: list[str], rounds: int = 60, most: int = TRAIN_ZONES, seed: int
 
 
 def training_sample(docs: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """Distinct texts of about ``rows`` rows with a digit cluster or an at-sign, drawn by a hash of the id, in id order."""
+    """Distinct texts of the ``rows`` rows with a digit cluster or an at-sign that have the smallest hashes of the id, 64 MB at most."""
     likely = docs.where(F.col(id_col).isNotNull() & F.col(text_col).cast("string").rlike(r"@|[0-9][0-9 ().-]{6,}[0-9]"))
-    total = max(1, likely.count())
-    got = likely.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1_000_000)) < int(1e6 * min(1.0, rows / total))).select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).toPandas()
-    return list(dict.fromkeys(got.sort_values(["doc_id", "text"])["text"]))
+    got = hash_sample(likely, {None: likely.count()}, rows, key=id_col, text=text_col).toPandas()
+    return list(dict.fromkeys(got.sort_values("hash")["text"]))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:

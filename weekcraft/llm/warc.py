@@ -3,7 +3,7 @@
 A revisit (a 304 capture) is joined as of its time with the latest strictly earlier full response of the
 same canonical URL. Then its validators are checked: the entity tag where the revisit has one (weak
 prefixes ignored), else the modification date. A revisit that passes gets the
-response's headers with the permitted ones of the 304 over them; ``PROTECTED`` headers
+response's headers with the permitted ones of the 304 over them, names compared in lower case; ``PROTECTED`` headers
 describe the body or the connection and stay as the response had them.
 
 The as-of join sorts inside (URL, time slice) and carries the last response of each slice to
@@ -34,9 +34,10 @@ TRACKING = r"^(ref|utm_[a-z]+|fbclid|gclid)(=|$)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host (lower case, without www. and default port), path without a last slash, and sorted query without tracking."""
+    """Host (lower case, without www. and its scheme's default port), path without a last slash, and sorted query without tracking."""
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), r"(?i)^[a-z][a-z0-9+.-]*://", ""), r"#.*$", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r"^www\.", ""), r":(80|443)$", "")
+    named = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r"^www\.", "")
+    host = F.when(F.trim(url).rlike("(?i)^https://"), F.regexp_replace(named, ":443$", "")).otherwise(F.regexp_replace(named, ":80$", ""))
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/+$", "")
     query = F.array_sort(F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda q: (q != "") & ~F.lower(q).rlike(TRACKING)))
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))
@@ -49,7 +50,7 @@ def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame
     rows = records.select("record_id", "kind", F.col("time").cast("long").alias("time"), "etag", "last_modified", "headers",
                           canonical_url(F.col("url")).alias("canonical_url"))
     if slices is None:
-        slices = int(min(4096, max(64, rows.count() // 1_000_000)))
+        slices = int(max(64, rows.count() // 1_000_000))
     cuts = cut_points(rows, "time", slices)
 
     @F.pandas_udf("int")
@@ -85,7 +86,8 @@ def _checked() -> list[Column]:
     empty = F.create_map().cast("map<string,string>")
     old, new = F.coalesce(response["headers"], empty), F.coalesce(F.col("headers"), empty)
     fresh = F.map_filter(new, lambda k, v: ~F.lower(k).isin(*PROTECTED))
-    merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
+    replaced = F.transform(F.map_keys(fresh), lambda k: F.lower(k))
+    merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(replaced, F.lower(k))), fresh)
     return [F.col("record_id").alias("revisit_id"), "canonical_url", "time", response["record_id"].alias("response_id"), response["time"].alias("response_time"),
             status.alias("status"), F.when(status == "resolved", merged).alias("headers")]
 
@@ -124,8 +126,9 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {"op3_warc_revisits": r"""
 WITH p AS (SELECT page_id, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, 'day ' || CAST(page_id // 50 AS VARCHAR) AS day,
-             CAST(length(coalesce(html, '')) AS VARCHAR) AS size, regexp_replace(regexp_replace(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '') AS rest FROM pages),
-c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+             CAST(length(coalesce(html, '')) AS VARCHAR) AS size, regexp_replace(regexp_replace(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '') AS rest,
+             regexp_matches(trim(url), '(?i)^https://') AS tls FROM pages),
+c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', ''), CASE WHEN tls THEN ':443$' ELSE ':80$' END, '')
              || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
              list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
                lambda q: q <> '' AND NOT regexp_matches(lower(q), '^(ref|utm_[a-z]+|fbclid|gclid)(=|$)'))) AS q FROM p),

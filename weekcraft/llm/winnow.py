@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weekcraft.llm.common import arrow, code_points, column, cut_points, letter_table, read_table, shuffle_partitions, spread, steps, strings
 
-K, WINDOW = 32, 33
+K, WINDOW = 16, 17
 
 
 def rolling_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
