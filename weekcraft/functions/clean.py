@@ -32,6 +32,11 @@ _FOLDED = {chr(c): d[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
            if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()}
 _MARKS = "".join(map(chr, range(0x300, 0x370)))
 
+# Numbers of this size or more are rejected: sums are exact decimals with 28 digits before the point.
+LARGEST = 1e15
+# Week numbers whose fallback date is a calendar date (about the years 108 to 9690).
+WEEK_RANGE = (-100_000, 400_000)
+
 # A plain decimal number after separators were normalised (no nan/inf/underscores,
 # which the two SQL engines parse differently).
 _NUMBER_RE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -218,8 +223,14 @@ def iso_year(c) -> Column:
 
 
 def week_fallback_date(week, base: str = WEEK_FALLBACK_BASE) -> Column:
-    """``base + (week - 1)`` weeks (DT-5)."""
-    return F.date_add(F.lit(base).cast("date"), ((_c(week) - 1) * 7).cast("int"))
+    """``base + (week - 1)`` weeks (DT-5); null for a week outside ``WEEK_RANGE``."""
+    w = F.when(_c(week).between(*WEEK_RANGE), _c(week).cast("int"))
+    return F.date_add(F.lit(base).cast("date"), (w - 1) * 7)
+
+
+def in_range(c) -> Column:
+    """Whether a number can be stored and summed; null for null."""
+    return F.abs(_c(c)) < LARGEST
 
 
 def week_key(year, week) -> Column:

@@ -24,6 +24,7 @@ from weekcraft.session import materialize
 from weekcraft.operators.security import visible_sites
 from weekcraft.plans import daily as D
 from weekcraft.plans import report as R
+from weekcraft.plans import weekly_load as WL
 from weekcraft.plans import admin as AD
 from weekcraft.operators import merge as MG
 from weekcraft.plans import history as H
@@ -281,6 +282,65 @@ def q_weekly_from_report(spark, sf_dir) -> DataFrame:
     return R.weekly_from_report(_tagged(spark, sf_dir))
 
 
+# --------------------------------------------------------------------------- the whole weekly load
+
+KNOWN_COMPANIES, STORED_WEEKS = 20, 3
+
+
+def _weekly_load(spark, sf_dir) -> WL.WeeklyLoad:
+    """The weekly reports of all daily facts loaded into stored ones.
+
+    Companies below ``KNOWN_COMPANIES`` and their even sites exist before. Every tenth event of an existing site is stored, as 1.0
+    in the category 'stored'; the sites' first weeks of 2024 are stored with an area and a weight.
+    """
+    t = _t(spark, sf_dir)
+    companies = B.companies(t).filter(F.col("company_id") < KNOWN_COMPANIES).select("company_id", F.col("company_id").cast("string").alias("code"), "name")
+    s = F.col("s_suppkey")
+    sites = t.supplier.filter((s % 2 == 0) & (s % 25 < KNOWN_COMPANIES)).select(
+        s.alias("site_id"), (s % 25).cast("long").alias("company_id"), F.concat(F.lit("Site "), s.cast("string")).alias("name"))
+    written = F.create_map(*[F.lit(x) for kv in R.REPORT_CONCEPTS for x in kv])
+    daily = (D.dedupe_daily(B.daily(t).filter(F.col("row_no") % 10 == 0)).join(sites.select("site_id"), "site_id", "left_semi")
+             .select("site_id", "day", C.clean_concept(F.element_at(written, F.col("concept"))).alias("concept"), F.col("company_id").cast("long").alias("company_id"),
+                     F.lit("stored").alias("category"), F.lit(1.0).alias("value")).filter(F.col("concept").isNotNull()))
+    old = F.lit("2000-01-01").cast("date")
+    none = F.lit(None).cast("double")
+    weekly = sites.select("site_id", "company_id", F.explode(F.sequence(F.lit(1), F.lit(STORED_WEEKS))).alias("week")).select(
+        "site_id", F.lit(2024).alias("year"), "week", "company_id", old.alias("period_start"), old.alias("period_end"),
+        *[{"area": (10 + F.col("site_id") % 37).cast("double"), "weight": F.lit(5.0)}.get(m, none).alias(m) for m in WL.MEASURES])
+    return WL.process_weekly(WL.cells_of(R.wide_reports(t)), companies, sites, daily, weekly)
+
+
+@register("weekly_load_daily")
+def q_weekly_load_daily(spark, sf_dir) -> DataFrame:
+    """QLT-9/SRC-1/RSH-2/MRG-1: the daily facts after the load of wide weekly reports."""
+    return _weekly_load(spark, sf_dir).daily
+
+
+@register("weekly_load_weekly")
+def q_weekly_load_weekly(spark, sf_dir) -> DataFrame:
+    """QLT-9/AGG-4/MRG-2: the weekly facts after the load."""
+    return _weekly_load(spark, sf_dir).weekly
+
+
+@register("weekly_load_sites")
+def q_weekly_load_sites(spark, sf_dir) -> DataFrame:
+    """QLT-9/JOIN-7: the sites after the load, with the code of their company."""
+    load = _weekly_load(spark, sf_dir)
+    return load.sites.join(load.companies.select("company_id", F.col("code").alias("company_code"), F.col("name").alias("company")), "company_id")
+
+
+@register("weekly_load_rejects")
+def q_weekly_load_rejects(spark, sf_dir) -> DataFrame:
+    """QLT-9/QLT-2/SNK-3: the cells that the load rejects, with their reasons."""
+    return _weekly_load(spark, sf_dir).rejects.drop("report_row")
+
+
+@register("weekly_load_stats")
+def q_weekly_load_stats(spark, sf_dir) -> DataFrame:
+    """QLT-9/QLT-6/AGG-13: the one-row summary of the load."""
+    return _weekly_load(spark, sf_dir).stats
+
+
 # --------------------------------------------------------------------------- scalar cleaning / formats / dates
 def _plain2(c):
     """Number text with 2 decimals and no grouping (built from format_number)."""

@@ -14,7 +14,8 @@ from weekcraft.plans.catalog import DETAIL_WEEK
 from weekcraft.plans.catalog import (CASCADE_COMPANY, MARGIN_DEFAULT_YEAR, PERIOD_RUN_WEEK,
                                      RETENTION_AS_OF, RETENTION_DAYS)
 from weekcraft.plans.history import REASON_NO_SITE, REASON_NO_WEEK
-from weekcraft.plans.catalog import SESSION_GAPS
+from weekcraft.plans.catalog import KNOWN_COMPANIES, SESSION_GAPS, STORED_WEEKS
+from weekcraft.plans.weekly_load import MEASURES as LOAD_MEASURES
 from weekcraft.oracle import matrix_select
 from weekcraft.plans.catalog import HISTORY_COMPANY, HISTORY_WEEKS_BACK
 from weekcraft.streaming.lockouts import BLOCK_MINUTES, MAX_FAILURES
@@ -240,10 +241,11 @@ def clean_site_sql(x: str) -> str:
 _concept_case = "CASE concept " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in REPORT_CONCEPTS) + " END"
 _variants = " ".join(f"WHEN site_id % 5 = {r} AND concept = {q(c)} THEN {q(w)}" for r, c, w in REPORT_VARIANTS)
 REPORT_CTES = DAILY_CTES + [
-    ("rc0", """SELECT dt.*, n.n_name AS company, CAST(isoyear(day) AS INTEGER) AS year, CAST(week(day) AS INTEGER) AS week
+    ("rc0", """SELECT dt.*, n.n_name AS company, CAST(isoyear(day) AS INTEGER) AS year, CAST(week(day) AS INTEGER) AS week,
+       CASE WHEN site_id % 7 = 0 THEN dayofmonth(day) % 2 ELSE 0 END AS report_row
 FROM dt JOIN nation n ON dt.company_id = n.n_nationkey"""),
     ("rc1", """SELECT *, CASE WHEN count(value) OVER w > 0 THEN (round(sum(value) OVER w * 100.0) / 100.0) / count(value) OVER w
-       END AS mean FROM rc0 WINDOW w AS (PARTITION BY site_id, year, week, concept)"""),
+       END AS mean FROM rc0 WINDOW w AS (PARTITION BY site_id, year, week, concept, report_row)"""),
     ("rc", f"""SELECT company, CAST(company_id AS VARCHAR) || '_' || company AS company_code_raw,
        CASE site_id % 3 WHEN 0 THEN 'Fundo Site ' || site_id WHEN 1 THEN 'Agricola Site ' || site_id
             ELSE ' Site ' || site_id || ' ' END AS site_raw, category,
@@ -252,7 +254,7 @@ FROM dt JOIN nation n ON dt.company_id = n.n_nationkey"""),
        CASE WHEN (site_id + dayofmonth(day)) % 41 = 0 THEN '31-02-' || CAST(year(day) AS VARCHAR)
             ELSE strftime(day, '%-d-%-m-%Y') END AS day_text,
        CASE WHEN row_no % 23 = 0 THEN '' WHEN row_no % 17 = 0 THEN 'n/d' ELSE {fmt_es_sql('value')} END AS cell_text,
-       CASE WHEN (site_id + week) % 4 = 0 THEN '' ELSE {fmt_es_sql('mean')} END AS total_text, row_no
+       CASE WHEN (site_id + week) % 4 = 0 THEN '' ELSE {fmt_es_sql('mean')} END AS total_text, row_no, report_row, day AS fact_day
 FROM rc1"""),
     ("pc", f"""SELECT *, trim(split_part(company_code_raw, '_', 1)) AS company_code, {clean_site_sql('site_raw')} AS site,
        {clean_concept_sql('concept_raw')} AS concept, CAST(try_strptime(day_text, '%d-%m-%Y') AS DATE) AS day,
@@ -268,14 +270,14 @@ ORACLE["daily_melt"] = with_(*REPORT_CTES, ("va", "SELECT * FROM tg WHERE reason
                              ("per", "SELECT year, week, min(day) AS period_start, max(day) AS period_end FROM va GROUP BY ALL"),
                              final="""
 SELECT company, company_code, site, category, concept, year, week, day, value,
-       coalesce(row_total, round(sum(value) OVER (PARTITION BY company, site, year, week, concept) * 100.0) / 100.0) AS row_total,
+       coalesce(row_total, CAST(sum(CAST(value AS DECIMAL(28, 10))) OVER (PARTITION BY company, site, year, week, concept_raw, report_row) AS DOUBLE)) AS row_total,
        period_start, period_end
 FROM va JOIN per USING (year, week)""")
 
 ORACLE["load_rejects"] = with_(*REPORT_CTES, final="""
 SELECT company, site_raw, concept_raw, day_text, cell_text, reason FROM tg WHERE reason IS NOT NULL""")
 
-ORACLE["load_stats"] = with_(*REPORT_CTES, ("pr", """SELECT company, site_raw, site, year, week, concept_raw,
+ORACLE["load_stats"] = with_(*REPORT_CTES, ("pr", """SELECT company, site_raw, site, year, week, concept_raw, report_row,
        count(*) AS cells, count(*) FILTER (WHERE reason IS NULL) AS okc FROM tg GROUP BY ALL"""),
     ("pk", "SELECT pr.*, k.nm AS known FROM pr LEFT JOIN (SELECT DISTINCT s_name AS nm FROM supplier) k ON pr.site = k.nm"),
     final="""
@@ -308,7 +310,7 @@ def _tgt(t):
 
 ORACLE["weekly_from_report"] = with_(*REPORT_CTES, ("tr", f"""SELECT *, {target_sql('lower(concept_raw)')} AS target
 FROM tg WHERE concept IS NOT NULL"""),
-    ("rows_", f"""SELECT company, site, year, week, concept_raw, target, max(row_total) AS row_total,
+    ("rows_", f"""SELECT company, site, year, week, concept_raw, report_row, target, max(row_total) AS row_total,
        {dsum('value')} AS cell_sum, count(value) AS cell_cnt
 FROM tr WHERE target IS NOT NULL GROUP BY ALL"""),
     ("w0", f"""SELECT company, site, year, week, {', '.join(_tgt(t) for t in WEEKLY_TARGETS + ['ms_pasture', 'ms_green'])}
@@ -318,6 +320,78 @@ FROM rows_ GROUP BY ALL"""),
              * 100.0) / 100.0 AS greens
 FROM w0""")
 
+# --------------------------------------------------------------------------- the whole weekly load
+
+_row_id = "company, company_code_raw, site_raw, category, concept_raw, total_text, report_row, year, week"
+_written = "CASE concept " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in REPORT_CONCEPTS) + " END"
+LOAD_CTES = REPORT_CTES + [
+    ("wr", f"""SELECT {_row_id}, min(row_no) AS row_no, CAST(date_trunc('week', min(fact_day)) AS DATE) AS monday FROM rc GROUP BY ALL"""),
+    ("wd", """SELECT wr.*, CAST(i AS INTEGER) AS i, monday + CAST(i AS INTEGER) AS fact_day,
+       CASE WHEN week % 3 = 0 AND i = 2 THEN '31-02-' || year ELSE strftime(monday + CAST(i AS INTEGER), '%-d-%-m-%Y') END AS day_text
+FROM wr, range(7) r(i)"""),
+    ("wc", f"""SELECT wd.*, rc.cell_text FROM wd LEFT JOIN rc USING ({_row_id}, fact_day)"""),
+    ("lp", f"""SELECT *, trim(split_part(company_code_raw, '_', 1)) AS company_code, {clean_site_sql('site_raw')} AS site,
+       {clean_concept_sql('concept_raw')} AS concept, CAST(try_strptime(day_text, '%d-%m-%Y') AS DATE) AS day,
+       {clean_number_sql('cell_text')} AS value, {clean_number_sql('total_text')} AS row_total
+FROM wc"""),
+    ("lt", """SELECT *, CASE WHEN concept IS NULL THEN 'empty concept'
+       WHEN cell_text IS NULL OR trim(cell_text) = '' THEN 'null value'
+       WHEN value IS NULL THEN 'unparseable value' WHEN day IS NULL THEN 'unparseable date' END AS reason
+FROM lp"""),
+    ("cmp", f"""SELECT CAST(n_nationkey AS VARCHAR) AS code, CAST(n_nationkey AS BIGINT) AS company_id, n_name AS name FROM nation WHERE n_nationkey < {KNOWN_COMPANIES}"""),
+    ("cnew", "SELECT DISTINCT company_code AS code FROM lt WHERE company_code NOT IN (SELECT code FROM cmp)"),
+    ("codes", """SELECT code, company_id, name FROM cmp
+UNION ALL SELECT code, (SELECT max(company_id) FROM cmp) + row_number() OVER (ORDER BY code), 'Empresa ' || code FROM cnew"""),
+    ("sold", f"""SELECT s_suppkey AS site_id, CAST(s_suppkey % 25 AS BIGINT) AS company_id, 'Site ' || s_suppkey AS name FROM supplier
+WHERE s_suppkey % 2 = 0 AND s_suppkey % 25 < {KNOWN_COMPANIES}"""),
+    ("snew", """SELECT DISTINCT company_id, site AS name FROM lt JOIN codes ON company_code = code
+WHERE (company_id, site) NOT IN (SELECT (company_id, name) FROM sold)"""),
+    ("ls", """SELECT company_id, name, site_id FROM sold
+UNION ALL SELECT company_id, name, (SELECT max(site_id) FROM sold) + row_number() OVER (ORDER BY company_id, name) FROM snew"""),
+    ("li_", """SELECT lt.*, ls.site_id, ls.company_id FROM lt JOIN codes ON lt.company_code = codes.code JOIN ls ON ls.company_id = codes.company_id AND ls.name = lt.site"""),
+    ("ltr", f"""SELECT *, {target_sql('lower(concept_raw)')} AS target FROM li_ WHERE concept IS NOT NULL"""),
+    ("lrows", f"""SELECT site_id, company_id, year, week, concept_raw, row_no, target, max(row_total) AS row_total,
+       {dsum('value')} AS cell_sum, count(value) AS cell_cnt FROM ltr WHERE target IS NOT NULL GROUP BY ALL"""),
+    ("lw0", f"""SELECT site_id, company_id, year, week, {', '.join(_tgt(x) for x in WEEKLY_TARGETS + ['ms_pasture', 'ms_green'])} FROM lrows GROUP BY ALL"""),
+    ("lw", f"""SELECT l.* EXCLUDE (ms_pasture, ms_green), p.period_start, p.period_end,
+       round(CASE WHEN ms_pasture IS NOT NULL OR ms_green IS NOT NULL THEN coalesce(ms_pasture, 0) + coalesce(ms_green, 0) END * 100.0) / 100.0 AS greens
+FROM lw0 l JOIN (SELECT year, week, min(day) AS period_start, max(day) AS period_end FROM lt GROUP BY ALL) p USING (year, week)"""),
+    ("lv", f"SELECT * FROM lw WHERE coalesce({', '.join(LOAD_MEASURES)}) IS NOT NULL"),
+]
+
+ORACLE["weekly_load_daily"] = with_(*LOAD_CTES, (
+    "old", f"""SELECT site_id, day, {clean_concept_sql(_written)} AS concept, CAST(company_id AS BIGINT) AS company_id, 'stored' AS category, 1.0 AS value
+FROM (SELECT site_id, day, concept, min_by(company_id, row_no) AS company_id FROM ev WHERE row_no % 10 = 0 GROUP BY ALL)
+WHERE site_id IN (SELECT site_id FROM sold) AND {_written} IS NOT NULL"""),
+    ("nb", """SELECT site_id, day, concept, min_by(company_id, row_no) AS company_id, min_by(category, row_no) AS category, max_by(value, row_no) AS value
+FROM li_ WHERE reason IS NULL GROUP BY ALL"""), final="""
+SELECT site_id, day, concept, CASE WHEN o.site_id IS NOT NULL THEN o.company_id ELSE n.company_id END AS company_id,
+       CASE WHEN o.site_id IS NOT NULL THEN o.category ELSE n.category END AS category, CAST(CASE WHEN n.site_id IS NOT NULL THEN n.value ELSE o.value END AS DOUBLE) AS value
+FROM old o FULL OUTER JOIN nb n USING (site_id, day, concept)""")
+
+_stored = {"area": "CAST(10 + site_id % 37 AS DOUBLE)", "weight": "CAST(5 AS DOUBLE)"}
+ORACLE["weekly_load_weekly"] = with_(*LOAD_CTES, (
+    "old", f"""SELECT site_id, 2024 AS year, CAST(i AS INTEGER) AS week, company_id, DATE '2000-01-01' AS period_start, DATE '2000-01-01' AS period_end,
+       {', '.join(f"{_stored.get(m, 'CAST(NULL AS DOUBLE)')} AS {m}" for m in LOAD_MEASURES)} FROM sold, range(1, {STORED_WEEKS + 1}) r(i)"""), final=f"""
+SELECT site_id, year, week, coalesce(o.company_id, n.company_id) AS company_id,
+       CASE WHEN n.site_id IS NOT NULL THEN n.period_start ELSE o.period_start END AS period_start,
+       CASE WHEN n.site_id IS NOT NULL THEN n.period_end ELSE o.period_end END AS period_end,
+       {', '.join(f'coalesce(n.{m}, o.{m}) AS {m}' for m in LOAD_MEASURES)}
+FROM old o FULL OUTER JOIN lv n USING (site_id, year, week)""")
+
+ORACLE["weekly_load_sites"] = with_(*LOAD_CTES, final="""
+SELECT ls.site_id, ls.company_id, ls.name, codes.code AS company_code, codes.name AS company FROM ls JOIN codes USING (company_id)""")
+
+ORACLE["weekly_load_rejects"] = with_(*LOAD_CTES, final="""
+SELECT company_code, site_raw, concept_raw, day_text, cell_text, reason FROM lt WHERE reason IS NOT NULL""")
+
+ORACLE["weekly_load_stats"] = with_(*LOAD_CTES, ("pr", f"""SELECT {_row_id}, row_no, company_code, site, count(*) AS n, count(reason) AS bad FROM lt GROUP BY ALL"""), final="""
+SELECT (SELECT count(*) FROM lt) AS cells, (SELECT count(*) FROM pr) AS rows, (SELECT count(*) FROM lt WHERE reason IS NULL) AS daily_rows,
+       (SELECT count(*) FROM lv) AS weekly_rows, (SELECT count(reason) FROM lt) AS rejected_cells, (SELECT count(*) FROM pr WHERE bad > 0) AS omitted_rows,
+       (SELECT count(*) FROM cnew) AS companies_created, (SELECT count(*) FROM snew) AS sites_created,
+       (SELECT count(DISTINCT (year, week)) FROM pr WHERE bad < n) AS unique_weeks,
+       (SELECT count(DISTINCT (company_code, site)) FROM pr WHERE bad < n) AS unique_sites""")
+
 # --------------------------------------------------------------------------- scalar cleaning / formats / dates
 
 
@@ -632,7 +706,7 @@ _EMPTY_HIST = ("hist", """SELECT CAST(NULL AS INTEGER) AS week, CAST(NULL AS DAT
 ORACLE["report_matrix"] = with_(*REPORT_CTES, (
     "lw", "SELECT year, week FROM tg ORDER BY year DESC, week DESC LIMIT 1"),
     ("rrows", f"""SELECT site, concept, max(row_total) AS total, {dsum('value')} AS cell_sum, count(value) AS cell_cnt
-FROM tg JOIN lw USING (year, week) WHERE concept IS NOT NULL GROUP BY site, concept, concept_raw"""),
+FROM tg JOIN lw USING (year, week) WHERE concept IS NOT NULL GROUP BY site, concept, concept_raw, report_row"""),
     *matrix_ctes("rrows", cells=True, hist_cte=_EMPTY_HIST),
     final=matrix_select("body", False) + "\nUNION ALL\n" + matrix_select("tot", True))
 

@@ -59,6 +59,8 @@ MEASURE_NAMES = {"mdat": "margin", "vacas_en_ordena": "weight"}
 MARGIN_CANDIDATES = ["MDAT", "(I) MDAT", "I) MDAT", "MDAT (I)", "I MDAT"]
 # Fixed reject reasons (QLT-3).
 REASON_NO_WEEK, REASON_NO_SITE = "Semana vacía", "Establecimiento vacío"
+# Reasons of this build, for numbers that cannot be stored.
+REASON_WEEK_RANGE, REASON_VALUE_RANGE = "Semana fuera de rango", "Valor fuera de rango"
 
 
 # Letters that encodings garble in the reports' headers, and degree signs, for fuzzy matching (SCH-5).
@@ -147,12 +149,18 @@ def parse_history(report: DataFrame) -> DataFrame:
           for m, kind in HISTORY_MEASURES.items()])
 
 
+def reject_reason():
+    """QLT-3: the joined reasons of a parsed row, '' for a valid one: no week or site, a week or measure out of range."""
+    large = [~C.in_range(MEASURE_NAMES.get(m, m)) for m in HISTORY_MEASURES]
+    return F.concat_ws(" | ", F.when(F.col("week").isNull(), F.lit(REASON_NO_WEEK)),
+                       F.when(~F.col("week").between(*C.WEEK_RANGE), F.lit(REASON_WEEK_RANGE)),
+                       F.when(F.col("site").isNull(), F.lit(REASON_NO_SITE)),
+                       F.when(F.coalesce(*[F.when(x, True) for x in large]), F.lit(REASON_VALUE_RANGE)))
+
+
 def history_rejects(parsed: DataFrame) -> DataFrame:
-    """QLT-3: rows without week or site, with the joined reasons."""
-    bad = F.col("week").isNull() | F.col("site").isNull()
-    reason = F.concat_ws(" | ", F.when(F.col("week").isNull(), F.lit(REASON_NO_WEEK)),
-                         F.when(F.col("site").isNull(), F.lit(REASON_NO_SITE)))
-    return parsed.filter(bad).select("row_no", reason.alias("reason"))
+    """QLT-3: the rows that are not loaded, with the joined reasons."""
+    return parsed.select("row_no", reject_reason().alias("reason")).filter("reason <> ''")
 
 
 def load_history(report: DataFrame, target: DataFrame | None = None) -> DataFrame:
@@ -161,7 +169,7 @@ def load_history(report: DataFrame, target: DataFrame | None = None) -> DataFram
     upsert into ``target`` replacing every measure (MRG-3). A measure that ``target`` lacks is null in its rows."""
     parsed = parse_history(report)
     modal = modal_day(parsed)
-    ok = parsed.filter(F.col("week").isNotNull() & F.col("site").isNotNull())
+    ok = parsed.filter(reject_reason() == "")
     filled = (ok.join(modal, "week", "left")
                 .withColumn("day", F.coalesce(F.col("day"), F.col("modal_day"), C.week_fallback_date(F.col("week"))))
                 .drop("modal_day"))

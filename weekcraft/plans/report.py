@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from weekcraft.functions import clean as C
 from weekcraft.operators.aggregates import dec_avg_sql, dec_sum, dec_sum_sql
 from weekcraft.plans.daily import daily_table
+from weekcraft.session import materialize
 from weekcraft.sources import bindings as B
 from weekcraft.sources.tables import Tables
 
@@ -78,7 +79,7 @@ def pattern_target(concept_lower):
 
 
 def report_cells(t: Tables) -> DataFrame:
-    """The report binding: every stored daily fact written out as a report cell.
+    """The report binding: every stored daily fact written out as a report cell (``fact_day`` is its day).
 
     Site names get prefixes, concepts get ``(X)`` prefixes and doubled spaces, cells are
     Spanish-formatted text, and some cells, totals, concepts and day headers are broken on
@@ -101,8 +102,10 @@ def report_cells(t: Tables) -> DataFrame:
     cell = (F.when(F.col("row_no") % 23 == 0, F.lit(""))
              .when(F.col("row_no") % 17 == 0, F.lit("n/d"))
              .otherwise(C.fmt_es(F.col("value"))))
-    row_w = Window.partitionBy("site_id", "_y", "_w", "concept")
-    base = (d.join(n, "company_id")
+    # Every seventh site reports a concept in two rows, of the odd and of the even days.
+    report_row = F.when(F.col("site_id") % 7 == 0, F.dayofmonth("day") % 2).otherwise(F.lit(0)).cast("int")
+    row_w = Window.partitionBy("site_id", "_y", "_w", "concept", "report_row")
+    base = (d.join(n, "company_id").withColumn("report_row", report_row)
              .withColumn("_y", C.iso_year(F.col("day")).cast("int"))
              .withColumn("_w", C.iso_week(F.col("day")).cast("int")))
     cnt = F.count("value").over(row_w)
@@ -114,12 +117,43 @@ def report_cells(t: Tables) -> DataFrame:
         F.concat(F.col("company_id").cast("string"), F.lit("_"), F.col("company")).alias("company_code_raw"),
         site_raw.alias("site_raw"), F.col("category"), concept_raw.alias("concept_raw"),
         F.col("_y").alias("year"), F.col("_w").alias("week"),
-        day_hdr.alias("day_text"), cell.alias("cell_text"), total.alias("total_text"), F.col("row_no"))
+        day_hdr.alias("day_text"), cell.alias("cell_text"), total.alias("total_text"), F.col("row_no"), F.col("report_row"),
+        F.col("day").alias("fact_day"))
+
+
+def wide_reports(t: Tables) -> list[DataFrame]:
+    """The report binding as weekly reports are delivered: one wide frame per week, a text column per day.
+
+    The facts are written out once; a report is the pivot of its seven days with a fixed column list. The Wednesday
+    of every third week has a header that is no date.
+    """
+    import datetime as dt
+
+    cells = materialize(report_cells(t), "report-cells")
+    span = cells.agg(F.min("fact_day").alias("first"), F.max("fact_day").alias("last")).first()
+    reports: list[DataFrame] = []
+    monday = span["first"] - dt.timedelta(days=span["first"].weekday()) if span["first"] else None
+    while monday is not None and monday <= span["last"]:
+        year, week, _ = monday.isocalendar()
+        days = [monday + dt.timedelta(days=i) for i in range(7)]
+        headers = [f"31-02-{year}" if i == 2 and week % 3 == 0 else f"{d.day}-{d.month}-{d.year}" for i, d in enumerate(days)]
+        ids = {"company": "empresa", "company_code_raw": "empresa_cod", "site_raw": "establecimiento", "category": "categoria", "concept_raw": "concepto",
+               "total_text": "a_total", "report_row": "_part"}
+        wide = (cells.filter(F.col("fact_day").between(F.lit(days[0]), F.lit(days[6])))
+                .select(*[F.col(c).alias(a) for c, a in ids.items()], "row_no", F.datediff("fact_day", F.lit(monday)).alias("_at"), "cell_text")
+                .groupBy(*ids.values()).agg(F.min("row_no").alias("row_no"),
+                                            *[F.first(F.when(F.col("_at") == i, F.col("cell_text")), ignorenulls=True).alias(h) for i, h in enumerate(headers)]))
+        reports.append(wide.drop("_part"))
+        monday += dt.timedelta(days=7)
+    return reports
 
 
 def parse_cells(cells: DataFrame) -> DataFrame:
-    """Clean names, concepts, numbers and day headers of every cell (STR-1..3, STR-6, DT-1)."""
-    return cells.select(
+    """Clean names, concepts, numbers and day headers of every cell (STR-1..3, STR-6, DT-1).
+
+    A number too large to be summed is no value: ``value_large`` and ``total_large`` tell, and the rejects name it.
+    """
+    parsed = cells.select(
         "*",
         C.company_code(F.col("company_code_raw")).alias("company_code"),
         C.clean_site_name(F.col("site_raw")).alias("site"),
@@ -127,6 +161,12 @@ def parse_cells(cells: DataFrame) -> DataFrame:
         C.parse_day(F.col("day_text")).alias("day"),
         C.clean_number(F.col("cell_text")).alias("value"),
         C.clean_number(F.col("total_text")).alias("row_total"))
+    return parsed.withColumns({
+        "value_large": ~F.coalesce(C.in_range("value"), F.lit(True)), "value": F.when(C.in_range("value"), F.col("value")),
+        "total_large": ~F.coalesce(C.in_range("row_total"), F.lit(True)), "row_total": F.when(C.in_range("row_total"), F.col("row_total"))})
+
+
+REASON_LARGE, REASON_LARGE_TOTAL = "number out of range", "row total out of range"
 
 
 def reject_reason():
@@ -134,6 +174,7 @@ def reject_reason():
     blank = F.col("cell_text").isNull() | (C.strip_ws(F.col("cell_text")) == "")
     return (F.when(F.col("concept").isNull(), F.lit("empty concept"))
              .when(blank, F.lit("null value"))
+             .when(F.col("value_large"), F.lit(REASON_LARGE))
              .when(F.col("value").isNull(), F.lit("unparseable value"))
              .when(F.col("day").isNull(), F.lit("unparseable date")))
 
@@ -146,9 +187,9 @@ def melt_report(tagged: DataFrame) -> DataFrame:
     """RSH-2 + RSH-5 + DT-4: valid cells as daily facts with the row total (given, else the
     sum of the row's parsed cells) and the report period (min/max day of the week)."""
     valid = tagged.filter(F.col("reason").isNull())
-    row_w = Window.partitionBy("company", "site", "year", "week", "concept")
-    s = F.sum(F.col("value")).over(row_w)
-    summed = F.round(s * 100.0, 0) / 100.0
+    # A row's cells lie under at most one day header each, so the groups of this window are as small as a report is wide.
+    row_w = Window.partitionBy("company", "site", "year", "week", *_report_row(tagged))
+    summed = F.sum(F.col("value").cast("decimal(28, 10)")).over(row_w).cast("double")
     period = valid.groupBy("year", "week").agg(F.min("day").alias("period_start"), F.max("day").alias("period_end"))
     return (valid.withColumn("row_total", F.coalesce(F.col("row_total"), summed))
                  .join(period, ["year", "week"])
@@ -157,8 +198,12 @@ def melt_report(tagged: DataFrame) -> DataFrame:
 
 
 def load_rejects(tagged: DataFrame) -> DataFrame:
-    return tagged.filter(F.col("reason").isNotNull()).select(
-        "company", "site_raw", "concept_raw", "day_text", "cell_text", "reason")
+    """QLT-2: rejected cells, and report rows whose total is out of range (once each, without a day)."""
+    names = ["company", "site_raw", "concept_raw", "day_text", "cell_text", "reason"]
+    cells = tagged.filter(F.col("reason").isNotNull()).select(*names)
+    totals = (tagged.filter("total_large").groupBy("company", "site_raw", "year", "week", *_report_row(tagged)).agg(F.first("total_text").alias("cell_text"))
+              .withColumns({"day_text": F.lit(None).cast("string"), "reason": F.lit(REASON_LARGE_TOTAL)}))
+    return cells.unionByName(totals.select(*names))
 
 
 def load_stats(tagged: DataFrame, sites: DataFrame) -> DataFrame:
@@ -169,7 +214,7 @@ def load_stats(tagged: DataFrame, sites: DataFrame) -> DataFrame:
     global aggregate (partial aggregation, no row shuffle).
     """
     ok = F.col("reason").isNull()
-    per_row = (tagged.groupBy("company", "site_raw", "site", "year", "week", "concept_raw")
+    per_row = (tagged.groupBy("company", "site_raw", "site", "year", "week", *_report_row(tagged))
                      .agg(F.count(F.lit(1)).alias("_cells"), F.count_if(ok).alias("_ok")))
     known = sites.select(F.col("name").alias("_known")).distinct()
     per_row = per_row.join(known, F.col("site") == F.col("_known"), "left")
@@ -202,14 +247,14 @@ def _report_row(tagged: DataFrame) -> list[str]:
     return ["concept_raw", "report_row"] if "report_row" in tagged.columns else ["concept_raw"]
 
 
-def weekly_from_report(tagged: DataFrame) -> DataFrame:
-    """AGG-4 + DRV-7: weekly values per (company, site, year, week).
+def weekly_from_report(tagged: DataFrame, by: tuple[str, ...] = ("company", "site")) -> DataFrame:
+    """AGG-4 + DRV-7: weekly values per (company, site, year, week), or per ``by`` and week.
 
     Per report row: the parsed row total and the sum/count of parsed day cells; per target
     column: mean of row totals, else mean of all day cells; rounded to 2 decimals.
     """
     rows = (tagged.filter(F.col("concept").isNotNull())
-                  .groupBy("company", "site", "year", "week", *_report_row(tagged))
+                  .groupBy(*by, "year", "week", *_report_row(tagged))
                   .agg(F.max("row_total").alias("row_total"),
                        dec_sum(F.col("value")).alias("cell_sum"),
                        F.count("value").alias("cell_cnt"))
@@ -221,7 +266,7 @@ def weekly_from_report(tagged: DataFrame) -> DataFrame:
         tot = dec_avg_sql(f"CASE WHEN {hit} THEN row_total END")
         cells = f"try_divide({dec_sum_sql(f'CASE WHEN {hit} THEN cell_sum END')}, sum(CASE WHEN {hit} THEN cell_cnt END))"
         aggs.append(F.expr(f"round(coalesce({tot}, {cells}) * 100.0D, 0) / 100.0D AS {tgt}"))
-    w = rows.groupBy("company", "site", "year", "week").agg(*aggs)
+    w = rows.groupBy(*by, "year", "week").agg(*aggs)
     greens = ("CASE WHEN ms_pasture IS NOT NULL OR ms_green IS NOT NULL "
               "THEN coalesce(ms_pasture, 0.0D) + coalesce(ms_green, 0.0D) END")
     return w.selectExpr("*", f"round(({greens}) * 100.0D, 0) / 100.0D AS greens").drop("ms_pasture", "ms_green")

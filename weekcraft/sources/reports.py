@@ -88,8 +88,8 @@ def to_cells(report: DataFrame) -> DataFrame:
     days = date_columns(report.columns)
     ids = [c for c in ["empresa", "empresa_cod", "establecimiento", "categoria", "concepto", "a_total", "semana",
                        "row_no"] if c in report.columns]
-    long = report.select(*ids, *[F.col(f"`{d}`").cast("string").alias(d) for d in days]) \
-                 .unpivot(ids, days, "day_text", "cell_text")
+    # One array of cells per row, exploded: the generated code of an unpivot with the parsing that follows does not compile.
+    long = report.select(*ids, F.inline(F.array(*[F.struct(F.lit(d).alias("day_text"), F.col(f"`{d}`").cast("string").alias("cell_text")) for d in days])))
     parsed = [C.parse_day(F.lit(d)) for d in days]
     first_day = F.least(*parsed) if len(parsed) > 1 else parsed[0]
     total = F.col("a_total") if "a_total" in report.columns else F.lit(None).cast("string")
@@ -101,7 +101,7 @@ def to_cells(report: DataFrame) -> DataFrame:
         F.col("establecimiento").alias("site_raw"),
         F.col("categoria").alias("category") if "categoria" in ids else F.lit(None).cast("string").alias("category"),
         F.col("concepto").alias("concept_raw"),
-        C.iso_year(first_day).cast("int").alias("year"), week.cast("int").alias("week"),
+        C.iso_year(first_day).cast("int").alias("year"), week.try_cast("int").alias("week"),
         "day_text", "cell_text", total.alias("total_text"), "row_no", F.col("row_no").alias("report_row"))
 
 
