@@ -29,7 +29,7 @@ from weekcraft.plans import admin as AD
 from weekcraft.operators import merge as MG
 from weekcraft.plans import history as H
 from weekcraft.streaming.lockouts import lockouts as _lockouts
-from weekcraft.streaming.sessions import sessions as _sessions
+from weekcraft.streaming.sessions import sessions as _sessions, slice_seconds
 
 QUERIES: dict = {}
 
@@ -762,9 +762,10 @@ SESSION_GAPS = [60, 360]
 def q_sessions(spark, sf_dir) -> DataFrame:
     """STM-2 batch twin: inactivity sessions per user for a 60-minute and a 6-hour gap."""
     e = _t(spark, sf_dir).events.select("user_id", "ts")
+    seconds = slice_seconds(e)
     out = None
     for g in SESSION_GAPS:
-        s = _sessions(e, g)
+        s = _sessions(e, g, seconds=seconds)
         out = s if out is None else out.unionByName(s)
     return out
 

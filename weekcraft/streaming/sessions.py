@@ -2,44 +2,69 @@
 ``gap`` continues the session (the reference's idle test is strictly greater).
 
 Batch plan, exact, with no per-user step over events or sessions:
-1. ``session_window`` inside (user, day) groups -> partial sessions (start, end, count);
-2. a per-(user, day) table decides whether each day's first partial continues the previous
-   active day's last one; the session start in force is carried over days with a running
-   max (per-user windows over active days only: bounded by the calendar, not by activity);
+1. ``session_window`` inside (user, time slice) groups -> partial sessions (start, end, count). Slices are as short as the
+   data ask for: none holds more than about ``SLICE_ROWS`` events, so the events of a user on one day lie in several groups
+   where they are many;
+2. a carry table with a row per (user, slice) decides whether each slice's first partial continues the last one of the user's
+   slice before; the session start in force is carried over slices with a running max (per-user windows over slices only);
 3. partials are keyed by their session start and aggregated by (user, key).
 The streaming form is the native ``session_window`` aggregation with a watermark.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Events of a slice, and the slices to choose from, in seconds: a day, six hours, an hour, ten minutes, a minute.
+SLICE_ROWS = 2_000_000
+WIDTHS = [86_400, 21_600, 3_600, 600, 60]
+
+
+def slice_seconds(events: DataFrame, ts_col: str = "ts", most_rows: int = SLICE_ROWS) -> float:
+    """The widest slice of ``WIDTHS`` with at most ``most_rows`` events of all users; where a minute holds more, its share.
+
+    Events are counted per minute first (as many rows as the data have minutes), then the minutes per width.
+    """
+    minute = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / 60_000_000)
+    per_minute = events.groupBy(minute.alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
+    per_slice = (per_minute.select("_n", "_m", F.explode(F.array(*[F.lit(w) for w in WIDTHS])).alias("_w"))
+                 .groupBy("_w", F.floor(F.col("_m") * 60 / F.col("_w")).alias("_at")).agg(F.sum("_n").alias("_n")))
+    most = {r["_w"]: r["n"] for r in per_slice.groupBy("_w").agg(F.max("_n").alias("n")).collect()}
+    for w in WIDTHS:
+        if most.get(w, 0) <= most_rows:
+            return w
+    return max(0.001, 60 / 2 ** math.ceil(math.log2(most[60] / most_rows)))
+
 
-def sessions(events: DataFrame, gap_minutes: int, user_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
+def sessions(events: DataFrame, gap_minutes: int, user_col: str = "user_id", ts_col: str = "ts", seconds: float | None = None) -> DataFrame:
+    """Sessions of every user; ``seconds`` is the length of a slice, by default that of ``slice_seconds``."""
     gap = f"{gap_minutes} minutes"
     u = user_col
-    # 1. partial sessions inside each (user, day): maximal within the day
-    part = (events.groupBy(u, F.date_trunc("day", F.col(ts_col)).alias("_day"),
-                           F.session_window(ts_col, gap).alias("_sw"))
+    micros = int((seconds or slice_seconds(events, ts_col)) * 1_000_000)
+    # 1. partial sessions inside each (user, slice): maximal within the slice
+    at = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / micros).alias("_slice")
+    part = (events.groupBy(u, at, F.session_window(ts_col, gap).alias("_sw"))
                   .agg(F.min(ts_col).alias("_s"), F.max(ts_col).alias("_e"), F.count(F.lit(1)).alias("_n")))
-    # 2. per (user, day): does the day's first partial continue the previous active day's
-    #    last partial, and which session start ("anchor") is in force at the end of the day.
-    #    The per-user windows run over active days only, never over events or sessions.
-    days = part.groupBy(u, "_day").agg(F.min("_s").alias("_fs"), F.max("_s").alias("_ls"),
-                                       F.max("_e").alias("_le"), F.count(F.lit(1)).alias("_np"))
-    w = Window.partitionBy(u).orderBy("_day")
+    # 2. per (user, slice): does its first partial continue the last partial of the user's slice
+    #    before, and which session start ("anchor") is in force at its end.
+    #    The per-user windows run over slices only, never over events or sessions.
+    slices = part.groupBy(u, "_slice").agg(F.min("_s").alias("_fs"), F.max("_s").alias("_ls"),
+                                           F.max("_e").alias("_le"), F.count(F.lit(1)).alias("_np"))
+    w = Window.partitionBy(u).orderBy("_slice")
     prev_end = F.lag("_le").over(w)
     cont = prev_end.isNotNull() & (F.col("_fs") <= prev_end + F.expr(f"INTERVAL {gap_minutes} MINUTES"))
-    days = days.withColumn("_cont", cont)
+    slices = slices.withColumn("_cont", cont)
     anchor = (F.when(F.col("_np") > 1, F.col("_ls"))
-               .when(~F.col("_cont"), F.col("_fs")))            # null: a continued single-partial day
-    days = days.withColumn("_anchor", anchor)
+               .when(~F.col("_cont"), F.col("_fs")))            # null: a continued slice of one partial
+    slices = slices.withColumn("_anchor", anchor)
     inherited = F.max("_anchor").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    days = days.select(u, "_day", "_fs", F.when(F.col("_cont"), inherited).otherwise(F.col("_fs")).alias("_fkey"))
+    slices = slices.select(u, "_slice", "_fs", F.when(F.col("_cont"), inherited).otherwise(F.col("_fs")).alias("_fkey"))
     # 3. every partial gets its session key (its own start, or the inherited start for a
     #    continuing first partial) and sessions are aggregated by (user, key)
-    keyed = (part.join(days, [u, "_day"])
+    keyed = (part.join(slices, [u, "_slice"])
                  .withColumn("_key", F.when(F.col("_s") == F.col("_fs"), F.col("_fkey")).otherwise(F.col("_s"))))
     return (keyed.groupBy(u, "_key")
                  .agg(F.min("_s").alias("session_start"), F.max("_e").alias("session_end"),
