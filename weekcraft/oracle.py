@@ -123,7 +123,8 @@ FROM wk JOIN supplier s ON wk.site_id = s.s_suppkey JOIN nation n ON wk.company_
     return sel + [j, ("long", "\nUNION ALL\n".join(branches))]
 
 
-def matrix_ctes(long_name: str = "long", cells: bool = False, hist_cte=None) -> list[tuple[str, str]]:
+def matrix_ctes(long_name: str = "long", cells: bool = False, hist_cte=None, daily_cte=None) -> list[tuple[str, str]]:
+    """daily_cte: CTE (site, concept_key, cell_sum, cell_cnt) that fills concepts without a row."""
     def metric(k):
         m = davg(f"CASE WHEN concept_key = {q(k)} THEN total END")
         if cells:
@@ -140,10 +141,18 @@ def matrix_ctes(long_name: str = "long", cells: bool = False, hist_cte=None) ->
           "THEN (price * prod - cost) / price END")
     if cells:
         ml = f"coalesce({ml}, margin_cells)"
+    rows = ("piv", f"SELECT site, {piv} FROM keyed GROUP BY site")
+    if daily_cte:
+        kept = ", margin_cells" if cells else ""
+        counts = ", ".join(f"count(CASE WHEN concept_key = {q(k)} THEN 1 END) AS n_{c}" for c, k in MATRIX_FROM_KEY)
+        means = ", ".join(f"sum(CASE WHEN concept_key = {q(k)} THEN cell_sum END) / nullif(sum(CASE WHEN concept_key = {q(k)} THEN cell_cnt END), 0) AS d_{c}" for c, k in MATRIX_FROM_KEY)
+        picked = ", ".join(f"CASE WHEN n_{c} = 0 THEN d_{c} ELSE {c} END AS {c}" for c, _ in MATRIX_FROM_KEY)
+        rows = ("piv", f"""SELECT site, {picked}{kept} FROM (SELECT site, {piv}, {counts} FROM keyed GROUP BY site)
+LEFT JOIN (SELECT site AS dsite, {means} FROM {daily_cte} GROUP BY site) ON site = dsite""")
     return DICT_CTES + [
         ("keyed", f"""SELECT l.*, coalesce(d.concept_key, f.k2) AS concept_key FROM {long_name} l
 LEFT JOIN dict d ON l.concept = d.spelling LEFT JOIN dict_f f ON {fold('l.concept')} = f.folded"""),
-        ("piv", f"SELECT site, {piv} FROM keyed GROUP BY site"),
+        rows,
         ("d1", """SELECT *, CASE WHEN coalesce(greens_stored, 0) = 0 THEN coalesce(ms_pasture, 0) + coalesce(ms_green, 0)
                  ELSE greens_stored END AS greens FROM piv"""),
         ("d2", f"""SELECT *, greens + coalesce(ms_cons, 0) + coalesce(ms_conc, 0) AS total_ms,

@@ -24,6 +24,7 @@ from weekcraft.session import materialize
 from weekcraft.operators.security import visible_sites
 from weekcraft.plans import daily as D
 from weekcraft.plans import report as R
+from weekcraft.plans import margin_load as ML
 from weekcraft.plans import weekly_load as WL
 from weekcraft.plans import admin as AD
 from weekcraft.operators import merge as MG
@@ -531,6 +532,8 @@ def q_distinct_values(spark, sf_dir) -> DataFrame:
 MARGIN_DEFAULT_YEAR = 2025
 RETENTION_AS_OF, RETENTION_DAYS = "2001-08-01", 90
 CASCADE_COMPANY, PERIOD_RUN_WEEK = 3, 100
+# A week that holds daily facts.
+DAILY_PERIOD = ("2024-01-08", "2024-01-14")
 
 
 @register("upsert_daily")
@@ -569,14 +572,11 @@ def q_upsert_weekly_partial(spark, sf_dir) -> DataFrame:
 
 @register("upsert_history_full")
 def q_upsert_history_full(spark, sf_dir) -> DataFrame:
-    """MRG-3: history keyed by (week, site); every measure replaced, nulls included."""
-    h = _hist(_t(spark, sf_dir)).select("week", "site", "day", "margin", "weight")
-    target = h.filter(F.col("week") % 2 == 0)
-    batch = h.filter(F.col("week") % 3 == 0).select(
-        "week", "site", "day", F.when(F.col("week") % 9 != 0, F.col("margin") + 1).alias("margin"),
-        (F.col("weight") + 1).alias("weight"))
-    return MG.upsert(target, batch, ["week", "site"], {"day": "new", "margin": "new", "weight": "new"},
-                     partition_col="week")
+    """MRG-3: history keyed by (week, site); every one of its measures replaced, nulls included. The rows of odd orders are
+    stored, those of orders divisible by three are loaded over them."""
+    report = H.history_report(_t(spark, sf_dir))
+    k = F.col("row_no")
+    return H.load_history(report.filter(k % 3 == 0), H.load_history(report.filter(k % 2 == 1)))
 
 
 @register("upsert_margin")
@@ -638,12 +638,37 @@ def q_get_or_create_sites(spark, sf_dir) -> DataFrame:
 
 @register("first_site_per_company")
 def q_first_site_per_company(spark, sf_dir) -> DataFrame:
-    """JOIN-8: per (company, normalised name) the site with the lowest id."""
-    s = B.sites(_t(spark, sf_dir))
-    norm = F.lower(C.clean_site_name(F.regexp_replace("name", "[0-9]$", "")))
-    group = F.concat_ws("|", F.col("company_id").cast("string"), norm)
-    out = MG.first_per_group(s, group, "site_id", ["site_id", "company_id", "name"])
-    return out.withColumnRenamed("_g", "group_key")
+    """JOIN-8: per normalised company name the site with the lowest id."""
+    t = _t(spark, sf_dir)
+    return ML.first_sites(B.sites(t), B.companies(t))
+
+
+def _margin_load(spark, sf_dir) -> ML.MarginLoad:
+    """The margin-history report of every weekly fact, loaded over the margins of odd running weeks."""
+    t = _t(spark, sf_dir)
+    w = materialize(B.weekly(t).select("site_id", "company_id", "year", "week", "run_week", "margin", "weight"), "margin-weeks")
+    first = materialize(ML.first_sites(B.sites(t), B.companies(t)), "first-sites")
+    stored = (w.join(first.select("site_id"), "site_id", "left_semi").filter(F.col("run_week") % 2 == 1)
+              .select("site_id", F.col("week"), "year", "company_id", "margin", "weight"))
+    return ML.load_margins(ML.margin_report(w, B.companies(t)), first, stored, MARGIN_DEFAULT_YEAR)
+
+
+@register("margin_load")
+def q_margin_load(spark, sf_dir) -> DataFrame:
+    """MRG-4/JOIN-8: the margin history after the load of a margin report by company name."""
+    return _margin_load(spark, sf_dir).table
+
+
+@register("margin_load_rejects")
+def q_margin_load_rejects(spark, sf_dir) -> DataFrame:
+    """QLT-4/JOIN-12: the rows of the margin report that are not loaded: unknown company, no margin, unreadable values."""
+    return _margin_load(spark, sf_dir).rejects
+
+
+@register("margin_load_stats")
+def q_margin_load_stats(spark, sf_dir) -> DataFrame:
+    """QLT-6: rows processed, loaded and omitted, and distinct weeks, of the margin load."""
+    return _margin_load(spark, sf_dir).stats
 
 
 def _period_keys(t):
@@ -668,11 +693,18 @@ def q_delete_period(spark, sf_dir) -> DataFrame:
     return MG.delete_period_facts(_period_keys(t), D.daily_table(t), *_one_period())[0].select("site_id", "year", "week")
 
 
+def _daily_periods(t) -> DataFrame:
+    """The weekly rows of the daily facts' calendar: two of three sites have one for each ISO week with facts."""
+    monday = F.date_trunc("week", "day").cast("date")
+    return (B.daily(t).filter(F.col("site_id") % 3 != 0).select("site_id", monday.alias("period_start")).distinct()
+            .withColumn("period_end", F.date_add("period_start", 6)))
+
+
 @register("delete_period_daily")
 def q_delete_period_daily(spark, sf_dir) -> DataFrame:
     """DEL-1: the daily facts without those of the period's sites on its days."""
     t = _t(spark, sf_dir)
-    return MG.delete_period_facts(_period_keys(t), D.daily_table(t), *_one_period())[1].select("site_id", "day", "concept", "value")
+    return MG.delete_period_facts(_daily_periods(t), D.daily_table(t), *DAILY_PERIOD)[1].select("site_id", "day", "concept", "value")
 
 
 @register("delete_latest_period")
@@ -686,7 +718,7 @@ def q_delete_latest_period(spark, sf_dir) -> DataFrame:
 def q_delete_latest_period_daily(spark, sf_dir) -> DataFrame:
     """DEL-2: the daily facts without those of the newest period's sites on its days."""
     t = _t(spark, sf_dir)
-    return _without_latest_period(_period_keys(t), D.daily_table(t))[1].select("site_id", "day", "concept", "value")
+    return _without_latest_period(_daily_periods(t), D.daily_table(t))[1].select("site_id", "day", "concept", "value")
 
 
 @register("cascade_delete")
@@ -742,9 +774,9 @@ def q_retention(spark, sf_dir) -> DataFrame:
 
 @register("history_load")
 def q_history_load(spark, sf_dir) -> DataFrame:
-    """QLT-8: the history table after loading the history report (fuzzy headers, rejects,
-    modal-date imputation, last write per (week, site)); the two measures its report has."""
-    return H.load_history(H.history_report(_t(spark, sf_dir))).select("week", "site", "day", "margin", "weight")
+    """QLT-8: the history table with all its measures after loading the history report (fuzzy headers,
+    rejects, modal-date imputation, last write per (week, site))."""
+    return H.load_history(H.history_report(_t(spark, sf_dir)))
 
 
 @register("history_rejects")
@@ -778,8 +810,13 @@ def q_lockouts(spark, sf_dir) -> DataFrame:
 
 @register("report_matrix")
 def q_report_matrix(spark, sf_dir) -> DataFrame:
-    """RSH-8/AGG-1/DRV-6: matrix preview of the latest report week, from the report cells."""
-    return R.report_matrix(_tagged(spark, sf_dir))
+    """RSH-8/AGG-1/DRV-6: matrix preview of the latest report week, from the report cells, with the history of the 52 weeks
+    before it and the stored daily facts of concepts that the report lacks."""
+    t = _t(spark, sf_dir)
+    written = F.create_map(*[F.lit(x) for kv in R.REPORT_CONCEPTS for x in kv])
+    daily = D.daily_table(t).select(F.concat(F.lit("Site "), F.col("site_id").cast("string")).alias("site"),
+                                    C.clean_concept(F.element_at(written, F.col("concept"))).alias("concept"), "value").filter(F.col("concept").isNotNull())
+    return R.report_matrix(materialize(R.tagged_cells(t), "tagged"), daily=daily)
 
 
 @register("margin_rejects")

@@ -12,8 +12,8 @@ from weekcraft.plans.report import REPORT_CONCEPTS, REPORT_VARIANTS, WEEKLY_PATT
 from weekcraft.plans.admin import STATUS_DEFAULT, STATUS_SYMBOLS
 from weekcraft.plans.catalog import DETAIL_WEEK
 from weekcraft.plans.catalog import (CASCADE_COMPANY, MARGIN_DEFAULT_YEAR, PERIOD_RUN_WEEK,
-                                     RETENTION_AS_OF, RETENTION_DAYS)
-from weekcraft.plans.history import REASON_NO_SITE, REASON_NO_WEEK
+                                     RETENTION_AS_OF, RETENTION_DAYS, DAILY_PERIOD)
+from weekcraft.plans.history import HISTORY_MEASURES, REASON_NO_SITE, REASON_NO_WEEK, REPORT_MEASURES
 from weekcraft.plans.catalog import KNOWN_COMPANIES, SESSION_GAPS, STORED_WEEKS
 from weekcraft.plans.weekly_load import MEASURES as LOAD_MEASURES
 from weekcraft.oracle import matrix_select
@@ -308,13 +308,16 @@ def _tgt(t):
     return f"round(coalesce({tot}, CASE WHEN {cc} <> 0 THEN {cs} / {cc} END) * 100.0) / 100.0 AS {t}"
 
 
-ORACLE["weekly_from_report"] = with_(*REPORT_CTES, ("tr", f"""SELECT *, {target_sql('lower(concept_raw)')} AS target
+REPORT_WEEK_CTES = [
+    ("tr", f"""SELECT *, {target_sql('lower(concept_raw)')} AS target
 FROM tg WHERE concept IS NOT NULL"""),
     ("rows_", f"""SELECT company, site, year, week, concept_raw, report_row, target, max(row_total) AS row_total,
        {dsum('value')} AS cell_sum, count(value) AS cell_cnt
 FROM tr WHERE target IS NOT NULL GROUP BY ALL"""),
     ("w0", f"""SELECT company, site, year, week, {', '.join(_tgt(t) for t in WEEKLY_TARGETS + ['ms_pasture', 'ms_green'])}
 FROM rows_ GROUP BY ALL"""),
+]
+ORACLE["weekly_from_report"] = with_(*REPORT_CTES, *REPORT_WEEK_CTES,
     final=f"""SELECT company, site, year, week, {', '.join(WEEKLY_TARGETS)},
        round(CASE WHEN ms_pasture IS NOT NULL OR ms_green IS NOT NULL THEN coalesce(ms_pasture, 0) + coalesce(ms_green, 0) END
              * 100.0) / 100.0 AS greens
@@ -561,15 +564,6 @@ SELECT site_id, year, week,
        coalesce(n.weight, o.weight) AS weight
 FROM tg o FULL OUTER JOIN nb n USING (site_id, year, week)""")
 
-ORACLE["upsert_history_full"] = with_(*W, HISTORY_CTE, (
-    "tg", "SELECT week, site, day, margin, weight FROM hist WHERE week % 2 = 0"),
-    ("nb", """SELECT week, site, day, CASE WHEN week % 9 <> 0 THEN margin + 1 END AS margin, weight + 1 AS weight
-FROM hist WHERE week % 3 = 0"""), final="""
-SELECT week, site, CASE WHEN n.site IS NOT NULL THEN n.day ELSE o.day END AS day,
-       CASE WHEN n.site IS NOT NULL THEN n.margin ELSE o.margin END AS margin,
-       CASE WHEN n.site IS NOT NULL THEN n.weight ELSE o.weight END AS weight
-FROM tg o FULL OUTER JOIN nb n USING (week, site)""")
-
 ORACLE["upsert_margin"] = with_(*W, (
     "tg", "SELECT site_id, company_id, week, year, margin, weight FROM weekly WHERE run_week % 2 = 1"),
     ("nb", f"""SELECT site_id, company_id, week, coalesce(CASE WHEN run_week % 10 <> 0 THEN year END, {MARGIN_DEFAULT_YEAR}) AS year,
@@ -602,11 +596,28 @@ ORACLE["get_or_create_sites"] = with_((
 SELECT company_id, name, site_id FROM ex
 UNION ALL SELECT company_id, name, (SELECT max(site_id) FROM ex) + row_number() OVER (ORDER BY company_id, name) FROM nw""")
 
-ORACLE["first_site_per_company"] = f"""
-SELECT group_key, min_by(s_suppkey, s_suppkey) AS site_id, min_by(s_nationkey, s_suppkey) AS company_id,
-       min_by(s_name, s_suppkey) AS name
-FROM (SELECT *, CAST(s_nationkey AS VARCHAR) || '|' || lower({clean_site_sql("regexp_replace(s_name, '[0-9]$', '')")}) AS group_key
-      FROM supplier) GROUP BY group_key"""
+FIRST_SITE_CTE = ("fs", f"""SELECT company_key, min(s_suppkey) AS site_id, arg_min(s_nationkey, s_suppkey) AS company_id, arg_min(s_name, s_suppkey) AS name
+FROM (SELECT s.*, lower({clean_site_sql('n.n_name')}) AS company_key FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey) GROUP BY company_key""")
+ORACLE["first_site_per_company"] = with_(FIRST_SITE_CTE, final="SELECT * FROM fs")
+
+MARGIN_CTES = [*W, FIRST_SITE_CTE, (
+    "mr", """SELECT w.site_id * 100000 + run_week AS row_no, CASE WHEN k % 17 = 0 THEN 'Otra ' || n_name WHEN k % 3 = 0 THEN 'Soc. Agricola ' || n_name
+       WHEN k % 3 = 1 THEN upper(n_name) ELSE ' ' || n_name || ' ' END AS emp,
+       CASE WHEN k % 23 = 0 THEN 'x' ELSE CAST(week AS VARCHAR) END AS semana, CASE WHEN run_week % 10 <> 0 THEN CAST(year AS VARCHAR) END AS anio,
+       CASE WHEN k % 19 = 0 THEN 'n/d' ELSE replace(format('{:,.2f}', margin), ',', '') END AS mdat, CASE WHEN k % 29 <> 0 THEN CAST(weight AS VARCHAR) END AS vacas
+FROM (SELECT *, site_id + run_week AS k FROM weekly) w JOIN nation ON w.company_id = n_nationkey"""),
+    ("mk", f"""SELECT mr.*, fs.site_id, fs.company_id, CASE WHEN fs.site_id IS NULL THEN 'unknown company' WHEN semana = 'x' OR mdat = 'n/d' THEN 'processing error'
+       WHEN mdat IS NULL THEN 'empty margin' END AS reason FROM mr LEFT JOIN fs ON lower({clean_site_sql('emp')}) = fs.company_key"""),
+    ("mg", f"""SELECT site_id, CAST(semana AS INTEGER) AS week, CAST(coalesce(anio, '{MARGIN_DEFAULT_YEAR}') AS INTEGER) AS year, max_by(company_id, row_no) AS company_id,
+       max_by(CAST(mdat AS DOUBLE), row_no) AS margin, arg_max_null(CAST(vacas AS BIGINT), row_no) AS weight FROM (SELECT * FROM mk WHERE reason IS NULL AND semana <> 'x') GROUP BY 1, 2, 3""")]
+ORACLE["margin_load"] = with_(*MARGIN_CTES, ("tg", "SELECT * FROM weekly WHERE run_week % 2 = 1 AND site_id IN (SELECT site_id FROM fs)"), final="""
+SELECT site_id, week, year, CASE WHEN o.site_id IS NOT NULL THEN o.company_id ELSE n.company_id END AS company_id,
+       CASE WHEN n.site_id IS NOT NULL THEN n.margin ELSE o.margin END AS margin, CASE WHEN n.site_id IS NOT NULL THEN n.weight ELSE o.weight END AS weight
+FROM tg o FULL OUTER JOIN mg n USING (site_id, week, year)""")
+ORACLE["margin_load_rejects"] = with_(*MARGIN_CTES, final="SELECT row_no, emp AS company, reason FROM mk WHERE reason IS NOT NULL")
+ORACLE["margin_load_stats"] = with_(*MARGIN_CTES, final=f"""
+SELECT count(*) AS rows, count(*) FILTER (WHERE reason IS NULL) AS loaded, count(reason) AS omitted,
+       count(DISTINCT CASE WHEN reason IS NULL THEN (semana, coalesce(anio, '{MARGIN_DEFAULT_YEAR}')) END) AS unique_weeks FROM mk""")
 
 ORACLE["delete_period"] = with_(*W, final=f"""
 SELECT site_id, year, week FROM weekly w WHERE NOT EXISTS (
@@ -616,15 +627,13 @@ ORACLE["delete_latest_period"] = with_(*W, ("lp", "SELECT period_start, period_e
 SELECT site_id, year, week FROM weekly w WHERE NOT EXISTS (
   SELECT 1 FROM lp WHERE lp.period_start = w.period_start AND lp.period_end = w.period_end)""")
 
-ORACLE["delete_period_daily"] = with_(*W, *DAILY_CTES, ("pd", f"SELECT DISTINCT site_id, period_start, period_end FROM weekly WHERE run_week = {PERIOD_RUN_WEEK}"), final="""
-SELECT site_id, day, concept, value FROM dt WHERE NOT EXISTS (
-  SELECT 1 FROM pd WHERE pd.site_id = dt.site_id AND dt.day BETWEEN pd.period_start AND pd.period_end)""")
-
-ORACLE["delete_latest_period_daily"] = with_(*W, *DAILY_CTES, (
-    "lp", "SELECT period_start, period_end FROM weekly ORDER BY period_start DESC, period_end DESC LIMIT 1"),
-    ("pd", "SELECT DISTINCT w.site_id, w.period_start, w.period_end FROM weekly w JOIN lp USING (period_start, period_end)"), final="""
-SELECT site_id, day, concept, value FROM dt WHERE NOT EXISTS (
-  SELECT 1 FROM pd WHERE pd.site_id = dt.site_id AND dt.day BETWEEN pd.period_start AND pd.period_end)""")
+_DAILY_PERIODS = ("dp", """SELECT DISTINCT site_id, CAST(date_trunc('week', day) AS DATE) AS period_start, CAST(date_trunc('week', day) AS DATE) + 6 AS period_end
+FROM ev WHERE site_id % 3 <> 0""")
+_days_left = """SELECT site_id, day, concept, value FROM dt WHERE NOT EXISTS (
+  SELECT 1 FROM pd WHERE pd.site_id = dt.site_id AND dt.day BETWEEN pd.period_start AND pd.period_end)"""
+ORACLE["delete_period_daily"] = with_(*DAILY_CTES, _DAILY_PERIODS, ("pd", f"SELECT * FROM dp WHERE period_start = DATE '{DAILY_PERIOD[0]}' AND period_end = DATE '{DAILY_PERIOD[1]}'"),
+                                      final=_days_left)
+ORACLE["delete_latest_period_daily"] = with_(*DAILY_CTES, _DAILY_PERIODS, ("pd", "SELECT * FROM dp WHERE period_start = (SELECT max(period_start) FROM dp)"), final=_days_left)
 
 ORACLE["cascade_delete"] = with_(*W, *DAILY_CTES, HISTORY_CTE, final=f"""
 SELECT 'sites' AS "table", CAST(count(*) AS BIGINT) AS rows FROM supplier WHERE s_nationkey <> {CASCADE_COMPANY}
@@ -659,30 +668,39 @@ HIST_REPORT_CTES = [
        CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE 'Site ' || CAST(o_custkey % 40 AS VARCHAR) END AS est,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%-d-%-m-%Y') END AS fecha,
        replace(format('{:,.2f}', o_totalprice / 100), ',', '') AS mdat,
-       format('{:,.2f}', CAST(o_custkey % 300 AS DOUBLE) + 0.75) AS vacas
+       format('{:,.2f}', CAST(o_custkey % 300 AS DOUBLE) + 0.75) AS vacas, """ + ", ".join(
+        f"""CASE WHEN (o_orderkey + {factor}) % 17 <> 0 THEN CAST((o_orderkey * {factor}) % {most} // 100 AS VARCHAR) || '.' || lpad(CAST((o_orderkey * {factor}) % 100 AS VARCHAR), 2, '0') END AS t_{m}"""
+        for _, m, factor, most in REPORT_MEASURES) + """
 FROM orders"""),
     ("rec", f"""SELECT row_no, {safe_int_sql('semana')} AS week,
        trim(coalesce(nullif(trim(est), ''), nullif(trim(emp), ''))) AS site,
        CAST(try_strptime(trim(fecha), '%d-%m-%Y') AS DATE) AS day, {safe_float_sql('mdat')} AS margin,
-       {safe_int_sql('vacas')} AS weight
+       {safe_int_sql('vacas')} AS weight, {', '.join(f"{(safe_int_sql if HISTORY_MEASURES[m] == 'long' else safe_float_sql)('t_' + m)} AS {m}" for _, m, _, _ in REPORT_MEASURES)}
 FROM hr"""),
 ]
+_measures = ["margin", "weight", *(m for _, m, _, _ in REPORT_MEASURES)]
+
+
+def _history_after(where: str, name: str) -> list[tuple[str, str]]:
+    """CTEs of the history after loading the report's rows that meet ``where``."""
+    return [(f"rec_{name}", f"SELECT * FROM rec WHERE {where}"),
+            (f"modal_{name}", f"""SELECT week, day AS modal_day FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY n DESC, first_row) AS rn FROM (
+  SELECT week, day, count(*) AS n, min(row_no) AS first_row FROM rec_{name} WHERE week IS NOT NULL AND day IS NOT NULL GROUP BY ALL)) WHERE rn = 1"""),
+            (name, f"""SELECT r.* REPLACE (coalesce(r.day, m.modal_day, DATE '2025-01-01' + CAST((r.week - 1) * 7 AS INTEGER)) AS day)
+FROM rec_{name} r LEFT JOIN modal_{name} m USING (week) WHERE r.week IS NOT NULL AND r.site IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY r.week, r.site ORDER BY r.row_no DESC) = 1""")]
+
+
 
 ORACLE["history_rejects"] = with_(*HIST_REPORT_CTES, final=f"""
 SELECT row_no, concat_ws(' | ', CASE WHEN week IS NULL THEN {q(REASON_NO_WEEK)} END,
                          CASE WHEN site IS NULL THEN {q(REASON_NO_SITE)} END) AS reason
 FROM rec WHERE week IS NULL OR site IS NULL""")
 
-ORACLE["history_load"] = with_(*HIST_REPORT_CTES, (
-    "wd", """SELECT week, day, count(*) AS n, min(row_no) AS first_row FROM rec
-WHERE week IS NOT NULL AND day IS NOT NULL GROUP BY ALL"""),
-    ("modal", """SELECT week, day AS modal_day FROM (
-  SELECT *, row_number() OVER (PARTITION BY week ORDER BY n DESC, first_row ASC) AS rn FROM wd) WHERE rn = 1"""),
-    ("filled", """SELECT r.row_no, r.week, r.site,
-       coalesce(r.day, m.modal_day, DATE '2025-01-01' + CAST((r.week - 1) * 7 AS INTEGER)) AS day, r.margin, r.weight
-FROM rec r LEFT JOIN modal m USING (week) WHERE r.week IS NOT NULL AND r.site IS NOT NULL"""), final="""
-SELECT week, site, max_by(day, row_no) AS day, max_by(margin, row_no) AS margin, max_by(weight, row_no) AS weight
-FROM filled GROUP BY week, site""")
+ORACLE["history_load"] = with_(*HIST_REPORT_CTES, *_history_after("TRUE", "loaded"), final="SELECT * EXCLUDE (row_no) FROM loaded")
+ORACLE["upsert_history_full"] = with_(*HIST_REPORT_CTES, *_history_after("row_no % 2 = 1", "old"), *_history_after("row_no % 3 = 0", "nb"), final=f"""
+SELECT week, site, {', '.join(f'CASE WHEN n.site IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}' for c in ['day', *_measures])}
+FROM old o FULL OUTER JOIN nb n USING (week, site)""")
 
 # --------------------------------------------------------------------------- sessions
 
@@ -701,13 +719,20 @@ ORACLE["sessions"] = "\nUNION ALL\n".join(_sess(g) for g in SESSION_GAPS)
 
 # --------------------------------------------------------------------------- report matrix, margin rejects
 
-_EMPTY_HIST = ("hist", """SELECT CAST(NULL AS INTEGER) AS week, CAST(NULL AS DATE) AS day, CAST(NULL AS VARCHAR) AS site,
-       CAST(NULL AS DOUBLE) AS margin, CAST(NULL AS DOUBLE) AS weight WHERE FALSE""")
-ORACLE["report_matrix"] = with_(*REPORT_CTES, (
+_REPORT_HIST = ("hist", """SELECT week, CAST(NULL AS DATE) AS day, site, margin, weight FROM (
+  SELECT CAST(floor(datediff('day', DATE '1995-01-02', make_date(year, 1, 4)) / 7) + week AS INTEGER) AS week, site, margin, weight FROM w0)
+WHERE week < (SELECT max(floor(datediff('day', DATE '1995-01-02', make_date(year, 1, 4)) / 7) + week) FROM w0)
+  AND week >= (SELECT max(floor(datediff('day', DATE '1995-01-02', make_date(year, 1, 4)) / 7) + week) FROM w0) - 52""")
+ORACLE["report_matrix"] = with_(*REPORT_CTES, *REPORT_WEEK_CTES, (
     "lw", "SELECT year, week FROM tg ORDER BY year DESC, week DESC LIMIT 1"),
     ("rrows", f"""SELECT site, concept, max(row_total) AS total, {dsum('value')} AS cell_sum, count(value) AS cell_cnt
 FROM tg JOIN lw USING (year, week) WHERE concept IS NOT NULL GROUP BY site, concept, concept_raw, report_row"""),
-    *matrix_ctes("rrows", cells=True, hist_cte=_EMPTY_HIST),
+    *DICT_CTES,
+    ("stored", f"SELECT 'Site ' || site_id AS site, {clean_concept_sql(_concept_case)} AS concept, value FROM dt"),
+    ("dmean", f"""SELECT site, concept_key, {dsum('value')} AS cell_sum, count(value) AS cell_cnt FROM (
+  SELECT s.*, coalesce(d.concept_key, f.k2) AS concept_key FROM stored s LEFT JOIN dict d ON s.concept = d.spelling LEFT JOIN dict_f f ON {fold('s.concept')} = f.folded
+  WHERE s.concept IS NOT NULL) GROUP BY ALL"""),
+    *[c for c in matrix_ctes("rrows", cells=True, hist_cte=_REPORT_HIST, daily_cte="dmean") if c not in DICT_CTES],
     final=matrix_select("body", False) + "\nUNION ALL\n" + matrix_select("tot", True))
 
 ORACLE["margin_rejects"] = with_(*W, ("inc", """SELECT CASE WHEN w.site_id % 9 = 0 THEN 'Unknown ' || s.s_name ELSE s.s_name END AS site,

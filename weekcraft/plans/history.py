@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weekcraft.functions import clean as C
 from weekcraft.operators.merge import upsert
+from weekcraft.session import materialize
 from weekcraft.sources.tables import Tables
 
 # ---------------------------------------------------------------------------
@@ -94,10 +95,24 @@ def first_present(columns: list[str], candidates: list[str] = MARGIN_CANDIDATES)
     raise KeyError(f"none of {candidates} in the report")
 
 
+# Binding of the report generator: header as a person types it, measure, factor and range of its value in hundredths.
+REPORT_MEASURES = [
+    ("Vacas en Producción", "vacas_en_produccion", 7, 40_000), ("Leche que le envían", "leche_enviada", 11, 900_000),
+    ("Leche no vendible", "leche_no_vendible", 13, 30_000), ("PNA Terneros", "pna_terneros", 17, 20_000),
+    ("Producción total", "produccion_total", 19, 950_000), ("Precio de la leche", "precio_leche", 23, 60_000),
+    ("Días lactancia", "dias_lactancia", 29, 40_000), ("% Grasa", "porcentaje_grasa", 31, 700), ("% Proteína", "porcentaje_proteina", 37, 600),
+    ("Kg MS pradera", "kg_ms_pradera", 41, 2_000), ("Kg MS conservado", "kg_ms_conservado", 43, 1_500), ("Kg MS concentrado", "kg_ms_concentrado", 47, 1_200),
+    ("Consumo MS", "consumo_ms", 53, 2_500), ("MS por ha", "ms_por_ha", 59, 9_000), ("Costo ración", "costo_racion_vaca", 61, 80_000),
+    ("Eficiencia", "eficiencia", 67, 300), ("Vacas masa", "vacas_masa", 71, 50_000), ("Porcentaje corregido", "relacion_ordena_masa", 73, 10_000),
+    ("Superficie praderas", "superficie_praderas", 79, 30_000), ("% leche no vendible", "porcentaje_leche_no_vendible", 83, 5_000),
+    ("Carga animal", "carga_animal", 89, 400),
+]
+
+
 def history_report(t: Tables) -> DataFrame:
-    """History report binding: one text row per order, headers as a person would type them.
+    """History report binding: one text row per order with every measure, headers as a person would type them.
 
-    Weeks, sites and dates are blank or broken for some rows (by key arithmetic)."""
+    Weeks, sites and dates are blank or broken for some rows, and each measure for every 17th (by key arithmetic)."""
     o = t.orders
     k = F.col("o_orderkey")
     return o.select(
@@ -109,7 +124,9 @@ def history_report(t: Tables) -> DataFrame:
             F.concat(F.lit("Site "), (F.col("o_custkey") % 40).cast("string"))).alias("Establecimiento"),
         F.when(k % 5 == 0, F.lit(None)).otherwise(F.date_format("o_orderdate", "d-M-yyyy")).alias("Fecha"),
         F.regexp_replace(F.format_number(F.col("o_totalprice") / 100, 2), ",", "").alias("(I) MDAT"),
-        F.format_number(F.col("o_custkey") % 300 + 0.75, 2).alias("(A) Vacas en ordeña"))
+        F.format_number(F.col("o_custkey") % 300 + 0.75, 2).alias("(A) Vacas en ordeña"),
+        *[F.when((k + factor) % 17 != 0, F.concat_ws(".", F.floor((k * factor) % most / 100).cast("string"), F.lpad(((k * factor) % 100).cast("string"), 2, "0"))).alias(header)
+          for header, _, factor, most in REPORT_MEASURES])
 
 
 def mapped_records(report: DataFrame, order_col: str = "row_no") -> DataFrame:
@@ -134,19 +151,21 @@ def modal_day(rec: DataFrame) -> DataFrame:
 
 
 def parse_history(report: DataFrame) -> DataFrame:
-    """(row_no, week, site, day, every measure); a measure without a header is null."""
+    """(row_no, week, site, day, every measure); a measure without a header is null. Written once: the steps that
+    follow read the parsed values several times, and 23 parsed columns make a plan of their own."""
     rec = mapped_records(report)
     cols = set(rec.columns)
 
     def opt(name):
         return F.col(name) if name in cols else F.lit(None).cast("string")
-    return rec.select(
+    parsed = rec.select(
         "row_no",
         C.safe_int(opt("semana")).alias("week"),
         C.strip_ws(opt("establecimiento")).alias("site"),
         C.parse_day(opt("fecha")).alias("day"),
         *[(C.safe_int if kind == "long" else C.safe_float)(opt(m)).alias(MEASURE_NAMES.get(m, m))
           for m, kind in HISTORY_MEASURES.items()])
+    return materialize(parsed, "history-rows")
 
 
 def reject_reason():

@@ -88,8 +88,8 @@ def concept_metrics(long: DataFrame, site_col: str = "site", day_cols: list[str]
     """AGG-1 fused with RSH-6: one row per site, one column per matrix input concept.
 
     metric = mean of non-null row totals, else mean of all non-null day cells of the
-    concept's rows (when the long frame still carries day columns), else the site's daily
-    mean for that concept (``daily_means``: site, concept_key, cell_sum, cell_cnt).
+    concept's rows (when the long frame still carries day columns); without any row of the concept,
+    the site's daily mean for it (``daily_means``: site, concept_key, cell_sum, cell_cnt).
     """
     keyed = attach_concept_key(long, "concept", "concept_key")
     day_cols = day_cols or []
@@ -112,15 +112,17 @@ def concept_metrics(long: DataFrame, site_col: str = "site", day_cols: list[str]
         aggs.append(F.expr(f"{m} AS {col}"))
     if cells:  # DRV-6: margin per litre falls back to the mean of the margin concept's day cells
         aggs.append(F.expr(f"{cell_mean('mdat')} AS _margin_cells"))
+    if daily_means is not None:
+        aggs += [F.expr(f"count(CASE WHEN concept_key = '{key}' THEN 1 END) AS _n_{col}") for col, key in MATRIX_FROM_KEY]
     out = keyed.groupBy(site_col).agg(*aggs)
     if daily_means is not None:
         dm = daily_means.groupBy(F.col(site_col).alias("_s")).agg(*[
             F.try_divide(F.sum(F.when(F.col("concept_key") == key, F.col("cell_sum"))),
                          F.sum(F.when(F.col("concept_key") == key, F.col("cell_cnt")))).alias(f"_d_{col}")
             for col, key in MATRIX_FROM_KEY])
-        keep = [c for c in out.columns if c not in dict(MATRIX_FROM_KEY) and c != site_col]
+        keep = [c for c in out.columns if c not in dict(MATRIX_FROM_KEY) and c != site_col and not c.startswith("_n_")]
         out = out.join(dm, F.col(site_col) == F.col("_s"), "left").select(
-            site_col, *[F.coalesce(F.col(col), F.col(f"_d_{col}")).alias(col) for col, _ in MATRIX_FROM_KEY], *keep)
+            site_col, *[F.when(F.col(f"_n_{col}") == 0, F.col(f"_d_{col}")).otherwise(F.col(col)).alias(col) for col, _ in MATRIX_FROM_KEY], *keep)
     return out
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcraft.functions import clean as C
+from weekcraft.functions.concepts import attach_concept_key
 from weekcraft.operators.aggregates import dec_avg_sql, dec_sum, dec_sum_sql
 from weekcraft.plans.daily import daily_table
 from weekcraft.session import materialize
@@ -284,12 +285,26 @@ def report_rows(tagged: DataFrame) -> DataFrame:
                      F.count("value").alias("cell_cnt")))
 
 
-def report_matrix(tagged: DataFrame, hist: DataFrame | None = None) -> DataFrame:
+def report_history(tagged: DataFrame, weeks_back: int = 52) -> DataFrame:
+    """(week, site, margin, weight) of the ``weeks_back`` weeks before the latest report week; ``week`` is the running week."""
+    run_week = F.floor(F.datediff(F.date_add(F.make_date("year", F.lit(1), F.lit(4)), 0), F.lit(B.WEEK_EPOCH).cast("date")) / 7) + F.col("week")
+    weekly = materialize(weekly_from_report(tagged).select(run_week.cast("int").alias("week"), "site", "margin", "weight"), "report-weeks")
+    last = weekly.agg(F.max("week").alias("_last"))
+    return weekly.join(F.broadcast(last), (F.col("week") < F.col("_last")) & (F.col("week") >= F.col("_last") - weeks_back)).drop("_last")  # one row
+
+
+def daily_means_of(daily: DataFrame) -> DataFrame:
+    """(site, concept_key, cell_sum, cell_cnt) of daily facts (site, concept, value), for AGG-1's last level."""
+    return attach_concept_key(daily, "concept", "concept_key").groupBy("site", "concept_key").agg(dec_sum("value").alias("cell_sum"), F.count("value").alias("cell_cnt"))
+
+
+def report_matrix(tagged: DataFrame, hist: DataFrame | None = None, daily: DataFrame | None = None) -> DataFrame:
     """RSH-8: preview of the matrix straight from an uploaded report, nothing persisted.
 
-    AGG-1 in full: row total, else the mean of the concept's day cells; DRV-6: margin per
-    litre falls back to the margin concept's day cells."""
+    AGG-1 in full: row total, else the mean of the concept's day cells, else (without a row of the concept) the mean of the
+    site's stored daily facts ``daily`` (site, concept, value); DRV-6: margin per litre falls back to the margin concept's
+    day cells. ``hist`` is the stored history; by default that of the reports before the latest one."""
     from weekcraft.plans import matrix as M
     if hist is None:
-        hist = tagged.sparkSession.createDataFrame([], "week int, site string, margin double, weight double")
-    return M.sort_matrix(M.build_matrix(report_rows(tagged), hist))
+        hist = report_history(tagged)
+    return M.sort_matrix(M.build_matrix(report_rows(tagged), hist, daily_means=None if daily is None else daily_means_of(daily)))
