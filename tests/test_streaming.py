@@ -46,20 +46,36 @@ def test_session_stream_runs(spark, tables):
     assert n >= 0
 
 
-def test_lockout_stream_equals_batch(spark):
-    from weekcraft.sources.tables import Tables
-    from weekcraft.streaming.lockouts import lockout_stream, lockouts
-    ev = Tables(spark, "/root/testdata/sf0.01").events.select("event_id", "ts", "user_id", "event_type")
+def test_lockout_stream_equals_batch_for_late_and_shuffled_attempts(spark):
+    """Batches that overlap in time, rows of a batch in any order, and users that go idle."""
+    import datetime as dt
+    import random
+
+    from weekcraft.streaming import lockouts as L
+    rng, rows, t = random.Random(3), [], dt.datetime(2024, 1, 1)
+    for i in range(600):
+        t += dt.timedelta(seconds=rng.choice([0, 5, 20, 60, 240]))
+        rows.append((rng.choice([1, 1, 2, 3]), t, i, "signup" if rng.random() < 0.08 else "error"))
+    schema = "user_id long, ts timestamp_ntz, event_id long, event_type string"
     base = tempfile.mkdtemp(prefix="weekcraft-lock-")
-    mid = ev.agg(F.expr("percentile_approx(unix_micros(CAST(ts AS TIMESTAMP)), 0.5)")).first()[0]
-    early = F.expr(f"unix_micros(CAST(ts AS TIMESTAMP)) < {mid}")
-    ev.filter(early).coalesce(1).write.parquet(os.path.join(base, "in", "a"))
-    ev.filter(~early).coalesce(1).write.parquet(os.path.join(base, "in", "b"))
-    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
-              .parquet(os.path.join(base, "in", "*")))
-    q = (lockout_stream(stream).writeStream.format("memory").queryName("lock_out").outputMode("append")
+    # Each attempt goes to the batch of its time or the next one.
+    batches = [[] for _ in range(7)]
+    for k, r in enumerate(rows):
+        batches[min(6, k * 6 // len(rows) + rng.randint(0, 1))].append(r)
+    far = t + dt.timedelta(days=2)
+    batches += [[(9, far, 10_000, "signup")], [(9, far + dt.timedelta(days=2), 10_001, "signup")], [(9, far + dt.timedelta(days=2, minutes=1), 10_002, "signup")]]
+    folder = os.path.join(base, "in")
+    for i, b in enumerate(batches):
+        rng.shuffle(b)
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = (L.lockout_stream(stream, delay="2 days", idle_minutes=24 * 60).writeStream.format("memory").queryName("lock_out").outputMode("append")
          .option("checkpointLocation", os.path.join(base, "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
-    got = sorted(map(tuple, spark.sql("SELECT user_id, blocked_at, blocked_until FROM lock_out").collect()))
-    exp = sorted(map(tuple, lockouts(ev).select("user_id", "blocked_at", "blocked_until").collect()))
-    assert got == exp and len(exp) > 0
+    got = sorted(map(tuple, spark.sql("SELECT user_id, blocked_at, blocked_until, attempt_no FROM lock_out").collect()))
+    want = sorted(map(tuple, L.lockouts(spark.createDataFrame(rows, schema)).collect()))
+    assert got == want and len(want) > 20
+    # Idle users leave no state: only the user of the last batches may have some.
+    state = spark.read.format("statestore").option("stateVarName", "rule").load(os.path.join(base, "ck"))
+    left = {r[0] for r in state.select("key.user_id").collect()}
+    assert left <= {9}, left

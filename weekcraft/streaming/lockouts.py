@@ -14,7 +14,8 @@ no counted failures). Batch, exact for any cut of a user's attempts:
    attempts in the first five minutes it covers;
 4. each chunk gives the blocks on its path.
 
-Where no user has more than one chunk, step 3 has nothing to do. Stream: ``lockout_stream``.
+Where no user has more than one chunk, step 3 has nothing to do. Stream (``lockout_stream``): event-time timers, the same
+walk over the attempts that the watermark has passed.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from weekcraft.session import materialize
 
@@ -262,42 +264,82 @@ def lockouts(events: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> DataFrame
 
 # --- stream --------------------------------------------------------------------------------
 
-def _fold(pdf: pd.DataFrame, count: int = 0, blocked_until=None):
-    """Run the rule over one user's attempts; returns (blocks, count, blocked_until)."""
-    out = []
-    block = pd.Timedelta(minutes=BLOCK_MINUTES)
-    pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    for ts, ok, eid in zip(pdf["ts"], pdf["success"], pdf["event_id"]):
-        if blocked_until is not None and ts < blocked_until:
-            continue
-        if ok:
-            count, blocked_until = 0, None
-            continue
-        count += 1
-        if count >= MAX_FAILURES:
-            blocked_until = ts + block
-            count = 0
-            out.append((ts, blocked_until, eid))
-    return out, count, blocked_until
-
-
-def lockout_stream(stream: DataFrame) -> DataFrame:
-    """Streaming form: per-user state (count, blocked_until as epoch micros). Attempts of a
-    user are assumed to arrive in time order across micro-batches (within a batch they are
-    sorted)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        count, until = (0, None)
-        if state.exists:
-            c, u = state.get
-            count, until = int(c), (pd.Timestamp(u, unit="us") if u is not None and u >= 0 else None)
-        # one micro-batch of one user: chunks arrive in no particular order, so sort them together
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        blocks, count, until = _fold(batch, count, until)
-        state.update((count, -1 if until is None else int(until.value // 1000)))
-        yield pd.DataFrame([(int(key[0]), a, b, int(e)) for a, b, e in blocks],
-                           columns=["user_id", "blocked_at", "blocked_until", "attempt_no"])
-    return (attempts(stream).groupBy("user_id")
-                            .applyInPandasWithState(fn, OUT_SCHEMA, "count long, until long", "append",
-                                                    GroupStateTimeout.NoTimeout))
+def walk(ts: np.ndarray, ok: np.ndarray, count: int, until: int) -> tuple[np.ndarray, int, int]:
+    """(attempts that block, count, block) of consecutive attempts of one user entered in this state."""
+    chunk = Chunk(ts, ok)
+    start, _, end_count, end_until = chunk.enter(count, until)
+    if start < chunk.n:
+        counts, untils = chunk.ends()
+        end_count, end_until = int(counts[start]), int(untils[start])
+    return chunk.blocks(count, until), end_count, end_until
+
+
+class LockoutProcessor(StatefulProcessor):
+    """The rule over a stream whose attempts come late and in any order within the watermark's delay.
+
+    State of a user: the attempts that the watermark has not passed, and (count, block, time of the last attempt). A timer is
+    set for the latest attempt of a batch; when the watermark passes it, the attempts up to the watermark are walked
+    through in order. A user without attempts for ``idle_ms`` after the last one is forgotten.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, event_id long, success boolean")
+        self.rule = handle.getValueState("rule", "count long, until long, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for pdf in rows:
+            ts = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            self.waiting.appendList(list(zip(ts.tolist(), pdf["event_id"].astype(int).tolist(), pdf["success"].astype(bool).tolist(), strict=True)))
+            latest = int(ts.max()) if latest is None else max(latest, int(ts.max()))
+        if latest is not None:
+            self.handle.registerTimer(-(-latest // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] <= passed]
+        count, until, last = self.rule.get() if self.rule.exists() else (0, FREE, -1)
+        if due:
+            if len(due) < len(rows):
+                self.waiting.put(rows[len(due):])
+            else:
+                self.waiting.clear()
+            ts, eid, ok = (np.array(x) for x in zip(*due, strict=True))
+            at, count, until = walk(ts, ok.astype(bool), int(count), int(until))
+            last = int(ts[-1])
+            self.rule.update((count, until, last))
+            if len(at):
+                yield pd.DataFrame({"user_id": int(key[0]), "blocked_at": ts[at].view("datetime64[us]"), "blocked_until": (ts[at] + BLOCK).view("datetime64[us]"),
+                                    "attempt_no": eid[at]})
+        if len(due) == len(rows):
+            gone = -(-int(last) // 1000) + self.idle_ms
+            if gone <= timerValues.getCurrentWatermarkInMs():
+                self.rule.clear()
+            else:
+                self.handle.registerTimer(gone)
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def lockout_stream(stream: DataFrame, delay: str = "10 minutes", idle_minutes: int = 60) -> DataFrame:
+    """Streaming form: blocks, each once the watermark (``delay`` behind the latest attempt) has passed it.
+
+    Attempts may come in any order within ``delay``; later ones are dropped. After ``idle_minutes`` without an
+    attempt a user's counted failures are forgotten, as a session of the reference ends: within that bound the result is that
+    of ``lockouts``. The state is kept by RocksDB, which the session is set to.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    att = attempts(stream).filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp"))
+    return (att.withWatermark("ts", delay).groupBy("user_id")
+               .transformWithStateInPandas(LockoutProcessor(idle_minutes * 60_000), OUT_SCHEMA, "append", "eventTime"))
