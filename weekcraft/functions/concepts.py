@@ -116,3 +116,20 @@ def attach_concept_key(df: DataFrame, concept_col: str = "concept", out: str = "
               .join(folded, F.col("_fold") == F.col("_fo"), "left")
               .withColumn(out, F.coalesce("_k1", "_k2"))
               .drop("_fold", "_sp", "_k1", "_fo", "_k2"))
+
+
+#: A collation under which texts are equal whatever their case and accents, composed or combining.
+COLLATION = "UNICODE_CI_AI"
+
+
+def attach_by_collation(df: DataFrame, concept_col: str = "concept", out: str = "concept_key") -> DataFrame:
+    """STR-4, STR-5 and STR-10 without letter tables: spellings meet the 30-row dictionary under a collation.
+
+    Covers the accents of every script. Collated keys join by sorting only, so the distinct spellings are joined, not the
+    rows: a frequent concept is no hot key, and the rows look their spelling up by plain equality, in a table that AQE
+    broadcasts where it is measured small.
+    """
+    t = concept_table(df.sparkSession).groupBy(F.collate(F.trim("spelling"), COLLATION).alias("_sp")).agg(F.min("concept_key").alias(out))
+    typed = df.select(F.col(concept_col).alias("_typed")).filter(F.col("_typed").isNotNull()).distinct()
+    known = typed.join(t, F.collate(F.trim("_typed"), COLLATION) == F.col("_sp")).select("_typed", out)
+    return df.join(known, F.col(concept_col) == F.col("_typed"), "left").drop("_typed")

@@ -129,6 +129,15 @@ def get_or_create(dim: DataFrame, incoming_keys: DataFrame, keys: list[str], id_
     return dim.select(*keys, F.col(id_col).cast("long").alias(id_col)).unionByName(created)
 
 
+def load_sites(dim: DataFrame, incoming: DataFrame, companies: DataFrame) -> DataFrame:
+    """MRG-6: (company_id, name, site_id) with the absent sites of ``incoming`` (code, name) inserted.
+
+    A code without a company inserts nothing, as the lookup finds no id.
+    """
+    known = incoming.join(companies.select("code", "company_id"), "code").select(F.col("company_id").cast(dim.schema["company_id"].dataType), "name")
+    return get_or_create(dim, known, ["company_id", "name"], "site_id")
+
+
 def first_per_group(df: DataFrame, group: Column, order_col: str, out_cols: list[str]) -> DataFrame:
     """JOIN-8: the first row (lowest ``order_col``) per group, via ``min_by`` (no window,
     partial aggregation map-side)."""

@@ -83,6 +83,32 @@ def history_summary(hist: DataFrame) -> DataFrame:
                     F.count(F.lit(1)).cast("bigint").alias("rows"))
 
 
+def distinct_by_sketch(rows: DataFrame, group: str, value: str, lg_k: int = 12) -> DataFrame:
+    """AGG-6 / AGG-13 approximate: one row per group and one (null) for all: exact and within_bound, merged_equal.
+
+    A sketch per group has 2**lg_k registers whatever the group holds; those of the groups merge to the sketch of all rows.
+    within_bound: the estimate is within three standard errors (1.04 / sqrt(2**lg_k)) of the exact count, or one apart.
+    """
+    bound = 3 * 1.04 / 2 ** (lg_k / 2)
+    per = rows.groupBy(group).agg(F.hll_sketch_agg(value, F.lit(lg_k)).alias("sketch"), F.count_distinct(value).alias("exact"))
+    merged = per.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("merged"))
+    whole = rows.agg(F.hll_sketch_estimate(F.hll_sketch_agg(value, F.lit(lg_k))).alias("estimate"), F.count_distinct(value).alias("exact")).crossJoin(merged)  # one row each
+
+    def near(estimate):
+        return F.abs(estimate - F.col("exact")) <= F.greatest(F.lit(1.0), bound * F.col("exact"))
+
+    each = per.select(F.col(group).cast("long").alias("group"), "exact", near(F.hll_sketch_estimate("sketch")).alias("within_bound"), F.lit(True).alias("merged_equal"))
+    return each.unionByName(whole.select(F.lit(None).cast("long").alias("group"), "exact", near(F.col("estimate")).alias("within_bound"),
+                                         (F.abs(F.col("merged") - F.col("estimate")) <= F.greatest(F.lit(1.0), bound * F.col("exact"))).alias("merged_equal")))
+
+
+def live_sessions(sessions: DataFrame, as_of: str, idle_days: int = 7) -> DataFrame:
+    """DEL-5: sessions (expires_at, active, session_end) without those expired, and without inactive ones of over ``idle_days``."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    gone = (F.col("expires_at") < now) | (~F.col("active") & (F.col("session_end") < now - F.expr(f"INTERVAL {idle_days} DAYS")))
+    return sessions.filter(~F.coalesce(gone, F.lit(False)))
+
+
 def weeks_available(hist: DataFrame, limit: int = 100) -> DataFrame:
     """AGG-7: per week the closing day, rows and sites; newest ``limit`` weeks (top-k)."""
     return (hist.groupBy("week").agg(F.max("day").alias("last_day"), F.count(F.lit(1)).cast("bigint").alias("rows"),

@@ -6,7 +6,7 @@ the library's plans over the whole tables.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ from weekcraft.plans import weekly_load as WL
 from weekcraft.plans import admin as AD
 from weekcraft.operators import merge as MG
 from weekcraft.plans import history as H
+from weekcraft.plans import history_store as HS
 from weekcraft.streaming.lockouts import lockouts as _lockouts
 from weekcraft.streaming.sessions import sessions as _sessions, slice_seconds
 
@@ -128,15 +129,11 @@ def q_history_window(spark, sf_dir) -> DataFrame:
     """SRC-7/SRC-8/SRC-9 + JOIN-9: history of the 52 weeks before the latest week, by
     trimmed site name joined to its company; measures as double."""
     t = _t(spark, sf_dir)
-    h = _hist(t)
-    last = h.agg(F.max("week").alias("_cw"))
-    win = h.join(F.broadcast(last), (F.col("week") < F.col("_cw")) & (F.col("week") >= F.col("_cw") - 52), "inner")
-    s = B.sites(t).select(C.strip_ws("name").alias("_sn"), "company_id")
+    h = HS.stored_history(spark, t, sf_dir)
+    weeks = HS.weeks_before(h, 52)  # 52 rows at most; the join prunes the scan to their partitions
     c = B.companies(t).select("company_id", F.col("name").alias("company"))
-    out = (win.join(s, C.strip_ws("site") == F.col("_sn"))
-              .join(c, "company_id")
-              .select("week", "day", "site", "company", F.col("margin").cast("double").alias("margin"),
-                      F.col("weight").cast("double").alias("weight")))
+    out = h.join(F.broadcast(weeks), "week").join(c, "company_id").select(
+        "week", "day", C.strip_ws("site").alias("site"), "company", F.col("margin").cast("double").alias("margin"), F.col("weight").cast("double").alias("weight"))
     return _round_doubles(out)
 
 
@@ -453,7 +450,8 @@ def q_week_fallback_date(spark, sf_dir) -> DataFrame:
 # --------------------------------------------------------------------------- administration
 
 LOG_TYPES, LOG_STATUSES = ["weekly"], []
-DETAIL_WEEK = 100
+DETAIL_WEEK, DETAIL_DAY = 100, date(1996, 12, 8)
+SESSIONS_AS_OF, SESSION_LIFE_DAYS = "2024-01-25 00:00:00", 12
 
 
 @register("company_counts")
@@ -505,10 +503,17 @@ def q_weeks_available(spark, sf_dir) -> DataFrame:
 @register("week_detail")
 def q_week_detail(spark, sf_dir) -> DataFrame:
     """FLT-6: history rows of one week."""
-    h = _hist(_t(spark, sf_dir)).select("week", "day", "site", "margin", "weight")
+    h = HS.stored_history(spark, _t(spark, sf_dir), sf_dir).select("week", "day", "site", "margin", "weight")
     return AD.week_detail(h, week=DETAIL_WEEK)
 
 
+@register("day_detail")
+def q_day_detail(spark, sf_dir) -> DataFrame:
+    """FLT-6, its first branch: history rows of one closing day (which has its week's partition)."""
+    h = HS.stored_history(spark, _t(spark, sf_dir), sf_dir).select("week", "day", "site", "margin", "weight")
+    return AD.week_detail(HS.since(h, DETAIL_DAY), week=DETAIL_WEEK, day=DETAIL_DAY)
+
+
 @register("data_summary")
 def q_data_summary(spark, sf_dir) -> DataFrame:
     """AGG-5/AGG-8/AGG-14: table counts, latest week key and latest day."""
@@ -846,8 +851,72 @@ def q_weeks_by_date(spark, sf_dir) -> DataFrame:
 def q_history_by_date(spark, sf_dir) -> DataFrame:
     """SRC-9 + STR-10: one company's history from 52 weeks before the last closing day."""
     t = _t(spark, sf_dir)
-    h = (_hist(t).join(B.sites(t).select(F.col("name").alias("site"), "company_id"), "site")
-                 .join(B.companies(t).select("company_id", F.col("name").alias("company")), "company_id")
-                 .select("week", "day", "company", "site", "margin", "weight"))
-    as_of = h.agg(F.max("day")).first()[0]
-    return H.history_for_matrix(h, as_of, HISTORY_WEEKS_BACK, company=HISTORY_COMPANY)
+    h = HS.stored_history(spark, t, sf_dir)
+    latest = h.join(F.broadcast(h.agg(F.max("week").alias("week"))), "week").agg(F.max("day")).first()[0]  # one row
+    if latest is None:
+        return h.withColumn("company", F.lit(None).cast("string")).select("week", "day", "company", "site", "margin", "weight")
+    start = latest - timedelta(days=7 * HISTORY_WEEKS_BACK)
+    named = (HS.since(h, start).join(B.companies(t).select("company_id", F.col("name").alias("company")), "company_id")
+             .select("week", "day", "company", "site", "margin", "weight"))
+    return H.history_for_matrix(named, latest, HISTORY_WEEKS_BACK, company=HISTORY_COMPANY)
+
+
+# --------------------------------------------------------------------------- sketches, collation, dimension load, readers
+
+
+@register("history_sketches")
+def q_history_sketches(spark, sf_dir) -> DataFrame:
+    """AGG-6/AGG-13, approximate form: distinct sites per week from mergeable sketches, beside the exact counts; whether
+    the estimates of all weeks lie within the sketch's bound, and whether merged weeks give what one pass gives."""
+    return AD.distinct_by_sketch(_hist(_t(spark, sf_dir)), "week", "site")
+
+
+@register("concept_by_collation")
+def q_concept_by_collation(spark, sf_dir) -> DataFrame:
+    """STR-4/STR-5/STR-10 by collation: concepts typed with other cases and composed or combining accents, to their keys."""
+    t = _t(spark, sf_dir)
+    from weekcraft.functions.concepts import CONCEPT_SPELLINGS, attach_by_collation
+    spellings = F.array(*[F.lit(s) for s, _ in CONCEPT_SPELLINGS])
+    k = F.col("p_partkey")
+    base = F.trim(F.element_at(spellings, (k % len(CONCEPT_SPELLINGS) + 1).cast("int")))
+    combining = base
+    for plain, mark, composed in (("a", "\u0301", "á"), ("e", "\u0301", "é"), ("i", "\u0301", "í"), ("o", "\u0301", "ó"), ("n", "\u0303", "ñ")):
+        combining = F.replace(combining, F.lit(composed), F.lit(plain + mark))
+    typed = (F.when(k % 4 == 0, F.upper(base)).when(k % 4 == 1, combining).when(k % 4 == 2, F.translate(base, "aeiou", "âêîôû")).otherwise(F.concat(base, F.lit(" x"))))
+    return attach_by_collation(t.part.select("p_partkey", typed.alias("concept")), "concept").select("p_partkey", "concept", "concept_key")
+
+
+@register("load_dimension_sites")
+def q_load_dimension_sites(spark, sf_dir) -> DataFrame:
+    """MRG-6: sites by company code: the company's id is looked up, rows of unknown codes are passed over, absent sites are
+    inserted with ids after the largest."""
+    t = _t(spark, sf_dir)
+    s = t.supplier
+    existing = s.filter(F.col("s_suppkey") % 3 == 0).select(F.col("s_nationkey").alias("company_id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("site_id"))
+    code = F.when(F.col("s_suppkey") % 10 == 7, F.lit("nowhere")).otherwise(F.col("n_name"))
+    incoming = s.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(code.alias("code"), F.col("s_name").alias("name"))
+    return MG.load_sites(existing, incoming, B.companies(t).select("company_id", "code"))
+
+
+@register("session_retention")
+def q_session_retention(spark, sf_dir) -> DataFrame:
+    """DEL-5: the sessions that stay: those expired, or inactive and older than seven days, are removed."""
+    t = _t(spark, sf_dir)
+    s = _sessions(t.events.select("user_id", "ts"), SESSION_GAPS[0]).withColumns(
+        {"expires_at": F.col("session_end") + F.expr(f"INTERVAL {SESSION_LIFE_DAYS} DAYS"), "active": F.col("user_id") % 4 != 0})
+    return AD.live_sessions(s, SESSIONS_AS_OF).select("user_id", "session_start", "session_end", "n_events", "active")
+
+
+@register("history_report_clean")
+def q_history_report_clean(spark, sf_dir) -> DataFrame:
+    """SRC-2/SCH-6/STR-8: the persistent history report cleaned: margin column found, company as site, literal replacement,
+    prefixes stripped, latest week first."""
+    t = _t(spark, sf_dir)
+    o = t.orders
+    k = F.col("o_orderkey")
+    site = (F.when(k % 5 == 0, F.lit("Ag. Los Maitenes")).when(k % 5 == 1, F.concat(F.lit("Fundo Site "), (F.col("o_custkey") % 40).cast("string")))
+            .otherwise(F.concat(F.lit("Site "), (F.col("o_custkey") % 40).cast("string"))))
+    report = o.select(k.alias("row_no"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Fecha"),
+                      F.when(k % 13 == 0, F.lit("x")).otherwise(F.weekofyear("o_orderdate").cast("string")).alias("N° Semana"), site.alias("Empresa"),
+                      F.when(k % 7 != 0, C.fmt_es(F.col("o_totalprice") / 100)).alias("MDAT (I)"))
+    return H.clean_history_report(report).select("row_no", "day", "week", "site", "margin")

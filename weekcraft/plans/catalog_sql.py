@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from weekcraft.oracle import WEEKLY_CTES, long_ctes, r6, weekly_matrix_sql, with_
-from weekcraft.functions.concepts import WEEKLY_MEASURE_LABELS
+from weekcraft.functions.concepts import CONCEPT_SPELLINGS, WEEKLY_MEASURE_LABELS
 from weekcraft.oracle import DICT_CTES, HISTORY_CTE, MATRIX_OUT, davg, dsum, fold, matrix_ctes, q, snap, wa
 from weekcraft.plans.matrix import (FLOAT_COLUMNS, HIGH_IS_GOOD, INT_COLUMNS, LOW_IS_GOOD, MONEY_COLUMNS,
                                     PCT_COLUMNS)
 from weekcraft.plans.catalog import DETAIL_CATEGORIES, DETAIL_DAYS, DETAIL_USER, SECURED_USER
 from weekcraft.plans.report import REPORT_CONCEPTS, REPORT_VARIANTS, WEEKLY_PATTERNS, WEEKLY_TARGETS
 from weekcraft.plans.admin import STATUS_DEFAULT, STATUS_SYMBOLS
-from weekcraft.plans.catalog import DETAIL_WEEK
+from weekcraft.plans.catalog import DETAIL_DAY, DETAIL_WEEK, SESSION_LIFE_DAYS, SESSIONS_AS_OF
 from weekcraft.plans.catalog import (CASCADE_COMPANY, MARGIN_DEFAULT_YEAR, PERIOD_RUN_WEEK,
                                      RETENTION_AS_OF, RETENTION_DAYS, DAILY_PERIOD)
 from weekcraft.plans.history import HISTORY_MEASURES, REASON_NO_SITE, REASON_NO_WEEK, REPORT_MEASURES
@@ -773,3 +773,40 @@ st AS (
          (NOT {_IGN}) AND NOT a.ok AND st.cnt + 1 >= {MAX_FAILURES}
   FROM st JOIN a ON a.user_id = st.user_id AND a.rn = st.rn + 1)
 SELECT user_id, ts AS blocked_at, until AS blocked_until, event_id AS attempt_no FROM st WHERE blocked"""
+
+# --------------------------------------------------------------------------- stored history, sketches, collation, dimension load, readers
+
+ORACLE["day_detail"] = with_(*W, HISTORY_CTE, final=f"""
+SELECT week, day, site, margin, weight FROM hist WHERE day = DATE '{DETAIL_DAY}'""")
+
+ORACLE["history_sketches"] = with_(*W, HISTORY_CTE, final="""
+SELECT CAST(week AS BIGINT) AS "group", count(DISTINCT site) AS exact, TRUE AS within_bound, TRUE AS merged_equal FROM hist GROUP BY week
+UNION ALL SELECT NULL, count(DISTINCT site), TRUE, TRUE FROM hist""")
+
+_typed = "list_extract([" + ", ".join(q(s.strip()) for s, _ in CONCEPT_SPELLINGS) + f"], CAST(p_partkey % {len(CONCEPT_SPELLINGS)} + 1 AS BIGINT))"
+_combining = _typed
+for _plain, _mark, _composed in (("a", "\u0301", "á"), ("e", "\u0301", "é"), ("i", "\u0301", "í"), ("o", "\u0301", "ó"), ("n", "\u0303", "ñ")):
+    _combining = f"replace({_combining}, {q(_composed)}, {q(_plain + _mark)})"
+ORACLE["concept_by_collation"] = with_(*DICT_CTES, ("typed", f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper({_typed}) WHEN 1 THEN {_combining}
+       WHEN 2 THEN translate({_typed}, 'aeiou', 'âêîôû') ELSE {_typed} || ' x' END AS concept FROM part"""), ("dk", """SELECT strip_accents(lower(trim(spelling))) AS folded,
+       min(concept_key) AS concept_key FROM dict GROUP BY 1"""), final="""
+SELECT p_partkey, concept, concept_key FROM typed LEFT JOIN dk ON strip_accents(lower(nfc_normalize(trim(concept)))) = dk.folded""")
+
+ORACLE["load_dimension_sites"] = with_((
+    "ex", "SELECT s_nationkey AS company_id, s_name AS name, CAST(s_suppkey AS BIGINT) AS site_id FROM supplier WHERE s_suppkey % 3 = 0"),
+    ("nw", """SELECT DISTINCT s_nationkey AS company_id, s_name AS name FROM supplier WHERE s_suppkey % 10 <> 7
+AND (s_nationkey, s_name) NOT IN (SELECT (company_id, name) FROM ex)"""), final="""
+SELECT company_id, name, site_id FROM ex
+UNION ALL SELECT company_id, name, (SELECT max(site_id) FROM ex) + row_number() OVER (ORDER BY company_id, name) FROM nw""")
+
+ORACLE["session_retention"] = f"""
+SELECT user_id, session_start, session_end, n_events, user_id % 4 <> 0 AS active FROM ({_sess(SESSION_GAPS[0])})
+WHERE NOT (session_end + INTERVAL {SESSION_LIFE_DAYS} DAY < TIMESTAMP '{SESSIONS_AS_OF}'
+           OR (user_id % 4 = 0 AND session_end < TIMESTAMP '{SESSIONS_AS_OF}' - INTERVAL 7 DAY))"""
+
+ORACLE["history_report_clean"] = f"""
+SELECT row_no, day, CASE WHEN week <> 'x' THEN CAST(week AS BIGINT) END AS week, {clean_site_sql("CASE WHEN site = 'Ag. Los Maitenes' THEN 'Los Maitenes' ELSE site END")} AS site,
+       {clean_number_sql('mdat')} AS margin
+FROM (SELECT o_orderkey AS row_no, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(week(o_orderdate) AS VARCHAR) END AS week,
+        CASE o_orderkey % 5 WHEN 0 THEN 'Ag. Los Maitenes' WHEN 1 THEN 'Fundo Site ' || (o_custkey % 40) ELSE 'Site ' || (o_custkey % 40) END AS site,
+        CASE WHEN o_orderkey % 7 <> 0 THEN {fmt_es_sql('o_totalprice / 100')} END AS mdat FROM orders)"""

@@ -200,6 +200,38 @@ def load_history(report: DataFrame, target: DataFrame | None = None) -> DataFram
     return upsert(target, batch, ["week", "site"], dict.fromkeys(["day", *measures], "new"), order_col="row_no")
 
 
+def clean_history_report(report: DataFrame) -> DataFrame:
+    """SRC-2: the persistent history report as (day, week, site, margin) beside its columns, latest week first.
+
+    The margin comes from the first candidate column present (SCH-6); a report without a site column names sites as companies;
+    sites get the literal replacement (STR-8) and lose their prefixes (STR-3). Unreadable dates, weeks and numbers are null.
+    """
+    margin = first_present(report.columns)
+    site = "Establecimiento" if "Establecimiento" in report.columns else "Empresa"
+    named = {"site": C.clean_site_name(C.replace_literals(site, C.SITE_LITERAL_REPLACEMENTS)), "margin": C.clean_number(f"`{margin}`"),
+             "day": F.coalesce(F.try_to_date(C.strip_ws("Fecha"), "yyyy-MM-dd"), C.parse_day("Fecha")) if "Fecha" in report.columns else F.lit(None).cast("date"),
+             "week": C.safe_int("`N° Semana`") if "N° Semana" in report.columns else F.lit(None).cast("long")}
+    return report.withColumns(named).orderBy(F.col("week").desc_nulls_last())
+
+
+def read_history_report(spark, path: str) -> DataFrame:
+    """SRC-2 from files: all columns as text, then ``clean_history_report``."""
+    return clean_history_report(spark.read.option("header", True).option("inferSchema", False).csv(path))
+
+
+def validate_history(report: DataFrame) -> list[str]:
+    """SCH-3 / QLT-1 of the history load: week and site need a header that maps to them, and there must be rows."""
+    mapped = set(map_headers(report.columns).values())
+    errors = [f"no column for {c}" for c in ("semana", "establecimiento") if c not in mapped]
+    return errors + (["empty report"] if report.isEmpty() else [])
+
+
+def validate_margins(report: DataFrame) -> list[str]:
+    """SCH-3 / QLT-1 of the margin load: its three columns as they are written, and rows."""
+    errors = [f"missing column: {c}" for c in ("Empresa", "N° Semana", "(I) MDAT") if c not in report.columns]
+    return errors + (["empty report"] if report.isEmpty() else [])
+
+
 def history_for_matrix(hist: DataFrame, as_of, weeks_back: int = 52, company: str | None = None,
                        company_col: str = "company") -> DataFrame:
     """SRC-9: history rows from ``weeks_back`` weeks before ``as_of`` (a parameter, not the

@@ -278,9 +278,11 @@ def format_matrix(m: DataFrame) -> DataFrame:
 def cell_flags(m: DataFrame) -> DataFrame:
     """DRV-8: per body cell 'good' / 'bad' / '' against the total row.
 
-    The total row is one row; its values are fetched as scalars (bounded) and compared as
-    literals, so the body is never joined or shuffled.
+    The matrix is written once: its total row is fetched as scalars (bounded) and compared as
+    literals, so the body is computed once and never joined or shuffled.
     """
+    from weekcraft.session import materialize
+    m = materialize(m, "matrix")
     tot = m.filter(F.col("is_total")).first()
     cols = [F.col("site")]
     for c in HIGH_IS_GOOD + LOW_IS_GOOD:

@@ -111,10 +111,37 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return r.option("header", True).csv(path) if fmt == "csv" else r.format(fmt).load(path)
 
 
-def write_matrix(matrix: DataFrame, path: str) -> None:
-    """SNK-1: matrix export; the body order and the pinned total row survive because the
-    frame is globally sorted on (is_total, sort key) before the write."""
-    matrix.write.mode("overwrite").option("header", True).csv(path)
+def write_matrix(matrix: DataFrame, path: str, by: str = "margin", ascending: bool = False, files: int | None = None) -> None:
+    """SNK-1: matrix export in several files whose names keep the order: body by ``by``, nulls last, then the total row.
+
+    A range partition holds the rows between two sort keys and is one file; files are named by their partition, so reading
+    them in the order of their names gives the sorted matrix without one task that holds all of it.
+    """
+    key = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
+    order = [F.col("is_total").asc(), key, F.col("site").asc()]
+    files = files or int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    matrix.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """SCH-9: a folder of Parquet files written under several versions of a table, read as its present schema.
+
+    Files are grouped by their own schema (read from the footers, some at a time); each group is read with it and conformed: a
+    column that it lacks is null, a narrower number is widened, and one that would have to be narrowed is refused.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce
+
+    from weekcraft.operators.reshape import conform
+    files = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path").collect()]
+    if not files:
+        return spark.createDataFrame([], schema)
+    with ThreadPoolExecutor(16) as pool:
+        own = list(pool.map(lambda f: spark.read.parquet(f).schema, files))
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for f, s in zip(files, own, strict=True):
+        groups.setdefault(s.json(), (s, []))[1].append(f)
+    return reduce(DataFrame.unionByName, [conform(spark.read.schema(s).parquet(*fs), schema) for s, fs in groups.values()])
 
 
 def write_daily_by_site(detail: DataFrame, path: str, site_col: str = "site") -> None:
