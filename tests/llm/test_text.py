@@ -122,29 +122,61 @@ def test_counts_of_empty_table(spark):
 
 # --- encoding ------------------------------------------------------------------------------
 
-def brute_ids(table, scores, text):
-    best, size = [0.0] + [float("-inf")] * len(text), [0] * (len(text) + 1)
-    for end in range(1, len(text) + 1):
-        for begin in range(max(0, end - table.longest), end):
-            s = scores.get(text[begin:end], table.unknown if end - begin == 1 else None)
-            if s is not None and best[begin] + s > best[end]:
-                best[end], size[end] = best[begin] + s, end - begin
-    return table.path(text, size, len(text))
-
-
-def test_encoding_equals_brute_force():
+def brute_ids(table, text):
+    """Merging over the whole text, the best pair anew each time; no path search."""
+    parts, scores = list(text), table.scores
+    while True:
+        found = [(scores[x + y], -k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in scores]
+        if not found:
+            return [i for p in parts for i in ([table.ids[p]] if p in table.ids else [table.byte_ids[b] for b in p.encode()])]
+        k = -max(found)[1]
+        parts[k:k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_encoding_equals_merging_and_the_library():
     enc = viterbi.Encoder(MODEL, remembered=50)
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    scores = {p: sp.get_score(i) for p, i in enc.table.ids.items()}
     rng = random.Random(9)
     for _ in range(800):
         t = "".join(rng.choice("abcdeth  \n1é中\U0001F600▁") for _ in range(rng.randint(1, 200)))
-        want = brute_ids(enc.table, scores, "▁" + t.replace(" ", "▁"))
-        assert enc.encode(t).tolist() == want
+        want = brute_ids(enc.table, "▁" + t.replace(" ", "▁"))
+        assert enc.encode(t).tolist() == want == sp.encode(t)
         assert [i for p in enc.stream([t[k:k + 7] for k in range(0, len(t), 7)]) for i in p] == want
         assert enc.decode(want) == t.replace("▁", " ")
 
 
+def test_every_document_has_the_ids_of_the_library(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r["ids"] for r in viterbi.encode_texts(docs).collect()}
+    assert got == {r["doc_id"]: sp.encode(r["text"] or "") for r in docs.collect()}
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "thinganderat" * 800, "the" * 3000 + " x", "abcdeéthin中0" * 400, LONG])
+def test_a_stream_commits_whenever_its_paths_meet(text):
+    """One stream over the whole text, in chunks, without the dictionary of segments: the ids come out long before the end."""
+    table = viterbi.piece_table(MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    search, ids, early = viterbi.StreamEncoder(table), [], 0
+    marked = "▁" + text.replace(" ", "▁")
+    for k in range(0, len(marked), 777):
+        ids += search.feed(marked[k:k + 777])
+        early = len(ids)
+    ids += search.finish()
+    assert ids == sp.encode(text)
+    assert search.commits > len(marked) // (16 * table.longest) and len(ids) - early < 12 * table.longest and search.widest < 12 * table.longest
+
+
+def test_forgotten_pairs_are_found_out_again(monkeypatch):
+    monkeypatch.setattr(viterbi, "PAIRS", 40)
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    table = viterbi.PieceTable(MODEL)
+    search = viterbi.StreamEncoder(table)
+    text = "some words with many different pairs of pieces in them, again and again"
+    assert search.feed("▁" + text.replace(" ", "▁")) + search.finish() == sp.encode(text)
+    assert len(table.follows) <= 40
+
+
 def test_window_stays_bounded():
     table = viterbi.PieceTable(MODEL)
     search = viterbi.StreamEncoder(table)

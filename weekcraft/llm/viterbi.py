@@ -1,19 +1,22 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-A text becomes a leading space, then the text, with spaces as visible marks. Its encoding is the
-sequence of pieces with the largest sum of scores, the scores of the model file. A character
-that no piece covers costs the least normal score less 10 and becomes its UTF-8 byte pieces.
-On equal sums the longer last piece wins.
-
-The search reads characters one by one. The best path to a position is final when the position is
+A text becomes a leading space, then the text, with spaces as visible marks. The model's scores are ranks of
+merges, so the best path is not the one with the largest sum of scores: its encoding is what merging gives, best pair first, left
+before right. A path of pieces is that encoding just where each two neighbours are the encoding of their joined
+text: merging never undoes a piece, and what it does inside two neighbours does not depend on the text around them. So the
+search lets a path go from piece a to piece b only if merging the characters of both gives a and b
+back, which is found out once per pair and remembered. To each position at most one path survives. A character that no
+piece covers becomes its UTF-8 byte pieces.
+
+The search reads characters one by one. The path to a position is final when the position is
 reached, and only paths to the last L positions (L: the longest piece) can be continued. Whenever
 those paths run through one common boundary, the ids before it are committed and forgotten, so a
 text of any length needs a window of a few L characters. Where no piece of the model crosses a
-border (a mark after another character), all paths meet there, so segments between such borders are
-committed alone; the ids of segments already searched are remembered in a dictionary of bounded size.
+border (a mark after another character), all paths meet there, and the search commits at every border; the ids
+between two borders are remembered in a dictionary of bounded size.
 
 Decoding joins the pieces' bytes, turns marks into spaces and drops the leading one. A null or empty
-text has no ids; repeated rows and ids are encoded row by row. The round trip is exact but for
+text has no ids; repeated rows and ids are encoded row by row. The ids are those of the library. The round trip is exact but for
 U+2581, which the model's format cannot tell from a space.
 """
 
@@ -30,21 +33,22 @@ from weekcraft.llm.common import arrow, column, read_table, steps, strings, toke
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Segments of up to so many characters are searched in one go and remembered; longer ones are streamed.
-SHORT = 64
-#: Segments that a task remembers (twice as many at most, about 200 bytes each); idle workers remember none.
-REMEMBERED = 250_000
+#: Segments that a task remembers (twice as many at most, about 200 bytes each), and their longest; idle workers remember none.
+REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+#: Pairs of pieces that a process remembers.
+PAIRS = 250_000
 NEVER = -float("inf")
 
 
 class PieceTable:
-    """Pieces, scores and bytes of a model file."""
+    """Pieces, scores and bytes of a model file, and which pieces may follow each other."""
 
     def __init__(self, path: str):
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = sp.get_piece_size()
+        self.size = size = sp.get_piece_size()
         self.ids: dict[str, int] = {}
+        self.pieces: list[str] = [""] * size
         self.byte_ids = [0] * 256
         self.bytes: list[bytes] = [b""] * size
         for i in range(size):
@@ -53,58 +57,82 @@ class PieceTable:
                 value = int(piece[3:5], 16)
                 self.byte_ids[value], self.bytes[i] = i, bytes([value])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.ids[piece] = i
+                self.ids[piece], self.pieces[i] = i, piece
                 self.bytes[i] = piece.replace(MARK, " ").encode("utf-8")
-        scores = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.unknown = min(scores.values()) - 10.0
+        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
-        #: Pieces as a trie: character -> (score, or -inf where no piece ends; the nodes below).
+        #: Pieces as a trie: character -> (id, or -1 where no piece ends; the nodes below).
         self.trie: dict = {}
-        for piece, score in scores.items():
+        for piece, i in self.ids.items():
             node = self.trie
             for c in piece[:-1]:
-                node = node.setdefault(c, [NEVER, {}])[1]
-            node.setdefault(piece[-1], [NEVER, {}])[0] = score
+                node = node.setdefault(c, [-1, {}])[1]
+            node.setdefault(piece[-1], [-1, {}])[0] = i
         crossing = re.compile(f"[^{MARK}]{MARK}")
         self.borders = not any(crossing.search(p) for p in self.ids)
-
-    def ids_of(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        return [self.byte_ids[b] for b in piece.encode("utf-8")] if i is None else [i]
-
-    def push(self, text: str, best: list[float], length: list[int], begin: int, stop: int) -> None:
-        """Continue the best paths to the positions from ``begin`` to ``stop`` by every piece that fits."""
-        get, n, unknown = self.trie.get, len(text), self.unknown
+        self.follows: dict[int, bool] = {}
+
+    # The number of a piece is its id; of a character without a piece, ``size`` + its code point; -1: no piece, -2: the text's start.
+
+    def text_of(self, number: int) -> str:
+        return self.pieces[number] if number < self.size else chr(number - self.size)
+
+    def ids_of(self, number: int) -> list[int]:
+        return [number] if number < self.size else [self.byte_ids[b] for b in chr(number - self.size).encode("utf-8")]
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a short text: the neighbours whose joined piece has the best score are merged, the left ones first."""
+        parts, score = list(text), self.scores.get
+        pair = [score(x + y, NEVER) for x, y in zip(parts, parts[1:], strict=False)]
+        while pair and (best := max(pair)) != NEVER:
+            k = pair.index(best)
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            del pair[k]
+            if k < len(pair):
+                pair[k] = score(parts[k] + parts[k + 1], NEVER)
+            if k:
+                pair[k - 1] = score(parts[k - 1] + parts[k], NEVER)
+        return parts
+
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether merging both pieces anew gives them back."""
+        after = self.text_of(b)
+        both = [after] if a == -2 else [self.text_of(a), after]
+        joined = "".join(both)
+        # Two pieces that make a piece would be merged.
+        fits = (len(both) == 1 or joined not in self.scores) and self.merged(joined) == both
+        if len(self.follows) >= PAIRS:
+            self.follows.clear()
+        self.follows[a << 21 | b] = fits
+        return fits
+
+    def push(self, text: str, last: list[int], begin: int, stop: int) -> None:
+        """Continue the paths to the positions from ``begin`` to ``stop`` by every piece that fits; last: number of a path's last piece.
+
+        A position that a path has reached is reached by no other, so its pairs are not looked up again.
+        """
+        get, n, known, may_follow = self.trie.get, len(text), self.follows.get, self.may_follow
         for i in range(begin, stop):
-            base = best[i]
+            a = last[i]
+            if a == -1:
+                continue
             node = get(text[i])
-            if node is None or node[0] == NEVER:
-                if (t := base + unknown) > best[i + 1]:
-                    best[i + 1], length[i + 1] = t, 1
-                if node is None:
-                    continue
-            elif (t := base + node[0]) > best[i + 1]:
-                best[i + 1], length[i + 1] = t, 1
-            for end in range(i + 2, n + 1):
-                node = node[1].get(text[end - 1])
+            b = node[0] if node is not None and node[0] >= 0 else self.size + ord(text[i])
+            end, a = i + 1, a << 21
+            while True:
+                if b >= 0 and last[end] == -1:
+                    fits = known(a | b)
+                    if may_follow(last[i], b) if fits is None else fits:
+                        last[end] = b
+                if node is None or end == n:
+                    break
+                node = node[1].get(text[end])
                 if node is None:
                     break
-                if (t := base + node[0]) > best[end]:
-                    best[end], length[end] = t, end - i
-
-    def path(self, text: str, length: list[int], to: int) -> list[int]:
-        """The ids on the best path to a position."""
-        cuts, at = [], to
-        while at:
-            cuts.append((at - length[at], at))
-            at -= length[at]
-        return [i for a, b in reversed(cuts) for i in self.ids_of(text[a:b])]
+                b, end = node[0], end + 1
 
-    def search(self, text: str) -> list[int]:
-        """The ids of a text that is searched in one go."""
-        best, length = [0.0] + [NEVER] * len(text), [0] * (len(text) + 1)
-        self.push(text, best, length, 0, len(text))
-        return self.path(text, length, len(text))
+    def length(self, number: int) -> int:
+        return len(self.pieces[number]) if number < self.size else 1
 
 
 _tables: dict[str, PieceTable] = {}
@@ -123,10 +151,10 @@ class StreamEncoder:
     def __init__(self, table: PieceTable):
         self.table = table
         self.text = ""          # characters after the last commit
-        self.best = [0.0]       # best sum to each position after the last commit
-        self.length = [0]       # length of the last piece on that path
+        self.last = [-2]        # the last piece on the path to each position after the last commit
         self.done = 0           # positions before this one are final and continued
         self.widest = 0         # the longest window so far, for tests
+        self.commits = 0        # boundaries committed so far, for tests
         self.due = 4 * table.longest
 
     def feed(self, chars: str) -> list[int]:
@@ -142,35 +170,50 @@ class StreamEncoder:
         self._extend("", 1)
         return self._commit(len(self.text))
 
+    def border(self, segment: str) -> list[int]:
+        """The ids of a segment between two borders, where all paths meet."""
+        if len(segment) > self.due:
+            out = self.feed(segment) + self.finish()
+        else:  # the window holds it whole
+            self._extend(segment, 1)
+            out = self._commit(len(segment))
+        self.last[0], self.due = -2, 4 * self.table.longest
+        return out
+
     def _extend(self, chars: str, ahead: int) -> None:
         self.text += chars
-        self.best += [NEVER] * len(chars)
-        self.length += [0] * len(chars)
+        self.last += [-1] * len(chars)
         self.widest = max(self.widest, len(self.text))
         stop = max(self.done, len(self.text) - ahead + 1)  # where the longest piece fits
-        self.table.push(self.text, self.best, self.length, self.done, stop)
+        self.table.push(self.text, self.last, self.done, stop)
         self.done = stop
 
     def _meeting(self) -> int:
         """The last boundary on all paths that can still be continued: those to ``done`` and over it."""
-        path, at = {0}, self.done
-        while at:
-            path.add(at)
-            at -= self.length[at]
-        meet = self.done
-        for at in range(self.done + 1, min(len(self.text), self.done + self.table.longest) + 1):
-            if self.length[at]:
-                while at not in path:
-                    at -= self.length[at]
-                meet = min(meet, at)
+        length, path, meet = self.table.length, None, 0
+        for at in range(self.done, min(len(self.text), self.done + self.table.longest) + 1):
+            if self.last[at] == -1:
+                continue
+            own = [at]
+            while own[-1]:
+                own.append(own[-1] - length(self.last[own[-1]]))
+            path = set(own) if path is None else path & set(own)
+        for at in path or ():
+            meet = max(meet, at)
         return meet
 
     def _commit(self, to: int) -> list[int]:
-        out = self.table.path(self.text, self.length, to)
-        base = self.best[to]
-        self.text, self.length, self.best = self.text[to:], [0] + self.length[to + 1:], [b - base for b in self.best[to:]]
+        if not to:
+            return []
+        numbers, at = [], to
+        while at:
+            numbers.append(self.last[at])
+            at -= self.table.length(self.last[at])
+        self.text, self.last = self.text[to:], self.last[to:]
         self.done -= to
-        return out
+        self.commits += 1
+        ids_of = self.table.ids_of
+        return [i for b in reversed(numbers) for i in ids_of(b)]
 
 
 class Encoder:
@@ -178,6 +221,7 @@ class Encoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.table = piece_table(path)
+        self.search = StreamEncoder(self.table)
         self.remembered = remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -197,9 +241,9 @@ class Encoder:
         if ids is None:
             ids = self.old.get(key)
             if ids is None:
-                if len(key) > SHORT:
-                    return np.array([i for part in self.stream([key]) for i in part], dtype="<i4").tobytes()
-                ids = np.array(self.table.search(MARK + key), dtype="<i4").tobytes()
+                ids = np.array(self.search.border(MARK + key), dtype="<i4").tobytes()
+                if len(key) > REMEMBERED_CHARS:
+                    return ids
             self.young[key] = ids
             if len(self.young) > self.remembered:
                 self.old = self.young.copy()
