@@ -10,11 +10,16 @@ before it), so dynamic programming chooses boundaries and kinds together. Zones
 apart from each other, because outside of them every token is outside at no cost. A zone of any length is
 searched whole: its segments are scored ``BLOCK`` tokens at a time, and only sums and best scores go on.
 
-The field is learned by likelihood gradients in numpy on zones of a bounded sample (about
-``train_rows`` rows by a hash of the id): its base spans are the right segments, and copies with
-rewritten spans (spelled-out at-signs and dots, missing plus signs, other separators) teach the added
-ones. An added span is a segment of the best segmentation with a posterior of ``SURE`` or more that
-touches no base span. Base spans always stay.
+The field is learned by likelihood gradients in numpy on at most ``TRAIN_ZONES`` zones of a bounded sample
+(``train_rows`` rows, those with the smallest hashes of the id, 64 MB at most; of a very long text all zones count towards
+that bound): its base spans are the right segments, and ``REWRITINGS`` copies with rewritten spans (spelled-out at-signs
+and dots, missing plus signs, other separators) teach the added ones. An added span is a segment of the best segmentation
+that touches no base span and whose middle lies in a segment of its kind with a posterior of ``SURE`` or more, all segments
+over it taken together. Base spans always stay.
+
+Zones open at @, at bracketed "at" and "dot", at " dot ", at " at " before a dotted name, at four short numbers with dots, and at
+runs of digits with blanks, dots, hyphens, slashes, underscores or brackets. Data without any of these are not
+found; of a local part spelled with " dot " only the last label is; "look at example.com" reads like an address.
 
 Null and empty texts have no spans; rows are read one by one, whole; an empty table gives an empty result.
 Without any base span in the sample nothing is added.
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weekcraft.llm.common import arrow, column, hash_sample, read_table, steps, strings
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, SURE, TRAIN_ZONES = 20, 0.9, 600
+LONGEST, SURE, TRAIN_ZONES, REWRITINGS = 20, 0.6, 1200, 3
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -87,16 +92,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # --- zones ----------------------------------------------------------------------------------
 
-TRIGGER = re.compile(r"@|[\[({<]\x20?(?:at|dot)\x20?[\])}>]|\x20dot\x20|(?<![0-9])[0-9]{1,3}(?:\x20?[\[(]?\.[\])]?\x20?[0-9]{1,3}){3}|[+(]?[0-9][0-9\x20().-]{6,}[0-9]")
+TRIGGER = re.compile(r"@|[\[({<]\x20?(?:at|dot)\x20?[\])}>]|\x20dot\x20|\x20at\x20[A-Za-z0-9-]{1,63}\.[A-Za-z]"
+                     r"|(?<![0-9])[0-9]{1,3}(?:\x20?[\[(]?\.[\])]?\x20?[0-9]{1,3}){3}|[+(]?[0-9][0-9\x20()./_-]{6,}[0-9]")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.DOTALL)
 AT = re.compile(r"@|\x20?[\[({<]\x20?at\x20?[\])}>]\x20?|\x20at\x20")
 DOT = re.compile(r"\.|\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20")
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\x20?[\[({<]\x20?at\x20?[\])}>]\x20?|\x20at\x20)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+")
 WHOLE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++" + SPELLED.pattern.partition("+-]+")[2])
+# What goes on behind or before a span: one more label of a domain, one more group of digits.
+NEXT_LABEL = re.compile(r"(?:\.|\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20)[A-Za-z0-9]")
+NEXT_DIGITS, LAST_DIGITS = re.compile(r"[\x20./_-]{1,3}[0-9]"), re.compile(r"[0-9][\x20./_-]{1,3}$")
 WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 AROUND = 48
 #: Characters of a training case, and tokens whose segments are scored together.
 WIDEST, BLOCK = 2000, 1000
+#: Tokens before a span's middle at which segments over it are looked for.
+REACH = 60
 
 
 def zones(text: str) -> list[tuple[int, int]]:
@@ -136,7 +147,7 @@ def cases_of(text: str, zone: tuple[int, int], gold: list[tuple[int, int, str]])
 
 FEATURES = ("bias", "few_digits", "digits_9_11", "digits_12_19", "many_digits", "luhn", "four_parts", "part_over_255", "address_shape", "no_at",
             "plus", "no_plus", "double_zero", "space", "letters", "letters_and_digits", "odd_character", "unbalanced", "inside_left", "inside_right",
-            "other_start", "other_end", "groups_2_5", "one_group", "dots_only", "calls", "pays", "writes", "grows_left", "grows_right")
+            "other_start", "other_end", "groups_2_5", "one_group", "dots_only", "calls", "pays", "writes", "grows_left", "grows_right", "groups_3_3_4", "groups_of_4", "cut_left", "spelled_shape", "other_shape", "label_follows", "digits_follow", "digits_before")
 
 
 def features(text: str, a: int, b: int) -> np.ndarray:
@@ -157,7 +168,10 @@ def features(text: str, a: int, b: int) -> np.ndarray:
          not (s[:1].isalnum() or s[:1] in "+("), not s[-1:].isalnum(), not letters and 2 <= len(groups) <= 5, not letters and len(groups) == 1,
          not letters and bool(re.fullmatch(r"[0-9.]+", s)), bool(re.search(r"\b(?:tel|phone|call|fax|mobile)\b", before)),
          bool(re.search(r"\b(?:card|visa|credit|pan)\b", before)), bool(re.search(r"\b(?:e-?mail|mail|contact|write)\b", before)),
-         left in tuple("._%+-@"), right in tuple("@-") or (right == "." and text[b + 1:b + 2].isalnum())]
+         left in tuple("._%+-@"), right in tuple("@-") or (right == "." and text[b + 1:b + 2].isalnum()),
+         not letters and [len(g) for g in groups[-3:]] == [3, 3, 4], not letters and n >= 12 and len(groups) > 1 and {len(g) for g in groups[:-1]} == {4},
+         not letters and left in tuple("+(") or left == "0" and s[:1] == "0", shape and " " in s, letters and not shape,
+         letters and bool(NEXT_LABEL.match(text, b)), not letters and bool(NEXT_DIGITS.match(text, b)), not letters and bool(LAST_DIGITS.search(text[max(0, a - 4):a]))]
     return np.array(x, dtype=np.float64)
 
 
@@ -300,7 +314,7 @@ def rewritten(text: str, spans: list[tuple[int, int, str]], rng: np.random.Gener
             s = s.replace(".", ("[.]", " . ", "(.)")[way])
         elif kind == "card":
             d = digits_of(s)
-            s = (".", " - ", " ")[way].join(d[i:i + 4] for i in range(0, len(d), 4))
+            s = (".", " - ", "/", "_")[int(rng.integers(4))].join(d[i:i + 4] for i in range(0, len(d), 4))
         else:
             s = (s[1:].lstrip("0123456789 "), "00" + s[1:], s[1:])[way] or s[1:]
         out += [text[last:a], s]
@@ -351,6 +365,21 @@ class Blocks:
                 t = i
         return out[::-1]
 
+    def covered(self, i: int, j: int, kind: int, sums: tuple[np.ndarray, np.ndarray]) -> float:
+        """Probability that the middle token of tokens i to j lies in a segment of this kind.
+
+        Segments over one token exclude each other, so their marginals add up: where the exact borders are
+        unsure, the kind need not be. Segments that start more than ``REACH`` tokens before are left out.
+        """
+        f, b = sums
+        middle, total = (i + j) // 2, -np.inf
+        for t in range(max(0, min(i, middle - REACH)), middle + 1):
+            starts, scores = self.scored(t // BLOCK)
+            for row, end in starts.get(t, ()):
+                if end > middle:
+                    total = np.logaddexp(total, f[t] + scores[row, kind] + b[end])
+        return float(np.exp(total - f[-1]))
+
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward log sums over segmentations."""
         f, b = np.full(self.n + 1, -np.inf), np.zeros(self.n + 1)
@@ -384,15 +413,14 @@ class PrivateModel:
         for zone in zones(text):
             blocks = Blocks(text, borders_of(text, zone), self.weights)
             borders, sums = blocks.borders, None
-            for i, j, kind, score in blocks.best():
+            for i, j, kind, _ in blocks.best():
                 a, b = borders[i], borders[j]
                 before = bisect_left(starts, b)
                 if before and ends[before - 1] > a:
                     continue
                 if sums is None:
                     sums = blocks.sums()
-                f, g = sums
-                if np.exp(f[i] + score + g[j] - f[-1]) >= SURE:
+                if blocks.covered(i, j, kind, sums) >= SURE:
                     out.append((a, b, KINDS[kind]))
         return out
 
@@ -403,7 +431,7 @@ def train(texts: list[str], rounds: int = 60, most: int = TRAIN_ZONES, seed: int
     cases = []
     for text in texts:
         base = base_spans(text)
-        for t, gold in [(text, base)] + ([rewritten(text, base, rng)] if base else []):
+        for t, gold in [(text, base)] + [rewritten(text, base, rng) for _ in range(REWRITINGS if base else 0)]:
             for zone in (c for z in zones(t) for c in cases_of(t, z, gold)):
                 if len(cases) >= most:
                     break
