@@ -1,14 +1,13 @@
-"""Reshape operators: unpivot, melt, pivot, row totals (RSH-1..6, SET-2, SCH-7)."""
+"""Reshape operators: unpivot, pivot, conform (RSH-1, RSH-3, SCH-7, SCH-9)."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekcraft.functions.clean import clean_number, parse_day
 
 
 def unpivot_measures(df: DataFrame, ids: list[str], measures: list[tuple[str, str]],
@@ -27,26 +26,6 @@ def unpivot_measures(df: DataFrame, ids: list[str], measures: list[tuple[str, st
     return long.filter(keep)
 
 
-def melt_days(df: DataFrame, ids: list[str], day_cols: list[str], day_col: str = "day",
-              text_col: str = "value_text") -> DataFrame:
-    """Wide day columns -> one row per (ids, day) cell, null cells skipped (RSH-2).
-
-    The day header text is parsed day-first; the cell text is kept for the caller to parse
-    (rejects need the raw text).
-    """
-    long = df.select(*ids, *[F.col(c).cast("string") for c in day_cols]) \
-             .unpivot(ids, day_cols, "day_text", text_col)
-    return long.filter(F.col(text_col).isNotNull()).withColumn(day_col, parse_day(F.col("day_text")))
-
-
-def row_total(df: DataFrame, day_cols: list[str], numeric: bool = False) -> Column:
-    """Sum of the day cells, nulls skipped, all-null gives 0 (RSH-4 / RSH-5)."""
-    if not day_cols:
-        return F.lit(0.0)
-    parts = [F.coalesce(F.col(c) if numeric else clean_number(F.col(c)), F.lit(0.0)) for c in day_cols]
-    return reduce(lambda a, b: a + b, parts)
-
-
 def pivot_days(long: DataFrame, keys: list[str], day_col: str, value_col: str, days: list,
                order_col: str | None = None) -> DataFrame:
     """(keys, day, value) -> one column per day with the first non-null value (RSH-3).
@@ -91,8 +70,3 @@ def _narrows(src: T.DataType, dst: T.DataType) -> bool:
     if si is not None and di is not None:
         return di < si
     return False
-
-
-def append_rows(body: DataFrame, extra: DataFrame) -> DataFrame:
-    """Append a total or patch row, aligning columns by name (SET-2)."""
-    return body.unionByName(extra, allowMissingColumns=True)

@@ -539,6 +539,7 @@ RETENTION_AS_OF, RETENTION_DAYS = "2001-08-01", 90
 CASCADE_COMPANY, PERIOD_RUN_WEEK = 3, 100
 # A week that holds daily facts.
 DAILY_PERIOD = ("2024-01-08", "2024-01-14")
+STORED_AT, LOADED_AT = "2024-02-01 00:00:00", "2024-02-08 12:30:00"
 
 
 @register("upsert_daily")
@@ -552,6 +553,18 @@ def q_upsert_daily(spark, sf_dir) -> DataFrame:
                      order_col="row_no", partition_col="day")
 
 
+@register("upsert_stamped")
+def q_upsert_stamped(spark, sf_dir) -> DataFrame:
+    """UPD-2 with MRG-1: rows that the upsert changes or inserts get the time of the load, all others keep theirs."""
+    raw = B.daily(_t(spark, sf_dir))
+    target = (D.dedupe_daily(raw.filter(F.col("row_no") % 2 == 0)).drop("row_no").withColumn("updated_at", F.lit(STORED_AT).cast("timestamp_ntz")))
+    # Two of three loaded rows bring no value, so that some stored ones stay as they are.
+    batch = raw.filter(F.col("row_no") % 2 == 1).withColumns({"value": F.when(F.col("row_no") % 3 == 0, F.col("value")), "updated_at": F.lit(None).cast("timestamp_ntz")})
+    rules = {"company_id": "keep", "category": "keep", "value": "coalesce", "updated_at": "keep"}
+    changed = MG.upsert(target, batch, D.DAILY_KEY, rules, order_col="row_no", partition_col="day", changed_col="changed")
+    return MG.stamp_updated(changed, "changed", "updated_at", F.lit(LOADED_AT).cast("timestamp_ntz"))
+
+
 def _weekly_part(t):
     return B.weekly(t).select("site_id", "year", "week", "run_week", "period_start", "period_end",
                               "margin", "fat", "prod", "weight")
@@ -616,6 +629,16 @@ def q_upsert_config(spark, sf_dir) -> DataFrame:
     return MG.upsert(target, upd.unionByName(new), ["key"], {"value": "new", "updated_by": "new"}, order_col="ord")
 
 
+@register("config_defaults")
+def q_config_defaults(spark, sf_dir) -> DataFrame:
+    """MRG-5, the do-nothing form: default values are inserted for keys that are absent, stored ones stay."""
+    t = _t(spark, sf_dir)
+    value = C.to_json_value(F.col("id")).alias("value")
+    stored = t.region.select(F.concat(F.lit("region."), F.col("r_name")).alias("key"), F.col("r_regionkey").alias("id")).select("key", value, F.lit("init").alias("updated_by"))
+    names = t.region.select(F.concat(F.lit("region."), F.col("r_name")).alias("key")).unionByName(t.nation.select(F.concat(F.lit("nation."), F.col("n_name")).alias("key")))
+    return MG.insert_if_absent(stored, names.select("key", F.lit(-1).alias("id")).select("key", value, F.lit("default").alias("updated_by")), ["key"])
+
+
 def _companies_existing(t):
     return t.nation.filter(F.col("n_nationkey") < 20).select(F.col("n_name").alias("code"),
                                                              F.col("n_nationkey").cast("long").alias("company_id"))
@@ -809,7 +832,7 @@ def q_sessions(spark, sf_dir) -> DataFrame:
 
 @register("lockouts")
 def q_lockouts(spark, sf_dir) -> DataFrame:
-    """STM-3 batch twin: lock-outs after 5 failures (rows-only check; tests use a Python oracle)."""
+    """STM-3 batch twin: lock-outs after 5 failures, by composed functions of bounded chunks."""
     return _lockouts(_t(spark, sf_dir).events)
 
 
@@ -843,7 +866,7 @@ HISTORY_COMPANY, HISTORY_WEEKS_BACK = "nation_7", 52
 
 @register("weeks_by_date")
 def q_weeks_by_date(spark, sf_dir) -> DataFrame:
-    """AGG-7 variant: history rows and sites per (week, closing day), newest 100."""
+    """AGG-7 variant: history rows and sites per (week, closing day), all of them."""
     return AD.weeks_by_date(_hist(_t(spark, sf_dir)))
 
 

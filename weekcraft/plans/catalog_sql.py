@@ -12,7 +12,7 @@ from weekcraft.plans.report import REPORT_CONCEPTS, REPORT_VARIANTS, WEEKLY_PATT
 from weekcraft.plans.admin import STATUS_DEFAULT, STATUS_SYMBOLS
 from weekcraft.plans.catalog import DETAIL_DAY, DETAIL_WEEK, SESSION_LIFE_DAYS, SESSIONS_AS_OF
 from weekcraft.plans.catalog import (CASCADE_COMPANY, MARGIN_DEFAULT_YEAR, PERIOD_RUN_WEEK,
-                                     RETENTION_AS_OF, RETENTION_DAYS, DAILY_PERIOD)
+                                     RETENTION_AS_OF, RETENTION_DAYS, DAILY_PERIOD, LOADED_AT, STORED_AT)
 from weekcraft.plans.history import HISTORY_MEASURES, REASON_NO_SITE, REASON_NO_WEEK, REPORT_MEASURES
 from weekcraft.plans.catalog import KNOWN_COMPANIES, SESSION_GAPS, STORED_WEEKS
 from weekcraft.plans.weekly_load import MEASURES as LOAD_MEASURES
@@ -551,6 +551,20 @@ SELECT site_id, day, concept, CASE WHEN o.site_id IS NOT NULL THEN o.company_id
        CASE WHEN n.site_id IS NOT NULL THEN n.value ELSE o.value END AS value
 FROM old o FULL OUTER JOIN nb n USING (site_id, day, concept)""")
 
+ORACLE["upsert_stamped"] = with_(DAILY_CTES[0], (
+    "old", """SELECT site_id, day, concept, min_by(company_id, row_no) AS company_id, min_by(category, row_no) AS category,
+       max_by(value, row_no) AS value FROM ev WHERE row_no % 2 = 0 GROUP BY ALL"""),
+    ("nb", """SELECT site_id, day, concept, company_id, category, CASE WHEN row_no % 3 = 0 THEN value END AS value FROM ev WHERE row_no % 2 = 1
+QUALIFY row_number() OVER (PARTITION BY site_id, day, concept ORDER BY row_no DESC) = 1"""), final=f"""
+SELECT site_id, day, concept, CASE WHEN o.site_id IS NOT NULL THEN o.company_id ELSE n.company_id END AS company_id,
+       CASE WHEN o.site_id IS NOT NULL THEN o.category ELSE n.category END AS category, coalesce(n.value, o.value) AS value,
+       CASE WHEN o.site_id IS NULL OR (n.value IS NOT NULL AND n.value IS DISTINCT FROM o.value) THEN TIMESTAMP '{LOADED_AT}' ELSE TIMESTAMP '{STORED_AT}' END AS updated_at
+FROM old o FULL OUTER JOIN nb n USING (site_id, day, concept)""")
+
+ORACLE["config_defaults"] = with_((
+    "tg", "SELECT 'region.' || r_name AS key, CAST(to_json({'id': r_regionkey}) AS VARCHAR) AS value, 'init' AS updated_by FROM region"), final="""
+SELECT * FROM tg UNION ALL SELECT 'nation.' || n_name, CAST(to_json({'id': -1}) AS VARCHAR), 'default' FROM nation""")
+
 ORACLE["upsert_weekly_partial"] = with_(*W, (
     "tg", "SELECT * FROM weekly WHERE run_week % 3 <> 0"),
     ("nb", """SELECT site_id, year, week, period_start + 1 AS period_start, period_end + 1 AS period_end,
