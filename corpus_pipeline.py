@@ -1,7 +1,7 @@
 """The corpus pipeline: filter, deduplicate, mix and tokenise documents.
 
 Each stage works on all that its predecessor kept. Its result is written as Parquet to a fresh folder
-below ``spark.checkpoint.dir`` and read again as the next one's documents. The stages but the last
+below ``spark.checkpoint.dir`` and read again as the next one's documents, and removed when that one is written. The stages but the last
 return the columns of documents; the last returns one row per document of the mix with its ids.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weekcraft.llm import exact, jaccard, mixing, toxicity, viterbi
 from weekcraft.llm.common import read_table
-from weekcraft.session import materialize
+from weekcraft.session import drop_stage, materialize
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        if before is not None:
+            drop_stage(before)  # the next stage is written
+        before = docs
     return docs

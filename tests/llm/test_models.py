@@ -258,6 +258,62 @@ def test_pipeline_stages(spark):
     assert count
 
 
+def test_pipeline_survivors_by_brute_force(spark):
+    """run() end to end: which documents survive each filter by plain Python, and what becomes of them."""
+    import re
+
+    import corpus_pipeline
+    from sentencepiece import SentencePieceProcessor
+    from tests.llm.test_dedup import brute_links
+    from weekcraft.llm.viterbi import MODEL
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    given = {r["doc_id"]: r for r in docs.collect()}
+    clean = {i: r["text"] or "" for i, r in given.items() if toxicity_of(model, r["text"] or "") < 0.5}
+    groups = {}
+    for i, t in clean.items():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append(i)
+    unique = sorted(min(ids, key=lambda i: (-len(clean[i]), i)) for ids in groups.values())
+    sets, _, group = brute_links([clean[i] for i in unique])
+    mates = {}
+    for i, s in zip(unique, sets, strict=True):
+        mates.setdefault(group[s] if s else i, []).append(i)
+    survivors = {min(ids) for ids in mates.values()}
+    assert len(survivors) < len(unique) < len(clean) < len(given)
+    rows = corpus_pipeline.run(spark, small).collect()
+    times = Counter(r["doc_id"] for r in rows)
+    assert set(times) <= survivors and max(times.values()) <= 2
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", clean[i])) for i in survivors}
+    sources = {given[i]["source"] for i in survivors}
+    total = {s: sum(size[i] for i in survivors if given[i]["source"] == s) for s in sources}
+    taken = {s: sum(size[i] * n for i, n in times.items() if given[i]["source"] == s) for s in sources}
+    target = brute_targets(total)
+    assert all(abs(taken[s] - target[s]) <= max(size.values()) for s in sources)
+    sp = SentencePieceProcessor(model_file=common.tokenizer_path(MODEL))
+    assert all(r["ids"] == sp.encode(clean[r["doc_id"]]) for r in rows)
+
+
+def toxicity_of(model, text):
+    return float(model.scores(*model.tag([text]))[0])
+
+
+def brute_targets(total):
+    """150 % of all words by weights 5, 2, 1 in the order of the sources, none above twice its source, the excess shared again."""
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(total, key=lambda s: (s is None, s or "")))}
+    target, open_, left = {}, set(total), 1.5 * sum(total.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = {s for s in open_ if share[s] >= 2 * total[s]}
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 2.0 * total[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
 # --- samples, letters ----------------------------------------------------------------------
 
 @pytest.mark.parametrize("total", [10, 5_000, 10 ** 7, 10 ** 10, 10 ** 13])
