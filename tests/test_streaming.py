@@ -34,16 +34,22 @@ def test_stream_equals_batch_and_is_replay_safe(spark, tables):
     assert again == got
 
 
-def test_session_stream_runs(spark, tables):
-    from weekcraft.streaming.sessions import session_stream
+def test_session_stream_equals_batch(spark, tables):
+    """Once later events move the watermark on, the stream has given all sessions of the batch form."""
+    from weekcraft.streaming.sessions import session_stream, sessions
     base = tempfile.mkdtemp(prefix="weekcraft-sess-")
-    tables.events.select("user_id", "ts").write.parquet(os.path.join(base, "ev"))
-    stream = spark.readStream.schema("user_id long, ts timestamp_ntz").parquet(os.path.join(base, "ev"))
+    folder = os.path.join(base, "ev")
+    ev = tables.events.select("user_id", "ts")
+    ev.coalesce(1).write.parquet(folder)
+    for days in (10, 20):
+        ev.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), F.expr(f"ts + INTERVAL {days} DAYS").alias("ts")).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("user_id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(folder)
     q = (session_stream(stream, 60).writeStream.format("memory").queryName("sess_out").outputMode("append")
          .option("checkpointLocation", os.path.join(base, "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
-    n = spark.sql("SELECT count(*) AS n FROM sess_out").first()["n"]
-    assert n >= 0
+    columns = "user_id", "CAST(session_start AS TIMESTAMP_NTZ) AS s", "CAST(session_end AS TIMESTAMP_NTZ) AS e", "n_events"
+    got = sorted(map(tuple, spark.table("sess_out").filter("user_id >= 0").selectExpr(*columns).collect()))
+    assert got == sorted(map(tuple, sessions(ev, 60).selectExpr(*columns).collect())) and got
 
 
 def test_lockout_stream_equals_batch_for_late_and_shuffled_attempts(spark):
