@@ -26,8 +26,11 @@ WIDTHS = [86_400, 21_600, 3_600, 600, 60]
 def slice_seconds(events: DataFrame, ts_col: str = "ts", most_rows: int = SLICE_ROWS) -> float:
     """The widest slice of ``WIDTHS`` with at most ``most_rows`` events of all users; where a minute holds more, its share.
 
-    Events are counted per minute first (as many rows as the data have minutes), then the minutes per width.
+    Events are counted per minute first (as many rows as the data have minutes), then the minutes per width. No slice
+    of a table holds more events than the table, so the widest fits where all events do.
     """
+    if events.count() <= most_rows:
+        return WIDTHS[0]
     minute = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / 60_000_000)
     per_minute = events.groupBy(minute.alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
     per_slice = (per_minute.select("_n", "_m", F.explode(F.array(*[F.lit(w) for w in WIDTHS])).alias("_w"))
