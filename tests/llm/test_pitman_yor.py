@@ -129,6 +129,18 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     assert all((t <= rest.customers).all() and (t[rest.customers > 0] > 0).all() for t in rest.tables)
 
 
+def test_every_word_has_a_restaurant_of_its_own(spark):
+    docs = spark.createDataFrame([(i, f"before{i % 200} after{i % 200}") for i in range(2000)], "doc_id long, text string")
+    for most in (1 << 17, 300, 0):
+        model = py.learn(docs, burn=1, samples=2, most_common=most)
+        assert {len(r["contexts"]) for r in model.rows.collect()} == {1, 200}  # END follows 200 words
+        sure = docs.where("doc_id < 200")
+        other = sure.selectExpr("doc_id", "concat('before', doc_id, ' after', (doc_id + 1) % 200) AS text")
+        # One of 200 words at the start, then what always follows.
+        assert all(r["score"] > math.log10(0.5 / 200) for r in py.score_texts(sure, model, most_common=most).collect())
+        assert all(r["score"] < math.log10(0.01 / 200) for r in py.score_texts(other, model, most_common=most).collect())
+
+
 def test_seating_does_not_depend_on_partitioning(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30).cache()
     a, b = (py.learn(docs.repartition(n), burn=1, samples=1) for n in (1, 7))
