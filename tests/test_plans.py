@@ -50,3 +50,21 @@ def test_rank_windows_are_partitioned(spark):
 def test_rank_per_week_is_one_window(spark):
     p = plan_of(E.queries()["rank_per_week"](spark, SF)).split("== Initial Plan ==")[0]
     assert p.count("Window [") == 1 and "Expand" not in p
+
+
+def test_concept_metric_cleans_spellings_of_sites_not_rows(spark):
+    from weekcraft.plans.catalog import QUERIES
+    plan = QUERIES["concept_metric"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {name: [len(x) - len(x.lstrip(" :+-")) for x in plan if name in x] for name in ("Aggregate", "Expand")}
+    joins = [len(x) - len(x.lstrip(" :+-")) for x in plan if "Join LeftOuter" in x]
+    # Between the rows (Expand) and the dictionary's joins, rows are summed by site and spelling.
+    assert any(max(joins) < d < min(depth["Expand"]) for d in depth["Aggregate"])
+
+
+def test_means_of_parts_are_means_of_rows(spark):
+    from pyspark.sql import functions as F
+    from weekcraft.operators import aggregates as A
+    rows = spark.createDataFrame([("a", "x", 0.1), ("a", "x", 0.2), ("a", "y", None), ("a", "z", 1e14), ("b", "x", None), (None, None, 3.0)], "k string, part string, v double")
+    want = rows.groupBy("k").agg(A.dec_avg("v").alias("m"))
+    got = rows.groupBy("k", "part").agg(*A.dec_parts("v")).groupBy("k").agg(A.dec_avg_of_parts().alias("m"))
+    assert {r["k"]: r["m"] for r in got.collect()} == {r["k"]: r["m"] for r in want.collect()} == {"a": (1e14 + 0.3) / 3, "b": None, None: 3.0}

@@ -26,6 +26,17 @@ def dec_avg(c) -> Column:
     return F.when(n > 0, dec_sum(c) / n)
 
 
+def dec_parts(c) -> list[Column]:
+    """Exact sum ``dec_sum`` and count ``dec_count`` of non-null values, from which ``dec_avg_of_parts`` makes the mean of several groups."""
+    return [F.sum(_c(c).cast("decimal(28, 10)")).alias("dec_sum"), F.count(_c(c)).alias("dec_count")]
+
+
+def dec_avg_of_parts() -> Column:
+    """``dec_avg`` over groups that were summed by ``dec_parts``."""
+    n = F.sum("dec_count")
+    return F.when(n > 0, F.sum("dec_sum").cast("double") / n)
+
+
 def truthy(c: Column) -> Column:
     """Python truthiness of a number: non-null and non-zero."""
     return c.isNotNull() & (c != 0)

@@ -179,10 +179,10 @@ def q_concept_metric(spark, sf_dir) -> DataFrame:
               .when(v == 1, F.upper("concept"))
               .when(v == 2, C.fold_text(F.col("concept")))
               .otherwise(F.concat(F.lit("(A)  "), F.col("concept"), F.lit(" "))))
-    long = long.withColumn("concept", C.clean_concept(dirty))
-    keyed = attach_concept_key(long, "concept", "concept_key")
-    out = keyed.groupBy("site", "concept_key").agg(A.dec_avg("total").alias("metric"),
-                                                   F.count(F.lit(1)).alias("n"))
+    # Rows of one site and spelling are summed first, so that a spelling is cleaned and keyed once per site, not once per row.
+    spelled = long.withColumn("concept", dirty).groupBy("site", "concept").agg(*A.dec_parts("total"), F.count(F.lit(1)).alias("n"))
+    keyed = attach_concept_key(spelled.withColumn("concept", C.clean_concept("concept")), "concept", "concept_key")
+    out = keyed.groupBy("site", "concept_key").agg(A.dec_avg_of_parts().alias("metric"), F.sum("n").alias("n"))
     return _round_doubles(out)
 
 
