@@ -173,3 +173,35 @@ def test_query_predicts_held_out_texts_better_than_the_base(spark):
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total) and math.isclose(r["base_score"], base, rel_tol=1e-9)
     for p in py.perplexity(rows.where(F.col("doc_id").isNotNull()), "held_out").collect():
         assert p["perplexity"] < p["base_perplexity"]
+
+
+def test_scoring_reads_texts_once_and_meets_the_model_in_rounds(spark, monkeypatch):
+    """What is shuffled at once is a share of the tokens that are not looked up in place."""
+    rng = random.Random(7)
+    words = [f"w{int(60 ** rng.random())}" for _ in range(2400)]
+    texts = [" ".join(words[40 * i:40 * i + 40]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = py.learn(docs.where("doc_id < 40"), burn=1, samples=1, most_common=8)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    met, with_rare = [], py.with_rare
+    monkeypatch.setattr(py, "with_rare", lambda rows, *rest: met.append(rows.count()) or with_rare(rows, *rest))
+    kept = model.codes.hashes
+    runs = [(w, u) for w, u, _ in py.token_runs(texts)]
+    far = sum(int((~(np.isin(w, kept) & np.isin(u, kept))).sum()) for w, u in runs)
+    scores = {}
+    for near_rounds, far_rounds in ((2, 4), (1, 1)):
+        monkeypatch.setattr(py, "NEAR_ROUNDS", near_rounds, raising=False)
+        monkeypatch.setattr(py, "FAR_ROUNDS", far_rounds, raising=False)
+        before, met[:] = read.value, []
+        rows = py.score_texts(docs.mapInArrow(counted, docs.schema), model, most_pairs=20)
+        assert read.value - before == len(texts)
+        scores[far_rounds] = {r["doc_id"]: r["score"] for r in rows.collect()}
+        assert sum(met) == far and len(met) == 2 * far_rounds
+    assert scores[1].keys() == scores[4].keys() == set(range(60))
+    assert all(math.isclose(s, scores[4][i], rel_tol=1e-6) for i, s in scores[1].items())
