@@ -171,7 +171,7 @@ def features(text: str, a: int, b: int) -> np.ndarray:
          left in tuple("._%+-@"), right in tuple("@-") or (right == "." and text[b + 1:b + 2].isalnum()),
          not letters and [len(g) for g in groups[-3:]] == [3, 3, 4], not letters and n >= 12 and len(groups) > 1 and {len(g) for g in groups[:-1]} == {4},
          not letters and left in tuple("+(") or left == "0" and s[:1] == "0", shape and " " in s, letters and not shape,
-         letters and bool(NEXT_LABEL.match(text, b)), not letters and bool(NEXT_DIGITS.match(text, b)), not letters and bool(LAST_DIGITS.search(text[max(0, a - 4):a]))]
+         letters and bool(NEXT_LABEL.match(text, b)), not letters and bool(NEXT_DIGITS.match(text, b)), not letters and not (12 <= n <= 19 and luhn(d)) and bool(LAST_DIGITS.search(text[max(0, a - 4):a]))]
     return np.array(x, dtype=np.float64)
 
 
