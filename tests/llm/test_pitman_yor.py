@@ -205,3 +205,43 @@ def test_scoring_reads_texts_once_and_meets_the_model_in_rounds(spark, monkeypat
         assert sum(met) == far and len(met) == 2 * far_rounds
     assert scores[1].keys() == scores[4].keys() == set(range(60))
     assert all(math.isclose(s, scores[4][i], rel_tol=1e-6) for i, s in scores[1].items())
+
+
+@pytest.mark.parametrize("most_common", [1 << 17, 30, 0])
+def test_pairs_are_counted_in_blocks(spark, monkeypatch, most_common):
+    """A row that is shuffled or staged holds many pairs; counts are those of every pair, in whichever bucket."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(300 ** rng.random())}" for _ in range(200)) for _ in range(80)] + [None, "", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter()
+    for t in texts:
+        words = [0, *(int(py.word_hashes(w.encode())[0][0]) for w in naive_words(t)), 0]
+        want.update(zip(words[1:], words[:-1], strict=True))
+    monkeypatch.setattr(py, "BLOCK", 4000)
+    codes = py.common_words(docs, most=most_common)
+    assert codes.tokens == sum(want.values())
+    rows = py.pair_counts(docs, codes).collect()
+    names = {int(r): int(h) for r, h in zip(codes.ranks, codes.hashes, strict=True)}
+    got = Counter()
+    for r in rows:
+        word, context, n = py.unpack(r["block"], 3)
+        assert (r["ones"], r["twos"]) == ((n == 1).sum(), (n == 2).sum())
+        assert (((word < len(codes)) & (context < len(codes))) == r["coded"]).all()
+        for w, u, k in zip(word.tolist(), context.tolist(), n.tolist(), strict=True):
+            pair = tuple(names[x] if x in names else x - py.FIRST for x in (w, u))
+            assert pair not in got
+            got[pair] = k
+    assert got == want
+    assert len(rows) <= 2 * py.buckets_for(codes.tokens) < len(want) / 100
+
+
+def test_packed_numbers_and_places_come_back():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2 ** 62, 1000), rng.normal(size=1000)
+    x, y = py.unpack(py.pack(a, b), 2)
+    assert (x == a).all() and (y.view(np.float64) == b).all()
+    for n in (0, 1, 5000):
+        keys = np.unique(rng.integers(0, 2 ** 55, n))
+        index = py.Index(keys)
+        assert (index.find(keys) == np.arange(len(keys))).all()
+        assert (index.find(np.setdiff1d(rng.integers(0, 2 ** 55, 100), keys)) == -1).all()
