@@ -177,6 +177,27 @@ def test_forgotten_pairs_are_found_out_again(monkeypatch):
     assert len(table.follows) <= 40
 
 
+def test_new_segments_are_searched_side_by_side(monkeypatch):
+    rng, sp = random.Random(4), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    words = {"".join(rng.choices("eeenistarhdu.,-Eé中\U0001F600\n\0", k=rng.randint(0, 70))) for _ in range(3000)}
+    words |= {"  " + w for w in list(words)[:300]}
+    text = " ".join(sorted(words))
+    alone = viterbi.StreamEncoder(viterbi.piece_table(MODEL))
+    border, met = viterbi.StreamEncoder.border, []
+    monkeypatch.setattr(viterbi.StreamEncoder, "border", lambda self, segment: met.append(segment) or border(self, segment))
+    monkeypatch.setattr(viterbi, "LOOKED_UP", 1000)
+    monkeypatch.setattr(viterbi, "SEARCHED", 400)
+    monkeypatch.setattr(viterbi, "SLOT_BITS", 8)
+    monkeypatch.setattr(viterbi, "PAIRS", 500)
+    viterbi.piece_table(MODEL).side = None
+    enc = viterbi.Encoder(MODEL, remembered=1500)
+    assert enc.encode_all([text, "", text[:1], text])[0].tolist() == enc.encode(text).tolist() == sp.encode(text)
+    viterbi.piece_table(MODEL).side = None
+    assert sum(len(s) <= viterbi.REMEMBERED_CHARS for s in met) < len(words) // 10  # few new ones are left to the stream
+    segments = [viterbi.MARK + w for w in words if " " not in w and len(w) < 30]
+    assert [np.frombuffer(i, "<i4").tolist() for i in viterbi.PieceTable(MODEL).search_many(segments)] == [border(alone, s) for s in segments]
+
+
 def test_window_stays_bounded():
     table = viterbi.PieceTable(MODEL)
     search = viterbi.StreamEncoder(table)

@@ -13,7 +13,8 @@ reached, and only paths to the last L positions (L: the longest piece) can be co
 those paths run through one common boundary, the ids before it are committed and forgotten, so a
 text of any length needs a window of a few L characters. Where no piece of the model crosses a
 border (a mark after another character), all paths meet there, and the search commits at every border; the ids
-between two borders are remembered in a dictionary of bounded size.
+between two borders are remembered in a dictionary of bounded size. Segments that are not remembered are searched side by side,
+position by position; long ones one by one, by the stream.
 
 Decoding joins the pieces' bytes, turns marks into spaces and drops the leading one. A null or empty
 text has no ids; repeated rows and ids are encoded row by row. The ids are those of the library. The round trip is exact but for
@@ -23,20 +24,24 @@ U+2581, which the model's format cannot tell from a space.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcraft.llm.common import arrow, column, read_table, steps, strings, tokenizer_path
+from weekcraft.llm.common import arrow, code_points, column, read_table, steps, strings, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Segments that a task remembers (twice as many at most, about 200 bytes each), and their longest; idle workers remember none.
+#: Segments that a task remembers (twice as many at most, and ``LOOKED_UP``, about 200 bytes each), and their longest; idle workers remember none.
 REMEMBERED, REMEMBERED_CHARS = 250_000, 64
-#: Pairs of pieces that a process remembers.
+#: Segments looked up at once, those searched side by side, and how many new ones are worth that.
+LOOKED_UP, SEARCHED, MANY = 1 << 15, 1 << 14, 64
+#: Pairs of pieces that a process remembers; bits of the slots of those that the search side by side remembers.
 PAIRS = 250_000
+SLOT_BITS = 20
 NEVER = -float("inf")
 
 
@@ -71,6 +76,8 @@ class PieceTable:
         crossing = re.compile(f"[^{MARK}]{MARK}")
         self.borders = not any(crossing.search(p) for p in self.ids)
         self.follows: dict[int, bool] = {}
+        #: Made where many texts are first searched.
+        self.side: SideBySide | None = None
 
     # The number of a piece is its id; of a character without a piece, ``size`` + its code point; -1: no piece, -2: the text's start.
 
@@ -134,6 +141,138 @@ class PieceTable:
     def length(self, number: int) -> int:
         return len(self.pieces[number]) if number < self.size else 1
 
+    def search_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of short texts, each from the start of a path."""
+        if self.side is None:
+            self.side = SideBySide(self)
+        return self.side.search(texts)
+
+
+class SideBySide:
+    """The search of many short texts at once: all paths to a position are found together, then all to the next."""
+
+    def __init__(self, table: PieceTable):
+        self.table = table
+        self.lengths = np.array([len(p) for p in table.pieces], dtype=np.int64)
+        #: Number of a character, from 1; 0 of those that no piece holds.
+        self.code = np.zeros(sys.maxunicode + 1, dtype=np.int32)
+        letters = sorted({ord(c) for p in table.ids for c in p})
+        self.code[letters] = np.arange(1, len(letters) + 1)
+        # The trie as arrays: the edge by a character c from a node lies at first[node] + code[c], if from_[there] is the node.
+        nodes, ends, below = [table.trie], [-1], []
+        for node in nodes:
+            below.append((self.code[[ord(c) for c in node]], range(len(nodes), len(nodes) + len(node))))
+            for piece, children in node.values():
+                ends.append(piece)
+                nodes.append(children)
+        size = 1 << (4 * len(nodes)).bit_length()
+        self.piece, self.first = np.array(ends, dtype=np.int64), np.zeros(len(nodes), dtype=np.int64)
+        self.from_, self.to = np.full(size + len(letters) + 1, -1), np.zeros(size + len(letters) + 1, dtype=np.int64)
+        for k in sorted(range(len(nodes)), key=lambda k: -len(below[k][0])):
+            codes, children = below[k]
+            if not len(codes):
+                break
+            at = k * 0x9E3779B1 % size
+            while (self.from_[at + codes] >= 0).any():
+                at = (at * 5 + 1) % size
+            self.first[k] = at
+            self.from_[at + codes], self.to[at + codes] = k, children
+        #: A pair of pieces, doubled, plus 1 if they may follow each other; a slot holds the latest pair that shares it.
+        self.pairs = np.full(1 << SLOT_BITS, -1)
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pieces may follow each other; nothing follows -1."""
+        pair = a << 21 | b
+        slot = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        held = self.pairs[slot]
+        new = np.flatnonzero((held >> 1 != pair) & (a != -1))
+        fits = (held & 1).astype(bool) & (a != -1)
+        if len(new):
+            table = self.table
+            found, at, back = np.unique(pair[new], return_index=True, return_inverse=True)
+            known = [table.follows.get(p) for p in found.tolist()]
+            first = new[at]
+            each = np.array([table.may_follow(x, y) if k is None else k for k, x, y in zip(known, a[first].tolist(), b[first].tolist(), strict=True)])
+            self.pairs[slot[first]] = found << 1 | each
+            fits[new] = each[back]
+        return fits
+
+    def search(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text, which begins at the start of a path."""
+        joined = "".join([t + "\0" for t in texts])
+        chars = code_points(joined).astype(np.int64)
+        sizes = np.array([len(t) + 1 for t in texts])
+        ends = np.cumsum(sizes) - 1  # the place behind a text is its last position
+        starts = ends - sizes + 1
+        code = self.code[chars]
+        code[ends] = 0
+        offset = np.arange(len(chars)) - np.repeat(starts, sizes)
+        inside = np.ones(len(chars), dtype=bool)
+        inside[ends] = False
+
+        # All pieces at all places, by their ends.
+        at = np.flatnonzero(inside)
+        node = np.zeros(len(at), dtype=np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(at):
+            edge = self.first[node] + code[at + len(found)]
+            there = self.from_[edge] == node
+            node = self.to[edge[there]]
+            piece = self.piece[node]
+            if not found:  # a character is a step even if it is no piece
+                number = self.table.size + chars[at]
+                number[there] = np.where(piece >= 0, piece, number[there])
+                found.append((at, number))
+                at = at[there]
+            else:
+                at = at[there]
+                found.append((at[piece >= 0], piece[piece >= 0]))
+        begin, number = (np.concatenate(x) for x in zip(*found, strict=True))
+        end = begin + np.repeat(np.arange(1, len(found) + 1), [len(x) for x, _ in found])
+        step = offset[end - 1] + 1
+        order = np.argsort(step.astype(np.uint16), kind="stable")
+        begin, end, number = begin[order], end[order], number[order]
+
+        last = np.full(len(chars), -1)
+        last[starts] = -2
+        cuts = np.cumsum(np.bincount(step))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            fits = self.fits(last[begin[i:j]], number[i:j])
+            last[end[i:j][fits]] = number[i:j][fits]
+
+        # The paths, from the ends.
+        text, at = np.arange(len(texts)), ends
+        back: list[tuple[np.ndarray, np.ndarray]] = []
+        while (left := at > starts[text]).any():
+            text, at = text[left], at[left]
+            number = last[at]
+            back.append((text, number))
+            at = at - np.where(number < self.table.size, self.lengths[np.minimum(number, self.table.size - 1)], 1)
+        return self.bytes_of(back, len(texts))
+
+    def bytes_of(self, back: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[bytes]:
+        """The ids of ``n`` texts; back: (texts, their last pieces), (texts, the ones before these), ..."""
+        if not back:
+            return [b""] * n
+        text, number = (np.concatenate(x) for x in zip(*back, strict=True))
+        each = np.bincount(text, minlength=n)
+        at = np.cumsum(each)[text] - 1 - np.repeat(np.arange(len(back)), [len(x) for x, _ in back])
+        numbers = np.empty_like(number)
+        numbers[at] = number
+        width = np.ones(len(numbers), dtype=np.int64)
+        bare = np.flatnonzero(numbers >= self.table.size)
+        chars, which = np.unique(numbers[bare], return_inverse=True)
+        bytes_ = [self.table.ids_of(c) for c in chars.tolist()]
+        width[bare] = np.array([len(x) for x in bytes_], dtype=np.int64)[which]
+        ids = np.repeat(numbers, width)
+        first = np.cumsum(width) - width
+        for k in range(4):
+            ours = width[bare] > k
+            ids[first[bare[ours]] + k] = np.array([x[k] if len(x) > k else 0 for x in bytes_], dtype=np.int64)[which[ours]]
+        raw = ids.astype("<i4").tobytes()
+        cuts = (4 * np.r_[0, np.cumsum(width)][np.r_[0, np.cumsum(each)]]).tolist()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
 
 _tables: dict[str, PieceTable] = {}
 
@@ -236,32 +375,45 @@ class Encoder:
                 first = False
         yield search.finish()
 
-    def _segment(self, key: str) -> bytes:
-        ids = self.young.get(key)
-        if ids is None:
-            ids = self.old.get(key)
+    def _segments(self, keys: list[str]) -> list[bytes]:
+        """The ids of segments, given without their first mark; short ones are remembered."""
+        out = list(map(self.young.get, keys))
+        found = dict.fromkeys(k for k, ids in zip(keys, out, strict=True) if ids is None)
+        if not found:
+            return out
+        found = {k: self.old.get(k) for k in found}
+        new = [k for k, ids in found.items() if ids is None and len(k) <= REMEMBERED_CHARS]
+        if len(new) >= MANY:
+            for i in range(0, len(new), SEARCHED):
+                some = new[i:i + SEARCHED]
+                found.update(zip(some, self.table.search_many([MARK + k for k in some]), strict=True))
+        for k, ids in found.items():
             if ids is None:
-                ids = np.array(self.search.border(MARK + key), dtype="<i4").tobytes()
-                if len(key) > REMEMBERED_CHARS:
-                    return ids
-            self.young[key] = ids
-            if len(self.young) > self.remembered:
-                self.old = self.young.copy()
-                self.young.clear()  # the same object: callers hold its ``get``
-        return ids
+                found[k] = np.array(self.search.border(MARK + k), dtype="<i4").tobytes()
+        self.young.update((k, ids) for k, ids in found.items() if len(k) <= REMEMBERED_CHARS)
+        if len(self.young) > self.remembered:
+            self.young, self.old = {}, self.young
+        return [found[k] if ids is None else ids for k, ids in zip(keys, out, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype="<i4")
-        marked = text.replace(" ", MARK)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         if not self.table.borders:
-            return np.array([i for ids in self.stream([marked]) for i in ids], dtype="<i4")
-        if marked[0] != MARK and MARK * 2 not in marked and marked[-1] != MARK:
-            keys = marked.split(MARK)
-        else:
-            keys = [s[1:] for s in re.findall(f"{MARK}+[^{MARK}]*", MARK + marked)]
-        get, segment = self.young.get, self._segment
-        return np.frombuffer(b"".join([get(k) or segment(k) for k in keys]), dtype="<i4")
+            return [np.array([i for ids in self.stream([t]) for i in ids], dtype="<i4") for t in texts]
+        keys: list[str] = []
+        ends = [0]
+        for text in texts:
+            marked = text.replace(" ", MARK)
+            if not text:
+                pass
+            elif marked[0] != MARK and MARK * 2 not in marked and marked[-1] != MARK:
+                keys += marked.split(MARK)
+            else:
+                keys += [s[1:] for s in re.findall(f"{MARK}+[^{MARK}]*", MARK + marked)]
+            ends.append(len(keys))
+        ids = [x for i in range(0, len(keys), LOOKED_UP) for x in self._segments(keys[i:i + LOOKED_UP])]
+        return [np.frombuffer(b"".join(ids[i:j]), dtype="<i4") for i, j in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: Iterable[int]) -> str:
         piece = self.table.bytes
@@ -278,7 +430,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for part in steps(batch):
                 texts = strings(part)
-                ids = [enc.encode(t) for t in texts]
+                ids = enc.encode_all(texts)
                 sizes = np.array([len(i) for i in ids], dtype=np.int64)
                 same = [enc.decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
