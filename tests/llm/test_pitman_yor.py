@@ -235,6 +235,28 @@ def test_pairs_are_counted_in_blocks(spark, monkeypatch, most_common):
     assert len(rows) <= 2 * py.buckets_for(codes.tokens) < len(want) / 100
 
 
+def test_parties_with_one_coded_word_are_seated_in_blocks(spark):
+    """Only parties of two words without a code are a row each; every pair that occurs twice or more is in one party."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(300 ** rng.random())}" for _ in range(200)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = py.learn(docs, burn=1, samples=1, most_common=30)
+    common = len(model.codes)
+    names = {int(r): int(h) for r, h in zip(model.codes.ranks, model.codes.hashes, strict=True)}
+    want = Counter((w, u) for words, before, _ in py.token_runs(texts) for w, u in zip(words.tolist(), before.tolist(), strict=True))
+    got, kinds = Counter(), Counter()
+    for r in model.parties.collect():
+        held = np.array([[r[c]] for c in py.PARTY_COLUMNS]) if r["block"] is None else py.unpack(r["block"], len(py.PARTY_COLUMNS))
+        kind = py.kind_of(held[0], held[1], common)
+        assert (kind == (py.BARE if r["block"] is None else py.NEAR if r["bucket"] is None else py.MIXED)).all()
+        assert ((held[3] >= 1) & (held[3] <= held[2])).all()
+        kinds.update(kind.tolist())
+        for w, u, n in held[:3].T.tolist():
+            got[tuple(names[x] if x in names else x - py.FIRST for x in (w, u))] += n
+    assert got == {pair: n for pair, n in want.items() if n > 1}
+    assert min(kinds[k] for k in (py.NEAR, py.MIXED, py.BARE)) > 50
+
+
 def test_packed_numbers_and_places_come_back():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2 ** 62, 1000), rng.normal(size=1000)
